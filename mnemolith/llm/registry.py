@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, warc
+from . import exact_dedup, license_scan, mixing, packing, toxicity, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
     "op3_mixing": mixing.op3_mixing,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op8_license_scan": license_scan.op8_license_scan,
     "op9_packing": packing.op9_packing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
@@ -14,5 +16,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_warc": warc.SQL,
     "op3_mixing": mixing.SQL,
+    "op8_license_scan": license_scan.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
