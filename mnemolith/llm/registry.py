@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, mixing, packing, toxicity, warc
+from . import exact_dedup, langid, license_scan, mixing, packing, toxicity, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
     "op3_mixing": mixing.op3_mixing,
+    "op5_langid": langid.op5_langid,
     "op6_toxicity": toxicity.op6_toxicity,
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_packing": packing.op9_packing,
