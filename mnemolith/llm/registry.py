@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, license_scan, mixing, packing, toxicity, warc
+from . import embedding_dedup, exact_dedup, langid, license_scan, mixing, packing, toxicity, warc
 
 QUERIES = {
+    "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
     "op2_warc": warc.op2_warc,
     "op3_mixing": mixing.op3_mixing,
     "op5_langid": langid.op5_langid,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_embedding_dedup": embedding_dedup.SQL,
     "op2_warc": warc.SQL,
     "op3_mixing": mixing.SQL,
     "op8_license_scan": license_scan.SQL,
