@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, exact_dedup, langid, license_scan, mixing, packing, toxicity, warc
+from . import embedding_dedup, exact_dedup, langid, license_scan, mixing, ngram_join, packing, toxicity, warc
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op5_langid": langid.op5_langid,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_packing": packing.op9_packing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
@@ -19,6 +20,7 @@ ORACLE_SQL = {
     "op1_embedding_dedup": embedding_dedup.SQL,
     "op2_warc": warc.SQL,
     "op3_mixing": mixing.SQL,
+    "op7_ngram_join": ngram_join.SQL,
     "op8_license_scan": license_scan.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
