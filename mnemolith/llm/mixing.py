@@ -55,6 +55,30 @@ def rake(cells: DataFrame, alpha: dict[str, float] = ALPHA, rounds: int = ROUNDS
     return cells
 
 
+def document_cells(docs: DataFrame, text_col: str, source_col: str, lang_col: str, topic: Column | None) -> list[Column]:
+    """The axes and the token count of a row, as columns named ``_source, _lang, _topic, _tokens``."""
+    tokens = F.coalesce(F.regexp_count(F.col(text_col), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
+    return [
+        F.col(source_col).cast("string").alias("_source"),
+        F.col(lang_col).cast("string").alias("_lang"),
+        (default_topic(text_col) if topic is None else topic).alias("_topic"),
+        tokens.alias("_tokens"),
+    ]
+
+
+def cell_probabilities(rows: DataFrame, alpha: dict[str, float], rounds: int) -> DataFrame:
+    """``c_source, c_lang, c_topic, probability`` of each cell of rows with the columns above."""
+    cells = rows.groupBy(*(F.col(f"_{a}").alias(a) for a in AXES)).agg(F.sum("_tokens").alias("tokens"))
+    cells = rake(materialize(cells), alpha, rounds)
+    scale = cells.where("w > 0").agg(F.min(F.col("tokens") / F.col("w"))).first()[0] or 1.0
+    p = F.when(F.col("w") > 0, F.least(F.lit(1.0), F.col("w") / F.col("tokens") * F.lit(scale))).otherwise(1.0)
+    return checked_broadcast(materialize(cells.select(*(F.col(a).alias(f"c_{a}") for a in AXES), p.alias("probability"))), 200)
+
+
+def with_probability(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    return rows.join(cells, [F.col(f"_{a}").eqNullSafe(F.col(f"c_{a}")) for a in AXES])
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, alpha: dict[str, float] = ALPHA, rounds: int = ROUNDS, seed: str = "mix") -> DataFrame:
     """``doc_id, source, lang, topic, n_tokens, probability, selected`` for every row.
 
@@ -63,26 +87,26 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     value of its own. Cells without tokens weigh nothing and are kept. Repeated rows with one id share
     their draw. An empty table gives an empty result.
     """
-    tokens = F.coalesce(F.regexp_count(F.col(text_col), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).cast("string").alias("source"),
-        F.col(lang_col).cast("string").alias("lang"),
-        (default_topic(text_col) if topic is None else topic).alias("topic"),
-        tokens.alias("n_tokens"),
-    )
-    rows = materialize(rows)
-    cells = rake(materialize(rows.groupBy(*AXES).agg(F.sum("n_tokens").alias("tokens"))), alpha, rounds)
-    scale = cells.where("w > 0").agg(F.min(F.col("tokens") / F.col("w"))).first()[0] or 1.0
-    p = F.when(F.col("w") > 0, F.least(F.lit(1.0), F.col("w") / F.col("tokens") * F.lit(scale))).otherwise(1.0)
-    cells = cells.select(*(F.col(a).alias(f"c_{a}") for a in AXES), p.alias("probability"))
-    on = [F.col(a).eqNullSafe(F.col(f"c_{a}")) for a in AXES]
-    out = rows.join(checked_broadcast(cells, 200), on)
+    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), *document_cells(docs, text_col, source_col, lang_col, topic)))
+    out = with_probability(rows, cell_probabilities(rows, alpha, rounds))
     return out.select(
-        "doc_id", *AXES, "n_tokens", F.round("probability", 6).alias("probability"), (uniform(F.col("doc_id"), seed) < F.col("probability")).alias("selected")
+        "doc_id",
+        *(F.col(f"_{a}").alias(a) for a in AXES),
+        F.col("_tokens").alias("n_tokens"),
+        F.round("probability", 6).alias("probability"),
+        (uniform(F.col("doc_id"), seed) < F.col("probability")).alias("selected"),
     )
 
 
+def sample_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, alpha: dict[str, float] = ALPHA, rounds: int = ROUNDS, seed: str = "mix") -> DataFrame:
+    """The rows that mix_sources selects, with the columns they came with; no text is shuffled."""
+    light = document_cells(docs, text_col, source_col, lang_col, topic)
+    cells = cell_probabilities(materialize(docs.select(*light)), alpha, rounds)
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("_row")
+    drawn = uniform(docs[id_col], seed).alias("_drawn")
+    return with_probability(docs.select(row, drawn, *light[:3]), cells).where("_drawn < probability").select("_row.*")
+
+
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -228,6 +228,19 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, id_col: str = "
     return rows.mapInArrow(score, "doc_id bigint, held_out boolean, score double, predicted int, passages array<struct<start: bigint, end: bigint, score: double>>")
 
 
+def drop_toxic(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """Rows under the threshold, with all their columns; every row where there is no model."""
+    if model is None:
+        return docs
+    at = docs.columns.index(text_col)
+
+    def keep(batches):
+        for b in slices(batches):
+            yield b.filter(pa.array([model.evaluate(t)[0] < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
