@@ -7,7 +7,9 @@ similarity. The matrix side of a group is the union of its members' tokens:
 * A query may hold a match in another group only if a token of its prefix (the part of a set, in one
   global order, that two sets over the threshold can't both miss) is in the group's union of prefixes.
   Size and position bounds prune these query-group cells; what is left are visits.
-* The task of a group builds the union of its members' whole sets and bounds each query's overlap by
+* A first task of each group bounds overlaps from prefixes alone: what two prefixes share, and what can
+  still follow them. It keeps the rows that some pair within bounds needs.
+* The second task builds the union of the kept members' whole sets and bounds each query's overlap by
   it; only a group whose bound reaches the threshold is opened, and its members are then compared.
 
 Components need no pair to leave a task: members already known to be connected aren't compared again,
@@ -63,35 +65,75 @@ def visits_of_run(doc, n, pos, g, t: int, rows: int = 512):
     return np.concatenate([d for d, _ in out]), np.concatenate([k for _, k in out])
 
 
+class GroupUnion:
+    """Token union of a group, with the members that hold each token."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(flat, kind="stable")
+        self.size, self.owner = len(sets), owner[order]
+        self.union, self.start = np.unique(flat[order], return_index=True)
+        self.end = np.append(self.start[1:], len(flat))
+
+    def hits(self, query: np.ndarray) -> np.ndarray:
+        """Places in the union of the query's tokens: their number bounds every overlap."""
+        at = np.searchsorted(self.union, query)
+        inside = at < len(self.union)
+        at, query = at[inside], query[inside]
+        return at[self.union[at] == query]
+
+    def overlaps(self, hits: np.ndarray) -> np.ndarray:
+        """Tokens shared with each member."""
+        lo = self.start[hits]
+        width = self.end[hits] - lo
+        places = np.repeat(lo - np.cumsum(width) + width, width) + np.arange(width.sum())
+        return np.bincount(self.owner[places], minlength=self.size)
+
+
+def rows_within_bounds(prefixes, n, last, home, side, t: int) -> np.ndarray:
+    """Rows of one task that a pair needs whose prefixes leave the threshold possible. ``last`` is the
+    order of the last prefix token: all shared tokens up to the earlier of two are in both prefixes, so
+    the overlap is at most those shared plus what follows the prefix that ends first."""
+    members = np.flatnonzero(home)
+    group = GroupUnion([prefixes[i] for i in members])
+    rest = n - np.array([len(p) for p in prefixes], np.int64)
+    need = np.zeros(len(n), bool)
+    both = len(side) > 0 and side.min() != side.max()
+    m = n[members]
+    for q in range(len(n)):
+        may = (100 * np.minimum(m, n[q]) >= t * np.maximum(m, n[q])) & (members != q)
+        if both:
+            may &= side[members] != side[q]
+        if not may.any() or (need[q] and need[members[may]].all()):
+            continue
+        shared = group.overlaps(group.hits(prefixes[q]))
+        follow = np.where(last[members] < last[q], rest[members], np.where(last[members] > last[q], rest[q], np.maximum(rest[members], rest[q])))
+        ok = members[may & (shared > 0) & ((100 + t) * (shared + follow) >= t * (m + n[q]))]
+        if len(ok):
+            need[q] = need[ok] = True
+    return need
+
+
 def link_group(docs, sets, home, side, t: int) -> np.ndarray:
     """Smallest linked document of each set in one task. ``home`` marks the group's own members; pairs
     are (home, home) and (home, guest), across the two sides where ``side`` isn't constant."""
     sizes = np.array([len(s) for s in sets], np.int64)
     label = docs.copy()
     members = np.flatnonzero(home)
-    flat = np.concatenate([sets[i] for i in members]) if len(members) else np.empty(0, np.uint64)
-    owner = np.repeat(np.arange(len(members)), sizes[members])
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    union, start = np.unique(flat, return_index=True)
-    end = np.append(start[1:], len(flat))
-    both = side.min() != side.max() if len(side) else False
+    group = GroupUnion([sets[i] for i in members])
+    both = len(side) > 0 and side.min() != side.max()
+    m = sizes[members]
     for q in np.argsort(docs, kind="stable"):
-        m = sizes[members]
         may = (label[members] != label[q]) & (100 * np.minimum(m, sizes[q]) >= t * np.maximum(m, sizes[q]))
         if both:
             may &= side[members] != side[q]
         if not may.any():
             continue
-        at = np.searchsorted(union, sets[q])
-        at = at[at < len(union)]
-        hit = at[union[at] == sets[q][: len(at)]] if len(at) else at
-        if 100 * len(hit) < t * sizes[q]:  # the overlap with the union bounds that with every member
+        hits = group.hits(sets[q])
+        if 100 * len(hits) < t * sizes[q]:  # the group isn't opened
             continue
-        lo, hi = start[hit], end[hit]
-        width = hi - lo
-        places = np.repeat(lo - np.cumsum(width) + width, width) + np.arange(width.sum())
-        inter = np.bincount(owner[places], minlength=len(members))
+        inter = group.overlaps(hits)
         linked = members[may & (100 * inter >= t * (m + sizes[q] - inter))]
         for x in np.unique(label[linked]):
             low, high = min(x, label[q]), max(x, label[q])
@@ -99,7 +141,7 @@ def link_group(docs, sets, home, side, t: int) -> np.ndarray:
     return label
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block: int = 1_024, hot_limit: int = 100_000) -> DataFrame:
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block: int = 1_024, hot_limit: int = 400_000) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row.
 
     Two documents link when the Jaccard similarity of their sets of ``words``-word shingles (lower-cased
@@ -124,7 +166,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         def flush(held, n_docs):
             v, c = np.unique(np.concatenate(held), return_counts=True)
-            often = c >= max(8, n_docs // 500)
+            often = c >= max(4, n_docs // 2_000)
             return pa.RecordBatch.from_arrays([pa.array(v[often].view(np.int64)), pa.array(c[often].astype(np.int64))], ["tok", "c"])
 
         held, size, n_docs = [], 0, 0
@@ -142,23 +184,26 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hot = np.sort(np.array([r["tok"] for r in top.select("tok").collect()], np.int64).view(np.uint64))
 
     def sign(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("g", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("g", pa.int64()), ("last", pa.int64()), ("prefix", pa.list_(pa.int64()))])
         for (ids,), sets in sets_of(batches, 2):
-            cols = {"n": [], "f1": [], "f2": [], "g": [], "prefix": []}
+            cols = {"n": [], "f1": [], "f2": [], "g": [], "last": [], "prefix": []}
             for u in sets:
                 n = len(u)
                 f1, f2 = set_print(u)
                 if n:
                     at = np.minimum(np.searchsorted(hot, u), max(len(hot) - 1, 0))
                     is_hot = hot[at] == u if len(hot) else np.zeros(n, bool)
-                    prefix = np.concatenate((u[~is_hot], u[is_hot]))[: prefix_size(n, t)].view(np.int64)
+                    size = prefix_size(n, t)
+                    prefix = np.concatenate((u[~is_hot], u[is_hot]))[:size].view(np.int64)
+                    # rank in the global order: frequent tokens after all others
+                    last = (int(size > n - is_hot.sum()) << 62) | (int(prefix[-1:].view(np.uint64)[0]) >> 2)
                 else:
-                    prefix = np.empty(0, np.int64)
-                for k, v in (("n", n), ("f1", f1), ("f2", f2), ("g", int(u[:1].view(np.int64)[0]) if n else 0), ("prefix", prefix)):
+                    prefix, last = np.empty(0, np.int64), 0
+                for k, v in (("n", n), ("f1", f1), ("f2", f2), ("g", int(u[:1].view(np.int64)[0]) if n else 0), ("last", last), ("prefix", prefix)):
                     cols[k].append(v)
             yield pa.RecordBatch.from_pydict({"doc_id": ids, **cols}, schema=schema)
 
-    signed = materialize(src.select("doc_id", "text").mapInArrow(sign, "doc_id bigint, n bigint, f1 bigint, f2 bigint, g bigint, prefix array<bigint>"))
+    signed = materialize(src.select("doc_id", "text").mapInArrow(sign, "doc_id bigint, n bigint, f1 bigint, f2 bigint, g bigint, last bigint, prefix array<bigint>"))
     light = signed.select("doc_id", "n", "f1", "f2", "g")
     reps = materialize(light.where("n > 0").groupBy("n", "f1", "f2", "g").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")))
     copies = materialize(reps.where("c > 1").select("f1", "f2", "rep"))
@@ -211,43 +256,68 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Groups with something to compare: two members or more, or a visit.
     members = reps.select(F.col("rep").alias("doc_id"), "g", "f1", F.lit(True).alias("home"))
     guests = guests.join(reps.select(F.col("rep").alias("doc_id"), "f1"), "doc_id").select("doc_id", "g", "f1", F.lit(False).alias("home"))
-    entries = materialize(members.unionByName(guests))
-    groups = entries.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
-    entries = entries.join(groups, "g").withColumn("m", F.ceil(F.col("c") / F.lit(block)).cast("int"))
-    entries = entries.groupBy("doc_id", "f1").agg(F.collect_list(F.struct("g", "home", "m")).alias("at"))
-    entries = materialize(entries)
-    texts = src.join(checked_broadcast(entries, 96), "doc_id").select("doc_id", "f1", "at", "text")
+    entries = members.unionByName(guests)
+
+    def placed(entries: DataFrame) -> DataFrame:
+        """The groups that each set takes part in, if another row does too, and their blocks."""
+        groups = materialize(entries.groupBy("g").agg(F.count("*").alias("c")).where("c > 1"))
+        at = entries.join(groups, "g").withColumn("m", F.ceil(F.col("c") / F.lit(block)).cast("int"))
+        return materialize(at.groupBy("doc_id", "f1").agg(F.collect_list(F.struct("g", "home", "m")).alias("at")))
+
+    def tasks_of(doc: int, places):
+        """(group, block pair, at home, block): a group of m blocks has a task for each pair of them."""
+        for r in places:
+            b = (doc * 0x9E3779B97F4A7C15 >> 20) % r["m"]
+            for o in range(r["m"]):
+                yield r["g"], min(b, o), max(b, o), doc, r["home"], b
+
+    def deal_prefixes(batches):
+        names = ["g", "p", "q", "doc_id", "home", "side", "n", "last", "prefix"]
+        for b in slices(batches):
+            rows = [(*task, n, last, prefix) for doc, at, n, last, prefix in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True) for task in tasks_of(doc, at)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], ty) for i, ty in enumerate(kinds)], names)
+
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    task_ddl = "g bigint, p int, q int, doc_id bigint, home boolean, side int"
+
+    def lists_of(table, name):
+        lists = table[name].combine_chunks()
+        ends = np.cumsum(lists.value_lengths().to_numpy())
+        return np.split(lists.flatten().to_numpy().view(np.uint64), ends[:-1])
+
+    def bound(key, table):
+        cols = [table[c].to_numpy() for c in ("n", "last", "home", "side")]
+        need = rows_within_bounds(lists_of(table, "prefix"), *cols, t)
+        return pa.table({"doc_id": table["doc_id"].to_numpy()[need], "g": table["g"].to_numpy()[need], "home": cols[2][need]})
+
+    first = placed(entries)
+    prefixes = signed.join(checked_broadcast(first, 96), ["doc_id", "f1"], "inner").select("doc_id", "at", "n", "last", "prefix")
+    kept = prefixes.mapInArrow(deal_prefixes, f"{task_ddl}, n bigint, last bigint, prefix array<bigint>").groupBy("g", "p", "q").applyInArrow(bound, "doc_id bigint, g bigint, home boolean")
+    kept = materialize(kept.distinct()).join(reps.select(F.col("rep").alias("doc_id"), "f1"), "doc_id")
+    second = placed(kept.select("doc_id", "g", "f1", "home"))
+    texts = src.join(checked_broadcast(second, 96), "doc_id").select("doc_id", "f1", "at", "text")
 
     def deal(batches):
-        """A set goes to its group's task, and to those it visits; a group of m blocks has a task for
-        each pair of blocks."""
-        schema = pa.schema([("g", pa.int64()), ("p", pa.int32()), ("q", pa.int32()), ("doc_id", pa.int64()), ("home", pa.bool_()), ("side", pa.int32()), ("tokens", pa.list_(pa.int64()))])
+        names = ["g", "p", "q", "doc_id", "home", "side", "tokens"]
+        types = [*kinds[:6], pa.list_(pa.int64())]
         for (ids, f1, at), sets in sets_of(batches, 4):
-            out = {name: [] for name in schema.names}
+            rows = []
             for i, f, places, u in zip(ids.to_pylist(), f1.to_pylist(), at.to_pylist(), sets, strict=True):
-                if set_print(u)[0] != f:  # another text under the same id
-                    continue
-                u = u.view(np.int64)
-                for r in places:
-                    b = (i * 0x9E3779B97F4A7C15 >> 20) % r["m"]
-                    for o in range(r["m"]):
-                        for name, v in zip(schema.names, (r["g"], min(b, o), max(b, o), i, r["home"], b, u), strict=True):
-                            out[name].append(v)
-                if sum(map(len, out["tokens"])) > 1_000_000:
-                    yield pa.RecordBatch.from_pydict(out, schema=schema)
-                    out = {name: [] for name in schema.names}
-            yield pa.RecordBatch.from_pydict(out, schema=schema)
+                if set_print(u)[0] == f:  # else another text under the same id
+                    rows += [(*task, u.view(np.int64)) for task in tasks_of(i, places)]
+                if sum(len(r[6]) for r in rows) > 1_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], ty) for k, ty in enumerate(types)], names)
+                    rows = []
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], ty) for k, ty in enumerate(types)], names)
 
     def compare(key, table):
         docs_ = table["doc_id"].to_numpy()
-        tokens_ = table["tokens"].combine_chunks()
-        flat, ends = tokens_.flatten().to_numpy().view(np.uint64), np.cumsum(tokens_.value_lengths().to_numpy())
-        sets = np.split(flat, ends[:-1])
+        sets = lists_of(table, "tokens")
         label = link_group(docs_, sets, table["home"].to_numpy(), table["side"].to_numpy(), t)
         far = label != docs_
         return pa.table({"src": docs_[far], "dst": label[far]})
 
-    dealt = texts.mapInArrow(deal, "g bigint, p int, q int, doc_id bigint, home boolean, side int, tokens array<bigint>")
+    dealt = texts.mapInArrow(deal, f"{task_ddl}, tokens array<bigint>")
     edges = dealt.groupBy("g", "p", "q").applyInArrow(compare, "src bigint, dst bigint")
     comp = connected_components(edges).withColumnRenamed("node", "rep")
     rep = reps.join(comp, "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
