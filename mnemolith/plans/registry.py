@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from . import log_queries, page_queries
 
+_ALL = log_queries.QUERIES | page_queries.QUERIES
 
-def search_lines(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "content"))
-    return lines.where(F.contains(F.lower("content"), F.lit("the"))).select("doc_id", (F.col("pos") + 1).alias("line"), "content")
-
-
-QUERIES = {"search_lines": search_lines}
-ORACLE_SQL = {}
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}
