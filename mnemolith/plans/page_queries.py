@@ -1 +1,273 @@
-QUERIES = {}
+"""Queries over pages, links, validation, migration, code facts and conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import paths, text
+from ..operators import capture, codefacts, guards, lint, migrate
+from ..operators import pages as pg
+from .views import PAGES, literal, pages, table, values_sql
+
+PATHS = [(i, p) for i, p in enumerate(["", "semantic/a.md", "../x.md", "/etc/a..b", ".meta/x.json", "index.md", "archive/semantic/a.md", "semantic/index.md", "semantic/deep/index.md", "episodic/people/bob.md", "people/bob.md", "procedural", "a/person/x.md", "archive/x.md", "/../a", "semantic-x/a.md", "prospective/a-b.md", "prospective/a/x.md"])]
+KINDS = "('semantic', 'episodic', 'procedural', 'prospective')"
+TARGETS = [(i, p, x) for i, (p, x) in enumerate([("semantic/a.md", "b%20c.md"), ("semantic/a.md", "../episodic/x.md"), ("semantic/a.md", "../../out.md"), ("a.md", "./b.md"), ("semantic/d/e.md", "%28x%29/../y.md"), ("semantic/a.md", "x//y.md"), ("semantic/a.md", "%3Ca%3E%5C.md")])]
+LINKS = [(i, x) for i, x in enumerate(["http://a", "HTTPS://B", "mailto:x@y", "tel:1", "#top", "a.md", "repo:" + "a" * 40 + ":p/x.go:10:F", "repo:" + "a" * 40 + ":p/x.go:deleted", "repo:abc:p:1:F", "httpx://a"])]
+RECALLS = [(i, x) for i, x in enumerate(["plain", " a <recall>b</recall> c ", "x<recall>open", "<recall>1</recall><recall>2\n3</recall>keep", "", "</recall>x"])]
+LOWERS = [(i, x) for i, x in enumerate(["ABC", "İstanbul", "ΣΑΣ", "ÀÉ", "ß"])]
+
+GOOD = '---\ntype: concept\ntitle: "A"\ndescription: "d"\ntimestamp: "2024-01-02T03:04:05Z"\nmemory_type: semantic\nsource_events: [e1, e2]\ntrust_tier: T1\n---\n'
+BUNDLE = [
+    ("semantic/a.md", GOOD + "See [b](b.md), [x](https://x.org) and ![i](no.png)."),
+    ("semantic/b.md", GOOD.replace('"A"', '"B"') + "`[code](gone.md)` and\n```\n[fence](gone.md)\n```\n[ok](../semantic/a.md#part)"),
+    ("semantic/bad.md", '---\ntype: ""\ntitle: t\ndescription: d\ntimestamp: "yesterday"\nmemory_type: wrong\nsource_events: [e]\ntrust_tier: T9\nconfidence: sure\n---\nx'),
+    ("episodic/broken.md", "---\ntype: odd\n---\n[gone](../semantic/none.md) [dir](../semantic) [out](../../etc/x.md) [abs](/x.md)"),
+    ("plain.md", "no frontmatter"),
+    ("semantic/index.md", "# Index\n[a](a.md) [lost](lost.md)"),
+    ("open.md", "---\ntype: concept\nnever closed"),
+    ("yaml.md", "---\na: [1\n---\nx"),
+    (".git/skip.md", "skipped"),
+    ("note.txt", "not a page"),
+]
+ISSUES = [
+    ("episodic/broken.md", "warning", "broken internal link: ../semantic/none.md"),
+    *(("episodic/broken.md", "warning", f"missing bundle required field: {x}") for x in ("title", "description", "timestamp", "memory_type")),
+    ("episodic/broken.md", "warning", "missing recommended field: trust_tier"),
+    ("episodic/broken.md", "warning", "missing source_events provenance"),
+    ("episodic/broken.md", "warning", 'unknown bundle type "odd"'),
+    ("open.md", "error", "unterminated YAML frontmatter"),
+    ("plain.md", "error", "missing YAML frontmatter with required type field"),
+    *(("plain.md", "warning", f"missing bundle required field: {x}") for x in ("title", "description", "timestamp", "memory_type")),
+    ("semantic/bad.md", "error", "missing required field: type"),
+    ("semantic/bad.md", "error", "invalid timestamp format: must be RFC3339 / ISO 8601"),
+    ("semantic/bad.md", "error", 'invalid memory_type "wrong"'),
+    ("semantic/bad.md", "error", 'invalid trust_tier "T9"'),
+    ("semantic/bad.md", "error", 'invalid confidence "sure"'),
+    ("semantic/index.md", "warning", "broken internal link: lost.md"),
+]
+GO = [
+    (
+        "pkg/a.go",
+        '// Package a.\npackage a\n\nimport (\n\t"fmt"\n\tx "os"\n)\n\n// Limit bounds it.\nconst Limit, low = 3, 1\n\ntype (\n\t// T is a type.\n\tT struct{ n int }\n\tReader interface{ Read() }\n)\n\n// Do does.\nfunc (t *T) Do(n int) error {\n\treturn fmt.Errorf("} %d", n)\n}\n\nvar v = `func fake() {`\n\nfunc TestHelper() {}\n',
+    ),
+    ("pkg/a_test.go", 'package a\n\nimport "testing"\n\nfunc TestDo(t *testing.T) {}\n'),
+]
+FACTS = [
+    ("pkg/a.go", "package", "a", 2), ("pkg/a.go", "import", "fmt", 5), ("pkg/a.go", "import", "os", 6), ("pkg/a.go", "const", "Limit", 10), ("pkg/a.go", "const", "low", 10),
+    ("pkg/a.go", "type", "T", 14), ("pkg/a.go", "interface", "Reader", 15), ("pkg/a.go", "method", "*T.Do", 19), ("pkg/a.go", "var", "v", 23), ("pkg/a.go", "func", "TestHelper", 25),
+    ("pkg/a_test.go", "package", "a", 1), ("pkg/a_test.go", "import", "testing", 3), ("pkg/a_test.go", "test", "TestDo", 5),
+]
+LEGACY = [
+    ("semantic/old-page.md", "<!-- compiled_from: e1, e2 -->\n<!-- last_compiled: 2024-01-02T03:04:05Z -->\n\n# Old\nText [[semantic/new|New]] and `[[code]]` and [gone](none.md).\n"),
+    ("semantic/new.md", GOOD + "See [[old-page]]."),
+    ("plain.md", "nothing legacy"),
+]
+MIGRATED = [
+    ("plain.md", "nothing legacy", False),
+    ("semantic/new.md", GOOD + "See [Old Page](old-page.md).", True),
+    (
+        "semantic/old-page.md",
+        '---\ntype: "concept"\ntitle: "Old"\ndescription: "Text [New](new.md) and `[[code]]` and [gone](none.md)."\ntimestamp: "2024-01-02T03:04:05Z"\nmemory_type: "semantic"\nsource_events:\n  - "e1"\n  - "e2"\ntrust_tier: "T3"\n---\n\n# Old\nText [New](new.md) and `[[code]]` and gone.\n',
+        True,
+    ),
+]
+
+
+def _staged(s, d):
+    """Production pages and a staged copy with edits, additions, deletions and stray files."""
+    p = pages(s, d)
+    i = F.col("doc_id")
+    head = F.when(i % 5 == 0, "").otherwise("<!-- compiled_from: e -->\n<!-- last_compiled: t -->\n")
+    kept = p.where(i % 11 != 0).select(F.when(i % 13 == 0, F.concat("path", F.lit(".bak"))).otherwise(F.col("path")).alias("path"), F.concat(head, "content").alias("content"))
+    return p.select("path", "content"), kept
+
+
+_STAGED = PAGES + """, st AS (SELECT CASE WHEN doc_id % 13 = 0 THEN path || '.bak' ELSE path END AS path,
+  CASE WHEN doc_id % 5 = 0 THEN '' ELSE '<!-- compiled_from: e -->' || chr(10) || '<!-- last_compiled: t -->' || chr(10) END || content AS content FROM pg WHERE doc_id % 11 <> 0)"""
+
+
+def _writes(s, d):
+    p = pages(s, d).where("doc_id % 3 = 0")
+    i = F.col("doc_id")
+    rows = p.select("path", F.explode(F.sequence(F.lit(0), (i % 3 + 1).cast("int"))).alias("write_no"), i.alias("i"))
+    return rows.select("path", F.concat(F.lit("v"), F.col("write_no").cast("string")).alias("content"), F.array(F.concat(F.lit("e"), ((F.col("i") + F.col("write_no")) % 4).cast("string")), F.lit("e0")).alias("sources"), ((F.col("i") + F.col("write_no")) % 4).cast("int").alias("trust_tier"), F.concat(F.lit("t"), F.col("write_no").cast("string")).alias("at"), "write_no")
+
+
+def _upserted(s, d):
+    old = pages(s, d).where("doc_id % 2 = 0").select("path", "content", F.array(F.lit("e9"), F.lit("e0")).alias("source_events"), F.lit(2).alias("trust_tier_max"), F.lit("t-old").alias("created_at"), F.lit("kept").alias("memory_type"))
+    return pg.upsert_pages(old, _writes(s, d)).withColumn("source_events", F.array_join("source_events", ","))
+
+
+def _web_links(s, d):
+    p = table(s, d, "pages")
+    found = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
+    links = p.select(F.concat(F.lit("site/"), F.col("page_id").cast("string"), F.lit(".md")).alias("path"), F.explode(found).alias("link"))
+    return links.withColumn("target", paths.clean_path(F.concat(F.lit("site/"), F.regexp_replace("link", "^/", ""))))
+
+
+QUERIES = {
+    "search_lines": (
+        lambda s, d: pg.search_lines(pages(s, d), "The"),
+        f"WITH {PAGES}, l AS (SELECT path, unnest(string_split(content, chr(10))) AS content, unnest(range(1, len(string_split(content, chr(10))) + 1))::INT AS line FROM pg) SELECT path, line, content FROM l WHERE contains(lower(content), 'the')",
+    ),
+    "search_hits_by_page": (
+        lambda s, d: pg.search_lines(pages(s, d), "and").groupBy("path").agg(F.count("*").alias("hits"), F.min("line").alias("first_line")),
+        f"WITH {PAGES}, l AS (SELECT path, unnest(string_split(content, chr(10))) AS content, unnest(range(1, len(string_split(content, chr(10))) + 1))::INT AS line FROM pg) SELECT path, count(*) AS hits, min(line) AS first_line FROM l WHERE contains(lower(content), 'and') GROUP BY path",
+    ),
+    "memory_stats": (
+        lambda s, d: pg.memory_stats(pages(s, d), table(s, d, "events"), 250),
+        f"WITH {PAGES} SELECT (SELECT count(*) FROM events) AS events, (SELECT count(*) FROM events) - 250 AS uncompiled, count_if(path NOT LIKE 'archive/%')::BIGINT AS pages, count_if(path LIKE 'archive/%')::BIGINT AS archived FROM pg",
+    ),
+    "category_index": (
+        lambda s, d: pg.category_index(pages(s, d).where("doc_id % 4 <> 3").withColumn("content", F.regexp_replace("content", "[^\\x00-\\x7F]", "?"))),
+        f"""WITH {PAGES}, x AS (SELECT path, string_split(path, '/') AS k, k[1] AS cat, regexp_replace(content, '[^\\x00-\\x7F]', '?', 'g') AS c FROM pg WHERE doc_id % 4 <> 3 AND path NOT LIKE 'archive/%'),
+l AS (SELECT *, list_filter(list_transform(string_split(c, chr(10)), lambda z: trim(z, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')), lambda z: z <> '' AND z NOT LIKE '#%' AND z NOT LIKE '<!--%')[1] AS f FROM x),
+e AS (SELECT *, CASE WHEN strlen(f) > 100 THEN substr(f, 1, 100) || '...' ELSE coalesce(f, '') END AS descr FROM l),
+a AS (SELECT cat, string_agg('- [' || k[-1] || '](' || path || ') — ' || descr, chr(10) ORDER BY k) AS root, string_agg('- [' || k[-1] || '](' || substr(path, len(cat) + 2) || ') — ' || descr, chr(10) ORDER BY k) AS own FROM e GROUP BY cat),
+d AS (SELECT i, c FROM (VALUES (0, 'semantic'), (1, 'episodic'), (2, 'procedural'), (3, 'prospective')) v(i, c))
+SELECT c || '/index.md' AS path, '# ' || upper(c[1]) || c[2:] || chr(10) || chr(10) || coalesce(own || chr(10), '_No pages yet._' || chr(10)) AS content FROM d LEFT JOIN a ON c = cat
+UNION ALL SELECT 'index.md', '# Wiki Index' || chr(10) || chr(10) || coalesce(string_agg('## ' || c || chr(10) || chr(10) || root, chr(10) || chr(10) ORDER BY i) || chr(10), '_No pages yet._' || chr(10)) FROM d JOIN a ON c = cat""",
+    ),
+    "sidecar_merge": (
+        _upserted,
+        f"""WITH {PAGES}, w AS (SELECT path, doc_id AS i, unnest(range(0, (doc_id % 3 + 2)::INT)) AS n FROM pg WHERE doc_id % 3 = 0),
+o AS (SELECT path, content FROM pg WHERE doc_id % 2 = 0),
+a AS (SELECT path, content, ['e9', 'e0'] AS s, 2 AS t, 't-old' AS c, 'kept' AS m, -1 AS n FROM o
+  UNION ALL SELECT path, 'v' || n, ['e' || ((i + n) % 4), 'e0'], ((i + n) % 4)::INT, 't' || n, CASE WHEN path LIKE 'archive/%' THEN '' ELSE string_split(path, '/')[1] END, n FROM w),
+x AS (SELECT path, n * 2 + j AS k, s[j::INT + 1] AS e FROM a, (SELECT unnest([0, 1]) AS j)),
+y AS (SELECT path, e, min(k) AS k FROM x GROUP BY ALL), z AS (SELECT path, string_agg(e, ',' ORDER BY k) AS source_events FROM y GROUP BY path)
+SELECT a.path, arg_max(content, n) AS content, any_value(source_events) AS source_events, coalesce(min(nullif(t, 0)), 0) AS trust_tier_max, arg_min(c, n) AS created_at, arg_min(m, n) AS memory_type FROM a JOIN z ON a.path = z.path GROUP BY a.path""",
+    ),
+    "archive_move": (
+        lambda s, d: pg.archive_pages(pages(s, d).select("path", "content"), pages(s, d).where("doc_id % 7 <> 0 AND doc_id % 5 = 0").select("path", F.lit("stale").alias("reason"), F.lit("2024-01-01").alias("at"))),
+        f"""WITH {PAGES}, m AS (SELECT path FROM pg WHERE doc_id % 7 <> 0 AND doc_id % 5 = 0)
+SELECT path, content, NULL::VARCHAR AS archived_at, NULL::VARCHAR AS archive_reason FROM pg WHERE path NOT IN (SELECT path FROM m) AND path NOT IN (SELECT 'archive/' || path FROM m)
+UNION ALL SELECT 'archive/' || path, content, '2024-01-01', 'stale' FROM pg WHERE path IN (SELECT path FROM m)""",
+    ),
+    "access_dates_fold": (
+        lambda s, d: pg.access_dates(table(s, d, "events").select(F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("path"), F.col("ts").alias("at"), F.col("event_id").alias("read_no"))).withColumn("access_dates", F.array_join("access_dates", ",")),
+        """WITH r AS (SELECT 'p' || user_id AS path, ts, event_id, strftime(ts, '%Y-%m-%d') AS d, lag(strftime(ts, '%Y-%m-%d')) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)
+SELECT path, strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS last_accessed, string_agg(CASE WHEN p IS DISTINCT FROM d THEN d END, ',' ORDER BY ts, event_id) AS access_dates FROM r GROUP BY path""",
+    ),
+    "page_telemetry": (
+        lambda s, d: pg.with_telemetry(pages(s, d), pages(s, d).where("doc_id % 3 = 0").select("path", F.array(F.lit("e1")).alias("source_events"), F.lit(2).alias("trust_tier_max"))).select("path", F.array_join("source_events", ",").alias("sources"), "trust_tier_max"),
+        f"WITH {PAGES} SELECT path, CASE WHEN doc_id % 3 = 0 THEN 'e1' ELSE '' END AS sources, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS trust_tier_max FROM pg",
+    ),
+    "ensure_provenance": (
+        lambda s, d: pages(s, d).select("path", pg.with_provenance(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<!-- compiled_from: x -->\n"), "content")).otherwise(F.col("content")), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("e1"), F.lit("e2"))).otherwise(F.array().cast("array<string>")), F.lit("2024-01-01T00:00:00Z")).alias("content")),
+        f"WITH {PAGES} SELECT path, CASE WHEN doc_id % 3 = 0 THEN '' ELSE '<!-- compiled_from: ' || CASE WHEN doc_id % 2 = 0 THEN 'e1, e2' ELSE 'ingest' END || ' -->' || chr(10) END || '<!-- last_compiled: 2024-01-01T00:00:00Z -->' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '<!-- compiled_from: x -->' || chr(10) ELSE '' END || content AS content FROM pg",
+    ),
+    "path_checks": (
+        lambda s, d: literal(s, "i int, p string", PATHS).select("i", paths.store_path_error(F.col("p")).alias("store"), paths.tool_path_error(F.col("p")).alias("tool"), paths.valid_page_path(F.col("p")).alias("valid"), paths.structural_index(F.col("p")).alias("structural"), paths.any_index(F.col("p")).alias("any_index")),
+        f"""WITH {values_sql('v', 'i, p', PATHS)} SELECT i, CASE WHEN p = '' THEN 'empty' WHEN contains(p, '..') THEN 'traversal' WHEN p LIKE '/%' THEN 'absolute' WHEN p LIKE '.meta/%' THEN 'metadata' ELSE '' END AS store,
+CASE WHEN p = '' THEN 'empty' WHEN p LIKE '/%' THEN 'absolute' WHEN contains(p, '..') THEN 'traversal' WHEN p LIKE '.meta/%' THEN 'metadata' ELSE '' END AS tool,
+p = 'index.md' OR regexp_matches(p, '^(semantic|episodic|procedural|prospective)/') AS valid, p IN ('index.md', 'semantic/index.md', 'episodic/index.md', 'procedural/index.md', 'prospective/index.md') AS structural,
+string_split(p, '/')[-1] = 'index.md' AS any_index FROM v""",
+    ),
+    "infer_types": (
+        lambda s, d: literal(s, "i int, p string", PATHS).select("i", paths.memory_type(F.col("p")).alias("store"), paths.migrated_memory_type(F.col("p")).alias("migrated"), paths.page_type(F.col("p")).alias("kind")),
+        f"""WITH {values_sql('v', 'i, p', PATHS)}, x AS (SELECT *, string_split(p, '/') AS k, CASE WHEN k[1] = 'archive' AND len(k) > 1 THEN k[2] ELSE k[1] END AS m FROM v),
+y AS (SELECT *, CASE WHEN m IN {KINDS} THEN m ELSE 'semantic' END AS migrated FROM x)
+SELECT i, CASE WHEN k[1] IN {KINDS} THEN k[1] ELSE '' END AS store, migrated, CASE WHEN migrated = 'procedural' THEN 'procedure' WHEN migrated IN ('episodic', 'prospective') THEN 'event' WHEN contains(p, '/people/') OR contains(p, '/person/') THEN 'person' ELSE 'concept' END AS kind FROM y""",
+    ),
+    "walk_order": (
+        lambda s, d: pages(s, d).select("path", paths.walk_order(F.col("path")).alias("k")).orderBy("k").limit(200).select("path"),
+        f"WITH {PAGES} SELECT path FROM pg ORDER BY string_split(path, '/') LIMIT 200",
+    ),
+    "resolve_targets": (
+        lambda s, d: literal(s, "i int, p string, x string", TARGETS).select("i", paths.clean_path(F.concat(paths.directory(F.col("p")), F.lit("/"), paths.decode_target(F.col("x")))).alias("target"), paths.encode_target(paths.decode_target(F.col("x"))).alias("again")),
+        "SELECT * FROM (VALUES (0, 'semantic/b c.md', 'b%20c.md'), (1, 'episodic/x.md', '../episodic/x.md'), (2, NULL, '../../out.md'), (3, 'b.md', './b.md'), (4, 'semantic/d/y.md', '%28x%29/../y.md'), (5, 'semantic/x/y.md', 'x//y.md'), (6, 'semantic/<a>\\.md', '%3Ca%3E%5C.md')) v(i, target, again)",
+    ),
+    "link_kinds": (
+        lambda s, d: literal(s, "i int, x string", LINKS).select("i", paths.external_link(F.col("x")).alias("external"), paths.source_anchor_link(F.col("x")).alias("anchor")),
+        f"WITH {values_sql('v', 'i, x', LINKS)} SELECT i, regexp_matches(lower(x), '^(https?://|mailto:|tel:|#)') AS external, regexp_matches(x, '^[^\\s:]+:[0-9a-fA-F]{{40}}:.+:(deleted|[0-9]+:.+)$') AS anchor FROM v",
+    ),
+    "lower_runes": (
+        lambda s, d: literal(s, "i int, x string", LOWERS).select("i", text.lower_runes(F.col("x")).alias("x")),
+        f"WITH {values_sql('v', 'i, x', LOWERS)} SELECT i, lower(x) AS x FROM v",
+    ),
+    "page_descriptions": (
+        lambda s, d: pages(s, d).select("path", text.first_prose_line(F.regexp_replace("content", "[^\\x00-\\x7F]", "?"), 160, F.lit("none")).alias("description")),
+        f"""WITH {PAGES}, l AS (SELECT path, list_filter(list_transform(string_split(regexp_replace(content, '[^\\x00-\\x7F]', '?', 'g'), chr(10)), lambda z: trim(z, chr(9) || chr(11) || chr(12) || chr(13) || ' ')), lambda z: z <> '' AND z NOT LIKE '#%' AND z NOT LIKE '<!--%')[1] AS f FROM pg)
+SELECT path, CASE WHEN strlen(f) > 160 THEN substr(f, 1, 160) || '...' ELSE coalesce(f, 'none') END AS description FROM l""",
+    ),
+    "staging_violations": (
+        lambda s, d: lint.staging_violations(*_staged(s, d), budget=10_000),
+        f"""WITH {_STAGED}, md AS (SELECT * FROM st WHERE path LIKE '%.md'), b AS (SELECT sum(CASE WHEN pg.path IS NULL THEN strlen(md.content) ELSE abs(strlen(md.content) - strlen(pg.content)) END) AS n FROM md LEFT JOIN pg ON md.path = pg.path)
+SELECT path, 'non-Markdown file in wiki (only .md files are allowed)' AS message FROM st WHERE path NOT LIKE '%.md'
+UNION ALL SELECT path, 'path does not conform to wiki taxonomy (semantic/, episodic/, procedural/, prospective/)' FROM md WHERE path LIKE 'archive/%'
+UNION ALL SELECT path, 'missing required frontmatter (compiled_from, last_compiled)' FROM md WHERE NOT contains(content, 'compiled_from:')
+UNION ALL SELECT '', 'diff budget exceeded: ' || n || ' bytes > 10000 bytes max' FROM b WHERE n > 10000
+UNION ALL SELECT path, 'page deleted in staging (ingest should not delete pages)' FROM pg WHERE path NOT IN (SELECT path FROM st)""",
+    ),
+    "diff_budget": (
+        lambda s, d: lint.diff_bytes(*_staged(s, d)),
+        f"WITH {_STAGED} SELECT sum(CASE WHEN pg.path IS NULL THEN strlen(st.content) ELSE abs(strlen(st.content) - strlen(pg.content)) END)::BIGINT AS bytes FROM st LEFT JOIN pg ON st.path = pg.path WHERE st.path LIKE '%.md'",
+    ),
+    "deleted_pages": (
+        lambda s, d: (lambda p, t: p.select("path").join(t.select("path"), "path", "left_anti"))(*_staged(s, d)),
+        f"WITH {_STAGED} SELECT path FROM pg WHERE path NOT IN (SELECT path FROM st)",
+    ),
+    "frontmatter_issues": (
+        lambda s, d: lint.validate_bundle(literal(s, "path string, content string", BUNDLE), strict=True).where("path <> 'yaml.md'"),
+        f"WITH {values_sql('v', 'path, severity, message', ISSUES)} SELECT * FROM v",
+    ),
+    "issue_counts": (
+        lambda s, d: lint.issue_counts(lint.validate_bundle(literal(s, "path string, content string", BUNDLE), strict=True)),
+        f"WITH {values_sql('v', 'path, severity, message', ISSUES)} SELECT count_if(severity = 'error')::BIGINT + 1 AS errors, count_if(severity = 'warning')::BIGINT AS warnings, 1 AS exit_code FROM v",
+    ),
+    "broken_links": (
+        lambda s, d: lint.broken_links(_web_links(s, d), table(s, d, "pages").select(F.concat(F.lit("site/"), F.regexp_extract("html", '<a href="/([^"]*)"', 1)).alias("path")).where("path <> 'site/'")),
+        """WITH l AS (SELECT 'site/' || page_id || '.md' AS path, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS link FROM pages),
+f AS (SELECT 'site/' || regexp_extract(html, '<a href="/([^"]*)"', 1) AS path FROM pages WHERE regexp_extract(html, '<a href="/([^"]*)"', 1) <> '')
+SELECT 'warning' AS severity, path, 'broken internal link: ' || link AS message FROM l WHERE 'site/' || regexp_replace(link, '^/', '') NOT IN (SELECT path FROM f) AND 'site/' || regexp_replace(link, '^/', '') <> 'site/'""",
+    ),
+    "migrate_bundle": (
+        lambda s, d: migrate.migrate_bundle(literal(s, "path string, content string, mtime timestamp", [(p, c, None) for p, c in LEGACY])).select("path", "content", "changed"),
+        f"WITH {values_sql('v', 'path, content, changed', MIGRATED)} SELECT * FROM v",
+    ),
+    "scan_facts": (
+        lambda s, d: codefacts.scan_facts(literal(s, "path string, content string", GO), "repo", "c" * 40).select("path", "kind", "symbol", "line"),
+        f"WITH {values_sql('v', 'path, kind, symbol, line', FACTS)} SELECT * FROM v",
+    ),
+    "fact_ids": (
+        lambda s, d: pages(s, d).select(F.lit("r").alias("repo"), F.lit("c").alias("commit_sha"), "path", F.lit("func").alias("kind"), F.concat(F.lit("F"), F.col("doc_id").cast("string")).alias("symbol"), (F.col("doc_id") % 90).cast("int").alias("line"), F.when(F.col("doc_id") % 9 == 0, "deleted").otherwise("present").alias("status")).select("path", codefacts.fact_id().alias("id"), codefacts.source_anchor().alias("anchor")),
+        f"""WITH {PAGES}, x AS (SELECT path, 'F' || doc_id AS s, doc_id % 90 AS l, CASE WHEN doc_id % 9 = 0 THEN 'deleted' ELSE 'present' END AS st FROM pg)
+SELECT path, 'fact_' || substr(sha256('r' || chr(0) || 'c' || chr(0) || path || chr(0) || 'func' || chr(0) || s || chr(0) || l || chr(0) || st), 1, 16) AS id, CASE WHEN st = 'deleted' THEN 'r:c:' || path || ':deleted' ELSE 'r:c:' || path || ':' || l || ':' || s END AS anchor FROM x""",
+    ),
+    "file_manifest": (
+        lambda s, d: codefacts.file_manifest(table(s, d, "events").select(F.concat(F.lit("f"), (F.col("user_id") % 20).cast("string")).alias("path"), F.concat(F.lit("i"), F.col("event_id").cast("string")).alias("id"), F.when(F.col("event_id") % 4 == 0, "").otherwise(F.col("event_type")).alias("symbol"), F.concat(F.lit("a"), F.col("event_id").cast("string")).alias("anchor"))).select("path", *(F.md5(F.array_join(c, ",")).alias(c) for c in ("fact_ids", "symbols", "anchors"))),
+        "SELECT 'f' || (user_id % 20) AS path, md5(string_agg('i' || event_id, ',' ORDER BY 'i' || event_id)) AS fact_ids, md5(string_agg(CASE WHEN event_id % 4 <> 0 THEN event_type END, ',' ORDER BY event_type)) AS symbols, md5(string_agg('a' || event_id, ',' ORDER BY 'a' || event_id)) AS anchors FROM events GROUP BY 1",
+    ),
+    "changed_deleted_sets": (
+        lambda s, d: codefacts.file_sets(table(s, d, "events").select(F.get(F.array(*(F.lit(x) for x in ("M", "D", "R100", "C75", "A", ""))), (F.col("event_id") % 6).cast("int")).alias("status"), F.concat(F.lit("o"), (F.col("event_id") % 500).cast("string")).alias("old_path"), F.concat(F.lit("n"), (F.col("event_id") % 700).cast("string")).alias("new_path"))),
+        """WITH e AS (SELECT ['M', 'D', 'R', 'C', 'A', ''][(event_id % 6 + 1)::INT] AS s, 'o' || (event_id % 500) AS o, 'n' || (event_id % 700) AS n FROM events)
+SELECT DISTINCT o AS path, 'deleted' AS change FROM e WHERE s IN ('D', 'R', 'C') UNION SELECT n, 'changed' FROM e WHERE s IN ('R', 'C') UNION SELECT o, 'changed' FROM e WHERE s IN ('M', 'A')""",
+    ),
+    "test_targets": (
+        lambda s, d: table(s, d, "events").select("event_id", codefacts.test_target(F.concat(F.get(F.array(*(F.lit(x) for x in ("Test", "Benchmark", "Fuzz", "Do"))), (F.col("event_id") % 4).cast("int")), F.initcap("event_type"))).alias("target")),
+        "SELECT event_id, CASE WHEN event_id % 4 = 3 THEN '' ELSE upper(event_type[1]) || event_type[2:] END AS target FROM events",
+    ),
+    "capture_tail": (
+        lambda s, d: capture.select_tail(table(s, d, "conversations"), 4, 1_500),
+        "WITH r AS (SELECT *, row_number() OVER w AS rn, sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS t FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC)) SELECT conv_id, turn, role, text FROM r WHERE rn <= 4 AND (rn = 1 OR t <= 1500)",
+    ),
+    "capture_conversations": (
+        lambda s, d: capture.captured(table(s, d, "conversations").withColumn("text", F.when(F.col("turn") % 3 == 1, F.concat(F.lit("<recall>old</recall> "), "text")).otherwise(F.col("text"))), max_messages=5, max_bytes=3_000).select("conv_id", "turn", "role", "text"),
+        """WITH c AS (SELECT conv_id, turn, role, trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS text FROM conversations WHERE role IN ('user', 'assistant')),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn, sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS t FROM c WHERE text <> '') SELECT conv_id, turn, role, text FROM r WHERE rn <= 5 AND (rn = 1 OR t <= 3000)""",
+    ),
+    "reset_summary": (
+        lambda s, d: capture.reset_summary(table(s, d, "conversations")),
+        """WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations WHERE role = 'user' AND length(text) > 10)
+SELECT conv_id, '[session-summary before reset] ' || string_agg(substr(trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 1, 300), ' | ' ORDER BY turn) AS summary FROM r WHERE rn <= 3 GROUP BY conv_id""",
+    ),
+    "strip_injected": (
+        lambda s, d: literal(s, "i int, x string", RECALLS).select("i", text.strip_blocks(F.col("x"), "recall").alias("x")),
+        f"WITH {values_sql('v', 'i, x', RECALLS)} SELECT i, trim(regexp_replace(regexp_replace(x, '(?s)<recall>.*?</recall>', '', 'g'), '(?s)<recall>.*', '')) AS x FROM v",
+    ),
+    "exit_codes": (
+        lambda s, d: literal(s, "errors int, warnings int, strict boolean", [(e, w, t) for e in (0, 2) for w in (0, 1) for t in (False, True)]).select("errors", "warnings", "strict", guards.exit_code(F.col("errors"), F.col("warnings"), F.col("strict")).alias("code")),
+        f"WITH {values_sql('v', 'errors, warnings, strict', [(e, w, t) for e in (0, 2) for w in (0, 1) for t in (False, True)])} SELECT *, CASE WHEN errors > 0 OR (strict AND warnings > 0) THEN 1 ELSE 0 END AS code FROM v",
+    ),
+}
