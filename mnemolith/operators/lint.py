@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.paths import MEMORY_TYPES, any_index, clean_path, decode_target, directory, external_link, source_anchor_link, structural_index, valid_page_path
 from ..functions.text import RFC3339, content_lines, has_frontmatter_comments, trim_all
@@ -71,7 +72,11 @@ def flatten_value(value) -> list[str]:
     return []
 
 
-@F.pandas_udf("struct<fields: map<string, array<string>>, error: string>")
+_TEXTS = T.ArrayType(T.StringType())
+_FIELDS = T.StructType([T.StructField("fields", T.MapType(T.StringType(), _TEXTS)), T.StructField("error", T.StringType())])
+
+
+@F.pandas_udf(_FIELDS)
 def parse_fields(header: pd.Series) -> pd.DataFrame:
     """YAML headers as flat fields, or the error; null stays without either."""
     yaml, loader = _loader()
@@ -155,7 +160,7 @@ def destination(raw: str) -> str:
     return raw
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(_TEXTS)
 def link_targets(body: pd.Series) -> pd.Series:
     """Link destinations in prose, images left out."""
     return body.map(lambda b: [destination(m[2]) for m in _LINK.finditer(prose_of(b or "")) if not m[1]])
