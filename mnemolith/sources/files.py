@@ -38,7 +38,7 @@ def read_status_log(spark: SparkSession, path: str) -> DataFrame:
     """Status records with ``line_no`` over all lines; ``terminated`` is false for a last line without
     a line end, which doesn't count."""
     lines = F.split("value", "\n")
-    raw = spark.read.option("wholetext", True).text(path).select(F.posexplode(lines).alias("line_no", "line"), (F.size(lines) - 1).alias("end"), F.endswith("value", F.lit("\n")).alias("closed"))
+    raw = spark.read.text(path, wholetext=True).select(F.posexplode(lines).alias("line_no", "line"), (F.size(lines) - 1).alias("end"), F.endswith("value", F.lit("\n")).alias("closed"))
     rows = raw.where("NOT (line_no = end AND line = '' AND closed)").withColumn("r", F.from_json("line", STATUS_SCHEMA))
     return rows.select(F.col("line_no").cast("long").alias("line_no"), "r.*", F.expr("line_no < end OR closed").alias("terminated"))
 
