@@ -221,15 +221,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     units = materialize(src.select("doc_id", "th", "text").mapInArrow(find_units, unit_ddl))
 
     def shared(u: DataFrame) -> DataFrame:
-        """Units whose anchor stands in two documents or more."""
-        more = u.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
-        return materialize(u.join(more, "anchor", "left_semi"))
+        """Distinct units (anchor, content) whose anchor stands in two documents or more, each with its
+        first place; ``n`` counts those of the anchor. Copies are combined before anything is joined."""
+        first = F.min(F.struct("doc_id", "th", "first", "last")).alias("at")
+        each = materialize(u.groupBy("anchor", "content").agg(first, F.max("doc_id").alias("most")))
+        by = each.groupBy("anchor").agg(F.min("at.doc_id").alias("a"), F.max("most").alias("b"), F.count("*").alias("n")).where("a < b")
+        return materialize(each.drop("most").join(by.select("anchor", "n"), "anchor"))
 
     def with_text(per_unit: DataFrame, what) -> DataFrame:
-        """Documents joined with an array of theirs; the array side is broadcast only if small."""
-        per = materialize(per_unit.groupBy("doc_id", "th").agg(F.collect_list(what).alias("at")))
-        size = per.agg(F.sum(F.size("at"))).first()[0] or 0
-        per = F.broadcast(per) if size * 40 + per.count() * 48 <= 32 << 20 else per
+        """Documents joined with an array of theirs."""
+        per = per_unit.groupBy("doc_id", "th").agg(F.collect_list(what).alias("at"))
         return src.join(per, ["doc_id", "th"]).select("doc_id", "th", "at", "text")
 
     def one_window_units(batches):
@@ -245,15 +246,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     c.append(v)
             yield batch_of(cols)
 
-    met = shared(units)
-    place = F.min(F.struct("doc_id", "th", "first", "last")).alias("at")
-    distinct = materialize(met.groupBy("anchor", "content").agg(place))
-    crowded = materialize(distinct.groupBy("anchor").count().where(F.col("count") > max(hot_units, distinct.count() // 1_000_000)).select("anchor"))
-    if crowded.take(1):  # at most a million anchors by the bound above
-        many = met.join(checked_broadcast(crowded, 16), "anchor", "left_semi")
-        single = with_text(many, F.struct("first", "last")).mapInArrow(one_window_units, unit_ddl)
-        met = materialize(met.join(checked_broadcast(crowded, 16), "anchor", "left_anti").unionByName(shared(materialize(single))))
-        distinct = materialize(met.groupBy("anchor", "content").agg(place))
+    distinct = shared(units)
+    crowd = max(hot_units, distinct.count() // 1_000_000)  # so that at most a million anchors are crowded
+    crowded = materialize(distinct.where(F.col("n") > crowd).select("anchor").distinct())
+    if crowded.take(1):
+        many = units.join(checked_broadcast(crowded, 16), "anchor", "left_semi")
+        single = materialize(with_text(many, F.struct("first", "last")).mapInArrow(one_window_units, unit_ddl))
+        units = units.join(checked_broadcast(crowded, 16), "anchor", "left_anti").unionByName(single)
+        distinct = distinct.where(F.col("n") <= crowd).unionByName(shared(single))
 
     def words_of_units(batches):
         hashes = WordHashes()
@@ -323,11 +323,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     start = u
             yield pa.RecordBatch.from_pydict({"doc_id": ids, "th": ths, "lo": lo, "hi": hi}, schema=pa.schema([(n, pa.int64()) for n in ("doc_id", "th", "lo", "hi")]))
 
-    # A window's owner is never larger than the smallest document of its unit.
-    cut = met.join(found, ["anchor", "content"]).select("doc_id", "th", "first", "until", "owner").mapInArrow(covered, "doc_id bigint, th bigint, lo bigint, hi bigint")
-    cut = materialize(cut.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("at")))
-    size = cut.agg(F.sum(F.size("at"))).first()[0] or 0
-    cut = F.broadcast(cut) if size * 24 + cut.count() * 48 <= 32 << 20 else cut
+    cut = units.join(found, ["anchor", "content"]).select("doc_id", "th", "first", "until", "owner").mapInArrow(covered, "doc_id bigint, th bigint, lo bigint, hi bigint")
+    cut = cut.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("at"))
 
     def keep(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
