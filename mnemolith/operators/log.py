@@ -13,8 +13,6 @@ from ..functions.text import cut_bytes, parse_time
 
 #: What an integration can end in.
 TERMINAL = ("integrated", "skipped", "failed", "unknown")
-#: Closed vocabularies of incoming events, the default first.
-SOURCE_TYPES = ("user", "assistant", "tool", "system")
 EARLIEST = "0001-01-01 00:00:00"
 
 

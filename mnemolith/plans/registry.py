@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import log_queries, page_queries
+from . import log_queries, page_queries, surface_queries
 
-_ALL = log_queries.QUERIES | page_queries.QUERIES
+_ALL = log_queries.QUERIES | page_queries.QUERIES | surface_queries.QUERIES
 
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}
