@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 
 from .operators import codefacts, lint, migrate
 from .sources.files import read_markdown, write_facts
+from .sources.tables import materialize
 
 
 def main(args: list[str]) -> int:
@@ -20,12 +21,12 @@ def main(args: list[str]) -> int:
     spark = SparkSession.builder.appName("mnemolith").getOrCreate()
     out = args[args.index("--write") + 1] if "--write" in args else None
     if args[0] == "validate":
-        issues = lint.validate_bundle(read_markdown(spark, args[1]), "--strict" in args).persist()
+        issues = materialize(lint.validate_bundle(read_markdown(spark, args[1]), "--strict" in args)).orderBy("path", "severity", "message")
         for r in issues.toLocalIterator():
             print(f"{r['severity']}: {r['path']}: {r['message']}")
         return lint.issue_counts(issues, "--strict" in args).first()["exit_code"]
     if args[0] == "migrate":
-        done = migrate.migrate_bundle(read_markdown(spark, args[1])).persist()
+        done = materialize(migrate.migrate_bundle(read_markdown(spark, args[1]))).orderBy("path")
         for r in done.where("changed OR error IS NOT NULL").toLocalIterator():
             print(f"{r['path']}: {r['error'] or 'changed'}")
         if out:

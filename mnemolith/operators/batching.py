@@ -13,6 +13,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..sources.tables import materialize
 
 MAX_EVENTS, MAX_BYTES, MAX_TOKENS = 20, 48_000, 12_000
 CONTEXT_COLUMNS = ("actor", "source", "session_id", "active_project", "active_task")
@@ -72,18 +75,16 @@ def _mark(size, own, entry, caps):
     return starts, i - own
 
 
-def greedy_batches(pending: DataFrame, max_events: int = MAX_EVENTS, max_bytes: int = MAX_BYTES, max_tokens: int = MAX_TOKENS, store=None, block_rows: int = 100_000) -> DataFrame:
+def greedy_batches(pending: DataFrame, max_events: int = MAX_EVENTS, max_bytes: int = MAX_BYTES, max_tokens: int = MAX_TOKENS, block_rows: int = 100_000) -> DataFrame:
     """``id, bytes, batch_no, batch_id, pos`` in the order (created_at, id).
 
     ``pending`` has ``id, created_at, bytes``. A batch closes before the event that would break a cap; an
-    event over a cap is a batch of its own. ``store(df)`` writes an intermediate table and reads it
-    again; without it the sorted table is cached.
+    event over a cap is a batch of its own.
     """
     if min(max_events, max_bytes, max_tokens) <= 0:
         raise ValueError("caps must be positive")
     spark = pending.sparkSession
     caps = (max_events, max_bytes, max_tokens)
-    keep = store or (lambda df: df.persist())
     rows = pending.select("id", "created_at", F.col("bytes").cast("long").alias("bytes"))
     parts = max(1, -(-rows.count() // block_rows))
     ranged = rows.repartitionByRange(parts, "created_at", "id").sortWithinPartitions("created_at", "id")
@@ -96,7 +97,7 @@ def greedy_batches(pending: DataFrame, max_events: int = MAX_EVENTS, max_bytes:
             yield f
 
     ranged = ranged.withColumn("block", F.spark_partition_id()).mapInPandas(number, "id string, created_at timestamp, bytes long, block int, row long")
-    ranged = keep(ranged)
+    ranged = materialize(ranged)
     # The heads of the blocks: max_events sizes each, so that a block sees past its end.
     heads = ranged.where(F.col("row") < max_events).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("row", "bytes"))).alias("h")).collect()
     counts = {r["block"]: r["count"] for r in ranged.groupBy("block").count().collect()}
@@ -132,14 +133,12 @@ def greedy_batches(pending: DataFrame, max_events: int = MAX_EVENTS, max_bytes:
         f.iloc[starts, f.columns.get_loc("start")] = True
         return f
 
-    marked = keep(ranged.groupBy("block").applyInPandas(mark, "id string, created_at timestamp, bytes long, block int, row long, start boolean"))
+    marked = materialize(ranged.groupBy("block").applyInPandas(mark, "id string, created_at timestamp, bytes long, block int, row long, start boolean"))
     begun = {r["block"]: r["n"] for r in marked.groupBy("block").agg(F.count_if("start").alias("n")).collect()}
     before, total = {}, 0
     for b in blocks:
         before[b], total = total, total + begun[b]
     offsets = spark.createDataFrame(list(before.items()) or [(0, 0)], "block int, before long")
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy("block").orderBy("row")
     numbered = marked.join(F.broadcast(offsets), "block").withColumn("batch_no", F.col("before") + F.sum(F.col("start").cast("long")).over(w) - 1)
     ids = numbered.groupBy("batch_no").agg(batch_id(F.collect_list("id")).alias("batch_id"))
@@ -191,8 +190,6 @@ def split_batch(batch: DataFrame, suspects: DataFrame, max_depth: int = 2, least
     With suspect and other events in a batch, those are its two parts; else its two halves. A batch of
     ``least`` events or fewer, or at ``max_depth``, isn't split (no rows).
     """
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy("batch_no")
     rows = batch.join(suspects.select("id", F.lit(True).alias("suspect")).distinct(), "id", "left").withColumn("suspect", F.coalesce("suspect", F.lit(False)))
     rows = rows.withColumn("n", F.count("*").over(w)).withColumn("k", F.count_if("suspect").over(w))

@@ -55,7 +55,7 @@ QUERIES = {
     "event_truncated": (lambda s, d: log.bounded_content(raw_events(s, d), 40).select("id", "content"), f"WITH {RAW} SELECT id, CASE WHEN strlen(content) > 40 THEN substr(content, 1, 40) || '... [truncated]' ELSE content END AS content FROM raw"),
     "parse_times": (
         lambda s, d: literal(s, "i int, t string", TIMES).select("i", parse_time(F.col("t")).alias("at")),
-        f"WITH {values_sql('v', 'i, t', TIMES)} SELECT i, CASE WHEN regexp_matches(t, '^\\d{{4}}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d(\\.\\d+)?(Z|[+-]\\d\\d:\\d\\d)\\z') THEN t::TIMESTAMPTZ::TIMESTAMP END AS at FROM v",
+        f"WITH {values_sql('v', 'i, t', TIMES)} SELECT i, CASE WHEN regexp_matches(t, '^\\d{{4}}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d(\\.\\d+)?(Z|[+-]\\d\\d:\\d\\d)\\z') THEN t::TIMESTAMPTZ AT TIME ZONE 'UTC' END AS at FROM v",
     ),
     "normalize_context": (lambda s, d: raw_events(s, d).select("id", batching.serialized(batching.context_map()).alias("context")), f"WITH {RAW}, {CTX} SELECT id, context FROM ctx"),
     "event_byte_size": (lambda s, d: _sized(s, d).select("id", "bytes"), f"WITH {RAW}, {CTX} SELECT id, bytes FROM sized"),

@@ -111,3 +111,28 @@ def write_facts(facts: DataFrame, snippets: DataFrame, path: str) -> None:
     """A fact bundle as JSON lines in their order."""
     facts.drop("content").write.mode("overwrite").json(f"{path}/facts")
     snippets.orderBy("path", "start_line", "kind", "symbol").write.mode("overwrite").json(f"{path}/snippets")
+
+
+def append_statuses(records: DataFrame, path: str) -> None:
+    """Append status records as JSON lines; one invalid record keeps all of them out."""
+    from ..operators.log import valid_status
+
+    bad = records.where(~F.coalesce(valid_status(), F.lit(False))).limit(1).collect()
+    if bad:
+        raise ValueError(f"invalid status record for event {bad[0]['event_id']!r}")
+    stamped = records.withColumn("timestamp", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")) if "timestamp" not in records.columns else records
+    stamped.write.mode("append").option("ignoreNullFields", True).json(path)
+
+
+def write_bootstrap(events: DataFrame, epoch: str, path: str) -> None:
+    """Start a status log: its header and the events before the epoch; refused where a log exists."""
+    from ..operators.log import bootstrap_records
+
+    bootstrap_records(events, epoch).write.mode("errorifexists").json(path)
+
+
+def append_progress(results: DataFrame, path: str) -> None:
+    """One JSON line a batch at the end of the progress log."""
+    from ..operators.surface import progress_lines
+
+    progress_lines(results).write.mode("append").text(path)

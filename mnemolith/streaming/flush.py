@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..operators import batching, log
 from ..sources.files import EVENT_SCHEMA
+from ..sources.tables import materialize
 
 STATUS_DDL = "line_no long, type string, event_id string, status string, batch_id string, reason string, epoch string, terminated boolean"
 
@@ -63,11 +64,11 @@ class FlushLoop:
 
     def flush(self, stamp: int) -> int:
         """Pack, decide, append statuses; returns how many events were pending."""
-        pending = self.pending()
-        pending = pending.withColumn("context", batching.context_map()).withColumn("bytes", batching.event_bytes(F.col("content"), F.col("context"))).persist()
+        pending = self.pending().withColumn("context", batching.context_map())
+        pending = materialize(pending.withColumn("bytes", batching.event_bytes(F.col("content"), F.col("context"))))
         n = pending.count()
         if n:
-            packed = batching.greedy_batches(pending, **self.caps).join(pending.select("id", F.col("content").alias("text"), "context", "created_at"), "id").persist()
+            packed = materialize(batching.greedy_batches(pending, **self.caps).join(pending.select("id", F.col("content").alias("text"), "context", "created_at"), "id"))
             try:
                 said = self.decide(packed)
                 self.errors = 0
@@ -82,8 +83,6 @@ class FlushLoop:
                 F.lit(stamp).cast("long").alias("line_no"), F.lit("").alias("type"), "event_id", F.coalesce("status", F.lit("unknown")).alias("status"), "batch_id", F.coalesce("reason", F.lit("not reported")).alias("reason"), F.lit("").alias("epoch"), F.lit(True).alias("terminated")
             )
             rows.write.mode("append").parquet(f"{self.root}/status")
-            packed.unpersist()
-        pending.unpersist()
         return n
 
     def on_batch(self, events: DataFrame, number: int) -> None:

@@ -137,3 +137,25 @@ def test_status_file_without_final_newline(spark, tmp_path):
     assert [(r["event_id"], r["terminated"]) for r in rows] == [("a", True), ("b", False)]
     health = log.log_health(files.read_status_log(spark, str(p))).first()
     assert (health["valid"], health["skipped"]) == (1, 1)
+
+
+def test_status_writes(spark, tmp_path):
+    ddl = "type string, event_id string, status string, reason string, epoch string"
+    good = spark.createDataFrame([("", "a", "failed", "r", "")], ddl)
+    files.append_statuses(good, str(tmp_path / "s"))
+    with pytest.raises(ValueError):
+        files.append_statuses(good.unionByName(spark.createDataFrame([("", "b", "pending", "", "")], ddl)), str(tmp_path / "s"))
+    assert spark.read.json(str(tmp_path / "s")).count() == 1
+    events = spark.createDataFrame([("e1", "2023-01-01T00:00:00Z"), ("e2", "2025-01-01T00:00:00Z")], "id string, timestamp string")
+    files.write_bootstrap(events, "2024-01-01 00:00:00", str(tmp_path / "boot"))
+    assert spark.read.json(str(tmp_path / "boot")).count() == 2
+    with pytest.raises(Exception):
+        files.write_bootstrap(events, "2024-01-01 00:00:00", str(tmp_path / "boot"))
+
+
+def test_appended_events_get_ids(spark, tmp_path):
+    files.append_events(spark.createDataFrame([("x", ""), ("y", "mine")], "content string, id string"), str(tmp_path / "raw"))
+    rows = {r["content"]: r for r in files.read_events(spark, str(tmp_path / "raw")).collect()}
+    import re
+
+    assert re.fullmatch(r"evt_\d{8}_\d{6}_[0-9a-f]{4}", rows["x"]["id"]) and rows["y"]["id"] == "mine"
