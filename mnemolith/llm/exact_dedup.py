@@ -1,7 +1,8 @@
 """Exact deduplication by an exchange of Golomb-coded fingerprints.
 
-1. Every input partition sorts the 64-bit fingerprints of its rows, splits them by owner (the top
-   bits of the fingerprint) and sends each owner one Golomb-Rice coded list of gaps.
+1. Every input partition sorts the 64-bit fingerprints of its rows, keeps each value once with its
+   count, splits them by owner (the top bits of the fingerprint) and sends each owner one Golomb-Rice
+   coded list of gaps. A hot group of copies is one value a block.
 2. An owner decodes the lists it got, merges them, and returns to each sender a bitmap with one bit a
    fingerprint: set if the value came more than once anywhere.
 3. Rows whose bit is set are suspects. Only their texts are shuffled, pre-aggregated by the whole
@@ -89,17 +90,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             i, p = np.concatenate(ids), np.concatenate(prints)
             order = np.argsort(p, kind="stable")
             i, p = i[order], p[order]
-            cut = np.searchsorted(p >> np.uint64(span), np.arange(owners + 1, dtype=np.uint64))
+            own, times = np.unique(p, return_counts=True)  # a block sends each value once
+            cut = np.searchsorted(own >> np.uint64(span), np.arange(owners + 1, dtype=np.uint64))
+            upto = np.concatenate(([0], np.cumsum(times)))
             out = []
             for o in range(owners):
-                part = p[cut[o] : cut[o + 1]]
+                part = own[cut[o] : cut[o + 1]]
                 if len(part):
                     bits = rice_bits(len(part), span)
                     low = part - (np.uint64(o) << np.uint64(span))
-                    out.append({"block": f"{i[0]}:{p[0]:x}:{len(p)}:{int(i.sum())}", "owner": o, "n": len(part), "bits": bits, "blob": golomb_encode(low, bits), "ids": i[cut[o] : cut[o + 1]].tolist()})
+                    row = {"block": f"{i[0]}:{p[0]:x}:{len(p)}:{int(i.sum())}", "owner": o, "n": len(part), "bits": bits, "blob": golomb_encode(low, bits)}
+                    out.append(row | {"times": times[cut[o] : cut[o + 1]].tolist(), "ids": i[upto[cut[o]] : upto[cut[o + 1]]].tolist()})
             return pa.RecordBatch.from_pylist(out, schema=sent)
 
-        sent = pa.schema([("block", pa.string()), ("owner", pa.int32()), ("n", pa.int32()), ("bits", pa.int32()), ("blob", pa.binary()), ("ids", pa.list_(pa.int64()))])
+        sent = pa.schema([("block", pa.string()), ("owner", pa.int32()), ("n", pa.int32()), ("bits", pa.int32()), ("blob", pa.binary()), ("times", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64()))])
         for b in batches:
             sha = b.column(1).to_pylist()
             prints.append(np.array([int(x[:16], 16) for x in sha], np.uint64))
@@ -111,7 +115,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if n:
             yield block()
 
-    sent = materialize(base.mapInArrow(send, "block string, owner int, n int, bits int, blob binary, ids array<bigint>"))
+    sent = materialize(base.mapInArrow(send, "block string, owner int, n int, bits int, blob binary, times array<int>, ids array<bigint>"))
 
     def own(key, table):
         """All lists of one owner: a bitmap back for each."""
@@ -126,17 +130,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.Table.from_pylist(out, schema=pa.schema([("block", pa.string()), ("owner", pa.int32()), ("bitmap", pa.binary())]))
 
     bitmaps = sent.select("block", "owner", "n", "bits", "blob").groupBy("owner").applyInArrow(own, "block string, owner int, bitmap binary")
+    bitmaps = materialize(bitmaps, light=True)  # so that no task runs two Python workers at once
 
     def suspects(batches):
         for b in batches:
             out = []
             for r in b.to_pylist():
-                bits = np.unpackbits(np.frombuffer(r["bitmap"], np.uint8))[: len(r["ids"])].astype(bool)
-                out.append(np.array(r["ids"], np.int64)[bits])
+                times = np.array(r["times"], np.int64)
+                more = np.unpackbits(np.frombuffer(r["bitmap"], np.uint8))[: len(times)].astype(bool) | (times > 1)
+                out.append(np.array(r["ids"], np.int64)[np.repeat(more, times)])
             ids = np.concatenate(out) if out else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(ids))], ["doc_id"])
 
-    found = materialize(sent.select("block", "owner", "ids").join(bitmaps, ["block", "owner"]).select("ids", "bitmap").mapInArrow(suspects, "doc_id bigint").distinct())
+    found = materialize(sent.select("block", "owner", "times", "ids").join(bitmaps, ["block", "owner"]).select("times", "ids", "bitmap").mapInArrow(suspects, "doc_id bigint").distinct(), light=True)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("_key"), F.col(text_col).alias("_text"))
     texts = texts.join(checked_broadcast(found.withColumnRenamed("doc_id", "_key"), 16), "_key", "left_semi")
@@ -147,7 +153,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .where("group_size > 1")
         .select(F.sha2("t", 256).alias("text_sha256"), "keep_id", "group_size")
     )
-    verified = materialize(verified)
+    verified = materialize(verified, light=True)
     return base.join(checked_broadcast(verified, 120), "text_sha256", "left").select(
         "doc_id",
         F.coalesce("keep_id", "doc_id").alias("keep_id"),
