@@ -1,61 +1,15 @@
-"""Helpers shared by the training-data operators.
-
-Intermediate tables that are used more than once, or that cut lineage in a loop, are written as
-Parquet below ``spark.checkpoint.dir`` (a folder that every executor and the driver share), so a
-lost executor costs only the tasks it was running.
-"""
+"""Helpers shared by the training-data operators."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when it was counted and its rows take at most this many bytes.
-BROADCAST_BYTES = 32 << 20
-
-_runs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder of this run in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _runs.get("own") or _runs.setdefault("own", "file://" + tempfile.mkdtemp(prefix="mnemolith-"))
-    key = f"{spark.sparkContext.applicationId}|{base}"
-    if key not in _runs:
-        _runs[key] = f"{base.rstrip('/')}/mnemolith-{uuid.uuid4().hex[:12]}"
-        atexit.register(_remove, spark, _runs[key])
-    return _runs[key]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    """Drop the run's folder when the driver's interpreter ends; a stopped session keeps it."""
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the gateway may be gone at exit
-        pass
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it again: computed once, lineage cut."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from ..sources.tables import checked_broadcast, materialize, shared_dir
 
-def checked_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark a materialized table for broadcast if its counted size is under ``limit``; else leave the
-    join to a shuffle."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+__all__ = ["WordHashes", "checked_broadcast", "connected_components", "gram_hashes", "materialize", "mix", "shared_dir", "slices"]
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -65,7 +19,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     node with very many edges is split by adaptive skew handling. Ends when no edge changes.
     """
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u != v").distinct()
-    e = materialize(e)
+    e = materialize(e, light=True)
     last = None
     while True:
         sides = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -74,7 +28,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         large = large.where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct())
+        e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct(), light=True)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             break
@@ -92,7 +46,7 @@ class WordHashes(dict):
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > 1 << 20:
+        if len(self) > 1 << 18:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 

@@ -248,7 +248,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     distinct = shared(units)
     crowd = max(hot_units, distinct.count() // 1_000_000)  # so that at most a million anchors are crowded
-    crowded = materialize(distinct.where(F.col("n") > crowd).select("anchor").distinct())
+    crowded = materialize(distinct.where(F.col("n") > crowd).select("anchor").distinct(), light=True)
     if crowded.take(1):
         many = units.join(checked_broadcast(crowded, 16), "anchor", "left_semi")
         single = materialize(with_text(many, F.struct("first", "last")).mapInArrow(one_window_units, unit_ddl))

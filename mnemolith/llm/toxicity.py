@@ -104,7 +104,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     ident = F.col(id_col).cast("string")
     picked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y"))
     picked = picked.where(F.crc32(F.col("_id").cast("string")) % folds != held_fold)
-    picked = materialize(picked.orderBy(F.md5(F.col("_id").cast("string"))).limit(max_docs))
+    picked = materialize(picked.orderBy(F.md5(F.col("_id").cast("string"))).limit(max_docs), light=True)
     # max_docs rows at most, so this broadcast is bounded.
     sample = docs.where(ident.isNotNull()).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sample = sample.join(F.broadcast(picked), "_id").select("text", "y")
