@@ -7,6 +7,9 @@ similarity. The matrix side of a group is the union of its members' tokens:
 * A query may hold a match in another group only if a token of its prefix (the part of a set, in one
   global order, that two sets over the threshold can't both miss) is in the group's union of prefixes.
   Size and position bounds prune these query-group cells; what is left are visits.
+* Work is done in two rounds. The first compares members of a group and each query's most promising visit;
+  the second only what can still connect components. So a large group of near copies costs about a
+  row each, not its square.
 * A first task of each group bounds overlaps from prefixes alone: what two prefixes share, and what can
   still follow them. It keeps the rows that some pair within bounds needs.
 * The second task builds the union of the kept members' whole sets and bounds each query's overlap by
@@ -48,21 +51,65 @@ def prefix_size(n: int, t: int) -> int:
     return n - (t * n + 99) // 100 + 1
 
 
-def visits_of_run(doc, n, pos, g, t: int, rows: int = 512):
-    """(document, group) cells that one token's documents qualify for: sizes and positions allow the
-    threshold, and the group is another one with a smaller key."""
-    kinds, kind = np.unique(g, return_inverse=True)
-    out = []
-    for i in range(0, len(doc), rows):
-        a = slice(i, i + rows)
-        total = n[a, None] + n[None, :]
-        room = np.minimum((n - pos)[a, None], (n - pos)[None, :])
-        small, large = np.minimum(n[a, None], n[None, :]), np.maximum(n[a, None], n[None, :])
-        ok = (g[a, None] > g[None, :]) & (100 * small >= t * large) & (room * (100 + t) >= t * total)
-        x, y = np.nonzero(ok)
-        cell = np.unique(x * np.int64(len(kinds)) + kind[y])
-        out.append((doc[a][cell // len(kinds)], kinds[cell % len(kinds)]))
-    return np.concatenate([d for d, _ in out]), np.concatenate([k for _, k in out])
+def qualify(x, y, n, pos, t: int) -> np.ndarray:
+    """Whether rows x of one token's documents can reach the threshold with any of the rows y, by sizes
+    and by what can still follow the token in either order."""
+    out = np.zeros(len(x), bool)
+    for i in range(0, len(x), 1024):
+        a, b = x[i : i + 1024, None], y[None, :]
+        small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+        room = np.minimum(n[a] - pos[a], n[b] - pos[b])
+        out[i : i + 1024] = ((100 * small >= t * large) & (room * (100 + t) >= t * (small + large))).any(axis=1)
+    return out
+
+
+def first_visits(n, pos, g, t: int) -> np.ndarray:
+    """For each document of one token's run, the smallest other group, with a smaller key than its own,
+    that it qualifies for; its own group if there is none."""
+    out = g.copy()
+    order = np.argsort(g, kind="stable")
+    kinds, start = np.unique(g[order], return_index=True)
+    left = np.arange(len(g))
+    for k, lo, hi in zip(kinds, start, [*start[1:], len(g)], strict=True):
+        left = left[g[left] > k]
+        if not len(left):
+            break
+        ok = qualify(left, order[lo:hi], n, pos, t)
+        out[left[ok]] = k
+        left = left[~ok]
+    return out
+
+
+def open_visits(n, pos, g, comp, whole, t: int):
+    """(row, group) cells of one token's run that can still connect components. ``comp`` is each
+    document's component, ``whole`` that of its group if it has one only."""
+    rows, groups = [], []
+    order = np.argsort(g, kind="stable")
+    kinds, start = np.unique(g[order], return_index=True)
+    for k, lo, hi in zip(kinds, start, [*start[1:], len(g)], strict=True):
+        x = np.flatnonzero((g > k) & (comp != whole[order[lo]]))
+        if len(x):
+            x = x[qualify(x, order[lo:hi], n, pos, t)]
+            rows.append(x)
+            groups.append(np.full(len(x), k))
+    return (np.concatenate(rows), np.concatenate(groups)) if rows else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def runs_of(batches, columns: int):
+    """Sorted Arrow batches as lists of columns, cut so that no run of the first column is split."""
+    carry = None
+    for b in batches:
+        cols = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(columns)]
+        if carry is not None:
+            cols = [np.concatenate(p) for p in zip(carry, cols, strict=True)]
+        cut = np.flatnonzero(np.diff(cols[0])) + 1
+        if not len(cut):
+            carry = cols
+            continue
+        carry = [c[cut[-1] :] for c in cols]
+        yield [c[: cut[-1]] for c in cols]
+    if carry is not None and len(carry[0]):
+        yield carry
 
 
 class GroupUnion:
@@ -91,7 +138,7 @@ class GroupUnion:
         return np.bincount(self.owner[places], minlength=self.size)
 
 
-def rows_within_bounds(prefixes, n, last, home, side, t: int) -> np.ndarray:
+def rows_within_bounds(docs, prefixes, n, last, home, side, t: int) -> np.ndarray:
     """Rows of one task that a pair needs whose prefixes leave the threshold possible. ``last`` is the
     order of the last prefix token: all shared tokens up to the earlier of two are in both prefixes, so
     the overlap is at most those shared plus what follows the prefix that ends first."""
@@ -102,7 +149,7 @@ def rows_within_bounds(prefixes, n, last, home, side, t: int) -> np.ndarray:
     both = len(side) > 0 and side.min() != side.max()
     m = n[members]
     for q in range(len(n)):
-        may = (100 * np.minimum(m, n[q]) >= t * np.maximum(m, n[q])) & (members != q)
+        may = (100 * np.minimum(m, n[q]) >= t * np.maximum(m, n[q])) & (docs[members] != docs[q])
         if both:
             may &= side[members] != side[q]
         if not may.any() or (need[q] and need[members[may]].all()):
@@ -173,7 +220,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for _, sets in sets_of(batches, 1):
             held += sets
             size, n_docs = size + sum(map(len, sets)), n_docs + len(sets)
-            if size > 2_000_000:
+            if size > 1_000_000:
                 yield flush(held, n_docs)
                 held, size, n_docs = [], 0, 0
         if held:
@@ -206,79 +253,49 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed = materialize(src.select("doc_id", "text").mapInArrow(sign, "doc_id bigint, n bigint, f1 bigint, f2 bigint, g bigint, last bigint, prefix array<bigint>"))
     light = signed.select("doc_id", "n", "f1", "f2", "g")
     reps = materialize(light.where("n > 0").groupBy("n", "f1", "f2", "g").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")))
-    copies = materialize(reps.where("c > 1").select("f1", "f2", "rep"))
+    copies = materialize(reps.where("c > 1").select("f1", "f2", "rep"), light=True)
     # Prefix tokens of representatives: a copy isn't the smallest id of its set.
     mine = signed.where("n > 0").join(checked_broadcast(copies, 48), ["f1", "f2"], "left").where("rep IS NULL OR doc_id = rep")
     tokens = mine.select("doc_id", "n", "g", F.posexplode("prefix").alias("pos", "tok"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tokens = tokens.repartition(parts, "tok").sortWithinPartitions("tok").select("tok", "doc_id", "n", "pos", "g")
 
-    def visits(batches):
-        """Runs of one token, which may go on in the next batch."""
-        carry = None
-        for b in batches:
-            cols = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)]
-            if carry is not None:
-                cols = [np.concatenate(p) for p in zip(carry, cols, strict=True)]
-            cut = np.flatnonzero(np.diff(cols[0])) + 1
-            if not len(cut):
-                carry = cols
-                continue
-            carry = [c[cut[-1] :] for c in cols]
-            yield from runs([c[: cut[-1]] for c in cols])
-        if carry is not None:
-            yield from runs(carry)
-
-    def runs(cols):
-        tok, doc, n, pos, g = cols
-        edge = np.concatenate(([0], np.flatnonzero(np.diff(tok)) + 1, [len(tok)]))
-        size = np.diff(edge)
-        d, k = [], []
-        two = edge[:-1][size == 2]  # most runs have two documents: all at once
-        if len(two):
+    def meetings(batches):
+        """Tokens that documents of two groups or more share, with each document's first visit."""
+        names = ["tok", "doc_id", "n", "pos", "g", "first"]
+        for tok, doc, n, pos, g in runs_of(batches, 5):
+            edge = np.concatenate(([0], np.flatnonzero(np.diff(tok)) + 1, [len(tok)]))
+            size = np.diff(edge)
+            first, keep = g.copy(), np.zeros(len(g), bool)
+            two = edge[:-1][size == 2]  # most runs have two documents: all at once
             x = np.where(g[two] > g[two + 1], two, two + 1)
             y = 2 * two + 1 - x
             room = np.minimum(n[x] - pos[x], n[y] - pos[y])
             ok = (g[x] != g[y]) & (100 * np.minimum(n[x], n[y]) >= t * np.maximum(n[x], n[y])) & (room * (100 + t) >= t * (n[x] + n[y]))
-            d.append(doc[x[ok]])
-            k.append(g[y[ok]])
-        for i in np.flatnonzero(size > 2):
-            s = slice(edge[i], edge[i + 1])
-            if (g[s] != g[edge[i]]).any():
-                a, b = visits_of_run(doc[s], n[s], pos[s], g[s], t)
-                d.append(a)
-                k.append(b)
-        if d:
+            first[x[ok]] = g[y[ok]]
+            keep[x[ok]] = keep[y[ok]] = True
+            for i in np.flatnonzero(size > 2):
+                r = slice(edge[i], edge[i + 1])
+                if (g[r] != g[edge[i]]).any():
+                    first[r] = first_visits(n[r], pos[r], g[r], t)
+                    keep[r] = (first[r] != g[r]).any()
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (tok, doc, n, pos, g, first)], names)
+
+    def visits(batches):
+        for tok, doc, n, pos, g, comp, whole in runs_of(batches, 7):
+            edge = np.concatenate(([0], np.flatnonzero(np.diff(tok)) + 1, [len(tok)]))
+            d, k = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                r = slice(lo, hi)
+                rows, groups = open_visits(n[r], pos[r], g[r], comp[r], whole[r], t)
+                d.append(doc[r][rows])
+                k.append(groups)
             pairs = np.unique(np.stack((np.concatenate(d), np.concatenate(k)), 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["doc_id", "g"])
 
-    guests = materialize(tokens.mapInArrow(visits, "doc_id bigint, g bigint").distinct())
-    # Groups with something to compare: two members or more, or a visit.
-    members = reps.select(F.col("rep").alias("doc_id"), "g", "f1", F.lit(True).alias("home"))
-    guests = guests.join(reps.select(F.col("rep").alias("doc_id"), "f1"), "doc_id").select("doc_id", "g", "f1", F.lit(False).alias("home"))
-    entries = members.unionByName(guests)
-
-    def placed(entries: DataFrame) -> DataFrame:
-        """The groups that each set takes part in, if another row does too, and their blocks."""
-        groups = materialize(entries.groupBy("g").agg(F.count("*").alias("c")).where("c > 1"))
-        at = entries.join(groups, "g").withColumn("m", F.ceil(F.col("c") / F.lit(block)).cast("int"))
-        return materialize(at.groupBy("doc_id", "f1").agg(F.collect_list(F.struct("g", "home", "m")).alias("at")))
-
-    def tasks_of(doc: int, places):
-        """(group, block pair, at home, block): a group of m blocks has a task for each pair of them."""
-        for r in places:
-            b = (doc * 0x9E3779B97F4A7C15 >> 20) % r["m"]
-            for o in range(r["m"]):
-                yield r["g"], min(b, o), max(b, o), doc, r["home"], b
-
-    def deal_prefixes(batches):
-        names = ["g", "p", "q", "doc_id", "home", "side", "n", "last", "prefix"]
-        for b in slices(batches):
-            rows = [(*task, n, last, prefix) for doc, at, n, last, prefix in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True) for task in tasks_of(doc, at)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], ty) for i, ty in enumerate(kinds)], names)
-
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-    task_ddl = "g bigint, p int, q int, doc_id bigint, home boolean, side int"
+    met = materialize(tokens.mapInArrow(meetings, "tok bigint, doc_id bigint, n bigint, pos bigint, g bigint, first bigint"))
+    prints = reps.select(F.col("rep").alias("doc_id"), "f1")
+    members = reps.select(F.col("rep").alias("doc_id"), "f1", "g")
 
     def lists_of(table, name):
         lists = table[name].combine_chunks()
@@ -286,39 +303,75 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return np.split(lists.flatten().to_numpy().view(np.uint64), ends[:-1])
 
     def bound(key, table):
-        cols = [table[c].to_numpy() for c in ("n", "last", "home", "side")]
-        need = rows_within_bounds(lists_of(table, "prefix"), *cols, t)
-        return pa.table({"doc_id": table["doc_id"].to_numpy()[need], "g": table["g"].to_numpy()[need], "home": cols[2][need]})
-
-    first = placed(entries)
-    prefixes = signed.join(checked_broadcast(first, 96), ["doc_id", "f1"], "inner").select("doc_id", "at", "n", "last", "prefix")
-    kept = prefixes.mapInArrow(deal_prefixes, f"{task_ddl}, n bigint, last bigint, prefix array<bigint>").groupBy("g", "p", "q").applyInArrow(bound, "doc_id bigint, g bigint, home boolean")
-    kept = materialize(kept.distinct()).join(reps.select(F.col("rep").alias("doc_id"), "f1"), "doc_id")
-    second = placed(kept.select("doc_id", "g", "f1", "home"))
-    texts = src.join(checked_broadcast(second, 96), "doc_id").select("doc_id", "f1", "at", "text")
-
-    def deal(batches):
-        names = ["g", "p", "q", "doc_id", "home", "side", "tokens"]
-        types = [*kinds[:6], pa.list_(pa.int64())]
-        for (ids, f1, at), sets in sets_of(batches, 4):
-            rows = []
-            for i, f, places, u in zip(ids.to_pylist(), f1.to_pylist(), at.to_pylist(), sets, strict=True):
-                if set_print(u)[0] == f:  # else another text under the same id
-                    rows += [(*task, u.view(np.int64)) for task in tasks_of(i, places)]
-                if sum(len(r[6]) for r in rows) > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], ty) for k, ty in enumerate(types)], names)
-                    rows = []
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], ty) for k, ty in enumerate(types)], names)
+        docs_, n, last, home, side = (table[c].to_numpy() for c in ("doc_id", "n", "last", "home", "side"))
+        need = rows_within_bounds(docs_, lists_of(table, "prefix"), n, last, home, side, t)
+        return table.select(["doc_id", "f1", "g", "p", "q", "home", "side"]).filter(pa.array(need))
 
     def compare(key, table):
         docs_ = table["doc_id"].to_numpy()
-        sets = lists_of(table, "tokens")
-        label = link_group(docs_, sets, table["home"].to_numpy(), table["side"].to_numpy(), t)
+        label = link_group(docs_, lists_of(table, "tokens"), table["home"].to_numpy(), table["side"].to_numpy(), t)
         far = label != docs_
         return pa.table({"src": docs_[far], "dst": label[far]})
 
-    dealt = texts.mapInArrow(deal, f"{task_ddl}, tokens array<bigint>")
-    edges = dealt.groupBy("g", "p", "q").applyInArrow(compare, "src bigint, dst bigint")
+    def whole_sets(batches):
+        for (ids, f1, at), sets in sets_of(batches, 4):
+            same = pa.array([set_print(u)[0] == f for u, f in zip(sets, f1.to_pylist(), strict=True)], pa.bool_())  # else another text under the same id
+            tokens_ = pa.array([u.view(np.int64) for u in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, at, tokens_], ["doc_id", "at", "tokens"]).filter(same)
+
+    place = F.struct("g", "p", "q", "home", "side")
+    place_type = "struct<g: bigint, p: int, q: int, home: boolean, side: int>"
+    row_ddl = "doc_id bigint, f1 bigint, g bigint, p int, q int, home boolean, side int"
+
+    def per_document(tasks: DataFrame) -> DataFrame:
+        return checked_broadcast(materialize(tasks.groupBy("doc_id", "f1").agg(F.collect_list(place).alias("at")), light=True), 160)
+
+    def links(tasks: DataFrame) -> DataFrame:
+        """Edges found by the tasks (doc_id, f1, g, p, q, home, side): bounds from prefixes first, then
+        whole sets of the rows that are still needed."""
+        near = signed.join(per_document(tasks), ["doc_id", "f1"]).select("doc_id", "f1", "n", "last", "prefix", F.explode("at").alias("a"))
+        near = near.select("doc_id", "f1", "n", "last", "prefix", "a.*").groupBy("g", "p", "q").applyInArrow(bound, row_ddl)
+        texts = src.join(per_document(near), "doc_id").select("doc_id", "f1", "at", "text")
+        sets = texts.mapInArrow(whole_sets, f"doc_id bigint, at array<{place_type}>, tokens array<bigint>").select("doc_id", "tokens", F.explode("at").alias("a"))
+        return materialize(sets.select("doc_id", "tokens", "a.*").groupBy("g", "p", "q").applyInArrow(compare, "src bigint, dst bigint"))
+
+    # Round 1: members of a group, and each document's most promising visit. A group of k blocks has k
+    # tasks: the first block with each of the others.
+    best = met.where("first <> g").groupBy("doc_id", F.col("first").alias("g")).agg(F.count("*").alias("c"))
+    best = best.groupBy("doc_id").agg(F.max_by("g", F.struct("c", "g")).alias("g")).join(prints, "doc_id")
+    best = materialize(best.select("doc_id", "f1", "g"), light=True)
+    entries = members.withColumn("home", F.lit(True)).unionByName(best.withColumn("home", F.lit(False)))
+    sizes = entries.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
+    b = F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int")
+    dealt = entries.join(sizes, "g").withColumn("k", F.ceil(F.col("c") / F.lit(block)).cast("int")).withColumn("b", b)
+    q = F.when(F.col("b") == 0, F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array("b"))
+    edges = links(dealt.select("doc_id", "f1", "g", F.lit(0).alias("p"), F.explode(q).alias("q"), "home", F.lit(0).alias("side")))
+    found = materialize(connected_components(edges), light=True)
+
+    # Round 2: what round 1 left open. Of each group, the visitors that aren't known to be connected with
+    # all of it, and the members outside its largest component are compared with all members. In a group
+    # that is one component, as a large group of near copies now is, nothing is left to do.
+    named = checked_broadcast(found.select(F.col("node").alias("doc_id"), "component"), 32)
+    known = lambda df: df.join(named, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    at_home = known(members)
+    parts_ = at_home.groupBy("g", "component").agg(F.count("*").alias("n"))
+    whole = materialize(parts_.groupBy("g").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("parts"), F.sum("n").alias("nh")), light=True)
+    closed = best.join(sizes.where(F.col("c") <= block).select("g"), "g", "left_semi").select("doc_id", "g")  # met all members
+    one = checked_broadcast(whole.select("g", F.when(F.col("parts") == 1, F.col("major")).alias("whole")), 32)
+    again = known(met.select("tok", "doc_id", "n", "pos", "g")).join(one, "g").withColumn("whole", F.coalesce("whole", F.lit(low + 1)))  # no component
+    again = again.repartition(parts, "tok").sortWithinPartitions("tok").select("tok", "doc_id", "n", "pos", "g", "component", "whole")
+    guests = again.mapInArrow(visits, "doc_id bigint, g bigint").distinct().join(closed, ["doc_id", "g"], "left_anti")
+    open_guests = guests.join(prints, "doc_id").select("doc_id", "f1", "g")
+    minor = at_home.join(whole.where("parts > 1 AND nh > 1"), "g").where("component <> major").join(sizes.where(F.col("c") > block).select("g"), "g", "left_semi").select("doc_id", "f1", "g")
+    asking = materialize(open_guests.unionByName(minor), light=True)
+    blocks = asking.groupBy("g").agg(F.count("*").alias("nr")).join(whole.select("g", "nh"), "g")
+    blocks = materialize(blocks.select("g", F.ceil(F.col("nr") / block).cast("int").alias("kr"), F.ceil(F.col("nh") / block).cast("int").alias("kh")), light=True)
+    mod = lambda k: F.pmod(F.xxhash64("doc_id"), F.col(k)).cast("int")
+    upto = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    visitors = asking.join(blocks, "g").select("doc_id", "f1", "g", mod("kr").alias("p"), upto("kh").alias("q"), F.lit(False).alias("home"), F.lit(0).alias("side"))
+    hosts = members.join(blocks, "g").select("doc_id", "f1", "g", upto("kr").alias("p"), mod("kh").alias("q"), F.lit(True).alias("home"), F.lit(1).alias("side"))
+    more = links(visitors.unionByName(hosts))
+    edges = found.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more)
     comp = connected_components(edges).withColumnRenamed("node", "rep")
     rep = reps.join(comp, "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     out = light.join(rep, ["n", "f1", "f2"], "left")
