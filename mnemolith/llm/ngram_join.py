@@ -27,16 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, checked_broadcast, connected_components, gram_hashes, materialize, mix, slices
+from .common import checked_broadcast, connected_components, gram_hashes, materialize, mix, slices, sorted_distinct, word_hashes
 
 
-def shingle_set(text: bytes | None, hashes: WordHashes, k: int) -> np.ndarray:
+def shingle_set(text: bytes | None, k: int) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles; fewer words count as one shingle."""
-    h = hashes.of((text or b"").lower().split())
+    h = word_hashes((text or b"").lower())
     if not len(h):
         return h
     grams = gram_hashes(h, k) if len(h) >= k else mix(gram_hashes(h, len(h)) + np.uint64(len(h)))
-    return np.unique(grams)
+    return sorted_distinct(grams)
 
 
 def set_print(u: np.ndarray) -> tuple[int, int]:
@@ -203,10 +203,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(low)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def sets_of(batches, columns):
-        hashes = WordHashes()
         for b in slices(batches):
             rest = [b.column(c) for c in range(columns - 1)]
-            yield rest, [shingle_set(x, hashes, words) for x in b.column(columns - 1).cast(pa.binary()).to_pylist()]
+            yield rest, [shingle_set(x, words) for x in b.column(columns - 1).cast(pa.binary()).to_pylist()]
 
     def frequent(batches):
         """Tokens that come often in a block of documents, with their counts there."""

@@ -21,20 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, checked_broadcast, materialize, mix, slices
+from .common import checked_broadcast, materialize, mix, powers, slices, word_hashes
 
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 RUN = 8
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64."""
-    p = np.full(n + 1, base, np.uint64)
-    p[0] = 1
-    return np.multiply.accumulate(p)
-
-
 class RunHashes:
     """Hash of any run of words in constant time: prefix sums of a polynomial modulo 2**64."""
 
@@ -209,11 +202,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64, copy=False) if c[0].dtype != np.uint64 else np.concatenate(c).view(np.int64)) for c in cols], names)
 
     def find_units(batches):
-        hashes = WordHashes()
         for b in slices(batches):
             cols = [[np.empty(0, np.int64)] for _ in names]
             for i, th, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                anchor, content, first, last = units_of(hashes.of(word_list(t)), window)
+                anchor, content, first, last = units_of(word_hashes(t), window)
                 for c, v in zip(cols, (np.full(len(first), i), np.full(len(first), th), anchor.view(np.int64), content.view(np.int64), first, last), strict=True):
                     c.append(v)
             yield batch_of(cols)
@@ -235,11 +227,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def one_window_units(batches):
         """Units of a crowded anchor, a unit for each window and placed by the window's content."""
-        hashes = WordHashes()
         for b in slices(batches):
             cols = [[np.empty(0, np.int64)] for _ in names]
             for i, th, at, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).cast(pa.binary()).to_pylist(), strict=True):
-                runs = RunHashes(hashes.of(word_list(t)))
+                runs = RunHashes(word_hashes(t))
                 s = np.concatenate([np.arange(r["first"], r["last"] + 1) for r in at])
                 content = runs.of(s, s + window)
                 for c, v in zip(cols, (np.full(len(s), i), np.full(len(s), th), mix(content).view(np.int64), content.view(np.int64), s, s), strict=True):
@@ -256,12 +247,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         distinct = distinct.where(F.col("n") <= crowd).unionByName(shared(single))
 
     def words_of_units(batches):
-        hashes = WordHashes()
         schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("words", pa.list_(pa.int64()))])
         for b in slices(batches, 64):
             out = {name: [] for name in schema.names}
             for i, at, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).cast(pa.binary()).to_pylist(), strict=True):
-                h = hashes.of(word_list(t)).view(np.int64)
+                h = word_hashes(t).view(np.int64)
                 for r in at:
                     for name, v in zip(schema.names, (r["anchor"], r["content"], i, h[r["first"] : r["last"] + window]), strict=True):
                         out[name].append(v)

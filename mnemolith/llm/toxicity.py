@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, gram_hashes, materialize, slices
+from .common import gram_hashes, materialize, slices, word_hashes
 
 _TOKEN = re.compile(r"[^\W_]+")
 #: A word that isn't significant itself falls back on its longest significant beginning.
@@ -110,11 +110,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     sample = sample.join(F.broadcast(picked), "_id").select("text", "y")
 
     def keyed(batches):
-        hashes = WordHashes()
         for b in slices(batches):
             keys = []
             for text in b.column(0).to_pylist():
-                grams = gram_hashes(hashes.of([w.encode() for w in tokens_of(text)]), 4)
+                grams = gram_hashes(word_hashes(" ".join(tokens_of(text)).encode()), 4)
                 keys.append(int(grams.min() >> 1) if len(grams) else xxhash.xxh3_64_intdigest(text) >> 1)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64())], ["text", "y", "k"])
 

@@ -174,3 +174,24 @@ def test_link_counts_once_across_cells():
     u = embedding_dedup.unit_rows(x)
     want = (u @ u.T >= 0.98) & ~np.eye(60, dtype=bool)
     assert (total == want).all()
+
+
+def test_word_hashes_follow_the_words(monkeypatch):
+    texts = [b"", b"  ", b"a", b" a b\ta\n", b"aa a a\x0baa \xc3\xa9 \x1c x", b"word " * 50 + b"tail"]
+    seen = {}
+    for piece in (1 << 20, 7):
+        monkeypatch.setattr(common, "_PIECE", piece)
+        for t in texts:
+            words, h = t.split(), common.word_hashes(t)
+            assert len(words) == len(h)
+            for w, x in zip(words, h.tolist(), strict=True):
+                assert seen.setdefault(w, x) == x
+    assert len(set(seen.values())) == len(seen)
+    assert len(common.word_hashes(None)) == 0
+
+
+def test_gram_hashes_are_distinct_by_order():
+    h = common.word_hashes(b"a b c a b d b a c")
+    g = common.gram_hashes(h, 2)
+    assert len(g) == 8 and g[0] == g[3] and len(set(g.tolist())) == 7
+    assert common.sorted_distinct(g).tolist() == np.unique(g).tolist() and len(common.sorted_distinct(g[:0])) == 0
