@@ -64,18 +64,21 @@ def qualify(x, y, n, pos, t: int) -> np.ndarray:
 
 
 def first_visits(n, pos, g, t: int) -> np.ndarray:
-    """For each document of one token's run, the smallest other group, with a smaller key than its own,
-    that it qualifies for; its own group if there is none."""
+    """For each document of one token's run, the group it qualifies for that has the most documents in
+    the run, of those before its own in that order; its own group if there is none."""
     out = g.copy()
     order = np.argsort(g, kind="stable")
-    kinds, start = np.unique(g[order], return_index=True)
+    kinds, start, size = np.unique(g[order], return_index=True, return_counts=True)
+    rank = np.empty(len(kinds), np.int64)
+    rank[np.argsort(-size, kind="stable")] = np.arange(len(kinds))
+    own = rank[np.searchsorted(kinds, g)]
     left = np.arange(len(g))
-    for k, lo, hi in zip(kinds, start, [*start[1:], len(g)], strict=True):
-        left = left[g[left] > k]
+    for j in np.argsort(rank):
+        left = left[own[left] > rank[j]]
         if not len(left):
             break
-        ok = qualify(left, order[lo:hi], n, pos, t)
-        out[left[ok]] = k
+        ok = qualify(left, order[start[j] : start[j] + size[j]], n, pos, t)
+        out[left[ok]] = kinds[j]
         left = left[~ok]
     return out
 
