@@ -136,6 +136,19 @@ def test_language_id_held_out(spark):
     assert got.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.98
 
 
+def test_language_models_keep_every_ngram(spark):
+    rng = np.random.default_rng(5)
+    letters = np.array([chr(0x4E00 + i) for i in range(4000)])
+    rows = [(i, "".join(rng.choice(letters, 4500)), "zz") for i in range(160)] + [(1000 + i, f"rare{chr(0x1000 + i)} word", f"l{i}") for i in range(230)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit_languages(docs, held_fold=-1)
+    assert len(model.langs) == 231
+    want = set()
+    for _, t, _ in rows:
+        want |= set(langid.ngram_hashes(np.concatenate((np.full(2, 32, np.uint32), langid.codes_of(t))), 4).tolist())
+    assert len(want) > 400_000 and want <= set(model.prob[4].h.tolist())
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
