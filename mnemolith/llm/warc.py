@@ -117,13 +117,14 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     spark = pages.sparkSession
     body = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    light = pages.select(F.col(id_col).cast("long").alias("id"), key.alias("_key"), F.sha1(body).alias("d"), F.octet_length(body).alias("n"))
-    light = materialize(light.where(F.col("n") >= revisit_bytes))
+    own = [key.alias("_key"), F.sha1(body).alias("d"), F.octet_length(body).alias("n")]
+    light = materialize(pages.select(F.col(id_col).cast("long").alias("id"), *own).where(F.col("n") >= revisit_bytes))
     first = light.groupBy("d", "n").agg(F.min("id").alias("refers"), F.count("*").alias("c")).where("c > 1 AND refers IS NOT NULL")
-    again = light.join(first, ["d", "n"]).where("NOT id <=> refers").groupBy("_key").agg(F.min("refers").alias("refers"))
+    # Each row is judged on its own payload: rows of one id, or without one, may differ in it.
+    again = light.join(first, ["d", "n"]).where("NOT id <=> refers").groupBy("_key", "d", "n").agg(F.min("refers").alias("refers"))
     again = materialize(again)
-    rows = pages.select(key.alias("_key"), F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    rows = rows.join(checked_broadcast(again, 24), "_key", "left").select("id", "url", "html", "refers")
+    rows = pages.select(*own, F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    rows = rows.join(checked_broadcast(again, 80), ["_key", "d", "n"], "left").select("id", "url", "html", "refers")
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
 
     def write(batches):

@@ -226,6 +226,15 @@ def test_warc_odd_rows(spark):
     assert warc.read_warc(warc.write_warc(pages.limit(0))).count() == 0
 
 
+def test_warc_judges_each_row_on_its_payload(spark):
+    rows = [(5, "u", "X"), (None, "u", "X"), (None, "u", "Y"), (6, "u", "Z"), (8, "u", "X"), (8, "u", "W"), (None, "u", "Z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.read_warc(warc.write_warc(pages)).select("page_id", "payload_digest", "refers_to").collect()
+    digest = lambda x: warc.b32_sha1(x.encode())
+    want = [(5, "X", None), (None, "X", 5), (None, "Y", None), (6, "Z", None), (8, "X", 5), (8, "W", None), (None, "Z", 6)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((i, digest(x), r)) for i, x, r in want)
+
+
 def test_mixing_marginals(spark, odd, none):
     rows = [(i, text(20 + i % 30, i), ["en", "fr"][i % 3 == 0], ["a", "b", "c"][i % 7 % 3]) for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
