@@ -1,13 +1,15 @@
 """The corpus pipeline: toxicity filter, exact dedup, near dedup, source mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
-again as the next stage's docs. All but the last return the columns of ``documents``. Stages decide on
-ids: rows that repeat an id share its decision; rows with a null id are one document to them.
+again as the next stage's docs. All but the last return the columns of ``documents``. Each row is
+judged on its own text, also where its id is null or comes again with another text; of rows equal in
+id and text the deduplication stages keep one.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,12 +22,28 @@ from mnemolith.llm.packing import pack_buckets
 from mnemolith.llm.toxicity import drop_toxic, fit_toxicity
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs but for the ids in ``dropped.doc_id``; texts are shuffled only if those are many."""
-    key = "_dropped_id"
-    gone = materialize(dropped.select(F.col("doc_id").alias(key)).distinct())
+def rows_by_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """One row for each id and text, and the name of a column that tells them apart: the id where all
+    are unique, else a number in the order of ids, null ones last, and of hashes of the text."""
+    if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        return docs, "doc_id"
+    key, own = "_row_key", [F.col("doc_id").alias("_id"), F.coalesce(F.md5("text"), F.lit("")).alias("_hash")]
+    names = materialize(docs.select(*own).groupBy("_id", "_hash").agg(F.count("*").alias("_times")))
+    names = materialize(names.orderBy(F.col("_id").asc_nulls_last(), "_hash").withColumn(key, F.monotonically_increasing_id()))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"), own[1], docs["doc_id"].alias("_own"))
+    rows = rows.join(checked_broadcast(names, 80), F.col("_own").eqNullSafe(F.col("_id")) & (rows["_hash"] == names["_hash"])).select("_doc", key, "_times")
+    more = rows.where("_times > 1").groupBy(key).agg(F.min("_doc").alias("_doc"))
+    rows = rows.where("_times = 1").select("_doc", key).unionByName(more.select("_doc", key))
+    return materialize(rows.select("_doc.*", key)), key
+
+
+def without(docs: DataFrame, dropped: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """docs but for the rows whose key is in ``doc_id`` of what ``dropped`` returns for (rows, key);
+    texts are shuffled only if those are many or ids aren't unique."""
+    rows, key = rows_by_key(docs)
+    gone = materialize(dropped(rows, key).select(F.col("doc_id").alias("_dropped")).distinct())
     gone = checked_broadcast(gone, 16)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone[key]), "left_anti")
+    return rows.join(gone, rows[key] == gone["_dropped"], "left_anti").select(*docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,18 +52,19 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest id stays."""
-    return without(docs, exact_dedup(docs).where("NOT kept"))
+    """Of equal texts the smallest id stays; a null id is larger than others."""
+    return without(docs, lambda rows, key: exact_dedup(rows, id_col=key).where("NOT kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by links (five-word shingles, Jaccard 0.8) the smallest id stays."""
-    return without(docs, ngram_join(docs, words=5, percent=80).where("NOT component_id <=> doc_id"))
+    """Of documents connected by links (five-word shingles, Jaccard 0.8) the smallest id stays; a
+    null id is larger than others."""
+    return without(docs, lambda rows, key: ngram_join(rows, id_col=key, words=5, percent=80).where("component_id <> doc_id"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled with their cell's calibrated probability."""
-    return sample_mix(docs)
+    """Documents sampled with their cell's calibrated probability; the draw is by id and text."""
+    return sample_mix(docs, draw=F.concat_ws(":", docs["doc_id"], F.md5(docs["text"])))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,12 +98,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def sample_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, alpha: dict[str, float] = ALPHA, rounds: int = ROUNDS, seed: str = "mix") -> DataFrame:
-    """The rows that mix_sources selects, with the columns they came with; no text is shuffled."""
+def sample_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, alpha: dict[str, float] = ALPHA, rounds: int = ROUNDS, seed: str = "mix", draw: Column | None = None) -> DataFrame:
+    """The rows that mix_sources selects, with the columns they came with; no text is shuffled. The draw
+    is by id, or by the value of ``draw`` if it is given."""
     light = document_cells(docs, text_col, source_col, lang_col, topic)
     cells = cell_probabilities(materialize(docs.select(*light)), alpha, rounds)
     row = F.struct(*(docs[c] for c in docs.columns)).alias("_row")
-    drawn = uniform(docs[id_col], seed).alias("_drawn")
+    drawn = uniform(docs[id_col] if draw is None else draw, seed).alias("_drawn")
     return with_probability(docs.select(row, drawn, *light[:3]), cells).where("_drawn < probability").select("_row.*")
 
 

@@ -292,3 +292,20 @@ def test_stages_keep_the_smallest(spark):
     once = corpus_pipeline.exact(spark, docs, DATA)
     assert {r["doc_id"] for r in once.collect()} == {3, 9, 1, 2}
     assert {r["doc_id"] for r in corpus_pipeline.near(spark, once, DATA).collect()} == {3, 1, 2}
+
+
+def test_stages_judge_each_row_on_its_text(spark):
+    base = text(200, 1).split()
+    other = [*base[:50], "edited", *base[51:]]
+    full = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = lambda stage, rows: sorted(((r["doc_id"] or 0, r["text"]) for r in stage(spark, full(rows), DATA).collect()))
+    exact = [(None, "A"), (None, "B"), (5, "B"), (7, "C"), (7, "D"), (3, "D"), (None, "E e"), (None, "E e"), (None, "E  e"), (9, "F"), (9, "F")]
+    got = left(corpus_pipeline.exact, exact)
+    assert [(i, " ".join(t.split())) for i, t in got] == [(0, "A"), (0, "E e"), (3, "D"), (5, "B"), (7, "C"), (9, "F")]
+    a, b, c, d = " ".join(base), " ".join(other), text(150, 2), text(150, 3)
+    got = left(corpus_pipeline.near, [(None, a), (None, b), (None, c), (7, d), (7, text(90, 4)), (3, d + " end")])
+    assert len(got) == 4 and set(got) - {(0, a), (0, b)} == {(0, c), (7, text(90, 4)), (3, d + " end")}
+    rows = full([(None, text(20 + i % 9, i)) for i in range(300)] + [(i, text(20 + i % 9, 1000 + i)) for i in range(300)])
+    rows = rows.withColumn("source", F.when(F.col("doc_id") < 290, "t").otherwise("s"))
+    kept = corpus_pipeline.mixing(spark, rows, DATA).where("doc_id IS NULL").count()
+    assert 0 < kept < 300
