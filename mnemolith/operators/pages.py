@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.paths import MEMORY_TYPES, base_name, memory_type, walk_order
 from ..functions.text import first_prose_line, lower_runes
+from ..sources.tables import materialize
 
 
 def search_lines(pages: DataFrame, query: str) -> DataFrame:
@@ -53,6 +54,17 @@ def category_index(pages: DataFrame) -> DataFrame:
     return cats.unionByName(root)
 
 
+def walk_ranks(pages: DataFrame) -> DataFrame:
+    """``path, rank`` of every page in walk order, from 1. Ranks count on from one sorted range to the
+    next, so no task sees all pages."""
+    ordered = pages.select("path", walk_order(F.col("path")).alias("k")).orderBy("k")
+    ordered = materialize(ordered.select("path", F.monotonically_increasing_id().alias("i")))
+    part, place = F.shiftright("i", 33), F.col("i").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("c"))  # a row a range
+    before = sizes.select("part", (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("before"))
+    return ordered.select("path", part.alias("part"), place.alias("place")).join(F.broadcast(before), "part").select("path", (F.col("before") + F.col("place") + 1).alias("rank"))
+
+
 def upsert_pages(pages: DataFrame, writes: DataFrame) -> DataFrame:
     """Pages after a set of ordered writes (path, content, sources, trust_tier, at, write_no).
 

@@ -174,6 +174,10 @@ SELECT i, CASE WHEN k[1] IN {KINDS} THEN k[1] ELSE '' END AS store, migrated, CA
         lambda s, d: pages(s, d).select("path", paths.walk_order(F.col("path")).alias("k")).orderBy("k").limit(200).select("path"),
         f"WITH {PAGES} SELECT path FROM pg ORDER BY string_split(path, '/') LIMIT 200",
     ),
+    "walk_order_all": (
+        lambda s, d: pg.walk_ranks(pages(s, d)),
+        f"WITH {PAGES} SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS rank FROM pg",
+    ),
     "resolve_targets": (
         lambda s, d: literal(s, "i int, p string, x string", TARGETS).select("i", paths.clean_path(F.concat(paths.directory(F.col("p")), F.lit("/"), paths.decode_target(F.col("x")))).alias("target"), paths.encode_target(paths.decode_target(F.col("x"))).alias("again")),
         "SELECT * FROM (VALUES (0, 'semantic/b c.md', 'b%20c.md'), (1, 'episodic/x.md', '../episodic/x.md'), (2, NULL, '../../out.md'), (3, 'b.md', './b.md'), (4, 'semantic/d/y.md', '%28x%29/../y.md'), (5, 'semantic/x/y.md', 'x//y.md'), (6, 'semantic/<a>\\.md', '%3Ca%3E%5C.md')) v(i, target, again)",

@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 
 from mnemolith.operators import codefacts, lint, migrate, pages
+from mnemolith.plans import registry
 from mnemolith.plans.page_queries import GOOD, LEGACY
 from mnemolith.store import MemoryStore
 
@@ -94,3 +95,11 @@ def test_store(spark, tmp_path):
     assert store.stats().first().asDict() == {"events": 1, "uncompiled": 0, "pages": 4, "archived": 1}
     with pytest.raises(PermissionError):
         MemoryStore(spark, str(tmp_path), read_only=True).rebuild_index()
+
+
+def test_walk_order_ranks_every_page(spark, tmp_path):
+    n = 450
+    spark.range(n).selectExpr("id AS doc_id", "'t' AS text", "'s' || id % 5 AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = registry.QUERIES["walk_order_all"](spark, str(tmp_path)).collect()
+    got = [r["path"] for r in sorted(rows, key=lambda r: r["rank"])]
+    assert sorted(r["rank"] for r in rows) == list(range(1, n + 1)) and got == sorted(got, key=lambda p: p.split("/"))
