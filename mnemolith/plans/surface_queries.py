@@ -59,6 +59,10 @@ string_agg('[' || id || '] ' || content || CASE WHEN seq % 2 = 0 THEN '  task=t'
         lambda s, d: surface.reconcile(raw_events(s, d).where("seq < 600"), raw_events(s, d).where("seq >= 500 AND seq < 900"), log.latest_status(status_log(s, d))),
         f"WITH {RAW}, {STATUS} SELECT id FROM raw WHERE seq < 900 AND id NOT IN (SELECT event_id FROM latest)",
     ),
+    "reconcile_pending_all": (
+        lambda s, d: surface.reconcile(raw_events(s, d).where("seq % 3 <> 0"), raw_events(s, d).where("seq % 3 <> 1"), log.latest_status(status_log(s, d))),
+        f"WITH {RAW}, {STATUS} SELECT id FROM raw WHERE id NOT IN (SELECT event_id FROM latest)",
+    ),
     "flush_counters": (
         lambda s, d: surface.flush_counters(_results(s, d)),
         f"WITH {_RES} SELECT count(DISTINCT CASE WHEN batch_status = 'success' THEN batch_id END) AS batches_succeeded, count(DISTINCT CASE WHEN batch_status = 'failed' THEN batch_id END) AS batches_failed, count_if(batch_status = 'success' AND status = 'integrated')::BIGINT AS integrated, count_if(batch_status = 'success' AND status = 'skipped')::BIGINT AS skipped, count_if(batch_status = 'failed' OR status = 'failed_by_agent')::BIGINT AS failed, count_if(batch_status = 'success' AND status = 'unknown')::BIGINT AS unknown FROM rs",
