@@ -67,14 +67,15 @@ def components_of(adj: np.ndarray, ids: np.ndarray) -> np.ndarray:
         label = new
 
 
-def near_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, cell_rows: int = 2_000, max_cells: int = 4_096, margin_deg: float = 5.0, sample_bytes: int = 32 << 20, block: int = 2_048) -> DataFrame:
+def near_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, cell_rows: int = 2_000, max_cells: int = 4_096, margin_deg: float | None = None, sample_bytes: int = 32 << 20, block: int = 2_048) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row.
 
     Rows link when labels are equal and not null and the cosine, in double precision, reaches
     ``threshold``. A vector that is null, zero, or holds null or non-finite components links with
     nothing, as does a row without id; vectors of different length don't link. Equal vectors of one
     label are one class while comparing and count as separate rows in ``n_links``. ``sample_bytes``
-    bounds the sample that centroids are fitted on; all rows are indexed.
+    bounds the sample that centroids are fitted on; all rows are indexed. A vector visits the cells within
+    ``margin_deg`` of its nearest centroid, by default the angle of ``threshold``, which loses no link.
     """
     v = F.col("v")
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<float>").alias("v"))
@@ -90,7 +91,8 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     sample = classes.where(F.size("v") == dim).orderBy(F.xxhash64("cid")).limit(sample_rows).select("v").collect()
     k = max(1, min(max_cells, -(-n // cell_rows)))
     cells = spherical_kmeans(unit_rows([r["v"] for r in sample]), k) if sample else np.ones((1, 1))
-    margin = np.deg2rad(margin_deg)
+    # Of a linked pair, the end farther from its own centroid is within the pair's angle of the other's cell.
+    margin = np.arccos(np.clip(threshold, -1, 1)) + 1e-6 if margin_deg is None else np.deg2rad(margin_deg)
 
     def assign(batches):
         schema = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("cell", pa.int32()), ("cid", pa.int64()), ("size", pa.int64()), ("v", pa.list_(pa.float32())), ("home", pa.int32()), ("probes", pa.list_(pa.int32()))])

@@ -216,6 +216,18 @@ def test_vector_recall_with_many_cells(spark):
     assert true > 500 and got >= 0.95 * true
 
 
+def test_default_margin_loses_no_link(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 6))
+    x = np.concatenate((x, x + rng.normal(size=x.shape) * 0.12))
+    u = x.astype(np.float32).astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    true = int((u @ u.T >= 0.98).sum() - len(u))
+    df = spark.createDataFrame([(i, [float(e) for e in v], 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    count = lambda **kw: embedding_dedup.near_vectors(df, cell_rows=20, **kw).agg(F.sum("n_links")).first()[0]
+    assert count(margin_deg=5.0) < true == count()
+
+
 def test_warc_odd_rows(spark):
     rows = [(3, "u", "same"), (1, None, "same"), (2, "u\nx", None), (4, "u", ""), (None, "u", "same"), (5, "u", "é" * 100_000), (1, "again", "same")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("id", F.lit(1))
