@@ -11,20 +11,26 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side is broadcast only when it was counted and its rows take at most this many bytes.
+#: A side is broadcast only when its measured size is at most this.
 BROADCAST_BYTES = 32 << 20
+#: What a row costs in a broadcast hash table besides its values.
+ROW_BYTES = 32
 
 _runs: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder of this run in ``spark.checkpoint.dir``, as a full URI; a temporary one only where that is
-    unset."""
+    """Folder of this run in ``spark.checkpoint.dir``, as a full URI. Where that is unset, a temporary
+    folder serves a local master; a cluster is refused, as its executors would each write their own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = _runs.get("own") or _runs.setdefault("own", "file://" + tempfile.mkdtemp(prefix="mnemolith-"))
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
     base = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
@@ -32,32 +38,84 @@ def shared_dir(spark: SparkSession) -> str:
     key = f"{spark.sparkContext.applicationId}|{base}"
     if key not in _runs:
         _runs[key] = f"{base.rstrip('/')}/mnemolith-{uuid.uuid4().hex[:12]}"
-        atexit.register(_remove, spark, _runs[key])
+        atexit.register(_remove_at_exit, spark, _runs[key])
     return _runs[key]
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
     """Drop the run's folder when the driver's interpreter ends; a stopped session keeps it."""
     try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        remove(spark, path)
     except Exception:  # the gateway may be gone at exit
         pass
 
 
+class Scratch:
+    """Tables materialized inside the block are deleted at its end, but for those given to ``keep``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> Scratch:
+        _scopes.append([])
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The table written so that it outlives the block."""
+        mine = _scopes.pop()
+        try:
+            return materialize(df)
+        finally:
+            _scopes.append(mine)
+
+    def __exit__(self, *error) -> None:
+        for path in _scopes.pop():
+            remove(self.spark, path)
+
+
 def materialize(df: DataFrame, light: bool = False) -> DataFrame:
-    """Write a table to the shared folder and read it again: computed once, lineage cut. A light one
-    (few bytes a row, cheap to compute) goes to an eighth of the files."""
+    """Write a table to the shared folder and read it again: computed once, lineage cut. ``light`` has no
+    effect."""
     spark = df.sparkSession
-    if light:
-        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checked_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark a materialized table for broadcast if its counted size is under ``limit``; else leave the
+def value_bytes(value: Column, kind: T.DataType) -> Column:
+    """Bytes that a value takes in a row, by its real length."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = 16 + F.octet_length(value)
+    elif isinstance(kind, T.StructType):
+        size = sum((value_bytes(value.getField(f.name), f.dataType) for f in kind.fields), F.lit(8))
+    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+        size = 16 + 8 * F.size(value)
+    elif isinstance(kind, T.ArrayType):
+        size = 16 + F.aggregate(value, F.lit(0).cast("long"), lambda a, e: a + value_bytes(e, kind.elementType))
+    else:
+        size = F.lit(8)
+    return F.coalesce(size.cast("long"), F.lit(8).cast("long"))
+
+
+def table_bytes(df: DataFrame) -> int:
+    """Measured size of all rows as a broadcast would hold them."""
+    row = sum((value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(ROW_BYTES))
+    return df.agg(F.sum(row.cast("long"))).first()[0] or 0
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a materialized table for broadcast if its measured size is at most ``limit``; else leave the
     join to a shuffle."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    return F.broadcast(df) if table_bytes(df) <= limit else df
+
+
+def checked_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """broadcast_if_small under its former name; the size is measured, not guessed."""
+    return broadcast_if_small(df, limit)
