@@ -14,12 +14,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolith.llm.common import checked_broadcast, materialize, shared_dir
 from mnemolith.llm.exact_dedup import exact_dedup
 from mnemolith.llm.mixing import sample_mix
 from mnemolith.llm.ngram_join import ngram_join
 from mnemolith.llm.packing import pack_buckets
 from mnemolith.llm.toxicity import drop_toxic, fit_toxicity
+from mnemolith.sources.tables import broadcast_if_small, materialize, shared_dir
 
 
 def rows_by_key(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -31,7 +31,7 @@ def rows_by_key(docs: DataFrame) -> tuple[DataFrame, str]:
     names = materialize(docs.select(*own).groupBy("_id", "_hash").agg(F.count("*").alias("_times")))
     names = materialize(names.orderBy(F.col("_id").asc_nulls_last(), "_hash").withColumn(key, F.monotonically_increasing_id()))
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"), own[1], docs["doc_id"].alias("_own"))
-    rows = rows.join(checked_broadcast(names, 80), F.col("_own").eqNullSafe(F.col("_id")) & (rows["_hash"] == names["_hash"])).select("_doc", key, "_times")
+    rows = rows.join(broadcast_if_small(names), F.col("_own").eqNullSafe(F.col("_id")) & (rows["_hash"] == names["_hash"])).select("_doc", key, "_times")
     more = rows.where("_times > 1").groupBy(key).agg(F.min("_doc").alias("_doc"))
     rows = rows.where("_times = 1").select("_doc", key).unionByName(more.select("_doc", key))
     return materialize(rows.select("_doc.*", key)), key
@@ -42,7 +42,7 @@ def without(docs: DataFrame, dropped: Callable[[DataFrame, str], DataFrame]) ->
     texts are shuffled only if those are many or ids aren't unique."""
     rows, key = rows_by_key(docs)
     gone = materialize(dropped(rows, key).select(F.col("doc_id").alias("_dropped")).distinct())
-    gone = checked_broadcast(gone, 16)
+    gone = broadcast_if_small(gone)
     return rows.join(gone, rows[key] == gone["_dropped"], "left_anti").select(*docs.columns)
 
 
