@@ -6,9 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import checked_broadcast, materialize, shared_dir
+from ..sources.tables import broadcast_if_small, materialize, shared_dir
 
-__all__ = ["checked_broadcast", "connected_components", "gram_hashes", "materialize", "mix", "powers", "shared_dir", "slices", "sorted_distinct", "word_hashes"]
+__all__ = ["broadcast_if_small", "connected_components", "gram_hashes", "materialize", "mix", "powers", "shared_dir", "slices", "sorted_distinct", "word_hashes"]
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     node with very many edges is split by adaptive skew handling. Ends when no edge changes.
     """
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u != v").distinct()
-    e = materialize(e, light=True)
+    e = materialize(e)
     last = None
     while True:
         sides = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,7 +27,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         large = large.where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct(), light=True)
+        e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             break

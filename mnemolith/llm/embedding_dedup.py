@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, connected_components, materialize
+from .common import broadcast_if_small, connected_components, materialize
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -113,8 +113,8 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 
     placed = materialize(classes.select("label", "cid", "size", "v").mapInArrow(assign, "label string, dim int, cell int, cid bigint, size bigint, v array<float>, home int, probes array<int>"))
     # A cell of m blocks is covered by the pairs of its blocks; each row goes to m of them.
-    counts = materialize(placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("m")), light=True)
-    dealt = placed.join(checked_broadcast(counts, 80), ["label", "dim", "cell"]).withColumn("b", F.pmod(F.xxhash64("cid"), F.col("m")).cast("int"))
+    counts = materialize(placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("m")))
+    dealt = placed.join(broadcast_if_small(counts), ["label", "dim", "cell"]).withColumn("b", F.pmod(F.xxhash64("cid"), F.col("m")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     dealt = dealt.withColumn("p", F.least("b", "o")).withColumn("q", F.greatest("b", "o"))
 
@@ -140,8 +140,8 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     comp = connected_components(found, "cid", "root").withColumnRenamed("node", "cid")
     info = classes.select("cid", "size").join(links, "cid", "left").join(comp, "cid", "left")
     info = info.select("cid", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "cid").alias("component_id"))
-    again = materialize(classes.where("size > 1").select("label", "v", F.col("cid").alias("_c")), light=True)
-    mine = rows.join(checked_broadcast(again, 64 + 4 * first), ["label", "v"], "left").select("vec_id", F.coalesce("_c", "vec_id").alias("cid"))
+    again = materialize(classes.where("size > 1").select("label", "v", F.col("cid").alias("_c")))
+    mine = rows.join(broadcast_if_small(again), ["label", "v"], "left").select("vec_id", F.coalesce("_c", "vec_id").alias("cid"))
     out = mine.join(info, "cid", "left")
     comp_id = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp_id.alias("component_id"), comp_id.eqNullSafe(F.col("vec_id")).alias("kept"))

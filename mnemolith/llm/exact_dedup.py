@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, materialize
+from .common import broadcast_if_small, materialize
 
 #: ASCII white space that counts as one space.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -130,7 +130,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.Table.from_pylist(out, schema=pa.schema([("block", pa.string()), ("owner", pa.int32()), ("bitmap", pa.binary())]))
 
     bitmaps = sent.select("block", "owner", "n", "bits", "blob").groupBy("owner").applyInArrow(own, "block string, owner int, bitmap binary")
-    bitmaps = materialize(bitmaps, light=True)  # so that no task runs two Python workers at once
+    bitmaps = materialize(bitmaps)  # so that no task runs two Python workers at once
 
     def suspects(batches):
         for b in batches:
@@ -142,10 +142,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             ids = np.concatenate(out) if out else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(ids))], ["doc_id"])
 
-    found = materialize(sent.select("block", "owner", "times", "ids").join(bitmaps, ["block", "owner"]).select("times", "ids", "bitmap").mapInArrow(suspects, "doc_id bigint").distinct(), light=True)
+    found = materialize(sent.select("block", "owner", "times", "ids").join(bitmaps, ["block", "owner"]).select("times", "ids", "bitmap").mapInArrow(suspects, "doc_id bigint").distinct())
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("_key"), F.col(text_col).alias("_text"))
-    texts = texts.join(checked_broadcast(found.withColumnRenamed("doc_id", "_key"), 16), "_key", "left_semi")
+    texts = texts.join(broadcast_if_small(found.withColumnRenamed("doc_id", "_key")), "_key", "left_semi")
     verified = (
         texts.select("doc_id", normalised("_text").alias("t"))
         .groupBy("t")
@@ -153,8 +153,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .where("group_size > 1")
         .select(F.sha2("t", 256).alias("text_sha256"), "keep_id", "group_size")
     )
-    verified = materialize(verified, light=True)
-    return base.join(checked_broadcast(verified, 120), "text_sha256", "left").select(
+    verified = materialize(verified)
+    return base.join(broadcast_if_small(verified), "text_sha256", "left").select(
         "doc_id",
         F.coalesce("keep_id", "doc_id").alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checked_broadcast, materialize
+from .common import broadcast_if_small, materialize
 
 AXES = ("source", "lang", "topic")
 #: Powers of the natural token shares that the targets are; 1 keeps a marginal as it is.
@@ -51,7 +51,7 @@ def rake(cells: DataFrame, alpha: dict[str, float] = ALPHA, rounds: int = ROUNDS
             now = F.nullif(F.sum("w").over(Window.partitionBy(a)), F.lit(0.0))
             cells = cells.withColumn("w", F.coalesce(F.col("w") * F.col(f"t_{a}") / now, F.lit(0.0)))
         if i % cut == cut - 1 or i == rounds - 1:
-            cells = materialize(cells, light=True)
+            cells = materialize(cells)
     return cells
 
 
@@ -69,10 +69,10 @@ def document_cells(docs: DataFrame, text_col: str, source_col: str, lang_col: st
 def cell_probabilities(rows: DataFrame, alpha: dict[str, float], rounds: int) -> DataFrame:
     """``c_source, c_lang, c_topic, probability`` of each cell of rows with the columns above."""
     cells = rows.groupBy(*(F.col(f"_{a}").alias(a) for a in AXES)).agg(F.sum("_tokens").alias("tokens"))
-    cells = rake(materialize(cells, light=True), alpha, rounds)
+    cells = rake(materialize(cells), alpha, rounds)
     scale = cells.where("w > 0").agg(F.min(F.col("tokens") / F.col("w"))).first()[0] or 1.0
     p = F.when(F.col("w") > 0, F.least(F.lit(1.0), F.col("w") / F.col("tokens") * F.lit(scale))).otherwise(1.0)
-    return checked_broadcast(materialize(cells.select(*(F.col(a).alias(f"c_{a}") for a in AXES), p.alias("probability")), light=True), 200)
+    return broadcast_if_small(materialize(cells.select(*(F.col(a).alias(f"c_{a}") for a in AXES), p.alias("probability"))))
 
 
 def with_probability(rows: DataFrame, cells: DataFrame) -> DataFrame:

@@ -1,118 +1,120 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Documents are sets of word shingles (as 64-bit hashes). Equal sets become one representative. Sets
-with the same smallest hash form a group: similar sets agree in it with a probability near their
-similarity. The matrix side of a group is the union of its members' tokens:
-
-* A query may hold a match in another group only if a token of its prefix (the part of a set, in one
-  global order, that two sets over the threshold can't both miss) is in the group's union of prefixes.
-  Size and position bounds prune these query-group cells; what is left are visits.
-* Work is done in two rounds. The first compares members of a group and each query's most promising visit;
-  the second only what can still connect components. So a large group of near copies costs about a
-  row each, not its square.
-* A first task of each group bounds overlaps from prefixes alone: what two prefixes share, and what can
-  still follow them. It keeps the rows that some pair within bounds needs.
-* The second task builds the union of the kept members' whole sets and bounds each query's overlap by
-  it; only a group whose bound reaches the threshold is opened, and its members are then compared.
+Documents are sets of word shingles. A shingle's token is a 64-bit hash of its words; tokens choose what
+is compared, and the words themselves decide what is linked. Equal texts become one representative.
+
+* Round 1 connects what is easily connected. Sets with the same smallest token, under either of two
+  orders, form a group: similar sets agree in it with a probability near their similarity. Each block of a
+  group is compared with itself and with the group's first block.
+* Round 2 is exact for all that round 1 left in different components. Documents of a component, in blocks
+  of bounded size, are its groups. In one global order of tokens, rare ones first, two sets over the
+  threshold share several tokens of their prefixes. Tokens whose documents are all of one component are
+  dropped; what the prefix of a document shares with the union of a group's prefixes is summed over
+  tokens, within size and position bounds, and only cells that reach the sum are visited. Documents of the
+  smaller component visit the groups of the larger.
+* A visited group holds the union of its members' tokens, which bounds a query's overlap with every one;
+  only a group whose bound reaches the threshold is opened, and its members are then compared.
 
 Components need no pair to leave a task: members already known to be connected aren't compared again,
-and one edge for each linked set goes on. The order puts very frequent tokens last, so that common
-lines and passages don't gather candidates; a frequency only affects speed, never a result.
+and one linked pair, checked word by word, goes on for each that joins. Two sets' tokens never show less
+overlap than their shingles do while no document's own shingles share a token; where one does, which is
+checked, all is done again under another hash. A token's frequency only affects speed, never a result.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from .common import checked_broadcast, connected_components, gram_hashes, materialize, mix, slices, sorted_distinct, word_hashes
-
-
-def shingle_set(text: bytes | None, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles; fewer words count as one shingle."""
-    h = word_hashes((text or b"").lower())
-    if not len(h):
-        return h
-    grams = gram_hashes(h, k) if len(h) >= k else mix(gram_hashes(h, len(h)) + np.uint64(len(h)))
-    return sorted_distinct(grams)
-
-
-def set_print(u: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit sums that identify a set."""
-    with np.errstate(over="ignore"):
-        a, b = mix(u + np.uint64(1)).sum(dtype=np.uint64), mix(u ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
-    return int(a.astype(np.int64)), int(b.astype(np.int64))
-
-
-def prefix_size(n: int, t: int) -> int:
-    """Tokens of which a set of n shares one with any set at t percent or more."""
-    return n - (t * n + 99) // 100 + 1
-
-
-def qualify(x, y, n, pos, t: int) -> np.ndarray:
-    """Whether rows x of one token's documents can reach the threshold with any of the rows y, by sizes
-    and by what can still follow the token in either order."""
-    out = np.zeros(len(x), bool)
-    for i in range(0, len(x), 1024):
-        a, b = x[i : i + 1024, None], y[None, :]
-        small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-        room = np.minimum(n[a] - pos[a], n[b] - pos[b])
-        out[i : i + 1024] = ((100 * small >= t * large) & (room * (100 + t) >= t * (small + large))).any(axis=1)
-    return out
-
-
-def first_visits(n, pos, g, t: int) -> np.ndarray:
-    """For each document of one token's run, the group it qualifies for that has the most documents in
-    the run, of those before its own in that order; its own group if there is none."""
-    out = g.copy()
-    order = np.argsort(g, kind="stable")
-    kinds, start, size = np.unique(g[order], return_index=True, return_counts=True)
-    rank = np.empty(len(kinds), np.int64)
-    rank[np.argsort(-size, kind="stable")] = np.arange(len(kinds))
-    own = rank[np.searchsorted(kinds, g)]
-    left = np.arange(len(g))
-    for j in np.argsort(rank):
-        left = left[own[left] > rank[j]]
-        if not len(left):
-            break
-        ok = qualify(left, order[start[j] : start[j] + size[j]], n, pos, t)
-        out[left[ok]] = kinds[j]
-        left = left[~ok]
-    return out
-
-
-def open_visits(n, pos, g, comp, whole, t: int):
-    """(row, group) cells of one token's run that can still connect components. ``comp`` is each
-    document's component, ``whole`` that of its group if it has one only."""
-    rows, groups = [], []
-    order = np.argsort(g, kind="stable")
-    kinds, start = np.unique(g[order], return_index=True)
-    for k, lo, hi in zip(kinds, start, [*start[1:], len(g)], strict=True):
-        x = np.flatnonzero((g > k) & (comp != whole[order[lo]]))
-        if len(x):
-            x = x[qualify(x, order[lo:hi], n, pos, t)]
-            rows.append(x)
-            groups.append(np.full(len(x), k))
-    return (np.concatenate(rows), np.concatenate(groups)) if rows else (np.empty(0, np.int64), np.empty(0, np.int64))
-
-
-def runs_of(batches, columns: int):
-    """Sorted Arrow batches as lists of columns, cut so that no run of the first column is split."""
-    carry = None
-    for b in batches:
-        cols = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(columns)]
-        if carry is not None:
-            cols = [np.concatenate(p) for p in zip(carry, cols, strict=True)]
-        cut = np.flatnonzero(np.diff(cols[0])) + 1
-        if not len(cut):
-            carry = cols
-            continue
-        carry = [c[cut[-1] :] for c in cols]
-        yield [c[: cut[-1]] for c in cols]
-    if carry is not None and len(carry[0]):
-        yield carry
+from pyspark.sql.window import Window
+
+from .common import broadcast_if_small, connected_components, materialize, mix, slices
+
+#: Shingles that a step holds as separate strings.
+STEP = 1 << 18
+
+
+def token_hash(seed: int):
+    """Hash of a shingle's bytes: fast for seed 0, keyed and cryptographic for the others."""
+    if seed == 0:
+        return xxhash.xxh3_64_intdigest
+    key = seed.to_bytes(8, "little")
+    return lambda s: int.from_bytes(hashlib.blake2b(s, digest_size=8, key=key).digest(), "little")
+
+
+class Shingles:
+    """The k-word shingles of a text by place, as slices of its normal form (A-Z lower-cased, one space
+    between words); fewer words are one shingle, no words none."""
+
+    def __init__(self, text: bytes | None, k: int):
+        self.text = b" ".join((text or b"").lower().split())
+        gaps = np.flatnonzero(np.frombuffer(self.text, np.uint8) == 32)
+        start, end = np.append(0, gaps + 1), np.append(gaps, len(self.text))
+        if not self.text:
+            start, end = start[:0], end[:0]
+        elif len(start) < k:
+            start, end = start[:1], end[-1:]
+        else:
+            start, end = start[: len(start) - k + 1], end[k - 1 :]
+        self.start, self.end = start, end
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def at(self, places: np.ndarray | slice) -> list[bytes]:
+        t = self.text
+        return [t[a:b] for a, b in zip(self.start[places].tolist(), self.end[places].tolist(), strict=True)]
+
+    def steps(self, places: np.ndarray):
+        for i in range(0, len(places), STEP):
+            yield self.at(places[i : i + STEP])
+
+    def tokens(self, seed: int = 0) -> np.ndarray:
+        """Token of the shingle at each place."""
+        h = token_hash(seed)
+        out = np.empty(len(self), np.uint64)
+        for i in range(0, len(self), STEP):
+            part = self.at(slice(i, i + STEP))
+            out[i : i + len(part)] = np.fromiter(map(h, part), np.uint64, len(part))
+        return out
+
+    def print(self) -> tuple[int, int]:
+        """128 bits that identify the normal form."""
+        return tuple(np.frombuffer(hashlib.blake2b(self.text, digest_size=16).digest(), np.int64).tolist())
+
+
+def distinct_tokens(sh: Shingles, tokens: np.ndarray) -> tuple[np.ndarray, int]:
+    """The distinct tokens, ascending, and the exact number of distinct shingles: places whose token comes
+    once hold different shingles, the others are compared."""
+    u, c = np.unique(tokens, return_counts=True)
+    if len(u) == len(tokens):
+        return u, len(u)
+    again = np.flatnonzero((c > 1)[np.searchsorted(u, tokens)])
+    kinds: set[bytes] = set()
+    for part in sh.steps(again):
+        kinds.update(part)
+    return u, int((c == 1).sum()) + len(kinds)
+
+
+def linked(a: Shingles, b: Shingles, tokens: tuple[np.ndarray, np.ndarray], t: int) -> bool:
+    """Whether two texts link, by their shingles' bytes. Equal shingles have equal tokens, so a pass
+    takes those of one residue and holds a bounded number of strings."""
+    passes = 1 + max(len(a), len(b)) // (4 * STEP)
+    both = whole = 0
+    for p in range(passes):
+        x, y = (set(s.at(slice(None) if passes == 1 else np.flatnonzero(k % np.uint64(passes) == p))) for s, k in zip((a, b), tokens, strict=True))
+        inter = len(x & y)
+        both, whole = both + inter, whole + len(x) + len(y) - inter
+    return 100 * both >= t * whole
+
+
+def least_shared(n, t: int):
+    """Tokens that a set of n shares at least with any set at t percent or more."""
+    return (t * n + 99) // 100
 
 
 class GroupUnion:
@@ -141,242 +143,174 @@ class GroupUnion:
         return np.bincount(self.owner[places], minlength=self.size)
 
 
-def rows_within_bounds(docs, prefixes, n, last, home, side, t: int) -> np.ndarray:
-    """Rows of one task that a pair needs whose prefixes leave the threshold possible. ``last`` is the
-    order of the last prefix token: all shared tokens up to the earlier of two are in both prefixes, so
-    the overlap is at most those shared plus what follows the prefix that ends first."""
-    members = np.flatnonzero(home)
-    group = GroupUnion([prefixes[i] for i in members])
-    rest = n - np.array([len(p) for p in prefixes], np.int64)
-    need = np.zeros(len(n), bool)
-    both = len(side) > 0 and side.min() != side.max()
-    m = n[members]
-    for q in range(len(n)):
-        may = (100 * np.minimum(m, n[q]) >= t * np.maximum(m, n[q])) & (docs[members] != docs[q])
-        if both:
-            may &= side[members] != side[q]
-        if not may.any() or (need[q] and need[members[may]].all()):
-            continue
-        shared = group.overlaps(group.hits(prefixes[q]))
-        follow = np.where(last[members] < last[q], rest[members], np.where(last[members] > last[q], rest[q], np.maximum(rest[members], rest[q])))
-        ok = members[may & (shared > 0) & ((100 + t) * (shared + follow) >= t * (m + n[q]))]
-        if len(ok):
-            need[q] = need[ok] = True
-    return need
-
-
-def link_group(docs, sets, home, side, t: int) -> np.ndarray:
-    """Smallest linked document of each set in one task. ``home`` marks the group's own members; pairs
-    are (home, home) and (home, guest), across the two sides where ``side`` isn't constant."""
+def link_group(label, sets, host, check, t: int) -> list[tuple[int, int]]:
+    """Linked pairs of rows that connect what one task can connect. ``label`` is each row's component as
+    known before; ``host`` marks the group's members. Without other rows members are the queries too.
+    ``check`` decides on a pair of rows for which the tokens allow a link."""
+    label = np.array(label, np.int64)
     sizes = np.array([len(s) for s in sets], np.int64)
-    label = docs.copy()
-    members = np.flatnonzero(home)
+    members = np.flatnonzero(host)
+    queries = np.arange(len(label)) if len(members) == len(label) else np.flatnonzero(~np.asarray(host))
     group = GroupUnion([sets[i] for i in members])
-    both = len(side) > 0 and side.min() != side.max()
-    m = sizes[members]
-    for q in np.argsort(docs, kind="stable"):
+    m, out = sizes[members], []
+    for q in queries:
         may = (label[members] != label[q]) & (100 * np.minimum(m, sizes[q]) >= t * np.maximum(m, sizes[q]))
-        if both:
-            may &= side[members] != side[q]
         if not may.any():
             continue
         hits = group.hits(sets[q])
         if 100 * len(hits) < t * sizes[q]:  # the group isn't opened
             continue
         inter = group.overlaps(hits)
-        linked = members[may & (100 * inter >= t * (m + sizes[q] - inter))]
-        for x in np.unique(label[linked]):
-            low, high = min(x, label[q]), max(x, label[q])
-            label[label == high] = low
-    return label
+        near = members[may & (100 * inter >= t * (m + sizes[q] - inter))]
+        while len(near):
+            x, near = near[0], near[1:]
+            if check(q, x):
+                out.append((int(q), int(x)))
+                label[label == label[x]] = label[q]
+                near = near[label[near] != label[q]]
+    return out
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block: int = 1_024, hot_limit: int = 400_000) -> DataFrame:
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block: int = 256, block_tokens: int = 500_000, shared: int = 3, hot_rows: int = 1_024, hot_limit: int = 500_000, seed: int = 0) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row.
 
     Two documents link when the Jaccard similarity of their sets of ``words``-word shingles (lower-cased
     A-Z, words between ASCII white space) is at least ``percent`` per cent, compared in integers. Null
-    and empty texts have no shingles and link with nothing. Equal sets always link. Rows that repeat an
-    id with another text are sets of their own. ``component_id`` is the smallest id reachable. A null id
-    takes part as the smallest value internally and is returned as null.
+    and empty texts have no shingles and link with nothing. Equal texts always link. Rows that repeat an
+    id with another text are sets of their own and connected by the id. ``component_id`` is the smallest id
+    reachable. A null id takes part as the smallest value internally and is returned as null.
+
+    ``shared`` is the number of prefix tokens that a visit needs, ``block`` and ``block_tokens`` bound a
+    group's members, and ``hot_limit`` the frequent tokens that the order knows: all of them only affect
+    speed.
     """
-    spark = docs.sparkSession
     t = percent
     low = -(1 << 63)
     src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(low)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def sets_of(batches, columns):
-        for b in slices(batches):
-            rest = [b.column(c) for c in range(columns - 1)]
-            yield rest, [shingle_set(x, words) for x in b.column(columns - 1).cast(pa.binary()).to_pylist()]
+    def shingles_of(column):
+        return [Shingles(x, words) for x in column.cast(pa.binary()).to_pylist()]
 
     def frequent(batches):
-        """Tokens that come often in a block of documents, with their counts there."""
+        """Tokens of two documents or more of a block, with their counts there."""
 
-        def flush(held, n_docs):
+        def flush(held):
             v, c = np.unique(np.concatenate(held), return_counts=True)
-            often = c >= max(4, n_docs // 2_000)
-            return pa.RecordBatch.from_arrays([pa.array(v[often].view(np.int64)), pa.array(c[often].astype(np.int64))], ["tok", "c"])
-
-        held, size, n_docs = [], 0, 0
-        for _, sets in sets_of(batches, 1):
-            held += sets
-            size, n_docs = size + sum(map(len, sets)), n_docs + len(sets)
-            if size > 1_000_000:
-                yield flush(held, n_docs)
-                held, size, n_docs = [], 0, 0
+            return pa.RecordBatch.from_arrays([pa.array(v[c > 1].view(np.int64)), pa.array(c[c > 1].astype(np.int64))], ["tok", "c"])
+
+        held, size = [], 0
+        for b in slices(batches, 64):
+            held += [np.unique(s.tokens(seed)) for s in shingles_of(b.column(0))]
+            size += sum(map(len, held[-b.num_rows :]))
+            if size > 2_000_000:
+                yield flush(held)
+                held, size = [], 0
         if held:
-            yield flush(held, n_docs)
+            yield flush(held)
 
     # Only the order depends on this list, so its bound can't lose a link.
-    top = src.select("text").mapInArrow(frequent, "tok bigint, c bigint").groupBy("tok").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "tok").limit(hot_limit)
-    hot = np.sort(np.array([r["tok"] for r in top.select("tok").collect()], np.int64).view(np.uint64))
+    top = src.select("text").mapInArrow(frequent, "tok bigint, c bigint").groupBy("tok").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "tok").limit(hot_limit).toArrow()
+    hot, level = top["tok"].to_numpy().view(np.uint64), np.log2(np.maximum(top["c"].to_numpy(), 1)).astype(np.uint8)
+    hot, level = hot[np.argsort(hot)], level[np.argsort(hot)]
+    del top
 
     def sign(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("g", pa.int64()), ("last", pa.int64()), ("prefix", pa.list_(pa.int64()))])
-        for (ids,), sets in sets_of(batches, 2):
-            cols = {"n": [], "f1": [], "f2": [], "g": [], "last": [], "prefix": []}
-            for u in sets:
-                n = len(u)
-                f1, f2 = set_print(u)
-                if n:
-                    at = np.minimum(np.searchsorted(hot, u), max(len(hot) - 1, 0))
-                    is_hot = hot[at] == u if len(hot) else np.zeros(n, bool)
-                    size = prefix_size(n, t)
-                    prefix = np.concatenate((u[~is_hot], u[is_hot]))[:size].view(np.int64)
-                    # rank in the global order: frequent tokens after all others
-                    last = (int(size > n - is_hot.sum()) << 62) | (int(prefix[-1:].view(np.uint64)[0]) >> 2)
-                else:
-                    prefix, last = np.empty(0, np.int64), 0
-                for k, v in (("n", n), ("f1", f1), ("f2", f2), ("g", int(u[:1].view(np.int64)[0]) if n else 0), ("last", last), ("prefix", prefix)):
-                    cols[k].append(v)
-            yield pa.RecordBatch.from_pydict({"doc_id": ids, **cols}, schema=schema)
-
-    signed = materialize(src.select("doc_id", "text").mapInArrow(sign, "doc_id bigint, n bigint, f1 bigint, f2 bigint, g bigint, last bigint, prefix array<bigint>"))
-    light = signed.select("doc_id", "n", "f1", "f2", "g")
-    reps = materialize(light.where("n > 0").groupBy("n", "f1", "f2", "g").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")))
-    copies = materialize(reps.where("c > 1").select("f1", "f2", "rep"), light=True)
-    # Prefix tokens of representatives: a copy isn't the smallest id of its set.
-    mine = signed.where("n > 0").join(checked_broadcast(copies, 48), ["f1", "f2"], "left").where("rep IS NULL OR doc_id = rep")
-    tokens = mine.select("doc_id", "n", "g", F.posexplode("prefix").alias("pos", "tok"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tokens = tokens.repartition(parts, "tok").sortWithinPartitions("tok").select("tok", "doc_id", "n", "pos", "g")
-
-    def meetings(batches):
-        """Tokens that documents of two groups or more share, with each document's first visit."""
-        names = ["tok", "doc_id", "n", "pos", "g", "first"]
-        for tok, doc, n, pos, g in runs_of(batches, 5):
-            edge = np.concatenate(([0], np.flatnonzero(np.diff(tok)) + 1, [len(tok)]))
-            size = np.diff(edge)
-            first, keep = g.copy(), np.zeros(len(g), bool)
-            two = edge[:-1][size == 2]  # most runs have two documents: all at once
-            x = np.where(g[two] > g[two + 1], two, two + 1)
-            y = 2 * two + 1 - x
-            room = np.minimum(n[x] - pos[x], n[y] - pos[y])
-            ok = (g[x] != g[y]) & (100 * np.minimum(n[x], n[y]) >= t * np.maximum(n[x], n[y])) & (room * (100 + t) >= t * (n[x] + n[y]))
-            first[x[ok]] = g[y[ok]]
-            keep[x[ok]] = keep[y[ok]] = True
-            for i in np.flatnonzero(size > 2):
-                r = slice(edge[i], edge[i + 1])
-                if (g[r] != g[edge[i]]).any():
-                    first[r] = first_visits(n[r], pos[r], g[r], t)
-                    keep[r] = (first[r] != g[r]).any()
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (tok, doc, n, pos, g, first)], names)
-
-    def visits(batches):
-        for tok, doc, n, pos, g, comp, whole in runs_of(batches, 7):
-            edge = np.concatenate(([0], np.flatnonzero(np.diff(tok)) + 1, [len(tok)]))
-            d, k = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-                r = slice(lo, hi)
-                rows, groups = open_visits(n[r], pos[r], g[r], comp[r], whole[r], t)
-                d.append(doc[r][rows])
-                k.append(groups)
-            pairs = np.unique(np.stack((np.concatenate(d), np.concatenate(k)), 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["doc_id", "g"])
-
-    met = materialize(tokens.mapInArrow(meetings, "tok bigint, doc_id bigint, n bigint, pos bigint, g bigint, first bigint"))
-    prints = reps.select(F.col("rep").alias("doc_id"), "f1")
-    members = reps.select(F.col("rep").alias("doc_id"), "f1", "g")
-
-    def lists_of(table, name):
-        lists = table[name].combine_chunks()
-        ends = np.cumsum(lists.value_lengths().to_numpy())
-        return np.split(lists.flatten().to_numpy().view(np.uint64), ends[:-1])
-
-    def bound(key, table):
-        docs_, n, last, home, side = (table[c].to_numpy() for c in ("doc_id", "n", "last", "home", "side"))
-        need = rows_within_bounds(docs_, lists_of(table, "prefix"), n, last, home, side, t)
-        return table.select(["doc_id", "f1", "g", "p", "q", "home", "side"]).filter(pa.array(need))
+        schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "n", "kinds", "f1", "f2", "g1", "g2", "cold")] + [("prefix", pa.list_(pa.int64()))])
+        for b in slices(batches, 64):
+            cols = {c: [] for c in schema.names[1:]}
+            for sh in shingles_of(b.column(1)):
+                u, n = distinct_tokens(sh, sh.tokens(seed))
+                f1, f2 = sh.print()
+                own = np.zeros(len(u), np.uint8)
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot, u), len(hot) - 1)
+                    own = np.where(hot[at] == u, level[at], own)
+                order = np.lexsort((u, own))
+                least = least_shared(len(u), t)
+                order = order[: len(u) - least + min(shared, least)]
+                g = (int(u[0]), int(mix(mix(u ^ np.uint64(0xA5A5A5A5A5A5A5A5)).min()))) if n else (0, 0)
+                row = (n, len(u), f1, f2, *np.array(g, np.uint64).view(np.int64).tolist(), int((own[order] < np.log2(hot_rows)).sum()), u[order].view(np.int64))
+                for c, v in zip(schema.names[1:], row, strict=True):
+                    cols[c].append(v)
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), **cols}, schema=schema)
+
+    signed = materialize(src.mapInArrow(sign, "doc_id bigint, n bigint, kinds bigint, f1 bigint, f2 bigint, g1 bigint, g2 bigint, cold bigint, prefix array<bigint>"))
+    if signed.where("n <> kinds").take(1):
+        return ngram_join(docs, id_col, text_col, words, percent, block, block_tokens, shared, hot_rows, hot_limit, seed + 1)
+    light = signed.select("doc_id", "n", "f1", "f2")
+    reps = materialize(light.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("c")))
+    copies = broadcast_if_small(materialize(reps.where("c > 1").select("f1", "f2", "rep")))
+    mine = signed.where("n > 0").join(copies, ["f1", "f2"], "left").where("rep IS NULL OR doc_id = rep")
+    members = materialize(mine.select("doc_id", "f1", "n", "g1", "g2").distinct())
 
     def compare(key, table):
-        docs_ = table["doc_id"].to_numpy()
-        label = link_group(docs_, lists_of(table, "tokens"), table["home"].to_numpy(), table["side"].to_numpy(), t)
-        far = label != docs_
-        return pa.table({"src": docs_[far], "dst": label[far]})
-
-    def whole_sets(batches):
-        for (ids, f1, at), sets in sets_of(batches, 4):
-            same = pa.array([set_print(u)[0] == f for u, f in zip(sets, f1.to_pylist(), strict=True)], pa.bool_())  # else another text under the same id
-            tokens_ = pa.array([u.view(np.int64) for u in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, at, tokens_], ["doc_id", "at", "tokens"]).filter(same)
-
-    place = F.struct("g", "p", "q", "home", "side")
-    place_type = "struct<g: bigint, p: int, q: int, home: boolean, side: int>"
-    row_ddl = "doc_id bigint, f1 bigint, g bigint, p int, q int, home boolean, side int"
-
-    def per_document(tasks: DataFrame) -> DataFrame:
-        return checked_broadcast(materialize(tasks.groupBy("doc_id", "f1").agg(F.collect_list(place).alias("at")), light=True), 160)
-
-    def links(tasks: DataFrame) -> DataFrame:
-        """Edges found by the tasks (doc_id, f1, g, p, q, home, side): bounds from prefixes first, then
-        whole sets of the rows that are still needed."""
-        near = signed.join(per_document(tasks), ["doc_id", "f1"]).select("doc_id", "f1", "n", "last", "prefix", F.explode("at").alias("a"))
-        near = near.select("doc_id", "f1", "n", "last", "prefix", "a.*").groupBy("g", "p", "q").applyInArrow(bound, row_ddl)
-        texts = src.join(per_document(near), "doc_id").select("doc_id", "f1", "at", "text")
-        sets = texts.mapInArrow(whole_sets, f"doc_id bigint, at array<{place_type}>, tokens array<bigint>").select("doc_id", "tokens", F.explode("at").alias("a"))
-        return materialize(sets.select("doc_id", "tokens", "a.*").groupBy("g", "p", "q").applyInArrow(compare, "src bigint, dst bigint"))
-
-    # Round 1: members of a group, and each document's most promising visit. A group of k blocks has k
-    # tasks: the first block with each of the others.
-    best = met.where("first <> g").groupBy("doc_id", F.col("first").alias("g")).agg(F.count("*").alias("c"))
-    best = best.groupBy("doc_id").agg(F.max_by("g", F.struct("c", "g")).alias("g")).join(prints, "doc_id")
-    best = materialize(best.select("doc_id", "f1", "g"), light=True)
-    entries = members.withColumn("home", F.lit(True)).unionByName(best.withColumn("home", F.lit(False)))
-    sizes = entries.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
-    b = F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int")
-    dealt = entries.join(sizes, "g").withColumn("k", F.ceil(F.col("c") / F.lit(block)).cast("int")).withColumn("b", b)
-    q = F.when(F.col("b") == 0, F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array("b"))
-    edges = links(dealt.select("doc_id", "f1", "g", F.lit(0).alias("p"), F.explode(q).alias("q"), "home", F.lit(0).alias("side")))
-    found = materialize(connected_components(edges), light=True)
-
-    # Round 2: what round 1 left open. Of each group, the visitors that aren't known to be connected with
-    # all of it, and the members outside its largest component are compared with all members. In a group
-    # that is one component, as a large group of near copies now is, nothing is left to do.
-    named = checked_broadcast(found.select(F.col("node").alias("doc_id"), "component"), 32)
-    known = lambda df: df.join(named, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    at_home = known(members)
-    parts_ = at_home.groupBy("g", "component").agg(F.count("*").alias("n"))
-    whole = materialize(parts_.groupBy("g").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("parts"), F.sum("n").alias("nh")), light=True)
-    closed = best.join(sizes.where(F.col("c") <= block).select("g"), "g", "left_semi").select("doc_id", "g")  # met all members
-    one = checked_broadcast(whole.select("g", F.when(F.col("parts") == 1, F.col("major")).alias("whole")), 32)
-    again = known(met.select("tok", "doc_id", "n", "pos", "g")).join(one, "g").withColumn("whole", F.coalesce("whole", F.lit(low + 1)))  # no component
-    again = again.repartition(parts, "tok").sortWithinPartitions("tok").select("tok", "doc_id", "n", "pos", "g", "component", "whole")
-    guests = again.mapInArrow(visits, "doc_id bigint, g bigint").distinct().join(closed, ["doc_id", "g"], "left_anti")
-    open_guests = guests.join(prints, "doc_id").select("doc_id", "f1", "g")
-    minor = at_home.join(whole.where("parts > 1 AND nh > 1"), "g").where("component <> major").join(sizes.where(F.col("c") > block).select("g"), "g", "left_semi").select("doc_id", "f1", "g")
-    asking = materialize(open_guests.unionByName(minor), light=True)
-    blocks = asking.groupBy("g").agg(F.count("*").alias("nr")).join(whole.select("g", "nh"), "g")
-    blocks = materialize(blocks.select("g", F.ceil(F.col("nr") / block).cast("int").alias("kr"), F.ceil(F.col("nh") / block).cast("int").alias("kh")), light=True)
-    mod = lambda k: F.pmod(F.xxhash64("doc_id"), F.col(k)).cast("int")
-    upto = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    visitors = asking.join(blocks, "g").select("doc_id", "f1", "g", mod("kr").alias("p"), upto("kh").alias("q"), F.lit(False).alias("home"), F.lit(0).alias("side"))
-    hosts = members.join(blocks, "g").select("doc_id", "f1", "g", upto("kr").alias("p"), mod("kh").alias("q"), F.lit(True).alias("home"), F.lit(1).alias("side"))
-    more = links(visitors.unionByName(hosts))
-    edges = found.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more)
+        ids, label, host = (table[c].to_numpy() for c in ("doc_id", "label", "host"))
+        texts = shingles_of(table["text"].combine_chunks())
+        same = [s.print()[0] == f for s, f in zip(texts, table["f1"].to_pylist(), strict=True)]  # else another text of the id
+        rows = np.flatnonzero(same)
+        texts, ids, label, host = [texts[i] for i in rows], ids[rows], label[rows], host[rows]
+        tokens = [s.tokens(seed) for s in texts]
+        found = link_group(label, [np.unique(x) for x in tokens], host, lambda q, x: linked(texts[q], texts[x], (tokens[q], tokens[x]), t), t)
+        return pa.table({"src": pa.array([ids[q] for q, _ in found], pa.int64()), "dst": pa.array([ids[x] for _, x in found], pa.int64())})
+
+    def links(tasks: DataFrame, *key: str) -> DataFrame:
+        """Linked pairs found by tasks of (doc_id, f1, label, host), one for each value of ``key``."""
+        tasks = broadcast_if_small(materialize(tasks))
+        return materialize(src.join(tasks, "doc_id").groupBy(*key).applyInArrow(compare, "src bigint, dst bigint"))
+
+    def blocks_of(rows, tokens):
+        return F.greatest(F.ceil(rows / F.lit(block)), F.ceil(tokens / F.lit(block_tokens))).cast("int")
+
+    dealt = lambda k: F.pmod(F.xxhash64("doc_id"), F.col(k)).cast("int")
+
+    # Round 1. A group of k blocks has k tasks: the first block with each of the others.
+    entries = members.select("doc_id", "f1", "n", F.explode(F.array_distinct(F.array("g1", "g2"))).alias("g"))
+    sizes = entries.groupBy("g").agg(F.count("*").alias("c"), blocks_of(F.count("*"), F.sum("n")).alias("k")).where("c > 1").select("g", "k")
+    entries = entries.join(broadcast_if_small(materialize(sizes)), "g").withColumn("b", dealt("k"))
+    at = F.when(F.col("b") == 0, F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array("b"))
+    first = links(entries.select("doc_id", "f1", "g", F.explode(at).alias("q"), F.col("doc_id").alias("label"), F.lit(True).alias("host")), "g", "q")
+
+    # Round 2. Documents outside any component are one of their own.
+    found = connected_components(first).withColumnRenamed("node", "doc_id")
+    found = materialize(found)
+    parts = found.groupBy("component").agg(F.count("*").alias("members")).join(found, "component").join(members.select("doc_id", "n"), "doc_id")
+    width = materialize(parts.groupBy("component").agg(F.first("members").alias("members"), blocks_of(F.count("*"), F.sum("n")).alias("k")))
+    known = broadcast_if_small(materialize(found.join(width, "component").select("doc_id", "component", "members", dealt("k").alias("blk"))))
+
+    def placed(df: DataFrame) -> DataFrame:
+        df = df.join(known, "doc_id", "left")
+        return df.withColumns({"component": F.coalesce("component", "doc_id"), "members": F.coalesce("members", F.lit(1).cast("long")), "blk": F.coalesce("blk", F.lit(0))})
+
+    posts = placed(mine.select("doc_id", "f1", "n", "cold", "prefix"))
+    posts = posts.select("doc_id", "f1", "n", "cold", "component", "members", "blk", F.posexplode("prefix").alias("pos", "tok"))
+    by = Window.partitionBy("tok")
+    rare = posts.where("pos < cold").withColumn("open", F.min("component").over(by) < F.max("component").over(by)).where("open").drop("open")
+    often = posts.where("pos >= cold")  # of a bounded list; a token may have very many rows
+    mixed = often.groupBy("tok").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("tok")
+    often = often.join(broadcast_if_small(materialize(mixed)), "tok", "left_semi").select(rare.columns)
+    met = materialize(rare.unionByName(often).withColumn("room", F.col("n") - F.col("pos") + F.lit(shared - 1)))
+    groups = met.groupBy("tok", "component", "blk", "members").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("room").alias("wide"))
+    groups = groups.select("tok", F.col("component").alias("at"), F.col("blk").alias("at_blk"), F.col("members").alias("crowd"), "low", "high", "wide")
+    meets = (
+        ((F.col("members") < F.col("crowd")) | ((F.col("members") == F.col("crowd")) & (F.col("component") < F.col("at"))))
+        & (100 * F.col("high") >= t * F.col("n"))
+        & (100 * F.col("n") >= t * F.col("low"))
+        & (F.least("room", "wide") * (100 + t) >= t * (F.col("n") + F.col("low")))
+    )
+    cells = met.join(groups, "tok").where(meets).groupBy("doc_id", "f1", "n", "component", "at", "at_blk").agg(F.count("*").alias("c"), F.min("low").alias("low"))
+    least = lambda c: F.ceil(t * F.col(c) / F.lit(100))
+    visits = materialize(cells.where(F.col("c") >= F.least(F.lit(shared), least("n"), least("low"))).select("doc_id", "f1", "n", "component", "at", "at_blk"))
+    open_ = visits.groupBy("at", "at_blk").agg(blocks_of(F.count("*"), F.sum("n")).alias("k"))
+    open_ = broadcast_if_small(materialize(open_))
+    guests = visits.join(open_, ["at", "at_blk"]).select("doc_id", "f1", "at", "at_blk", dealt("k").alias("q"), F.col("component").alias("label"), F.lit(False).alias("host"))
+    hosts = placed(members.select("doc_id", "f1")).withColumnsRenamed({"component": "at", "blk": "at_blk"}).join(open_, ["at", "at_blk"])
+    hosts = hosts.select("doc_id", "f1", "at", "at_blk", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("q"), F.col("at").alias("label"), F.lit(True).alias("host"))
+    second = links(guests.unionByName(hosts), "at", "at_blk", "q")
+
+    edges = found.select(F.col("doc_id").alias("src"), F.col("component").alias("dst")).unionByName(second)
     comp = connected_components(edges).withColumnRenamed("node", "rep")
-    rep = reps.join(comp, "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
-    out = light.join(rep, ["n", "f1", "f2"], "left")
+    rep = reps.join(comp, "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
+    out = light.join(rep, ["f1", "f2"], "left")
     back = lambda c: F.when(c != low, c)
     return out.select(back(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(F.coalesce("component_id", "doc_id")).alias("component_id"))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, materialize, mix, powers, slices, word_hashes
+from .common import broadcast_if_small, materialize, mix, powers, slices, word_hashes
 
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -239,11 +239,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     distinct = shared(units)
     crowd = max(hot_units, distinct.count() // 1_000_000)  # so that at most a million anchors are crowded
-    crowded = materialize(distinct.where(F.col("n") > crowd).select("anchor").distinct(), light=True)
+    crowded = materialize(distinct.where(F.col("n") > crowd).select("anchor").distinct())
     if crowded.take(1):
-        many = units.join(checked_broadcast(crowded, 16), "anchor", "left_semi")
+        many = units.join(broadcast_if_small(crowded), "anchor", "left_semi")
         single = materialize(with_text(many, F.struct("first", "last")).mapInArrow(one_window_units, unit_ddl))
-        units = units.join(checked_broadcast(crowded, 16), "anchor", "left_anti").unionByName(single)
+        units = units.join(broadcast_if_small(crowded), "anchor", "left_anti").unionByName(single)
         distinct = distinct.where(F.col("n") <= crowd).unionByName(shared(single))
 
     def words_of_units(batches):

@@ -18,7 +18,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, materialize, shared_dir
+from .common import broadcast_if_small, materialize, shared_dir
 
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -124,7 +124,7 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     again = light.join(first, ["d", "n"]).where("NOT id <=> refers").groupBy("_key", "d", "n").agg(F.min("refers").alias("refers"))
     again = materialize(again)
     rows = pages.select(*own, F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    rows = rows.join(checked_broadcast(again, 80), ["_key", "d", "n"], "left").select("id", "url", "html", "refers")
+    rows = rows.join(broadcast_if_small(again), ["_key", "d", "n"], "left").select("id", "url", "html", "refers")
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
 
     def write(batches):

@@ -103,6 +103,36 @@ def test_ngram_join_equals_brute_force(spark, block):
         assert {d: (got[d]["n_shingles"], got[d]["component_id"]) for d in want} == want
 
 
+def thue_morse(bits):
+    """Two words of 2**bits letters that a polynomial modulo 2**64 over them can't tell apart."""
+    one = [bin(i).count("1") % 2 for i in range(1 << bits)]
+    return "".join("ab"[x] for x in one), "".join("ba"[x] for x in one)
+
+
+def test_words_that_hash_alike_stay_apart(spark):
+    x, y = thue_morse(10)
+    rest = text(80, 7).split()
+    docs = [(1, " ".join(f"{w} {x}" for w in rest)), (2, " ".join(f"{w} {y}" for w in rest)), (3, " ".join(f"{w} {x}" for w in rest[:-1]) + " end"), (4, f"{x} {y} " * 40), (5, f"{y} {x} " * 40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = by_id(ngram_join.ngram_join(df, words=4, percent=85))
+    want = brute_components(docs, 4, 85)
+    assert {d: (got[d]["n_shingles"], got[d]["component_id"]) for d in want} == want
+    got = by_id(substring_dedup.substring_dedup(df))
+    for i, kept in brute_removed(docs, 50).items():
+        assert got[i]["kept_text"] == " ".join(kept)
+
+
+@pytest.mark.parametrize("bits", [8, 20])
+def test_ngram_join_under_a_bad_hash(spark, monkeypatch, bits):
+    """Tokens of few bits for the first hash: links, sizes and components stay those of the words."""
+    real = ngram_join.token_hash
+    monkeypatch.setattr(ngram_join, "token_hash", lambda seed: (lambda s, h=real(seed): h(s) & ((1 << bits) - 1)) if seed == 0 else real(seed))
+    docs = [(i, " ".join(text(40, i % 9).split()[: 39 - i % 3] + [f"e{i % 4}"])) for i in range(40)]
+    got = by_id(ngram_join.ngram_join(spark.createDataFrame(docs, "doc_id long, text string"), words=4, percent=85))
+    want = brute_components(docs, 4, 85)
+    assert {d: (got[d]["n_shingles"], got[d]["component_id"]) for d in want} == want
+
+
 def test_ngram_join_odd_rows(odd, none):
     got = by_id(ngram_join.ngram_join(odd))
     assert got[2]["component_id"] is None and got[None]["component_id"] is None  # a null id is the smallest

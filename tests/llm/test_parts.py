@@ -146,23 +146,63 @@ def test_kneser_ney_sums_to_one_and_matches_plain_code():
             assert abs(total + unseen - 1) < 1e-5
 
 
-def test_group_links_and_bounds_equal_brute_force():
+def noisy_sets(n=40):
     base = np.unique(RNG.integers(0, 1 << 62, 200).astype(np.uint64))
-    sets = []
-    for _ in range(40):
-        keep = base[RNG.random(len(base)) > RNG.choice([0.02, 0.08, 0.3])]
-        sets.append(np.unique(np.concatenate((keep, RNG.integers(0, 1 << 62, 5).astype(np.uint64)))))
-    docs = RNG.permutation(1000)[:40]
-    home = np.ones(40, bool)
-    pairs = [(docs[i], docs[j]) for i in range(40) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))]
-    want = union_find([(d, d) for d in docs] + pairs)
-    label = ngram_join.link_group(docs, sets, home, np.zeros(40, int), 85)
-    assert dict(zip(docs, label, strict=True)) == want
-    n = np.array([len(s) for s in sets])
-    prefixes = [s[: ngram_join.prefix_size(len(s), 85)] for s in sets]
-    last = np.array([int(p[-1] >> np.uint64(2)) for p in prefixes])
-    need = ngram_join.rows_within_bounds(docs, prefixes, n, last, home, np.zeros(40, int), 85)
-    assert all(need[list(docs).index(d)] for p in pairs for d in p)
+    keep = lambda: base[RNG.random(len(base)) > RNG.choice([0.02, 0.08, 0.3])]
+    return [np.unique(np.concatenate((keep(), RNG.integers(0, 1 << 62, 5).astype(np.uint64)))) for _ in range(n)]
+
+
+def test_group_links_equal_brute_force():
+    sets = noisy_sets()
+    is_link = lambda i, j: bool(100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j])))
+    pairs = [(i, j) for i in range(40) for j in range(i) if is_link(i, j)]
+    want = union_find([(i, i) for i in range(40)] + pairs)
+    asked = []
+    found = ngram_join.link_group(np.arange(40), sets, np.ones(40, bool), lambda q, x: asked.append((q, x)) or is_link(q, x), 85)
+    assert all(is_link(q, x) for q, x in found) and len(found) < 40
+    assert union_find([(i, i) for i in range(40)] + found) == want
+    host = np.arange(40) < 15
+    label = np.where(host, 100, np.arange(40))
+    found = ngram_join.link_group(label, sets, host, is_link, 85)
+    assert {q for q, _ in found} == {q for q in range(15, 40) if any(is_link(q, x) for x in range(15))}
+    # a link that the words refuse isn't made, and the next member is asked
+    refuse = ngram_join.link_group(np.arange(40), sets, np.ones(40, bool), lambda q, x: x > 3 and q > 3 and is_link(q, x), 85)
+    assert union_find([(i, i) for i in range(40)] + refuse) == union_find([(i, i) for i in range(40)] + [p for p in pairs if min(p) > 3])
+
+
+def test_prefixes_of_similar_sets_share_enough():
+    sets = noisy_sets(60)
+    for shared in (1, 3):
+        cut = [s[: len(s) - ngram_join.least_shared(len(s), 85) + min(shared, ngram_join.least_shared(len(s), 85))] for s in sets]
+        for i in range(60):
+            for j in range(i):
+                if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j])):
+                    assert len(np.intersect1d(cut[i], cut[j])) >= shared
+
+
+def test_shingles_are_exact():
+    texts = [b"", b" ", b"One", b"one  two\tthree", b"a b c d a b c d a b c", b"x " * 3000, "É é ü a b".encode()]
+    for t in texts:
+        w = t.lower().split()
+        want = {b" ".join(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else ({b" ".join(w)} if w else set())
+        sh = ngram_join.Shingles(t, 3)
+        assert set(sh.at(slice(None))) == want
+        u, n = ngram_join.distinct_tokens(sh, sh.tokens())
+        assert n == len(want) == len(u)
+        few = sh.tokens() % np.uint64(2)
+        assert ngram_join.distinct_tokens(sh, few)[1] == len(want)
+    a, b = ngram_join.Shingles(b"a b c d e f g h", 2), ngram_join.Shingles(b"a b c d e f g x", 2)
+    assert ngram_join.linked(a, b, (a.tokens(), b.tokens()), 75) and not ngram_join.linked(a, b, (a.tokens(), b.tokens()), 76)
+
+
+def test_long_texts_are_compared_in_passes(monkeypatch):
+    monkeypatch.setattr(ngram_join, "STEP", 7)
+    words = [f"w{i % 50}" for i in range(200)]
+    a, b = (ngram_join.Shingles(" ".join(w).encode(), 3) for w in (words, words[3:]))
+    whole = lambda s: set(s.at(slice(None)))
+    j = 100 * len(whole(a) & whole(b)) // len(whole(a) | whole(b))
+    assert ngram_join.linked(a, b, (a.tokens(), b.tokens()), j) and not ngram_join.linked(a, b, (a.tokens(), b.tokens()), j + 1)
+    assert ngram_join.distinct_tokens(a, a.tokens())[1] == len(whole(a))
 
 
 def test_link_counts_once_across_cells():
