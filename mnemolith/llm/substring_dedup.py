@@ -3,10 +3,12 @@
 Windows of ``window`` words are placed by content: the smallest hash of an 8-word run inside a window
 is its anchor, so equal windows share one. Windows of a document that follow each other and share an
 anchor form a unit. Anchors met in one document only end there. Of the others, each distinct unit
-goes once to the shard of its anchor, with the smallest document it stands in.
+goes once to the shard of its anchor, with its words and the smallest document it stands in. Anchors only
+place units: units count as equal by a 128-bit cryptographic digest of their words, and shards compare the
+words themselves.
 
-A shard joins its units to one text over words, sorts its suffixes, and keeps the Burrows-Wheeler
-transform as a wavelet matrix with rank counts. Every unit is then streamed through backward search,
+A shard numbers its words, joins its units to one text over them, sorts its suffixes, and keeps the
+Burrows-Wheeler transform as a wavelet matrix with rank counts. Every unit is then streamed through backward search,
 which yields matching statistics cut off at the window: at each place the suffix interval of the
 window, and from it the smallest document where the window starts. Documents read their units'
 statistics back and drop the words of windows that start in a smaller document.
@@ -56,12 +58,35 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
+class Words:
+    """A text's words with one space between them, and where each starts and ends."""
+
+    def __init__(self, text: bytes | None):
+        self.text = b" ".join((text or b"").split())
+        gaps = np.flatnonzero(np.frombuffer(self.text, np.uint8) == 32)
+        self.start, self.end = np.append(0, gaps + 1), np.append(gaps, len(self.text))
+        if not self.text:
+            self.start, self.end = self.start[:0], self.end[:0]
+
+    def spans(self, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+        """The words first .. last - 1 of each pair."""
+        t = self.text
+        return [t[a:b] for a, b in zip(self.start[first].tolist(), self.end[last - 1].tolist(), strict=True)]
+
+    def digests(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """128 bits of each span, as two columns."""
+        return digests_of(self.spans(first, last))
+
+
+def digests_of(spans: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(hashlib.blake2b(s, digest_size=16).digest() for s in spans), np.int64).reshape(-1, 2)
+
+
 def units_of(h: np.ndarray, window: int, chunk: int = 1 << 20):
-    """(anchor, content, first, last) arrays of a text's units; first and last are window starts."""
+    """(anchor, first, last) arrays of a text's units; first and last are window starts."""
     n = len(h) - window + 1
-    empty = np.empty(0, np.uint64)
     if n <= 0:
-        return empty, empty, np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     runs = RunHashes(h)
     at = np.arange(len(h) - RUN + 1)
     v = runs.of(at, at + RUN)
@@ -73,7 +98,7 @@ def units_of(h: np.ndarray, window: int, chunk: int = 1 << 20):
     anchor = np.concatenate(places)[:n]
     first = np.concatenate(([0], np.flatnonzero(np.diff(anchor)) + 1))
     last = np.append(first[1:], n) - 1
-    return v[anchor[first]], runs.of(first, last + window), first, last
+    return v[anchor[first]], first, last
 
 
 class WaveletMatrix:
@@ -179,44 +204,54 @@ def window_owners(units: list[np.ndarray], docs: np.ndarray, window: int) -> lis
     return np.split(out, end[:-1])
 
 
-def word_list(text: bytes | None) -> list[bytes]:
-    return (text or b"").split()
+def numbered(units: list[bytes]) -> list[np.ndarray]:
+    """Units of words as arrays of word numbers: equal numbers are equal words."""
+    ids: dict[bytes, int] = {}
+    return [np.array([ids.setdefault(w, len(ids) + 1) for w in u.split(b" ")], np.uint64) for u in units]
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, shard_words: int = 1_000_000, hot_units: int = 20_000) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256, kept_text`` for every row.
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, shard_words: int = 1_000_000, hot_units: int = 2_000, texts: bool = True) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_sha256, kept_text`` for every row; no ``kept_text`` if not ``texts``.
 
     Words stand between ASCII white space. Each word covered by a window that also starts in a document
     with a smaller id is removed; windows are judged on the input. Null and empty texts, and texts of
     fewer words than a window, lose nothing. Rows that share an id are one document, so they take
     nothing from each other; a null id counts as the smallest and is returned as null.
+
+    An anchor with more than ``hot_units`` distinct units is split: its windows are placed by what they hold.
     """
     spark = docs.sparkSession
     low = -(1 << 63)
     text = F.col(text_col).cast("string")
-    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(low)).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    names = ["doc_id", "th", "anchor", "content", "first", "last"]
-    unit_ddl = "doc_id bigint, th bigint, anchor bigint, content bigint, first bigint, last bigint"
+    own = F.conv(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 15), 16, 10).cast("long")  # tells rows of one id apart
+    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(low)).alias("doc_id"), own.alias("th"), text.alias("text"))
+    names = ["doc_id", "th", "anchor", "c1", "c2", "first", "last"]
+    unit_ddl = ", ".join(f"{n} bigint" for n in names)
 
     def batch_of(cols):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64, copy=False) if c[0].dtype != np.uint64 else np.concatenate(c).view(np.int64)) for c in cols], names)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names)
+
+    def add_units(cols, i, th, anchor, words, first, last):
+        c = words.digests(first, last + window)
+        for col, v in zip(cols, (np.full(len(first), i), np.full(len(first), th), c[:, 0] if anchor is None else anchor.view(np.int64), c[:, 0], c[:, 1], first, last), strict=True):
+            col.append(v)
 
     def find_units(batches):
         for b in slices(batches):
             cols = [[np.empty(0, np.int64)] for _ in names]
             for i, th, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                anchor, content, first, last = units_of(word_hashes(t), window)
-                for c, v in zip(cols, (np.full(len(first), i), np.full(len(first), th), anchor.view(np.int64), content.view(np.int64), first, last), strict=True):
-                    c.append(v)
+                anchor, first, last = units_of(word_hashes(t), window)
+                if len(first):
+                    add_units(cols, i, th, anchor, Words(t), first, last)
             yield batch_of(cols)
 
-    units = materialize(src.select("doc_id", "th", "text").mapInArrow(find_units, unit_ddl))
+    units = materialize(src.mapInArrow(find_units, unit_ddl))
 
     def shared(u: DataFrame) -> DataFrame:
         """Distinct units (anchor, content) whose anchor stands in two documents or more, each with its
         first place; ``n`` counts those of the anchor. Copies are combined before anything is joined."""
         first = F.min(F.struct("doc_id", "th", "first", "last")).alias("at")
-        each = materialize(u.groupBy("anchor", "content").agg(first, F.max("doc_id").alias("most")))
+        each = materialize(u.groupBy("anchor", "c1", "c2").agg(first, F.max("doc_id").alias("most")))
         by = each.groupBy("anchor").agg(F.min("at.doc_id").alias("a"), F.max("most").alias("b"), F.count("*").alias("n")).where("a < b")
         return materialize(each.drop("most").join(by.select("anchor", "n"), "anchor"))
 
@@ -230,72 +265,61 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for b in slices(batches):
             cols = [[np.empty(0, np.int64)] for _ in names]
             for i, th, at, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).cast(pa.binary()).to_pylist(), strict=True):
-                runs = RunHashes(word_hashes(t))
                 s = np.concatenate([np.arange(r["first"], r["last"] + 1) for r in at])
-                content = runs.of(s, s + window)
-                for c, v in zip(cols, (np.full(len(s), i), np.full(len(s), th), mix(content).view(np.int64), content.view(np.int64), s, s), strict=True):
-                    c.append(v)
+                add_units(cols, i, th, None, Words(t), s, s)
             yield batch_of(cols)
 
     distinct = shared(units)
-    crowd = max(hot_units, distinct.count() // 1_000_000)  # so that at most a million anchors are crowded
-    crowded = materialize(distinct.where(F.col("n") > crowd).select("anchor").distinct())
+    crowded = materialize(distinct.where(F.col("n") > hot_units).select("anchor").distinct())
     if crowded.take(1):
-        many = units.join(broadcast_if_small(crowded), "anchor", "left_semi")
-        single = materialize(with_text(many, F.struct("first", "last")).mapInArrow(one_window_units, unit_ddl))
-        units = units.join(broadcast_if_small(crowded), "anchor", "left_anti").unionByName(single)
-        distinct = distinct.where(F.col("n") <= crowd).unionByName(shared(single))
+        crowded = broadcast_if_small(crowded)
+        single = materialize(with_text(units.join(crowded, "anchor", "left_semi"), F.struct("first", "last")).mapInArrow(one_window_units, unit_ddl))
+        units = units.join(crowded, "anchor", "left_anti").unionByName(single)
+        distinct = distinct.where(F.col("n") <= hot_units).unionByName(shared(single))
 
     def words_of_units(batches):
-        schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("words", pa.list_(pa.int64()))])
+        schema = pa.schema([("anchor", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("doc_id", pa.int64()), ("words", pa.binary())])
         for b in slices(batches, 64):
-            out = {name: [] for name in schema.names}
+            out, size = {name: [] for name in schema.names}, 0
             for i, at, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).cast(pa.binary()).to_pylist(), strict=True):
-                h = word_hashes(t).view(np.int64)
-                for r in at:
-                    for name, v in zip(schema.names, (r["anchor"], r["content"], i, h[r["first"] : r["last"] + window]), strict=True):
-                        out[name].append(v)
-                if len(out["words"]) > 20_000:
+                first, last = (np.array([r[k] for r in at], np.int64) for k in ("first", "last"))
+                spans = Words(t).spans(first, last + window)
+                for name, v in zip(schema.names, ([r["anchor"] for r in at], [r["c1"] for r in at], [r["c2"] for r in at], [i] * len(at), spans), strict=True):
+                    out[name] += v
+                size += sum(map(len, spans))
+                if size > 4 << 20:
                     yield pa.RecordBatch.from_pydict(out, schema=schema)
-                    out = {name: [] for name in schema.names}
+                    out, size = {name: [] for name in schema.names}, 0
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    rep = distinct.select("anchor", "content", "at.*")
-    sent = with_text(rep, F.struct("anchor", "content", "first", "last")).mapInArrow(words_of_units, "anchor bigint, content bigint, doc_id bigint, words array<bigint>")
+    rep = distinct.select("anchor", "c1", "c2", "at.*")
+    sent = with_text(rep, F.struct("anchor", "c1", "c2", "first", "last")).mapInArrow(words_of_units, "anchor bigint, c1 bigint, c2 bigint, doc_id bigint, words binary")
 
     def search(batches):
         """Shards of whole anchor groups, each near ``shard_words`` words."""
-        schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("until", pa.list_(pa.int32())), ("owner", pa.list_(pa.int64()))])
+        schema = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("until", pa.list_(pa.int32())), ("owner", pa.list_(pa.int64()))])
 
-        def run(parts):
-            anchor, content, doc = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            sets = [w for p in parts for w in p[3]]
+        def run(rows):
             until, owner = [], []
-            for m in window_owners(sets, doc, window):
+            for m in window_owners(numbered([r[4] for r in rows]), np.array([r[3] for r in rows], np.int64), window):
                 end = np.append(np.flatnonzero(np.diff(m)), len(m) - 1)
                 until.append((end + 1).astype(np.int32))
                 owner.append(m[end])
-            return pa.RecordBatch.from_pydict({"anchor": anchor, "content": content, "until": until, "owner": owner}, schema=schema)
+            return pa.RecordBatch.from_pydict({"c1": [r[1] for r in rows], "c2": [r[2] for r in rows], "until": until, "owner": owner}, schema=schema)
 
-        held, size, last = [], 0, None
+        held, size = [], 0
         for b in batches:
-            anchor, content, doc = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            arr = b.column(3)
-            flat, ends = arr.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(arr.value_lengths().to_numpy(zero_copy_only=False))
-            sets = np.split(flat, ends[:-1]) if len(ends) else []
-            for s, e in zip(*(lambda cut: (cut[:-1], cut[1:]))(np.concatenate(([0], np.flatnonzero(np.diff(anchor)) + 1, [len(anchor)]))), strict=True):
-                if s == e:
-                    continue
-                if size > shard_words and anchor[s] != last:
+            for r in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if size > shard_words and r[0] != held[-1][0]:
                     yield run(held)
                     held, size = [], 0
-                held.append((anchor[s:e], content[s:e], doc[s:e], sets[s:e]))
-                size, last = size + int(ends[e - 1] - (ends[s - 1] if s else 0)), anchor[s]
+                held.append(r)
+                size += r[4].count(b" ") + 1
         if held:
             yield run(held)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = sent.repartition(parts, "anchor").sortWithinPartitions("anchor", "content").mapInArrow(search, "anchor bigint, content bigint, until array<int>, owner array<bigint>")
+    found = sent.repartition(parts, "anchor").sortWithinPartitions("anchor", "c1", "c2").mapInArrow(search, "c1 bigint, c2 bigint, until array<int>, owner array<bigint>")
     found = materialize(found)
 
     def covered(batches):
@@ -313,15 +337,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     start = u
             yield pa.RecordBatch.from_pydict({"doc_id": ids, "th": ths, "lo": lo, "hi": hi}, schema=pa.schema([(n, pa.int64()) for n in ("doc_id", "th", "lo", "hi")]))
 
-    cut = units.join(found, ["anchor", "content"]).select("doc_id", "th", "first", "until", "owner").mapInArrow(covered, "doc_id bigint, th bigint, lo bigint, hi bigint")
+    cut = units.join(found, ["c1", "c2"]).select("doc_id", "th", "first", "until", "owner").mapInArrow(covered, "doc_id bigint, th bigint, lo bigint, hi bigint")
     cut = cut.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("at"))
 
     def keep(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * texts)
         for b in slices(batches):
             out = {name: [] for name in schema.names}
             for i, at, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                words = word_list(t)
+                words = (t or b"").split()
                 n = len(words)
                 if at:
                     gone = np.zeros(n + 1, np.int64)
@@ -329,15 +353,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     np.add.at(gone, [r["hi"] for r in at], -1)
                     words = [words[j] for j in np.flatnonzero(np.cumsum(gone[:-1]) == 0)]
                 kept = b" ".join(words)
-                for name, v in zip(schema.names, (None if i == low else i, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode()), strict=True):
+                row = (None if i == low else i, n, n - len(words), hashlib.sha256(kept).hexdigest(), *[kept.decode()] * texts)
+                for name, v in zip(schema.names, row, strict=True):
                     out[name].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    return src.join(cut, ["doc_id", "th"], "left").select("doc_id", "at", "text").mapInArrow(keep, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
+    return src.join(cut, ["doc_id", "th"], "left").select("doc_id", "at", "text").mapInArrow(keep, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * texts)
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept_text")
+    return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), texts=False)
 
 
 SQL = r"""

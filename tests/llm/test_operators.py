@@ -103,6 +103,16 @@ def test_ngram_join_equals_brute_force(spark, block):
         assert {d: (got[d]["n_shingles"], got[d]["component_id"]) for d in want} == want
 
 
+def test_substring_dedup_under_a_bad_hash(spark, monkeypatch):
+    """Word hashes of one bit only place the units; what is removed stays that of the words."""
+    real = substring_dedup.word_hashes
+    monkeypatch.setattr(substring_dedup, "word_hashes", lambda t: real(t) & np.uint64(1))
+    docs = [(i, " ".join([text(30, 100 + i), text(70, i % 4), text(20, 300 + i)])) for i in range(24)]
+    got = by_id(substring_dedup.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string"), shard_words=500))
+    for i, kept in brute_removed(docs, 50).items():
+        assert got[i]["kept_text"] == " ".join(kept)
+
+
 def thue_morse(bits):
     """Two words of 2**bits letters that a polynomial modulo 2**64 over them can't tell apart."""
     one = [bin(i).count("1") % 2 for i in range(1 << bits)]

@@ -63,11 +63,11 @@ def test_window_owners_equal_brute_force(window):
 def test_equal_windows_share_an_anchor():
     words = RNG.integers(0, 6, 4000).astype(np.uint64)
     h = common.mix(words + np.uint64(1))
-    anchor, content, first, last = substring_dedup.units_of(h, 50, chunk=512)
+    anchor, first, last = substring_dedup.units_of(h, 50, chunk=512)
     assert first[0] == 0 and last[-1] == len(h) - 50 and (first[1:] == last[:-1] + 1).all()
     shifted = substring_dedup.units_of(np.concatenate((h[100:400], h[:10])), 50)
     of = lambda a, f, t: {w: a[i] for i in range(len(a)) for w in range(f[i], t[i] + 1)}
-    one, two = of(anchor, first, last), of(shifted[0], shifted[2], shifted[3])
+    one, two = of(anchor, first, last), of(*shifted)
     assert all(two[i] == one[100 + i] for i in range(0, 250))
 
 
