@@ -110,6 +110,7 @@ def parse(head: dict, block: bytes) -> dict:
 def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = 0, archive_bytes: int = 64 << 20) -> DataFrame:
     """Write every row to an archive in the shared folder; returns ``path``, ``records``, ``bytes``.
 
+    Payloads are equal by length and SHA-256; the records' digests are SHA-1, as the format asks.
     Of rows with equal payloads of at least ``revisit_bytes`` bytes the smallest id is a response and
     others are revisits of it. Null html is an empty payload, a null url leaves the header out; rows
     that repeat the smallest id are responses too; a null id revisits the smallest id if there is one.
@@ -117,7 +118,7 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     spark = pages.sparkSession
     body = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    own = [key.alias("_key"), F.sha1(body).alias("d"), F.octet_length(body).alias("n")]
+    own = [key.alias("_key"), F.sha2(body, 256).alias("d"), F.octet_length(body).alias("n")]
     light = materialize(pages.select(F.col(id_col).cast("long").alias("id"), *own).where(F.col("n") >= revisit_bytes))
     first = light.groupBy("d", "n").agg(F.min("id").alias("refers"), F.count("*").alias("c")).where("c > 1 AND refers IS NOT NULL")
     # Each row is judged on its own payload: rows of one id, or without one, may differ in it.
