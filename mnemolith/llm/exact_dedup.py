@@ -29,36 +29,30 @@ def normalised(text: str = "text"):
 
 
 def golomb_encode(values: np.ndarray, bits: int) -> bytes:
-    """Sorted uint64 values as Golomb-Rice coded gaps: quotient in unary, ``bits`` bits of rest."""
+    """Sorted uint64 values as Golomb-Rice coded gaps: all quotients in unary first, padded to a byte,
+    then all rests of ``bits`` bits. Two streams are decoded without following codes one by one."""
     if not len(values):
         return b""
     gaps = np.diff(values, prepend=np.uint64(0))
     q = (gaps >> np.uint64(bits)).astype(np.int64)
-    start = np.cumsum(q + 1 + bits) - (q + 1 + bits)
-    out = np.zeros(int(start[-1] + q[-1] + 1 + bits), np.uint8)
-    ones = np.repeat(start, q) + (np.arange(int(q.sum())) - np.repeat(np.cumsum(q) - q, q))
-    out[ones] = 1
-    rest = start + q + 1
-    for j in range(bits):
-        out[rest + j] = (gaps >> np.uint64(bits - 1 - j)) & np.uint64(1)
-    return np.packbits(out).tobytes()
+    unary = np.ones(int(q.sum()) + len(q), np.uint8)
+    unary[np.cumsum(q + 1) - 1] = 0
+    shifts = np.arange(bits - 1, -1, -1, dtype=np.uint64)
+    rest = ((gaps[:, None] >> shifts) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(unary).tobytes() + np.packbits(rest.reshape(-1)).tobytes()
 
 
 def golomb_decode(blob: bytes, n: int, bits: int) -> np.ndarray:
     """Inverse of golomb_encode."""
     if not n:
         return np.empty(0, np.uint64)
-    raw = np.unpackbits(np.frombuffer(blob, np.uint8))
-    zeros = np.flatnonzero(raw == 0)
-    ends = np.empty(n, np.int64)
-    at = 0
-    for i in range(n):  # a code starts where the last one ended
-        ends[i] = zeros[np.searchsorted(zeros, at)]
-        at = int(ends[i]) + 1 + bits
-    starts = np.concatenate(([0], ends[:-1] + 1 + bits))
-    gaps = (ends - starts).astype(np.uint64) << np.uint64(bits)
-    for j in range(bits):
-        gaps |= raw[ends + 1 + j].astype(np.uint64) << np.uint64(bits - 1 - j)
+    raw = np.frombuffer(blob, np.uint8)
+    size = -(-n * bits // 8)
+    unary, rest = np.unpackbits(raw[: len(raw) - size]), np.unpackbits(raw[len(raw) - size :])[: n * bits]
+    ends = np.flatnonzero(unary == 0)[:n]
+    gaps = (np.diff(ends, prepend=-1) - 1).astype(np.uint64) << np.uint64(bits)
+    for j, column in enumerate(rest.reshape(n, bits).T):
+        gaps |= column.astype(np.uint64) << np.uint64(bits - 1 - j)
     return np.cumsum(gaps, dtype=np.uint64)
 
 
@@ -130,15 +124,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.Table.from_pylist(out, schema=pa.schema([("block", pa.string()), ("owner", pa.int32()), ("bitmap", pa.binary())]))
 
     bitmaps = sent.select("block", "owner", "n", "bits", "blob").groupBy("owner").applyInArrow(own, "block string, owner int, bitmap binary")
-    bitmaps = materialize(bitmaps)  # so that no task runs two Python workers at once
+    bitmaps = materialize(bitmaps)
 
     def suspects(batches):
         for b in batches:
             out = []
-            for r in b.to_pylist():
-                times = np.array(r["times"], np.int64)
-                more = np.unpackbits(np.frombuffer(r["bitmap"], np.uint8))[: len(times)].astype(bool) | (times > 1)
-                out.append(np.array(r["ids"], np.int64)[np.repeat(more, times)])
+            for times, ids, bitmap in zip(*(b.column(i) for i in range(3)), strict=True):
+                times = times.values.to_numpy()
+                more = np.unpackbits(np.frombuffer(bitmap.as_py(), np.uint8))[: len(times)].astype(bool) | (times > 1)
+                out.append(ids.values.to_numpy()[np.repeat(more, times)])
             ids = np.concatenate(out) if out else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(ids))], ["doc_id"])
 
