@@ -17,10 +17,16 @@ from .common import broadcast_if_small, connected_components, materialize
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled first, so that no square overflows or vanishes."""
     x = np.asarray(x, np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True, initial=0)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def matrix_of(lists: pa.Array, dim: int) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
     """Unit centroids of unit vectors; an empty cell is restarted at the vector that fits worst."""
     rng = np.random.default_rng(seed)
@@ -49,7 +55,10 @@ def link_blocks(ids, sizes, vectors, home, guest_of, probes, threshold: float):
     np.fill_diagonal(adj, False)
     adj &= home[:, None] | home[None, :]
     cells, at = np.unique(guest_of, return_inverse=True)
-    visits = np.array([[c in p for c in cells] for p in probes], bool).reshape(len(ids), len(cells))
+    row, cell = np.repeat(np.arange(len(ids)), [len(p) for p in probes]), np.concatenate([np.asarray(p) for p in probes])
+    place = np.minimum(np.searchsorted(cells, cell), len(cells) - 1)
+    visits = np.zeros((len(ids), len(cells)), bool)
+    visits[row[cells[place] == cell], place[cells[place] == cell]] = True
     # [x, y]: x is a guest, y is at home, and y, the larger id, visits the home cell of x
     elsewhere = visits[:, at].T & ~home[:, None] & home[None, :] & (ids[:, None] < ids[None, :])
     adj &= ~(elsewhere | elsewhere.T)
@@ -78,13 +87,13 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     ``margin_deg`` of its nearest centroid, by default the angle of ``threshold``, which loses no link.
     """
     v = F.col("v")
-    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<float>").alias("v"))
+    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
     sane = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))) & F.exists(v, lambda e: e != 0)
     good = rows.where(F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & sane, F.lit(False)))
     classes = materialize(good.groupBy("label", "v").agg(F.min("vec_id").alias("cid"), F.count("*").alias("size")))
     n = classes.count()
     first = classes.select(F.size("v").alias("d")).agg(F.max("d")).first()[0] or 1
-    sample_rows = max(256, min(20_000, sample_bytes // (4 * first)))
+    sample_rows = max(256, min(20_000, sample_bytes // (8 * first)))
     # The sample is bounded in rows and bytes; vectors of the most common length only.
     by = classes.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     dim = by[0]["d"] if by else 1
@@ -95,23 +104,27 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     margin = np.arccos(np.clip(threshold, -1, 1)) + 1e-6 if margin_deg is None else np.deg2rad(margin_deg)
 
     def assign(batches):
-        schema = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("cell", pa.int32()), ("cid", pa.int64()), ("size", pa.int64()), ("v", pa.list_(pa.float32())), ("home", pa.int32()), ("probes", pa.list_(pa.int32()))])
+        """Each row once for every cell that it visits."""
         for b in batches:
             for at in range(0, b.num_rows, 1024):
-                out = {name: [] for name in schema.names}
-                part = b.slice(at, 1024).to_pylist()
-                same = [r for r in part if len(r["v"]) == dim]
-                angle = np.arccos(np.clip(unit_rows([r["v"] for r in same]) @ cells.T, -1, 1)) if same else np.empty((0, 1))
-                near = iter([np.flatnonzero(a <= a.min() + margin).tolist() for a in angle])
-                best = iter(angle.argmin(axis=1).tolist() if same else [])
-                for r in part:
-                    probes, home = (next(near), next(best)) if len(r["v"]) == dim else ([0], 0)
-                    for c in probes:
-                        for name, x in zip(schema.names, (r["label"], len(r["v"]), c, r["cid"], r["size"], r["v"], home, probes), strict=True):
-                            out[name].append(x)
-                yield pa.RecordBatch.from_pydict(out, schema=schema)
-
-    placed = materialize(classes.select("label", "cid", "size", "v").mapInArrow(assign, "label string, dim int, cell int, cid bigint, size bigint, v array<float>, home int, probes array<int>"))
+                part = b.slice(at, 1024)
+                lens = part.column(3).value_lengths().to_numpy(zero_copy_only=False)
+                same = np.flatnonzero(lens == dim)
+                home = np.zeros(part.num_rows, np.int32)
+                row, cell = np.flatnonzero(lens != dim), np.zeros((lens != dim).sum(), np.int32)
+                if len(same):
+                    angle = np.arccos(np.clip(unit_rows(matrix_of(part.column(3).take(pa.array(same)), dim)) @ cells.T, -1, 1))
+                    home[same] = angle.argmin(axis=1)
+                    r, c = np.nonzero(angle <= angle.min(axis=1, keepdims=True) + margin)
+                    row, cell = np.concatenate((row, same[r])), np.concatenate((cell, c.astype(np.int32)))
+                by = np.argsort(row, kind="stable")
+                row, cell = row[by], cell[by]
+                times = np.bincount(row, minlength=part.num_rows)
+                probes = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(times)).astype(np.int32)), pa.array(cell)).take(pa.array(row))
+                label, cid, size, v = (part.column(i).take(pa.array(row)) for i in range(4))
+                yield pa.RecordBatch.from_arrays([label, pa.array(lens[row].astype(np.int32)), pa.array(cell), cid, size, v, pa.array(home[row]), probes], ["label", "dim", "cell", "cid", "size", "v", "home", "probes"])
+
+    placed = materialize(classes.select("label", "cid", "size", "v").mapInArrow(assign, "label string, dim int, cell int, cid bigint, size bigint, v array<double>, home int, probes array<int>"))
     # A cell of m blocks is covered by the pairs of its blocks; each row goes to m of them.
     counts = materialize(placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("m")))
     dealt = placed.join(broadcast_if_small(counts), ["label", "dim", "cell"]).withColumn("b", F.pmod(F.xxhash64("cid"), F.col("m")).cast("int"))
@@ -123,9 +136,12 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
         ids = table["cid"].to_numpy()
         order = np.argsort(ids)
         ids, sizes, b = ids[order], table["size"].to_numpy()[order], table["b"].to_numpy()[order]
-        vectors = np.array(table["v"].to_pylist(), np.float64)[order]
+        vectors = matrix_of(table["v"].combine_chunks(), key[1].as_py())[order]
         homes, cell = table["home"].to_numpy()[order], key[2].as_py()
-        probes = [table["probes"][int(i)].as_py() for i in order]
+        lists = table["probes"].combine_chunks()
+        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+        probes = np.split(lists.flatten().to_numpy(zero_copy_only=False), ends[:-1])
+        probes = [probes[i] for i in order]
         adj = link_blocks(ids, sizes, vectors, homes == cell, homes, probes, threshold)
         if p != q:  # rows of one block with each other are the task of (p, p)
             adj &= b[:, None] != b[None, :]

@@ -246,6 +246,16 @@ def test_vectors_odd_rows_and_brute_force(spark):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_in_double_precision(spark):
+    rows = [(1, [1e200, 1.0, 0.0]), (2, [2e200, 3.0, 0.0]), (3, [1e-200, 2e-200, 0.0]), (4, [1.0, 2.0, 0.0]), (5, [1.0, 0.0, 1e-60])]
+    a = np.array([1.0, 0.0])
+    angle = np.arccos(0.98)
+    rows += [(10, [float(e) for e in a] + [0.0]), (11, [float(np.cos(angle - 1e-9)), float(np.sin(angle - 1e-9)), 0.0]), (12, [float(np.cos(angle + 1e-9)), -float(np.sin(angle + 1e-9)), 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "CASE WHEN vec_id < 10 THEN 'a' ELSE 'b' END AS label", "1 AS cid", "2 AS v", "3 AS size", "4 AS cell", "5 AS n")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_vectors(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 5: (2, 1), 3: (1, 3), 4: (1, 3), 10: (1, 10), 11: (1, 10), 12: (0, 12)}
+
+
 def test_vector_recall_with_many_cells(spark):
     x = RNG.normal(size=(1500, 32))
     x = np.concatenate((x, x + RNG.normal(size=x.shape) * 0.12))
