@@ -300,7 +300,7 @@ def test_warc_judges_each_row_on_its_payload(spark):
 def test_mixing_marginals(spark, odd, none):
     rows = [(i, text(20 + i % 30, i), ["en", "fr"][i % 3 == 0], ["a", "b", "c"][i % 7 % 3]) for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    got = mixing.mix_sources(docs, alpha={"source": 0.5, "lang": 0.5, "topic": 1.0}, rounds=20).cache()
+    got = mixing.mix_sources(docs, alpha={"source": 0.5, "lang": 0.5, "topic": 1.0}).cache()
     total = got.agg(F.sum("n_tokens")).first()[0]
     nat = {r["source"]: r["t"] / total for r in got.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
     target = {k: v**0.5 for k, v in nat.items()}
@@ -314,6 +314,23 @@ def test_mixing_marginals(spark, odd, none):
     assert picked.exceptAll(mixing.sample_mix(docs).select("doc_id")).count() == 0
 
 
+def test_mixing_to_given_targets(spark):
+    rows = [(i, text(20 + i % 30, i), ["en", "fr", None][i % 3], f"host{i % 200}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {"lang": {"en": 3, "fr": 1, None: 1}}
+    got = mixing.mix_sources(docs, targets=targets)
+    mass = {r["lang"]: r["t"] for r in got.groupBy("lang").agg(F.sum(F.col("n_tokens") * F.col("probability")).alias("t")).collect()}
+    assert abs(mass["en"] / sum(mass.values()) - 0.6) < 1e-5 and abs(mass[None] / sum(mass.values()) - 0.2) < 1e-5
+    light = docs.select(*mixing.document_cells(docs, "text", "source", "lang", None))
+    report = mixing.marginals(mixing.raked_cells(light, mixing.ALPHA, targets)).collect()
+    assert len(report) == 200 + 3 + 1 and max(abs(r["target"] - r["reached"]) for r in report) < 1e-6
+    only = mixing.sample_mix(docs, targets={"lang": {"fr": 1}})
+    assert {r["lang"] for r in only.select("lang").distinct().collect()} == {"fr"}
+    # targets that no weights can meet: en has one source only, which shall have nothing
+    none = mixing.mix_sources(docs.where("source = 'host0'"), targets={"source": {"other": 1}})
+    assert none.where("selected AND n_tokens > 0").count() == 0
+
+
 def test_packing_batches(spark, odd, none):
     docs = spark.createDataFrame([(i, "w " * (i * 37 % 300)) for i in range(500)], "doc_id long, text string")
     got = packing.pack_buckets(docs, max_len=128, n_buckets=4, token_budget=1024, shard_rows=50).collect()
