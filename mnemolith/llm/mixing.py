@@ -18,8 +18,8 @@ AXES = ("source", "lang", "topic")
 #: Powers of the natural token shares that the targets are; 1 keeps a marginal as it is.
 ALPHA = {"source": 0.7, "lang": 0.8, "topic": 1.0}
 #: Raking ends when no cell's weight changes by more than this share in a round, or after ROUNDS rounds.
-TOLERANCE = 1e-9
-ROUNDS = 60
+TOLERANCE = 1e-8
+ROUNDS = 40
 
 
 def default_topic(text: str = "text") -> Column:
