@@ -176,6 +176,21 @@ def test_language_id_held_out(spark):
     assert got.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.98
 
 
+def test_language_rejection_is_calibrated(spark):
+    words = {"aa": ["casa", "perro", "gato", "mesa"], "bb": ["haus", "hund", "katze", "tisch"]}
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(rng.choice(words[lang], 60)), lang) for i in range(300) for lang in (["aa", "bb"][i % 2],)]
+    odd_ones = [(1000, "zqxj wvkk jjzq xxqw " * 20, None), (1001, "", None)]
+    docs = spark.createDataFrame(rows + odd_ones, "doc_id long, text string, lang string")
+    model = langid.fit_languages(docs, reject_share=0.05)
+    got = by_id(langid.identify_languages(docs, model))
+    assert got[1000]["rejected"] and got[1001]["rejected"] and got[1000]["lang_pred"] != "und"
+    assert 0 < sum(got[i]["rejected"] for i in range(300)) < 45
+    strict = by_id(langid.identify_languages(docs, model, reject=True))
+    assert strict[1000]["lang_pred"] == "und" and strict[1000]["score"] == 0.0
+    assert all(strict[i]["lang_pred"] == ["aa", "bb"][i % 2] for i in range(300) if not got[i]["rejected"])
+
+
 def test_language_models_keep_every_ngram(spark):
     rng = np.random.default_rng(5)
     letters = np.array([chr(0x4E00 + i) for i in range(4000)])
@@ -185,7 +200,7 @@ def test_language_models_keep_every_ngram(spark):
     assert len(model.langs) == 231
     want = set()
     for _, t, _ in rows:
-        want |= set(langid.ngram_hashes(np.concatenate((np.full(2, 32, np.uint32), langid.codes_of(t))), 4).tolist())
+        want |= {x for c in langid.code_pieces(t) for x in langid.ngram_hashes(c, 4).tolist()}
     assert len(want) > 400_000 and want <= set(model.prob[4].h.tolist())
 
 

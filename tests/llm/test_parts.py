@@ -133,7 +133,33 @@ def test_warc_round_trip_and_damage():
         list(warc.read_records(io.BytesIO(z.compress(raw) + z.flush())))
 
 
-def test_kneser_ney_sums_to_one_and_matches_plain_code():
+def plain_kneser_ney(counts, order, alphabet):
+    """Interpolated Kneser-Ney by its definition: probability of a character after a context."""
+    from collections import Counter
+
+    levels, now = {}, Counter(counts)
+    for k in range(order, 0, -1):
+        levels[k] = now
+        now = Counter(g[1:] for g in now)
+    d = {}
+    for k, c in levels.items():
+        n1, n2 = (sum(v == i for v in c.values()) for i in (1, 2))
+        d[k] = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+
+    def p(ctx, ch, k):
+        if k == 0:
+            return 1 / alphabet
+        own = {g: v for g, v in levels[k].items() if g[:-1] == ctx}
+        lower = p(ctx[1:], ch, k - 1)
+        if not own:
+            return lower
+        total = sum(own.values())
+        return max(own.get(ctx + ch, 0) - d[k], 0) / total + d[k] * len(own) / total * lower
+
+    return lambda ctx, ch: p(ctx, ch, order)
+
+
+def test_kneser_ney_sums_to_one():
     counts = {"x": {"aaa": 3, "aab": 1, "aba": 2, "bab": 1, "baa": 1}, "y": {"bbb": 4, "bba": 1, "bab": 2}}
     model = langid.KneserNey(counts, order=3)
     for i, lang in enumerate(model.langs):
@@ -146,6 +172,45 @@ def test_kneser_ney_sums_to_one_and_matches_plain_code():
             assert abs(total + unseen - 1) < 1e-5
 
 
+def test_kneser_ney_equals_plain_code():
+    from collections import Counter
+
+    rnd = random.Random(3)
+    counts = {lang: Counter() for lang in ("x", "y")}
+    for lang, letters in (("x", "aabcd "), ("y", "bcdee ")):
+        s = "".join(rnd.choice(letters) for _ in range(600))
+        counts[lang].update(s[i : i + 4] for i in range(len(s) - 3))
+    model = langid.KneserNey(counts, order=4)
+    alphabet = len({g[-1] for c in counts.values() for g in c}) + 1
+    for i, lang in enumerate(model.langs):
+        plain = plain_kneser_ney(counts[lang], 4, alphabet)
+        for _ in range(300):
+            g = "".join(rnd.choice("abcde z") for _ in range(4))
+            got = float(model.log_probs(np.frombuffer(g.encode("utf-32-le"), np.uint32))[0, i])
+            assert abs(got - np.log(plain(g[:3], g[3]))) < 1e-4, (lang, g)
+
+
+def test_code_pieces_are_those_of_the_whole(monkeypatch):
+    texts = ["", None, "12 . 3", "Ein Satz, zwei -- Sätze!", "12345678901234 a", "abc" * 40 + " 1 " * 9 + "Z", " x"]
+    whole = [list(langid.code_pieces(t)) for t in texts]
+    assert [len(w) for w in whole] == [0, 0, 0, 1, 1, 1, 1]
+    assert "".join(map(chr, whole[3][0])) == "   ein satz zwei sätze "
+    grams = lambda pieces: [g for c in pieces for g in langid.ngram_hashes(c, 4).tolist()]
+    for step in (1, 2, 7):
+        monkeypatch.setattr(langid, "STEP", step)
+        assert [grams(langid.code_pieces(t)) for t in texts] == [grams(w) for w in whole]
+
+
+def test_long_texts_score_alike_whatever_the_step(monkeypatch):
+    counts = {"x": {"aaab": 3, "aabb": 1, "abba": 2, "bbab": 1}, "y": {"bbbb": 4, "bbba": 1}}
+    model = langid.KneserNey(counts, order=4)
+    text = "ab ba aab b" * 110_000
+    n, h = model.entropies([text])
+    monkeypatch.setattr(langid, "STEP", 123_457)
+    m, g = model.entropies([text])
+    assert n == m and np.allclose(h, g, atol=1e-9)
+
+
 def noisy_sets(n=40):
     base = np.unique(RNG.integers(0, 1 << 62, 200).astype(np.uint64))
     keep = lambda: base[RNG.random(len(base)) > RNG.choice([0.02, 0.08, 0.3])]
