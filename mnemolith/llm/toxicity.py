@@ -1,10 +1,11 @@
 """Toxicity by maximum-scoring segment search.
 
-Tokens get log-odds between toxic and clean training documents under an informative Dirichlet prior
-(the pooled document frequencies). A text is then a sequence of scores: significant tokens count their
-log-odds, all others a small penalty. One linear-time scan finds every maximal-scoring segment. A
-segment's score becomes an expectation under the extreme-value law of such maxima in clean text
-(E = K n exp(-lambda S)); the document's score is calibrated from the smallest one.
+Every token has log-odds between toxic and clean training documents under an informative Dirichlet
+prior (the pooled document frequencies), shrunk by how well they are known. A text is then a sequence of
+such scores, less a small constant that makes clean text drift down. One linear-time scan finds every
+maximal-scoring segment. A segment's score becomes an expectation under the extreme-value law of such
+maxima in clean text (E = K n exp(-lambda S)); the significant segments of a document are aggregated by
+the law of sums of such scores, and the document's score is calibrated from that.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import gram_hashes, materialize, slices, word_hashes
@@ -37,16 +38,13 @@ def features_of(words) -> set[str]:
     return out
 
 
-def maximal_segments(scores: list[tuple[int, float]], penalty: float) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (start, end, score), in linear time. ``scores`` lists (place,
-    score) of the positive tokens in order; every other token costs ``penalty``."""
+def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal-scoring segments (start, end, score), in linear time."""
+    sums = np.concatenate(([0.0], np.cumsum(scores)))
     found: list[list[float]] = []  # [left sum, right sum, start, end], as in Ruzzo and Tompa's list
-    total, last = 0.0, 0
-    for at, s in scores:
-        total -= penalty * (at - last)
-        left, start = total, at
-        total += s
-        right, last = total, at + 1
+    places = np.flatnonzero(scores > 0)
+    for at, left, right in zip(places.tolist(), sums[places].tolist(), sums[places + 1].tolist(), strict=True):
+        start = at
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][0] >= left:
@@ -59,48 +57,97 @@ def maximal_segments(scores: list[tuple[int, float]], penalty: float) -> list[tu
     return [(int(s), int(e), r - x) for x, r, s, e, _ in found]
 
 
+def sum_surprise(surprises: list[float]) -> float:
+    """-log of how likely clean text has as good a set of segments: the r best together are as likely as
+    exp(-T) T^(r-1) / (r! (r-1)!) for the sum T of their surprises, and each r costs a factor of 2 for
+    having been tried. Segments that aren't surprising don't count, but the best one always does."""
+    best = sorted(surprises, reverse=True)
+    out, total = best[0], 0.0
+    for r, x in enumerate(best, 1):
+        if x <= 0:
+            break
+        total += x
+        out = max(out, total - (r - 1) * math.log(max(total, 1.0)) + math.lgamma(r + 1) + math.lgamma(r) - (r - 1) * math.log(2))
+    return out
+
+
 class ToxicityModel:
-    """Fitted values; pickled to the executors. At most ``max_features`` tokens."""
+    """Fitted values; pickled to the executors. ``odds`` has the score of a token and how well it is known."""
 
-    def __init__(self, odds: dict[str, float], penalty: float, lam: float, k: float, a: float, b: float):
-        self.odds, self.penalty, self.lam, self.k, self.a, self.b = odds, penalty, lam, k, a, b
+    def __init__(self, odds: dict[str, tuple[float, float]], sure: float, drift: float, lam: float, k: float, a: float, b: float):
+        self.odds, self.sure, self.drift, self.lam, self.k, self.a, self.b = odds, sure, drift, lam, k, a, b
         self.cache: dict[str, float] = {}
 
     def score_of(self, word: str) -> float:
+        """The word's own score if it is well known; else that of its longest well-known beginning; else its
+        own as far as it is known."""
         s = self.cache.get(word)
         if s is None:
-            if len(self.cache) > 500_000:
+            if len(self.cache) > 200_000:
                 self.cache.clear()
-            s = self.odds.get(word, 0.0)
-            for k in PREFIXES:
-                if s == 0.0 and len(word) > k:
-                    s = self.odds.get(word[:k] + "*", 0.0)
+            s, z = self.odds.get(word, (0.0, 0.0))
+            if abs(z) < self.sure:
+                for k in PREFIXES:
+                    if len(word) > k and abs((begin := self.odds.get(word[:k] + "*", (0.0, 0.0)))[1]) >= self.sure:
+                        s = begin[0]
+                        break
             self.cache[word] = s
         return s
 
-    def passages(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
+    def scores(self, text: str | None) -> np.ndarray:
         words = tokens_of(text)
-        get = self.score_of
-        hits = [(i, s) for i, s in enumerate(map(get, words)) if s > 0.0]
-        return len(words), maximal_segments(hits, self.penalty)
+        return np.fromiter(map(self.score_of, words), np.float64, len(words)) - self.drift
 
     def surprise(self, n: int, score: float) -> float:
         """-log of the expected number of segments as good in n clean tokens."""
         return self.lam * score - math.log(self.k * max(n, 1))
 
+    def evidence(self, n: int, segments: list[tuple[int, int, float]]) -> float:
+        return sum_surprise([self.surprise(n, s) for _, _, s in segments] or [self.surprise(n, 0.0)])
+
     def evaluate(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
         """Score and the significant segments (expectation under 0.05)."""
-        n, segments = self.passages(text)
-        x = self.surprise(n, max((s for _, _, s in segments), default=0.0))
-        p = 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, self.a * x + self.b))))
-        return p, [t for t in segments if self.surprise(n, t[2]) > -math.log(0.05)]
+        scores = self.scores(text)
+        segments = maximal_segments(scores)
+        p = 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, self.a * self.evidence(len(scores), segments) + self.b))))
+        return p, [t for t in segments if self.surprise(len(scores), t[2]) > -math.log(0.05)]
+
+
+def log_odds(c, t, n_c: float, n_t: float):
+    """Log-odds of tokens in toxic against clean documents, and their z-scores, for counts of documents c
+    and t (columns or arrays) of n_c and n_t in all. The prior has the pooled shares and weighs as much as
+    the toxic documents."""
+    log, sqrt = (F.log, F.sqrt) if isinstance(c, Column) else (np.log, np.sqrt)
+    prior = float(n_t)
+    a = (c + t) / float(n_c + n_t) * prior
+    t_w, c_w = t + a, c + a
+    odds = log(t_w / (n_t + prior - t_w)) - log(c_w / (n_c + prior - c_w))
+    return odds, odds / sqrt(1 / t_w + 1 / c_w)
+
+
+def drift_root(scores: np.ndarray, counts: np.ndarray) -> float:
+    """lambda: the positive root of sum p exp(lambda s) = 1 for a distribution of scores whose mean is
+    negative; 1 if no score is positive."""
+    p = counts / counts.sum()
+    if not (scores[counts > 0] > 0).any():
+        return 1.0
+    low, high = 1e-6, 20.0
+    for _ in range(80):
+        mid = (low + high) / 2
+        value = float((p * np.exp(np.minimum(mid * scores, 700))).sum())
+        low, high = (mid, high) if value < 1 else (low, mid)
+    return low
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held_fold: int = 1, max_docs: int = 20_000, max_features: int = 50_000, z: float = 4.0) -> ToxicityModel | None:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held_fold: int = 1, max_docs: int = 20_000, max_features: int | None = None, sure: float = 4.0) -> ToxicityModel | None:
     """Fit on labelled rows whose crc32(id) mod ``folds`` isn't ``held_fold``; of those, the
     ``max_docs`` with the smallest hash of the id (a documented bound on the sample). Texts of one label
     that share their smallest hash of four words (nearly always copies) count once, or the words of a
-    group of copies would look like signs of its label. None if there is no row of either class."""
+    group of copies would look like signs of its label. None if there is no row of either class.
+
+    Log-odds with z-score z are shrunk by z^2 / (z^2 + ``sure``^2): half where z is ``sure``. All tokens of
+    the sample are in the model, which grows with it; ``max_features``, if given, keeps those of highest |z|.
+    """
     ident = F.col(id_col).cast("string")
     picked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y"))
     picked = picked.where(F.crc32(F.col("_id").cast("string")) % folds != held_fold)
@@ -118,7 +165,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64())], ["text", "y", "k"])
 
     sample = sample.mapInArrow(keyed, "text string, y int, k bigint")
-    sample = materialize(sample.groupBy("k", "y").agg(F.min("text").alias("text")).select("text", "y"))
+    sample = materialize(sample.groupBy("k", "y").agg(F.min("text").alias("text")))
 
     def count(batches):
         total: dict[str, list[int]] = {}
@@ -134,51 +181,60 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     def as_batch(total):
         return pa.RecordBatch.from_pydict({"f": list(total), "c": [v[0] for v in total.values()], "t": [v[1] for v in total.values()]}, schema=pa.schema([("f", pa.string()), ("c", pa.int64()), ("t", pa.int64())]))
 
-    counts = sample.mapInArrow(count, "f string, c bigint, t bigint").groupBy("f").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+    counts = sample.select("text", "y").mapInArrow(count, "f string, c bigint, t bigint").groupBy("f").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
     counts = materialize(counts)
     sums = counts.agg(F.sum("c"), F.sum("t")).first()
     n_c, n_t = sums[0] or 0, sums[1] or 0
-    sizes = dict((int(r["y"] > 0), r["count"]) for r in sample.groupBy((F.col("y") > 0).cast("int").alias("y")).count().collect())
-    if not n_c or not n_t or len(sizes) < 2:
+    if not n_c or not n_t:
         return None
-    prior = float(n_t)  # the prior weighs as much as the smaller class
-    a_w = (F.col("c") + F.col("t")) / F.lit(float(n_c + n_t)) * F.lit(prior)
-    t_w, c_w = F.col("t") + a_w, F.col("c") + a_w
-    odds = F.log(t_w / (F.lit(n_t + prior) - t_w)) - F.log(c_w / (F.lit(n_c + prior) - c_w))
-    least = max(3, sizes[1] // 200)
-    best = counts.where(F.col("t") >= least).select("f", odds.alias("odds"), (odds / F.sqrt(1 / t_w + 1 / c_w)).alias("z"), "c", "t").where(F.col("z") >= z)
-    best = best.orderBy(F.desc("z"), "f").limit(max_features).collect()
-    weights = {r["f"]: float(r["odds"]) for r in best if r["odds"] >= 1.5}
-    if not weights:
+    odds, z = log_odds(F.col("c"), F.col("t"), n_c, n_t)
+    best = counts.select("f", odds.alias("odds"), z.alias("z"))
+    best = (best if max_features is None else best.orderBy(F.desc(F.abs("z")), "f").limit(max_features)).toArrow()
+    z = best["z"].to_numpy()
+    shrunk = best["odds"].to_numpy() * z**2 / (z**2 + sure**2)
+    weights = dict(zip(best["f"].to_pylist(), zip(shrunk.tolist(), z.tolist(), strict=True), strict=True))
+    signs = shrunk[(z >= sure)]
+    if not len(signs):
         return None
-    model = ToxicityModel(weights, 0.05 * float(np.median(list(weights.values()))), 1.0, 1.0, 1.0, 0.0)
+    model = ToxicityModel(weights, sure, 0.05 * float(np.median(signs)), 1.0, 1.0, 1.0, 0.0)
+
+    def spread(batches):
+        """Histogram of the clean tokens' scores, in steps of 0.01."""
+        total: dict[int, int] = {}
+        for b in slices(batches):
+            for text in b.column(0).to_pylist():
+                bins, n = np.unique(np.round(model.scores(text) * 100).astype(np.int64), return_counts=True)
+                for i, m in zip(bins.tolist(), n.tolist(), strict=True):
+                    total[i] = total.get(i, 0) + m
+        yield pa.RecordBatch.from_pydict({"bin": list(total), "n": list(total.values())}, schema=pa.schema([("bin", pa.int64()), ("n", pa.int64())]))
+
+    hist = sample.where("y = 0").select("text").mapInArrow(spread, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect()
+    at, times = np.array([r["bin"] for r in hist], float) / 100, np.array([r["n"] for r in hist], float)
+    if len(at):
+        # Clean text must drift down, or its maxima have no extreme-value law.
+        more = max(0.0, float((at * times).sum() / times.sum()) + 0.01)
+        model.drift += more
+        model.lam = drift_root(at - more, times)
 
     def measure(batches):
         for b in slices(batches):
-            out = {"y": [], "n": [], "s": [], "hits": [], "gain": []}
+            out = {"k": b.column(2), "y": [], "n": [], "s": []}
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                n, segments = model.passages(text)
-                positive = [s for s in map(model.score_of, tokens_of(text)) if s > 0]
-                for k, v in zip(out, (int(y > 0), n, max((s for _, _, s in segments), default=0.0), len(positive), sum(positive)), strict=True):
-                    out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("y", pa.int64()), ("n", pa.int64()), ("s", pa.float64()), ("hits", pa.int64()), ("gain", pa.float64())]))
-
-    m = sample.mapInArrow(measure, "y bigint, n bigint, s double, hits bigint, gain double").collect()  # max_docs rows at most
-    y, n, s, hits, gain = (np.array([r[k] for r in m], float) for k in ("y", "n", "s", "hits", "gain"))
-    # lambda: the positive root of sum p exp(lambda s) = 1 over clean tokens, with add-one counts.
+                scores = model.scores(text)
+                out["y"].append(int(y > 0))
+                out["n"].append(len(scores))
+                out["s"].append(sorted((s for _, _, s in maximal_segments(scores)), reverse=True)[:100])
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("k", pa.int64()), ("y", pa.int64()), ("n", pa.int64()), ("s", pa.list_(pa.float64()))]))
+
+    # Of a document the 100 best segments calibrate; ids that come with several texts may make more rows.
+    m = sample.select("text", "y", "k").mapInArrow(measure, "k bigint, y bigint, n bigint, s array<double>").orderBy("k", "y").limit(max_docs).collect()
+    y, n = (np.array([r[k] for r in m], float) for k in ("y", "n"))
+    top = np.array([max(r["s"], default=0.0) for r in m])
     clean = y == 0
-    p_hit = (hits[clean].sum() + 1) / (n[clean].sum() + 2)
-    mean = gain.sum() / max(hits.sum(), 1)
-    low, high = 1e-6, 20.0
-    for _ in range(80):
-        mid = (low + high) / 2
-        value = p_hit * math.exp(min(700, mid * mean)) + (1 - p_hit) * math.exp(-mid * model.penalty)
-        low, high = (mid, high) if value < 1 else (low, mid)
-    model.lam = low
-    # K: what makes the expected number of clean maxima at the median clean excess right.
-    over = [k for k in np.sort(s[clean])[::-1][:50] if k > 0]
-    model.k = max(1e-9, len(over) / max(1.0, n[clean].sum()) * math.exp(model.lam * over[-1])) if over else max(1e-9, p_hit)
-    x = np.array([model.surprise(int(i), float(j)) for i, j in zip(n, s, strict=True)])
+    # K: what makes the expected number of clean maxima right at the score that 50 clean documents reach.
+    over = [s for s in np.sort(top[clean])[::-1][:50] if s > 0]
+    model.k = max(1e-9, len(over) / max(1.0, n[clean].sum()) * math.exp(min(700.0, model.lam * over[-1]))) if over else 1e-3
+    x = np.array([model.evidence(int(i), [(0, 0, v) for v in r["s"]]) for i, r in zip(n, m, strict=True)])
     model.a, model.b = platt(x, y)
     return model
 

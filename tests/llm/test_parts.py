@@ -102,10 +102,47 @@ def test_maximal_segments_equal_brute_force():
     rnd = random.Random(1)
     for _ in range(60):
         x = [rnd.choice([-0.75, -0.75, 1.0, 2.5, 0.5]) for _ in range(rnd.randint(0, 14))]
-        got = toxicity.maximal_segments([(i, v) for i, v in enumerate(x) if v > 0], 0.75)
+        got = toxicity.maximal_segments(np.array(x))
         assert sorted((s, e) for s, e, _ in got) == sorted(brute(x, 0, len(x)))
 
 
+def test_log_odds_equal_plain_code():
+    import math
+
+    c, t, n_c, n_t = [30, 0, 5, 1000], [1, 4, 5, 60], 4000, 250
+    odds, z = toxicity.log_odds(np.array(c, float), np.array(t, float), n_c, n_t)
+    for i in range(4):
+        a = n_t * (c[i] + t[i]) / (n_c + n_t)  # the prior has the pooled share and the weight of the toxic texts
+        ours, theirs = t[i] + a, c[i] + a
+        want = math.log(ours / (n_t + n_t - ours)) - math.log(theirs / (n_c + n_t - theirs))
+        assert abs(odds[i] - want) < 1e-12 and abs(z[i] - want / math.sqrt(1 / ours + 1 / theirs)) < 1e-12
+    assert odds[1] > 0 > odds[0] and abs(z[1]) > 1
+
+
+def test_extreme_value_law():
+    scores, counts = np.array([-1.0, 0.5, 2.0]), np.array([80.0, 15.0, 5.0])
+    lam = toxicity.drift_root(scores, counts)
+    assert lam > 0.01 and abs((counts / 100 * np.exp(lam * scores)).sum() - 1) < 1e-6
+    # clean text reaches a score about as often as K n exp(-lambda S) says, once K is fitted
+    rng = np.random.default_rng(1)
+    top = [max((s for _, _, s in toxicity.maximal_segments(rng.choice(scores, 500, p=counts / 100))), default=0.0) for _ in range(400)]
+    k = -np.log((np.array(top) < 8).mean()) / 500 * np.exp(lam * 8)
+    for s in (6, 10):
+        assert abs((np.array(top) >= s).mean() - (1 - np.exp(-k * 500 * np.exp(-lam * s)))) < 0.12
+
+
+def test_segments_add_up():
+    one = toxicity.sum_surprise([3.0])
+    assert one == 3.0 and toxicity.sum_surprise([-2.0, -5.0]) == -2.0
+    assert toxicity.sum_surprise([3.0, -1.0]) == one < toxicity.sum_surprise([3.0, 3.0]) < toxicity.sum_surprise([3.0, 3.0, 3.0])
+
+
+def test_clean_tokens_count_by_their_own_odds():
+    model = toxicity.ToxicityModel({"bad": (3.0, 9.0), "fine": (-2.0, -9.0), "badl*": (2.5, 8.0), "badlands": (-1.0, -6.0), "rare": (0.2, 0.5)}, 4.0, 0.1, 1.0, 1e-3, 1.0, 0.0)
+    assert [round(float(v), 6) for v in model.scores("bad fine badly badlands rare new")] == [2.9, -2.1, 2.4, -1.1, 0.1, -0.1]
+    assert model.evaluate("bad " * 3)[0] > model.evaluate("bad fine bad fine bad")[0] > model.evaluate("fine " * 5)[0]
+
+
 def test_template_automaton():
     a = license_scan.TemplateAutomaton({"t": "a <<opt>>b c<<end>> <<one:d|e>> <<any:1-2>> f"})
     yes = ["a d x f", "a b c e x y f", "z a d f f"]
