@@ -19,7 +19,7 @@ from mnemolith.llm.mixing import sample_mix
 from mnemolith.llm.ngram_join import ngram_join
 from mnemolith.llm.packing import pack_buckets
 from mnemolith.llm.toxicity import drop_toxic, fit_toxicity
-from mnemolith.sources.tables import broadcast_if_small, materialize, shared_dir
+from mnemolith.sources.tables import Scratch, broadcast_if_small, materialize, shared_dir
 
 
 def rows_by_key(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -82,7 +82,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(path)
+        with Scratch(spark):  # what the stage wrote in between goes when its result is written
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
     return docs
