@@ -24,6 +24,7 @@ checked, all is done again under another hash. A token's frequency only affects
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import broadcast_if_small, connected_components, materialize, mix, slices
+from .common import Scratch, broadcast_if_small, connected_components, materialize, mix, slices
 
 #: Shingles that a step holds as separate strings.
 STEP = 1 << 18
@@ -171,7 +172,7 @@ def link_group(label, sets, host, check, t: int) -> list[tuple[int, int]]:
     return out
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block: int = 256, block_tokens: int = 500_000, shared: int = 3, hot_rows: int = 1_024, hot_limit: int = 500_000, seed: int = 0) -> DataFrame:
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block: int = 256, block_tokens: int = 500_000, shared: int = 3, hot_rows: int = 1_024, hot_limit: int = 500_000) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row.
 
     Two documents link when the Jaccard similarity of their sets of ``words``-word shingles (lower-cased
@@ -182,11 +183,20 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``shared`` is the number of prefix tokens that a visit needs, ``block`` and ``block_tokens`` bound a
     group's members, and ``hot_limit`` the frequent tokens that the order knows: all of them only affect
-    speed.
+    speed. The tables in between are deleted when the result is written.
     """
-    t = percent
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    with Scratch(docs.sparkSession) as tables:
+        for seed in itertools.count():
+            out = join_under(rows, words, percent, block, block_tokens, shared, hot_rows, hot_limit, seed)
+            if out is not None:
+                return tables.keep(out)
+
+
+def join_under(docs: DataFrame, words: int, t: int, block: int, block_tokens: int, shared: int, hot_rows: int, hot_limit: int, seed: int) -> DataFrame | None:
+    """ngram_join under one hash; None if a document's own shingles share a token."""
     low = -(1 << 63)
-    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(low)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select(F.coalesce("doc_id", F.lit(low)).alias("doc_id"), "text")
 
     def shingles_of(column):
         return [Shingles(x, words) for x in column.cast(pa.binary()).to_pylist()]
@@ -236,7 +246,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     signed = materialize(src.mapInArrow(sign, "doc_id bigint, n bigint, kinds bigint, f1 bigint, f2 bigint, g1 bigint, g2 bigint, cold bigint, prefix array<bigint>"))
     if signed.where("n <> kinds").take(1):
-        return ngram_join(docs, id_col, text_col, words, percent, block, block_tokens, shared, hot_rows, hot_limit, seed + 1)
+        return None
     light = signed.select("doc_id", "n", "f1", "f2")
     reps = materialize(light.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("c")))
     copies = broadcast_if_small(materialize(reps.where("c > 1").select("f1", "f2", "rep")))
