@@ -71,32 +71,51 @@ def sum_surprise(surprises: list[float]) -> float:
     return out
 
 
-class ToxicityModel:
-    """Fitted values; pickled to the executors. ``odds`` has the score of a token and how well it is known."""
+def feature_hash(feature: str) -> int:
+    return xxhash.xxh3_64_intdigest(feature)
 
-    def __init__(self, odds: dict[str, tuple[float, float]], sure: float, drift: float, lam: float, k: float, a: float, b: float):
-        self.odds, self.sure, self.drift, self.lam, self.k, self.a, self.b = odds, sure, drift, lam, k, a, b
-        self.cache: dict[str, float] = {}
 
-    def score_of(self, word: str) -> float:
-        """The word's own score if it is well known; else that of its longest well-known beginning; else its
+class ToxicityModel:
+    """Fitted values; pickled to the executors. ``h`` has the sorted hashes of tokens, ``s`` their scores and
+    ``z`` how well they are known."""
+
+    def __init__(self, h: np.ndarray, s: np.ndarray, z: np.ndarray, sure: float, drift: float, lam: float, k: float, a: float, b: float):
+        by = np.argsort(h)
+        self.h, self.s, self.z = h[by], s[by].astype(np.float32), z[by].astype(np.float32)
+        self.sure, self.drift, self.lam, self.k, self.a, self.b = sure, drift, lam, k, a, b
+
+    def find(self, features: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of tokens and how well they are known; 0 for others."""
+        x = np.fromiter(map(feature_hash, features), np.uint64, len(features))
+        at = np.minimum(np.searchsorted(self.h, x), len(self.h) - 1)
+        there = self.h[at] == x
+        return np.where(there, self.s[at], 0.0), np.where(there, self.z[at], 0.0)
+
+    def scores_of(self, words: list[str]) -> np.ndarray:
+        """A word's own score if it is well known; else that of its longest well-known beginning; else its
         own as far as it is known."""
-        s = self.cache.get(word)
-        if s is None:
-            if len(self.cache) > 200_000:
-                self.cache.clear()
-            s, z = self.odds.get(word, (0.0, 0.0))
-            if abs(z) < self.sure:
-                for k in PREFIXES:
-                    if len(word) > k and abs((begin := self.odds.get(word[:k] + "*", (0.0, 0.0)))[1]) >= self.sure:
-                        s = begin[0]
-                        break
-            self.cache[word] = s
+        s, z = self.find(words)
+        todo = np.flatnonzero(np.abs(z) < self.sure)
+        for k in PREFIXES:
+            able = np.array([i for i in todo.tolist() if len(words[i]) > k], np.int64)
+            begin, known = self.find([words[i][:k] + "*" for i in able.tolist()])
+            able, begin = able[np.abs(known) >= self.sure], begin[np.abs(known) >= self.sure]
+            s[able] = begin
+            todo = np.setdiff1d(todo, able)
         return s
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "cache"}
+
     def scores(self, text: str | None) -> np.ndarray:
+        cache = self.__dict__.setdefault("cache", {})
         words = tokens_of(text)
-        return np.fromiter(map(self.score_of, words), np.float64, len(words)) - self.drift
+        new = list(set(words).difference(cache))
+        if len(cache) + len(new) > 100_000:  # start again with what this text needs
+            cache.clear()
+            new = list(set(words))
+        cache.update(zip(new, self.scores_of(new).tolist(), strict=True))
+        return np.fromiter(map(cache.__getitem__, words), np.float64, len(words)) - self.drift
 
     def surprise(self, n: int, score: float) -> float:
         """-log of the expected number of segments as good in n clean tokens."""
@@ -146,7 +165,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     group of copies would look like signs of its label. None if there is no row of either class.
 
     Log-odds with z-score z are shrunk by z^2 / (z^2 + ``sure``^2): half where z is ``sure``. All tokens of
-    the sample are in the model, which grows with it; ``max_features``, if given, keeps those of highest |z|.
+    the sample are in the model by their 64-bit hashes, so it grows with the sample; ``max_features``, if given, keeps those of highest |z|.
     """
     ident = F.col(id_col).cast("string")
     picked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y"))
@@ -168,20 +187,25 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     sample = materialize(sample.groupBy("k", "y").agg(F.min("text").alias("text")))
 
     def count(batches):
-        total: dict[str, list[int]] = {}
-        for b in slices(batches):
+        def flush():
+            h, at = np.unique(np.concatenate(held[0] + held[1]), return_inverse=True)
+            y = np.repeat([0, 1], [sum(map(len, x)) for x in held])
+            c, t = (np.bincount(at[y == v], minlength=len(h)) for v in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64)), pa.array(t.astype(np.int64))], ["f", "c", "t"])
+
+        held, size = ([], []), 0
+        for b in slices(batches, 64):
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for f in features_of(tokens_of(text)):
-                    total.setdefault(f, [0, 0])[y > 0] += 1
-            if len(total) > 400_000:
-                yield as_batch(total)
-                total = {}
-        yield as_batch(total)
-
-    def as_batch(total):
-        return pa.RecordBatch.from_pydict({"f": list(total), "c": [v[0] for v in total.values()], "t": [v[1] for v in total.values()]}, schema=pa.schema([("f", pa.string()), ("c", pa.int64()), ("t", pa.int64())]))
-
-    counts = sample.select("text", "y").mapInArrow(count, "f string, c bigint, t bigint").groupBy("f").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+                features = features_of(tokens_of(text))
+                held[y > 0].append(np.fromiter(map(feature_hash, features), np.uint64, len(features)))
+                size += len(features)
+            if size > 1_000_000:
+                yield flush()
+                held, size = ([], []), 0
+        if size:
+            yield flush()
+
+    counts = sample.select("text", "y").mapInArrow(count, "f bigint, c bigint, t bigint").groupBy("f").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
     counts = materialize(counts)
     sums = counts.agg(F.sum("c"), F.sum("t")).first()
     n_c, n_t = sums[0] or 0, sums[1] or 0
@@ -192,11 +216,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     best = (best if max_features is None else best.orderBy(F.desc(F.abs("z")), "f").limit(max_features)).toArrow()
     z = best["z"].to_numpy()
     shrunk = best["odds"].to_numpy() * z**2 / (z**2 + sure**2)
-    weights = dict(zip(best["f"].to_pylist(), zip(shrunk.tolist(), z.tolist(), strict=True), strict=True))
     signs = shrunk[(z >= sure)]
     if not len(signs):
         return None
-    model = ToxicityModel(weights, sure, 0.05 * float(np.median(signs)), 1.0, 1.0, 1.0, 0.0)
+    model = ToxicityModel(best["f"].to_numpy().view(np.uint64), shrunk, z, sure, 0.05 * float(np.median(signs)), 1.0, 1.0, 1.0, 0.0)
 
     def spread(batches):
         """Histogram of the clean tokens' scores, in steps of 0.01."""

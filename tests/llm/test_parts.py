@@ -138,7 +138,9 @@ def test_segments_add_up():
 
 
 def test_clean_tokens_count_by_their_own_odds():
-    model = toxicity.ToxicityModel({"bad": (3.0, 9.0), "fine": (-2.0, -9.0), "badl*": (2.5, 8.0), "badlands": (-1.0, -6.0), "rare": (0.2, 0.5)}, 4.0, 0.1, 1.0, 1e-3, 1.0, 0.0)
+    known = {"bad": (3.0, 9.0), "fine": (-2.0, -9.0), "badl*": (2.5, 8.0), "badlands": (-1.0, -6.0), "rare": (0.2, 0.5)}
+    s, z = np.array(list(known.values())).T
+    model = toxicity.ToxicityModel(np.array([toxicity.feature_hash(f) for f in known], np.uint64), s, z, 4.0, 0.1, 1.0, 1e-3, 1.0, 0.0)
     assert [round(float(v), 6) for v in model.scores("bad fine badly badlands rare new")] == [2.9, -2.1, 2.4, -1.1, 0.1, -0.1]
     assert model.evaluate("bad " * 3)[0] > model.evaluate("bad fine bad fine bad")[0] > model.evaluate("fine " * 5)[0]
 
