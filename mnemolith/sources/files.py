@@ -15,32 +15,81 @@ STATUS_FIELDS = ("type", "event_id", "status", "batch_id", "reason", "timestamp"
 STATUS_SCHEMA = T.StructType([*(T.StructField(n, T.StringType()) for n in STATUS_FIELDS), T.StructField("pages", T.ArrayType(T.StringType())), T.StructField("recovered", T.BooleanType())])
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: T.StructType, ordinal: str = "seq") -> DataFrame:
-    """Valid lines of JSON-lines files with their ordinal over valid lines, files in name order.
+def qualified(spark: SparkSession, path: str):
+    """(file system, path) of the JVM for a path."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files, files.makeQualified(p)
+
+
+def append_folder(rows: DataFrame, path: str, kind: str = "json") -> str:
+    """Add rows to a log as a folder that sorts after all that are there, so that no earlier row's ordinal
+    changes. The folder is written under a hidden name and renamed, so readers see all of it or nothing.
+    A log has one writer at a time. Files are of bounded size, and so is what numbering a file takes."""
+    spark = rows.sparkSession
+    files, root = qualified(spark, path)
+    join = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    draft = join(root, f".draft-{uuid.uuid4().hex}")
+    getattr(rows.write.option("ignoreNullFields", True).option("maxRecordsPerFile", 1_000_000), kind)(draft.toString())
+    names = [s.getPath().getName() for s in files.listStatus(root)]
+    n = max((int(x[7:27]) for x in names if x.startswith("append-")), default=-1) + 1
+    while not files.rename(draft, join(root, f"append-{n:020d}")):
+        n += 1
+    return f"{root.toString()}/append-{n:020d}"
+
+
+def numbered_lines(spark: SparkSession, path: str, valid: Column | None = None) -> DataFrame:
+    """``file, line_no, value`` of the lines of a log: files beside each other in name order, then the
+    folders of append_folder in theirs; only ``valid`` ones take numbers. Lines are numbered within the
+    splits that Spark reads and the splits' counts are added up, so no task holds more than a split."""
+    lines = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(path)
+    lines = lines.select("value", F.input_file_name().alias("file"), F.input_file_block_start().alias("start"), F.monotonically_increasing_id().alias("at"))
+    if valid is not None:
+        lines = lines.where(valid)
+    appended = F.regexp_extract("file", r"/(append-\d{20}/[^/]*)$", 1)
+    lines = lines.withColumn("place", F.struct(appended, "file", "start"))
+    lines = lines.withColumn("n", F.row_number().over(Window.partitionBy("place").orderBy("at")))
+    counts = lines.groupBy("place").agg(F.count("*").alias("c"))
+    before = counts.withColumn("before", F.sum("c").over(Window.orderBy("place")) - F.col("c")).drop("c")  # a row a split
+    return lines.join(before, "place").select("file", (F.col("before") + F.col("n") - 1).alias("line_no"), "value")
 
-    Malformed lines are left out and take no ordinal. Lines are numbered within each file and the
-    files' counts are added up, so that no task holds more than a file.
-    """
-    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
-    rows = lines.withColumn("r", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    ok = F.col("value").rlike(r"^[\t\n\r ]*\{") & F.try_parse_json("value").isNotNull() & F.col("r").isNotNull()
-    rows = rows.where(ok).withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("at")))
-    counts = rows.groupBy("file").agg(F.count("*").alias("c"))
-    before = counts.withColumn("before", F.sum("c").over(Window.orderBy("file")) - F.col("c")).drop("c")  # a row a file
-    return rows.join(before, "file").select((F.col("before") + F.col("n") - 1).alias(ordinal), "r.*")
+
+def read_json_lines(spark: SparkSession, path: str, schema: T.StructType, ordinal: str = "seq") -> DataFrame:
+    """Valid lines of JSON-lines logs with their ordinal over valid lines. Malformed lines are left out
+    and take no ordinal."""
+    ok = F.col("value").rlike(r"^[\t\n\r ]*\{") & F.try_parse_json("value").isNotNull() & F.from_json("value", schema).isNotNull()
+    return numbered_lines(spark, path, ok).withColumn("r", F.from_json("value", schema)).select(F.col("line_no").alias(ordinal), "r.*")
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     return read_json_lines(spark, path, EVENT_SCHEMA)
 
 
+def unclosed_files(spark: SparkSession, path: str) -> list[str]:
+    """Files that don't end with a line end; their last bytes are read, not their lines."""
+    files, root = qualified(spark, path)
+    out, found = [], files.listFiles(root, True)
+    while found.hasNext():
+        f = found.next()
+        if f.getLen() and not f.getPath().getName().startswith(("_", ".")):
+            stream = files.open(f.getPath())
+            try:
+                stream.seek(f.getLen() - 1)
+                if stream.read() != 10:
+                    out.append(f.getPath().getName())
+            finally:
+                stream.close()
+    return out
+
+
 def read_status_log(spark: SparkSession, path: str) -> DataFrame:
-    """Status records with ``line_no`` over all lines; ``terminated`` is false for a last line without
-    a line end, which doesn't count."""
-    lines = F.split("value", "\n")
-    raw = spark.read.text(path, wholetext=True).select(F.posexplode(lines).alias("line_no", "line"), (F.size(lines) - 1).alias("end"), F.endswith("value", F.lit("\n")).alias("closed"))
-    rows = raw.where("NOT (line_no = end AND line = '' AND closed)").withColumn("r", F.from_json("line", STATUS_SCHEMA))
-    return rows.select(F.col("line_no").cast("long").alias("line_no"), "r.*", F.expr("line_no < end OR closed").alias("terminated"))
+    """Status records with ``line_no`` over all lines; ``terminated`` is false for a file's last line
+    without a line end, which doesn't count."""
+    rows = numbered_lines(spark, path)
+    name = F.element_at(F.split("file", "/"), -1)
+    loose = rows.where(name.isin(unclosed_files(spark, path))).groupBy("file").agg(F.max("line_no").alias("line_no"))
+    rows = rows.join(loose.select("line_no", F.lit(False).alias("terminated")), "line_no", "left").withColumn("r", F.from_json("value", STATUS_SCHEMA))
+    return rows.select("line_no", "r.*", F.coalesce("terminated", F.lit(True)).alias("terminated"))
 
 
 def event_ids(now: Column, entropy: Column) -> Column:
@@ -49,21 +98,20 @@ def event_ids(now: Column, entropy: Column) -> Column:
 
 
 def append_events(events: DataFrame, path: str) -> DataFrame:
-    """Append events as JSON lines, one file a call or micro-batch; empty ids and times are filled."""
+    """Append events as JSON lines after all others; empty ids and times are filled."""
     now = F.current_timestamp()
     ident = event_ids(now, F.concat(F.expr("uuid()"), F.col("content")))
     fill = lambda c, x: F.coalesce(F.nullif(F.col(c), F.lit("")), x) if c in events.columns else x
     rows = events.withColumn("id", fill("id", ident)).withColumn("timestamp", fill("timestamp", F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'Z'")))
-    rows.write.mode("append").option("ignoreNullFields", True).json(path)
-    return rows
+    return events.sparkSession.read.schema(rows.schema).json(append_folder(rows, path))
 
 
 def read_markdown(spark: SparkSession, root: str, validation_rules: bool = True) -> DataFrame:
     """``path, content, mtime`` of the files below root. Under validation rules only ``.md`` files
     outside dot directories count; the store's own walk leaves out ``.meta`` alone."""
-    base = root.rstrip("/")
+    base = qualified(spark, root)[1].toString()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    rel = F.regexp_replace(F.col("path"), r"^.*\Q" + base.split("://")[-1].rsplit("/", 1)[-1] + r"\E/", "")
+    rel = F.substr("path", F.lit(len(base.rstrip("/")) + 2))
     rows = files.select(rel.alias("path"), F.col("content").cast("string").alias("content"), F.col("modificationTime").alias("mtime"))
     if validation_rules:
         return rows.where(F.endswith("path", F.lit(".md")) & ~F.col("path").rlike(r"(^|/)\.[^/]*/"))
@@ -109,7 +157,7 @@ class PageVersions:
 
 def write_facts(facts: DataFrame, snippets: DataFrame, path: str) -> None:
     """A fact bundle as JSON lines in their order."""
-    facts.drop("content").write.mode("overwrite").json(f"{path}/facts")
+    facts.drop("content").orderBy("path", "line", "kind", "symbol").write.mode("overwrite").json(f"{path}/facts")
     snippets.orderBy("path", "start_line", "kind", "symbol").write.mode("overwrite").json(f"{path}/snippets")
 
 
@@ -121,7 +169,7 @@ def append_statuses(records: DataFrame, path: str) -> None:
     if bad:
         raise ValueError(f"invalid status record for event {bad[0]['event_id']!r}")
     stamped = records.withColumn("timestamp", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")) if "timestamp" not in records.columns else records
-    stamped.write.mode("append").option("ignoreNullFields", True).json(path)
+    append_folder(stamped, path)
 
 
 def write_bootstrap(events: DataFrame, epoch: str, path: str) -> None:
@@ -135,4 +183,4 @@ def append_progress(results: DataFrame, path: str) -> None:
     """One JSON line a batch at the end of the progress log."""
     from ..operators.surface import progress_lines
 
-    progress_lines(results).write.mode("append").text(path)
+    append_folder(progress_lines(results), path, "text")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ class MemoryStore:
 
     def __init__(self, spark: SparkSession, root: str, read_only: bool = False):
         self.spark, self.root, self.read_only = spark, root.rstrip("/"), read_only
+        self.compile_error: Exception | None = None
         self.tree = PageVersions(spark, f"{self.root}/wiki", read_only)
 
     def _writable(self) -> None:
@@ -87,6 +90,31 @@ class MemoryStore:
         self.spark.createDataFrame([(to,)], "cursor long").write.mode("append").parquet(f"{self.root}/cursor")
         return True
 
+    def run_compile(self, compile_: Callable[[DataFrame, int], int | None]) -> bool:
+        """One compile cycle: nothing if no event is past the cursor; else ``compile_`` gets those events and
+        the cursor and says how far it came. The cursor moves only if that is forward, never past the log;
+        an error leaves it."""
+        self._writable()
+        cursor = self.cursor()
+        events, end = self.read_events_since(cursor)
+        if end <= cursor:
+            return False
+        to = compile_(events, cursor)
+        return to is not None and self.advance_cursor(min(to, end))
+
+    def start_auto_compile(self, compile_: Callable[[DataFrame, int], int | None], checkpoint: str, seconds: float = 1800.0):
+        """Compile cycles on a timer, as a stream that beats; an error ends a cycle and not the timer."""
+
+        def cycle(_: DataFrame, number: int) -> None:
+            try:
+                self.run_compile(compile_)
+                self.compile_error = None
+            except Exception as e:  # kept for whoever asks; the next beat tries again
+                self.compile_error = e
+
+        beat = self.spark.readStream.format("rate").option("rowsPerSecond", 1).load().writeStream.option("checkpointLocation", checkpoint)
+        return beat.foreachBatch(cycle).trigger(processingTime=f"{seconds} seconds").start()
+
     def stats(self) -> DataFrame:
         return pages.memory_stats(self.pages(), self.events(), self.cursor())
 

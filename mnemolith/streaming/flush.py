@@ -1,13 +1,16 @@
 """The integration loop as Structured Streaming.
 
-Events land as files. Each micro-batch appends to the event table and, when enough are pending or the
-log has been quiet long enough, flushes: events without a terminal status are packed, decided on batch
-by batch, and the statuses appended. The status log is the state; replaying it is the recovery, and a
-repeated micro-batch changes nothing because what is terminal is no longer pending.
+Events land as files. Each micro-batch appends to the event table and, when enough are pending, flushes; a
+heartbeat stream flushes what is pending when the log has been quiet long enough. A flush packs the events
+without a terminal status, decides on batch by batch, and appends the statuses. A batch that fails is split,
+by suspects or in halves, and its parts are decided on again, down to parts that can't be split, whose events
+fail. The status log is the state; replaying it is the recovery, and a repeated micro-batch changes nothing
+because what is terminal is no longer pending.
 """
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable
 from typing import Protocol
@@ -15,16 +18,25 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from ..operators import batching, log
+from ..operators import batching, guards, log, surface
 from ..sources.files import EVENT_SCHEMA
 from ..sources.tables import materialize
 
 STATUS_DDL = "line_no long, type string, event_id string, status string, batch_id string, reason string, epoch string, terminated boolean"
 
 
+#: How often a failed batch is split.
+MAX_DEPTH = 2
+#: What a decision says of an event whose batch as a whole failed.
+BATCH_FAILED = "batch_failed"
+
+
 class Decision(Protocol):
-    """What an integration does with batches: (event_id, status, reason) of (batch_id, id, text) rows."""
+    """What an integration does with batches: (event_id, status, reason) of (batch_id, id, text) rows. A
+    batch with an event whose status is ``batch_failed`` has failed; a boolean column ``suspect`` may mark
+    the events to part from the others."""
 
     def __call__(self, batches: DataFrame) -> DataFrame: ...
 
@@ -41,6 +53,10 @@ class FlushLoop:
         self.last_signal = clock()
         self.suspended = False
         self.errors = 0
+        self.lock = threading.RLock()
+        self.last_flush: dict[str, int] = {}
+        self.next_run = "idle"
+        self.query = self.heartbeat = None
 
     def _table(self, name: str, schema) -> DataFrame:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -48,55 +64,115 @@ class FlushLoop:
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}") if there else self.spark.createDataFrame([], schema)
 
     def events(self) -> DataFrame:
-        """Each event once, even if a micro-batch was written twice."""
-        schema = T.StructType([*EVENT_SCHEMA.fields, T.StructField("batch", T.LongType())])
-        return self._table("events", schema).dropDuplicates(["id"])
+        return self._table("events", T.StructType([*EVENT_SCHEMA.fields, T.StructField("batch", T.LongType())]))
 
     def status(self) -> DataFrame:
         return log.latest_status(self._table("status", STATUS_DDL))
 
     def pending(self) -> DataFrame:
-        return log.pending_events(self.events(), self.status())
+        """Each pending event once, even if a micro-batch was written twice: what is terminal goes first, so
+        only what is pending is compared."""
+        return log.pending_events(self.events(), self.status()).dropDuplicates(["id"])
 
     def due(self, pending: int) -> bool:
         """Enough pending, or some and no signal for a while."""
         return not self.suspended and (pending >= self.threshold or (pending > 0 and self.clock() - self.last_signal >= self.quiet_seconds))
 
+    def _decided(self, packed: DataFrame) -> DataFrame:
+        """The decision computed, so that its errors come up here: a row for each event of ``packed``."""
+        said = self.decide(packed)
+        if "suspect" not in said.columns:
+            said = said.withColumn("suspect", F.lit(False))
+        said = said.select("event_id", "status", "reason", "suspect").dropDuplicates(["event_id"])
+        rows = packed.select(F.col("id").alias("event_id"), "batch_id").join(said, "event_id", "left")
+        bad = F.max(F.coalesce(F.col("status") == BATCH_FAILED, F.lit(False))).over(Window.partitionBy("batch_id"))
+        return materialize(rows.withColumn("bad", bad))
+
+    def _append(self, rows: DataFrame, stamp: int) -> None:
+        full = rows.select(F.lit(stamp).cast("long").alias("line_no"), F.lit("").alias("type"), "event_id", "status", "batch_id", "reason", F.lit("").alias("epoch"), F.lit(True).alias("terminated"))
+        full.write.mode("append").parquet(f"{self.root}/status")
+
     def flush(self, stamp: int) -> int:
-        """Pack, decide, append statuses; returns how many events were pending."""
-        pending = self.pending().withColumn("context", batching.context_map())
-        pending = materialize(pending.withColumn("bytes", batching.event_bytes(F.col("content"), F.col("context"))))
-        n = pending.count()
-        if n:
-            packed = materialize(batching.greedy_batches(pending, **self.caps).join(pending.select("id", F.col("content").alias("text"), "context", "created_at"), "id"))
-            try:
-                said = self.decide(packed)
-                self.errors = 0
-            except Exception:
-                self.errors += 1
-                self.suspended = self.errors >= 3
-                if self.suspended:
-                    raise
-                return n
-            known = packed.select(F.col("id").alias("event_id"), "batch_id").join(said, "event_id", "left")
-            rows = known.select(
-                F.lit(stamp).cast("long").alias("line_no"), F.lit("").alias("type"), "event_id", F.coalesce("status", F.lit("unknown")).alias("status"), "batch_id", F.coalesce("reason", F.lit("not reported")).alias("reason"), F.lit("").alias("epoch"), F.lit(True).alias("terminated")
-            )
-            rows.write.mode("append").parquet(f"{self.root}/status")
-        return n
+        """Pack, decide, split what failed, append statuses; returns how many events were pending.
+
+        Three decisions in a row that raise suspend the loop; the third error comes up.
+        """
+        with self.lock:
+            pending = self.pending().withColumn("context", batching.context_map())
+            pending = materialize(pending.withColumn("bytes", batching.event_bytes(F.col("content"), F.col("context"))))
+            n = pending.count()
+            if n:
+                texts = pending.select("id", F.col("content").alias("text"), "context", "created_at")
+                packed = materialize(batching.greedy_batches(pending, **self.caps).join(texts, "id").withColumn("depth", F.lit(0)))
+                try:
+                    self._decide_all(packed, stamp)
+                    self.errors = 0
+                except Exception:
+                    self.errors += 1
+                    self.suspended = self.errors >= 3
+                    if self.suspended:
+                        raise
+            left = self.pending().count()
+            self.next_run = self.spark.range(1).select(guards.next_run(F.lit(left), F.lit(self.suspended), F.lit(0))).first()[0]
+            return n
+
+    def _decide_all(self, packed: DataFrame, stamp: int) -> None:
+        """One round a depth, at most ``MAX_DEPTH`` + 1; counters go to ``last_flush``."""
+        counters: dict[str, int] = {}
+        for depth in range(MAX_DEPTH + 1):
+            said = self._decided(packed)
+            batches = packed.join(said.where("bad").select("batch_id").distinct(), "batch_id", "left_semi")
+            suspects = said.where("suspect").select(F.col("event_id").alias("id"))
+            parts = materialize(batching.split_batch(batches.select("batch_no", "pos", "id", "depth"), suspects, MAX_DEPTH))
+            again = said.join(parts.select(F.col("id").alias("event_id")), "event_id", "left_semi")
+            done = said.join(again.select("event_id"), "event_id", "left_anti")
+            why = guards.failure_reason(F.lit(False), F.col("suspect").cast("int"), F.col("reason"))
+            rows = done.withColumn("reason", F.when(F.col("bad"), why).otherwise(F.coalesce("reason", F.lit("not reported"))))
+            rows = materialize(rows.withColumn("status", F.when(F.col("bad"), "failed").otherwise(F.coalesce("status", F.lit("unknown")))))
+            self._append(rows, stamp)
+            now = surface.flush_counters(rows.withColumn("batch_status", F.when(F.col("bad"), "failed").otherwise("success"))).first().asDict()
+            counters = {k: counters.get(k, 0) + v for k, v in now.items()}
+            if parts.isEmpty():
+                break
+            ids = Window.partitionBy("batch_no", "part").orderBy("created_at", "id")
+            packed = packed.drop("batch_id", "pos", "depth").join(parts, ["batch_no", "id"]).withColumn("pos", F.row_number().over(ids) - 1)
+            names = packed.groupBy("batch_no", "part").agg(batching.batch_id(F.collect_list("id")).alias("batch_id"))  # 20 ids at most
+            packed = packed.join(names, ["batch_no", "part"]).withColumn("batch_no", F.col("batch_no") * 2 + F.col("part"))
+            packed = materialize(packed.drop("part"))
+        self.last_flush = counters
 
     def on_batch(self, events: DataFrame, number: int) -> None:
         if not events.isEmpty():
             self.last_signal = self.clock()
             events.withColumn("batch", F.lit(number).cast("long")).write.mode("append").parquet(f"{self.root}/events")
+        self.tick(number)
+
+    def tick(self, stamp: int) -> None:
+        """Flush if it is time."""
         if self.due(self.pending().count()):
-            self.flush(number)
+            self.flush(stamp)
 
     def start(self, landing: str, checkpoint: str, available_now: bool = False, seconds: float = 5.0):
-        """Tail a folder of JSON-lines files."""
+        """Tail a folder of JSON-lines files. A running loop has a heartbeat beside it, as a stream without
+        new files calls nothing; it ends with the loop. ``stop`` ends both."""
         stream = self.spark.readStream.schema(EVENT_SCHEMA).json(landing).where("id IS NOT NULL")
-        writer = stream.writeStream.foreachBatch(self.on_batch).option("checkpointLocation", checkpoint)
-        return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{seconds} seconds")).start()
+        writer = stream.writeStream.foreachBatch(self.on_batch).option("checkpointLocation", f"{checkpoint}")
+        if available_now:
+            return writer.trigger(availableNow=True).start()
+        self.query = writer.trigger(processingTime=f"{seconds} seconds").start()
+        beat = self.spark.readStream.format("rate").option("rowsPerSecond", 1).load().writeStream.option("checkpointLocation", f"{checkpoint}-heartbeat")
+
+        def on_beat(_: DataFrame, number: int) -> None:
+            if self.query.isActive:
+                self.tick(-1 - number)  # sorts before the micro-batches' stamps; an event gets one status anyway
+
+        self.heartbeat = beat.foreachBatch(on_beat).trigger(processingTime=f"{seconds} seconds").start()
+        return self.query
+
+    def stop(self) -> None:
+        for q in (self.heartbeat, self.query):
+            if q is not None:
+                q.stop()
 
 
 def recover(loop: FlushLoop, pages: DataFrame, stamp: int) -> int:

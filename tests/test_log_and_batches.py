@@ -145,7 +145,7 @@ def test_status_writes(spark, tmp_path):
     files.append_statuses(good, str(tmp_path / "s"))
     with pytest.raises(ValueError):
         files.append_statuses(good.unionByName(spark.createDataFrame([("", "b", "pending", "", "")], ddl)), str(tmp_path / "s"))
-    assert spark.read.json(str(tmp_path / "s")).count() == 1
+    assert files.read_status_log(spark, str(tmp_path / "s")).count() == 1
     events = spark.createDataFrame([("e1", "2023-01-01T00:00:00Z"), ("e2", "2025-01-01T00:00:00Z")], "id string, timestamp string")
     files.write_bootstrap(events, "2024-01-01 00:00:00", str(tmp_path / "boot"))
     assert spark.read.json(str(tmp_path / "boot")).count() == 2
@@ -154,7 +154,8 @@ def test_status_writes(spark, tmp_path):
 
 
 def test_appended_events_get_ids(spark, tmp_path):
-    files.append_events(spark.createDataFrame([("x", ""), ("y", "mine")], "content string, id string"), str(tmp_path / "raw"))
+    said = files.append_events(spark.createDataFrame([("x", ""), ("y", "mine")], "content string, id string"), str(tmp_path / "raw"))
+    assert {r["id"] for r in said.collect()} == {r["id"] for r in files.read_events(spark, str(tmp_path / "raw")).collect()}
     rows = {r["content"]: r for r in files.read_events(spark, str(tmp_path / "raw")).collect()}
     import re
 
@@ -167,3 +168,60 @@ def test_reconcile_query_covers_the_whole_log(spark, tmp_path):
     spark.range(3000).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "id % 9 AS user_id", "'a' AS event_type", "'{}' AS props").write.parquet(f"{tmp_path}/events.parquet")
     got = {int(r["id"][4:]) for r in registry.QUERIES["reconcile_pending_all"](spark, str(tmp_path)).collect()}
     assert {i // 300 for i in got} == set(range(10)) and {i % 3 for i in got} == {0, 1, 2}
+
+
+def test_appends_never_renumber_the_log(spark, tmp_path):
+    path, cursor, seen = str(tmp_path / "raw"), 0, []
+    for i in range(20):
+        files.append_events(spark.createDataFrame([(f"e{i:02d}-{j}", f"c{i}") for j in range(i % 3 + 1)], "id string, content string").coalesce(1), path)
+        now = files.read_events(spark, path)
+        if i % 4 == 3:
+            seen += [r["id"] for r in log.events_since(now, cursor).orderBy("seq").collect()]
+            cursor = log.next_cursor(now).first()[0]
+    assert seen == [f"e{i:02d}-{j}" for i in range(20) for j in range(i % 3 + 1)]
+    assert [r["seq"] for r in now.orderBy("seq").collect()] == list(range(len(seen)))
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "old.jsonl").write_text("".join(f'{{"id": "e{i}", "content": "{"x" * 50}"}}\n' + "broken\n" * (i % 5 == 0) for i in range(400)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        rows = files.read_events(spark, str(tmp_path / "log"))
+        assert rows.select(F.spark_partition_id()).distinct().count() > 1
+        assert [r["id"] for r in rows.orderBy("seq").collect()] == [f"e{i}" for i in range(400)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_status_appends_keep_their_order(spark, tmp_path):
+    path = str(tmp_path / "status")
+    for s in ("failed", "integrated", "unknown", "skipped"):
+        files.append_statuses(spark.createDataFrame([("", "e1", s, "", "")], "type string, event_id string, status string, reason string, epoch string"), path)
+    assert log.latest_status(files.read_status_log(spark, path)).first()["status"] == "skipped"
+
+
+def test_markdown_paths_where_a_folder_repeats_the_root(spark, tmp_path):
+    at = tmp_path / "wiki" / "semantic" / "wiki"
+    at.mkdir(parents=True)
+    (at / "a.md").write_text("x")
+    (tmp_path / "wiki" / "b c.md").write_text("y")
+    for rules in (True, False):
+        for root in (str(tmp_path / "wiki"), f"file://{tmp_path}/wiki/"):
+            assert {r["path"] for r in files.read_markdown(spark, root, rules).collect()} == {"semantic/wiki/a.md", "b c.md"}
+
+
+def test_fact_bundle_and_progress(spark, tmp_path):
+    src = "package a\n\nfunc B() {}\n\nfunc A() {}\n"
+    snippet = spark.createDataFrame([("a.go", 3, "function", "B")], "path string, start_line int, kind string, symbol string")
+    facts = spark.createDataFrame([("b.go", 1, "function", "Z", "c"), ("a.go", 5, "function", "A", "c"), ("a.go", 3, "function", "B", src)], "path string, line int, kind string, symbol string, content string")
+    files.write_facts(facts, snippet, str(tmp_path / "bundle"))
+    back = spark.read.json(str(tmp_path / "bundle/facts"))
+    assert "content" not in back.columns and [r["symbol"] for r in back.orderBy("path", "line").collect()] == ["B", "A", "Z"]
+    results = spark.createDataFrame([("b1", "success", "e1", "integrated"), ("b1", "success", "e2", "skipped")], "batch_id string, batch_status string, event_id string, status string")
+    for _ in range(2):
+        files.append_progress(results, str(tmp_path / "progress"))
+    assert [r[2] for r in files.numbered_lines(spark, str(tmp_path / "progress")).orderBy("line_no").collect()] == ['{"batch_id":"b1","status":"success","events":2}'] * 2

@@ -1,6 +1,8 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from mnemolith.streaming.flush import FlushLoop, recover
 
@@ -60,3 +62,92 @@ def test_three_errors_suspend(spark, tmp_path):
     except RuntimeError:
         pass
     assert loop.suspended and not loop.due(99)
+
+
+def seconds_until(done, most=60):
+    import time
+
+    end = time.time() + most
+    while time.time() < end and not done():
+        time.sleep(1)
+    return done()
+
+
+def test_poison_events_fail_in_small_parts(spark, tmp_path):
+    land(tmp_path / "in", "a.json", [f"e{i:03d}" for i in range(186)])
+    poison = ["e005", "e047", "e083", "e121", "e160"]
+
+    def decide(b):
+        bad = F.max(F.col("id").isin(poison).cast("int")).over(Window.partitionBy("batch_id")) > 0
+        return b.select(F.col("id").alias("event_id"), F.when(bad, "batch_failed").otherwise("integrated").alias("status"), F.lit("r").alias("reason"))
+
+    loop = FlushLoop(spark, str(tmp_path / "state"), decide=decide)
+    loop.start(str(tmp_path / "in"), str(tmp_path / "cp"), available_now=True).awaitTermination()
+    got = {r["event_id"]: r["status"] for r in loop.status().collect()}
+    assert len(got) == 186 and all(got[p] == "failed" for p in poison)
+    assert sum(s == "failed" for s in got.values()) <= 25 and sum(s == "integrated" for s in got.values()) >= 161
+    assert loop.last_flush["integrated"] + loop.last_flush["failed"] == 186 and loop.next_run == "idle"
+
+
+def test_suspects_are_parted_first(spark, tmp_path):
+    land(tmp_path / "in", "a.json", [f"e{i:03d}" for i in range(20)])
+    rounds = []
+
+    def decide(b):
+        rounds.append(sorted(tuple(sorted(r["x"])) for r in b.groupBy("batch_id").agg(F.collect_list("id").alias("x")).collect()))
+        bad = F.max(F.col("id").isin("e003").cast("int")).over(Window.partitionBy("batch_id")) > 0
+        return b.select(F.col("id").alias("event_id"), F.when(bad, "batch_failed").otherwise("integrated").alias("status"), F.lit("r").alias("reason"), F.col("id").isin("e003", "e004").alias("suspect"))
+
+    loop = FlushLoop(spark, str(tmp_path / "state"), decide=decide)
+    loop.start(str(tmp_path / "in"), str(tmp_path / "cp"), available_now=True).awaitTermination()
+    assert ("e003", "e004") in rounds[1] and len(rounds) == 2
+    assert sorted(r["event_id"] for r in loop.status().where("status = 'failed'").collect()) == ["e003", "e004"]
+
+
+def test_errors_of_a_lazy_decision_count(spark, tmp_path):
+    fail = lambda b: b.select(F.col("id").alias("event_id"), F.raise_error(F.lit("no")).cast("string").alias("status"), F.lit("").alias("reason"))
+    loop = FlushLoop(spark, str(tmp_path / "state"), decide=fail, threshold=99)
+    land(tmp_path / "in", "a.json", ["e001"])
+    loop.start(str(tmp_path / "in"), str(tmp_path / "cp"), available_now=True).awaitTermination()
+    for i in range(2):
+        assert loop.flush(0) == 1 and loop.errors == i + 1 and loop.next_run == "resume later"
+    with pytest.raises(Exception, match="no"):
+        loop.flush(0)
+    assert loop.suspended and loop.pending().count() == 1
+
+
+def test_a_quiet_log_is_flushed(spark, tmp_path):
+    land(tmp_path / "in", "a.json", ["e001", "e002", "e003"])
+    loop = FlushLoop(spark, str(tmp_path / "state"), quiet_seconds=2.0)
+    loop.start(str(tmp_path / "in"), str(tmp_path / "cp"), seconds=1.0)
+    try:
+        assert seconds_until(lambda: loop.status().count() == 3)
+    finally:
+        loop.stop()
+
+
+def test_compile_cycle(spark, tmp_path):
+    from mnemolith.store import MemoryStore
+
+    store = MemoryStore(spark, str(tmp_path / "m"))
+    add = lambda *ids: store.append_event(spark.createDataFrame([(i, "x") for i in ids], "id string, content string").coalesce(1))
+    add("a", "b")
+    seen = []
+
+    def half(events, cursor):
+        seen.append((cursor, [r["id"] for r in events.orderBy("seq").collect()]))
+        return cursor + 1
+
+    assert store.run_compile(half) and store.cursor() == 1
+    assert not store.run_compile(lambda e, c: None) and not store.run_compile(lambda e, c: 0) and store.cursor() == 1
+    with pytest.raises(ZeroDivisionError):
+        store.run_compile(lambda e, c: 1 // 0)
+    assert store.run_compile(lambda e, c: 99) and store.cursor() == 2  # never past the log
+    assert not store.run_compile(half)  # nothing to do
+    add("c")
+    timer = store.start_auto_compile(half, str(tmp_path / "cp"), seconds=1.0)
+    try:
+        assert seconds_until(lambda: store.cursor() == 3)
+    finally:
+        timer.stop()
+    assert seen == [(0, ["a", "b"]), (2, ["c"])]
