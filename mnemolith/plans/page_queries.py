@@ -9,11 +9,8 @@ from ..operators import capture, codefacts, guards, lint, migrate
 from ..operators import pages as pg
 from .views import PAGES, literal, pages, table, values_sql
 
-PATHS = [(i, p) for i, p in enumerate(["", "semantic/a.md", "../x.md", "/etc/a..b", ".meta/x.json", "index.md", "archive/semantic/a.md", "semantic/index.md", "semantic/deep/index.md", "episodic/people/bob.md", "people/bob.md", "procedural", "a/person/x.md", "archive/x.md", "/../a", "semantic-x/a.md", "prospective/a-b.md", "prospective/a/x.md"])]
 KINDS = "('semantic', 'episodic', 'procedural', 'prospective')"
 TARGETS = [(i, p, x) for i, (p, x) in enumerate([("semantic/a.md", "b%20c.md"), ("semantic/a.md", "../episodic/x.md"), ("semantic/a.md", "../../out.md"), ("a.md", "./b.md"), ("semantic/d/e.md", "%28x%29/../y.md"), ("semantic/a.md", "x//y.md"), ("semantic/a.md", "%3Ca%3E%5C.md")])]
-LINKS = [(i, x) for i, x in enumerate(["http://a", "HTTPS://B", "mailto:x@y", "tel:1", "#top", "a.md", "repo:" + "a" * 40 + ":p/x.go:10:F", "repo:" + "a" * 40 + ":p/x.go:deleted", "repo:abc:p:1:F", "httpx://a"])]
-RECALLS = [(i, x) for i, x in enumerate(["plain", " a <recall>b</recall> c ", "x<recall>open", "<recall>1</recall><recall>2\n3</recall>keep", "", "</recall>x"])]
 LOWERS = [(i, x) for i, x in enumerate(["ABC", "İstanbul", "ΣΑΣ", "ÀÉ", "ß"])]
 
 GOOD = '---\ntype: concept\ntitle: "A"\ndescription: "d"\ntimestamp: "2024-01-02T03:04:05Z"\nmemory_type: semantic\nsource_events: [e1, e2]\ntrust_tier: T1\n---\n'
@@ -105,6 +102,22 @@ def _web_links(s, d):
     return links.withColumn("target", paths.clean_path(F.concat(F.lit("site/"), F.regexp_replace("link", "^/", ""))))
 
 
+def _columns(sql: str) -> list[str]:
+    """Two or three columns of a select list whose last one may hold commas."""
+    *first, last = sql.split(", CASE", 1)[0].split(", ") + ["CASE" + sql.split(", CASE", 1)[1]]
+    return [*first, last]
+
+
+#: Paths of every kind, made of the documents' own; the same text is Spark's and DuckDB's.
+ODD_PATHS = """doc_id AS i, CASE doc_id % 10 WHEN 0 THEN '' WHEN 1 THEN '/' || path WHEN 2 THEN path || '/../x' WHEN 3 THEN '.meta/' || path WHEN 4 THEN 'index.md'
+  WHEN 5 THEN 'episodic/' || doc_id || '/index.md' WHEN 6 THEN 'archive/people/' || doc_id || '.md' WHEN 7 THEN 'a/person/' || doc_id || '.md' WHEN 8 THEN 'semantic/people/' || doc_id ELSE path END AS p"""
+#: Link targets of every kind, made of the pages' addresses.
+ODD_LINKS = """page_id AS i, CASE page_id % 7 WHEN 0 THEN url WHEN 1 THEN upper(url) WHEN 2 THEN 'mailto:' || url WHEN 3 THEN '#' || url
+  WHEN 4 THEN 'repo:' || repeat('a1', 20) || ':' || page_id || '.go:10:F' WHEN 5 THEN 'repo:' || repeat('b', 40) || ':' || url || ':deleted' ELSE page_id || '.md' END AS x"""
+#: Messages with blocks in them, closed and open.
+ODD_TEXTS = """conv_id, turn, CASE turn % 4 WHEN 0 THEN '<recall>' || text || '</recall> ' || role WHEN 1 THEN text || ' <recall>open' WHEN 2 THEN text || '<recall>a</recall>' || role ELSE text END AS x"""
+
+
 QUERIES = {
     "search_lines": (
         lambda s, d: pg.search_lines(pages(s, d), "The"),
@@ -119,16 +132,6 @@ QUERIES = {
         f"WITH {PAGES} SELECT (SELECT count(*) FROM events) AS events, (SELECT count(*) FROM events) - 250 AS uncompiled, count_if(path NOT LIKE 'archive/%')::BIGINT AS pages, count_if(path LIKE 'archive/%')::BIGINT AS archived FROM pg",
     ),
     "category_index": (
-        lambda s, d: pg.category_index(pages(s, d).where("doc_id % 4 <> 3").withColumn("content", F.regexp_replace("content", "[^\\x00-\\x7F]", "?"))),
-        f"""WITH {PAGES}, x AS (SELECT path, string_split(path, '/') AS k, k[1] AS cat, regexp_replace(content, '[^\\x00-\\x7F]', '?', 'g') AS c FROM pg WHERE doc_id % 4 <> 3 AND path NOT LIKE 'archive/%'),
-l AS (SELECT *, list_filter(list_transform(string_split(c, chr(10)), lambda z: trim(z, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')), lambda z: z <> '' AND z NOT LIKE '#%' AND z NOT LIKE '<!--%')[1] AS f FROM x),
-e AS (SELECT *, CASE WHEN strlen(f) > 100 THEN substr(f, 1, 100) || '...' ELSE coalesce(f, '') END AS descr FROM l),
-a AS (SELECT cat, string_agg('- [' || k[-1] || '](' || path || ') — ' || descr, chr(10) ORDER BY k) AS root, string_agg('- [' || k[-1] || '](' || substr(path, len(cat) + 2) || ') — ' || descr, chr(10) ORDER BY k) AS own FROM e GROUP BY cat),
-d AS (SELECT i, c FROM (VALUES (0, 'semantic'), (1, 'episodic'), (2, 'procedural'), (3, 'prospective')) v(i, c))
-SELECT c || '/index.md' AS path, '# ' || upper(c[1]) || c[2:] || chr(10) || chr(10) || coalesce(own || chr(10), '_No pages yet._' || chr(10)) AS content FROM d LEFT JOIN a ON c = cat
-UNION ALL SELECT 'index.md', '# Wiki Index' || chr(10) || chr(10) || coalesce(string_agg('## ' || c || chr(10) || chr(10) || root, chr(10) || chr(10) ORDER BY i) || chr(10), '_No pages yet._' || chr(10)) FROM d JOIN a ON c = cat""",
-    ),
-    "category_index_all": (
         lambda s, d: pg.category_index(pages(s, d)),
         f"""WITH {PAGES}, x AS (SELECT path, string_split(path, '/') AS k, k[1] AS cat, content AS c FROM pg WHERE path NOT LIKE 'archive/%'),
 l AS (SELECT *, list_filter(list_transform(string_split(c, chr(10)), lambda z: trim(z, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')), lambda z: z <> '' AND z NOT LIKE '#%' AND z NOT LIKE '<!--%')[1] AS f FROM x),
@@ -169,23 +172,19 @@ SELECT path, strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS last_accessed, string_ag
         f"WITH {PAGES} SELECT path, CASE WHEN doc_id % 3 = 0 THEN '' ELSE '<!-- compiled_from: ' || CASE WHEN doc_id % 2 = 0 THEN 'e1, e2' ELSE 'ingest' END || ' -->' || chr(10) END || '<!-- last_compiled: 2024-01-01T00:00:00Z -->' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '<!-- compiled_from: x -->' || chr(10) ELSE '' END || content AS content FROM pg",
     ),
     "path_checks": (
-        lambda s, d: literal(s, "i int, p string", PATHS).select("i", paths.store_path_error(F.col("p")).alias("store"), paths.tool_path_error(F.col("p")).alias("tool"), paths.valid_page_path(F.col("p")).alias("valid"), paths.structural_index(F.col("p")).alias("structural"), paths.any_index(F.col("p")).alias("any_index")),
-        f"""WITH {values_sql('v', 'i, p', PATHS)} SELECT i, CASE WHEN p = '' THEN 'empty' WHEN contains(p, '..') THEN 'traversal' WHEN p LIKE '/%' THEN 'absolute' WHEN p LIKE '.meta/%' THEN 'metadata' ELSE '' END AS store,
+        lambda s, d: pages(s, d).selectExpr(*_columns(ODD_PATHS)).select("i", paths.store_path_error(F.col("p")).alias("store"), paths.tool_path_error(F.col("p")).alias("tool"), paths.valid_page_path(F.col("p")).alias("valid"), paths.structural_index(F.col("p")).alias("structural"), paths.any_index(F.col("p")).alias("any_index")),
+        f"""WITH {PAGES}, v AS (SELECT {ODD_PATHS} FROM pg) SELECT i, CASE WHEN p = '' THEN 'empty' WHEN contains(p, '..') THEN 'traversal' WHEN p LIKE '/%' THEN 'absolute' WHEN p LIKE '.meta/%' THEN 'metadata' ELSE '' END AS store,
 CASE WHEN p = '' THEN 'empty' WHEN p LIKE '/%' THEN 'absolute' WHEN contains(p, '..') THEN 'traversal' WHEN p LIKE '.meta/%' THEN 'metadata' ELSE '' END AS tool,
 p = 'index.md' OR regexp_matches(p, '^(semantic|episodic|procedural|prospective)/') AS valid, p IN ('index.md', 'semantic/index.md', 'episodic/index.md', 'procedural/index.md', 'prospective/index.md') AS structural,
 string_split(p, '/')[-1] = 'index.md' AS any_index FROM v""",
     ),
     "infer_types": (
-        lambda s, d: literal(s, "i int, p string", PATHS).select("i", paths.memory_type(F.col("p")).alias("store"), paths.migrated_memory_type(F.col("p")).alias("migrated"), paths.page_type(F.col("p")).alias("kind")),
-        f"""WITH {values_sql('v', 'i, p', PATHS)}, x AS (SELECT *, string_split(p, '/') AS k, CASE WHEN k[1] = 'archive' AND len(k) > 1 THEN k[2] ELSE k[1] END AS m FROM v),
+        lambda s, d: pages(s, d).selectExpr(*_columns(ODD_PATHS)).select("i", paths.memory_type(F.col("p")).alias("store"), paths.migrated_memory_type(F.col("p")).alias("migrated"), paths.page_type(F.col("p")).alias("kind")),
+        f"""WITH {PAGES}, v AS (SELECT {ODD_PATHS} FROM pg), x AS (SELECT *, string_split(p, '/') AS k, CASE WHEN k[1] = 'archive' AND len(k) > 1 THEN k[2] ELSE k[1] END AS m FROM v),
 y AS (SELECT *, CASE WHEN m IN {KINDS} THEN m ELSE 'semantic' END AS migrated FROM x)
 SELECT i, CASE WHEN k[1] IN {KINDS} THEN k[1] ELSE '' END AS store, migrated, CASE WHEN migrated = 'procedural' THEN 'procedure' WHEN migrated IN ('episodic', 'prospective') THEN 'event' WHEN contains(p, '/people/') OR contains(p, '/person/') THEN 'person' ELSE 'concept' END AS kind FROM y""",
     ),
     "walk_order": (
-        lambda s, d: pages(s, d).select("path", paths.walk_order(F.col("path")).alias("k")).orderBy("k").limit(200).select("path"),
-        f"WITH {PAGES} SELECT path FROM pg ORDER BY string_split(path, '/') LIMIT 200",
-    ),
-    "walk_order_all": (
         lambda s, d: pg.walk_ranks(pages(s, d)),
         f"WITH {PAGES} SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS rank FROM pg",
     ),
@@ -194,8 +193,8 @@ SELECT i, CASE WHEN k[1] IN {KINDS} THEN k[1] ELSE '' END AS store, migrated, CA
         "SELECT * FROM (VALUES (0, 'semantic/b c.md', 'b%20c.md'), (1, 'episodic/x.md', '../episodic/x.md'), (2, NULL, '../../out.md'), (3, 'b.md', './b.md'), (4, 'semantic/d/y.md', '%28x%29/../y.md'), (5, 'semantic/x/y.md', 'x//y.md'), (6, 'semantic/<a>\\.md', '%3Ca%3E%5C.md')) v(i, target, again)",
     ),
     "link_kinds": (
-        lambda s, d: literal(s, "i int, x string", LINKS).select("i", paths.external_link(F.col("x")).alias("external"), paths.source_anchor_link(F.col("x")).alias("anchor")),
-        f"WITH {values_sql('v', 'i, x', LINKS)} SELECT i, regexp_matches(lower(x), '^(https?://|mailto:|tel:|#)') AS external, regexp_matches(x, '^[^\\s:]+:[0-9a-fA-F]{{40}}:.+:(deleted|[0-9]+:.+)$') AS anchor FROM v",
+        lambda s, d: table(s, d, "pages").selectExpr(*_columns(ODD_LINKS)).select("i", paths.external_link(F.col("x")).alias("external"), paths.source_anchor_link(F.col("x")).alias("anchor")),
+        f"WITH v AS (SELECT {ODD_LINKS} FROM pages) SELECT i, regexp_matches(lower(x), '^(https?://|mailto:|tel:|#)') AS external, regexp_matches(x, '^[^\\s:]+:[0-9a-fA-F]{{40}}:.+:(deleted|[0-9]+:.+)$') AS anchor FROM v",
     ),
     "lower_runes": (
         lambda s, d: literal(s, "i int, x string", LOWERS).select("i", text.lower_runes(F.col("x")).alias("x")),
@@ -278,11 +277,11 @@ r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r
 SELECT conv_id, '[session-summary before reset] ' || string_agg(substr(trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 1, 300), ' | ' ORDER BY turn) AS summary FROM r WHERE rn <= 3 GROUP BY conv_id""",
     ),
     "strip_injected": (
-        lambda s, d: literal(s, "i int, x string", RECALLS).select("i", text.strip_blocks(F.col("x"), "recall").alias("x")),
-        f"WITH {values_sql('v', 'i, x', RECALLS)} SELECT i, trim(regexp_replace(regexp_replace(x, '(?s)<recall>.*?</recall>', '', 'g'), '(?s)<recall>.*', '')) AS x FROM v",
+        lambda s, d: table(s, d, "conversations").selectExpr(*_columns(ODD_TEXTS)).select("conv_id", "turn", text.strip_blocks(F.col("x"), "recall").alias("x")),
+        f"WITH v AS (SELECT {ODD_TEXTS} FROM conversations) SELECT conv_id, turn, trim(regexp_replace(regexp_replace(x, '(?s)<recall>.*?</recall>', '', 'g'), '(?s)<recall>.*', ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS x FROM v",
     ),
     "exit_codes": (
-        lambda s, d: literal(s, "errors int, warnings int, strict boolean", [(e, w, t) for e in (0, 2) for w in (0, 1) for t in (False, True)]).select("errors", "warnings", "strict", guards.exit_code(F.col("errors"), F.col("warnings"), F.col("strict")).alias("code")),
-        f"WITH {values_sql('v', 'errors, warnings, strict', [(e, w, t) for e in (0, 2) for w in (0, 1) for t in (False, True)])} SELECT *, CASE WHEN errors > 0 OR (strict AND warnings > 0) THEN 1 ELSE 0 END AS code FROM v",
+        lambda s, d: table(s, d, "events").selectExpr("event_id", "user_id % 3 AS errors", "event_id % 2 AS warnings", "event_id % 5 = 0 AS strict").select("event_id", guards.exit_code(F.col("errors"), F.col("warnings"), F.col("strict")).alias("code")),
+        "SELECT event_id, CASE WHEN user_id % 3 > 0 OR (event_id % 5 = 0 AND event_id % 2 > 0) THEN 1 ELSE 0 END AS code FROM events",
     ),
 }

@@ -12,8 +12,6 @@ REQUESTS = [(i, s, k, t) for i, (s, k, t) in enumerate([(None, None, None), ("",
 SCOPES = [(i, s) for i, s in enumerate(["", ".", "./a/b", "a//b/", "../x", "a/../..", "/abs", " a ", "a/.."])]
 REMOTES = [(i, r, f) for i, (r, f) in enumerate([("git@host:team/repo.git", "/x/y"), ("https://h/a/b/", "/x/y"), ("host:repo", "/x/y"), (None, "/x/y"), ("", "/x/z/"), ("plain", "/x/w")])]
 RECEIVERS = [(i, r) for i, r in enumerate(["*T", "T", " *pkg.T", "a.b.C", "*"])]
-TRIGGERS = [(i, t, s) for i, (t, s) in enumerate([("cron", True), ("heartbeat", True), ("user", True), (None, True), ("user", False)])]
-OUTCOMES = [(i, v, d, e) for i, (v, d, e) in enumerate([(0, True, None), (2, True, "x"), (1, False, None), (0, False, "boom"), (0, False, None)])]
 
 
 def _results(s, d):
@@ -56,10 +54,6 @@ string_agg('[' || id || '] ' || content || CASE WHEN seq % 2 = 0 THEN '  task=t'
         f"WITH {RAW}, {STATUS}, p AS (SELECT id, seq FROM raw WHERE id NOT IN (SELECT event_id FROM latest)) SELECT id, CASE WHEN seq % 9 = 0 THEN 'deferred' ELSE 'actionable' END AS set FROM p",
     ),
     "reconcile_pending": (
-        lambda s, d: surface.reconcile(raw_events(s, d).where("seq < 600"), raw_events(s, d).where("seq >= 500 AND seq < 900"), log.latest_status(status_log(s, d))),
-        f"WITH {RAW}, {STATUS} SELECT id FROM raw WHERE seq < 900 AND id NOT IN (SELECT event_id FROM latest)",
-    ),
-    "reconcile_pending_all": (
         lambda s, d: surface.reconcile(raw_events(s, d).where("seq % 3 <> 0"), raw_events(s, d).where("seq % 3 <> 1"), log.latest_status(status_log(s, d))),
         f"WITH {RAW}, {STATUS} SELECT id FROM raw WHERE id NOT IN (SELECT event_id FROM latest)",
     ),
@@ -72,8 +66,8 @@ string_agg('[' || id || '] ' || content || CASE WHEN seq % 2 = 0 THEN '  task=t'
         f"""WITH {_RES} SELECT '{{"batch_id":"' || batch_id || '","status":"' || batch_status || '","events":' || count(*) || '}}' AS line FROM rs GROUP BY batch_id, batch_status""",
     ),
     "failure_classes": (
-        lambda s, d: literal(s, "i int, v int, d boolean, e string", OUTCOMES).select("i", surface.error_class(F.col("v"), F.col("d")).alias("class"), guards.failure_reason(F.col("d"), F.col("v"), F.col("e")).alias("reason")),
-        f"WITH {values_sql('v', 'i, v, d, e', OUTCOMES)} SELECT i, CASE WHEN v > 0 THEN 'validation' WHEN d THEN 'timeout' ELSE 'crash' END AS class, CASE WHEN d THEN 'batch_timeout_at_max_depth' WHEN v > 0 THEN 'collateral: bisect terminal with poison event' WHEN e IS NOT NULL THEN 'batch_crash_at_max_depth: ' || e ELSE 'batch_failed_at_max_depth' END AS reason FROM v",
+        lambda s, d: table(s, d, "events").selectExpr("event_id AS i", "CAST(event_id % 3 AS INT) AS v", "event_id % 5 = 0 AS d", "CASE WHEN event_id % 2 = 0 THEN event_type END AS e").select("i", surface.error_class(F.col("v"), F.col("d")).alias("class"), guards.failure_reason(F.col("d"), F.col("v"), F.col("e")).alias("reason")),
+        "WITH v AS (SELECT event_id AS i, event_id % 3 AS v, event_id % 5 = 0 AS d, CASE WHEN event_id % 2 = 0 THEN event_type END AS e FROM events) SELECT i, CASE WHEN v > 0 THEN 'validation' WHEN d THEN 'timeout' ELSE 'crash' END AS class, CASE WHEN d THEN 'batch_timeout_at_max_depth' WHEN v > 0 THEN 'collateral: bisect terminal with poison event' WHEN e IS NOT NULL THEN 'batch_crash_at_max_depth: ' || e ELSE 'batch_failed_at_max_depth' END AS reason FROM v",
     ),
     "consecutive_errors": (
         lambda s, d: guards.consecutive(_results(s, d).select(F.lit(0).alias("trace_id"), F.col("batch_id").cast("int").alias("call_no"), "batch_status").distinct().withColumn("bad", F.col("call_no") % 10 > 5), F.col("bad"), 2),
@@ -96,7 +90,7 @@ string_agg('[' || id || '] ' || content || CASE WHEN seq % 2 = 0 THEN '  task=t'
         "SELECT * FROM (VALUES (0, 'T'), (1, 'T'), (2, 'T'), (3, 'C'), (4, '')) v(i, name)",
     ),
     "capture_triggers": (
-        lambda s, d: literal(s, "i int, t string, s boolean", TRIGGERS).select("i", surface.capture_trigger(F.col("t"), F.col("s")).alias("captured")),
-        f"WITH {values_sql('v', 'i, t, s', TRIGGERS)} SELECT i, s AND coalesce(t, '') NOT IN ('cron', 'heartbeat') AS captured FROM v",
+        lambda s, d: table(s, d, "events").selectExpr("event_id AS i", "CASE event_id % 4 WHEN 0 THEN 'cron' WHEN 1 THEN 'heartbeat' WHEN 2 THEN event_type END AS t", "event_id % 3 <> 0 AS s").select("i", surface.capture_trigger(F.col("t"), F.col("s")).alias("captured")),
+        "WITH v AS (SELECT event_id AS i, CASE event_id % 4 WHEN 0 THEN 'cron' WHEN 1 THEN 'heartbeat' WHEN 2 THEN event_type END AS t, event_id % 3 <> 0 AS s FROM events) SELECT i, s AND coalesce(t, '') NOT IN ('cron', 'heartbeat') AS captured FROM v",
     ),
 }

@@ -166,7 +166,7 @@ def test_reconcile_query_covers_the_whole_log(spark, tmp_path):
     from mnemolith.plans import registry
 
     spark.range(3000).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "id % 9 AS user_id", "'a' AS event_type", "'{}' AS props").write.parquet(f"{tmp_path}/events.parquet")
-    got = {int(r["id"][4:]) for r in registry.QUERIES["reconcile_pending_all"](spark, str(tmp_path)).collect()}
+    got = {int(r["id"][4:]) for r in registry.QUERIES["reconcile_pending"](spark, str(tmp_path)).collect()}
     assert {i // 300 for i in got} == set(range(10)) and {i % 3 for i in got} == {0, 1, 2}
 
 

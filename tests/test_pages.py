@@ -100,7 +100,7 @@ def test_store(spark, tmp_path):
 def test_walk_order_ranks_every_page(spark, tmp_path):
     n = 450
     spark.range(n).selectExpr("id AS doc_id", "'t' AS text", "'s' || id % 5 AS source").write.parquet(f"{tmp_path}/documents.parquet")
-    rows = registry.QUERIES["walk_order_all"](spark, str(tmp_path)).collect()
+    rows = registry.QUERIES["walk_order"](spark, str(tmp_path)).collect()
     got = [r["path"] for r in sorted(rows, key=lambda r: r["rank"])]
     assert sorted(r["rank"] for r in rows) == list(range(1, n + 1)) and got == sorted(got, key=lambda p: p.split("/"))
 
@@ -108,7 +108,7 @@ def test_walk_order_ranks_every_page(spark, tmp_path):
 def test_category_index_of_every_page(spark, tmp_path):
     rows = [(3, "# t\n" + "x" * 99 + "éé", "s"), (1, "é" * 51, "s"), (2, "short", "s")]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["path"]: r["content"] for r in registry.QUERIES["category_index_all"](spark, str(tmp_path)).collect()}
+    got = {r["path"]: r["content"] for r in registry.QUERIES["category_index"](spark, str(tmp_path)).collect()}
     assert got["prospective/index.md"] == "# Prospective\n\n- [3.md](s/3.md) — " + "x" * 99 + "\ufffd...\n"
     assert got["episodic/index.md"].endswith(" — " + "é" * 50 + "...\n") and got["procedural/index.md"].endswith(" — short\n")
     assert got["semantic/index.md"] == "# Semantic\n\n_No pages yet._\n"
