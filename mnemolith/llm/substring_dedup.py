@@ -210,7 +210,7 @@ def numbered(units: list[bytes]) -> list[np.ndarray]:
     return [np.array([ids.setdefault(w, len(ids) + 1) for w in u.split(b" ")], np.uint64) for u in units]
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, shard_words: int = 1_000_000, hot_units: int = 2_000, texts: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, shard_words: int = 1_000_000, hot_units: int = 14_000, texts: bool = True) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256, kept_text`` for every row; no ``kept_text`` if not ``texts``.
 
     Words stand between ASCII white space. Each word covered by a window that also starts in a document
@@ -218,7 +218,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fewer words than a window, lose nothing. Rows that share an id are one document, so they take
     nothing from each other; a null id counts as the smallest and is returned as null.
 
-    An anchor with more than ``hot_units`` distinct units is split: its windows are placed by what they hold.
+    An anchor with more than ``hot_units`` distinct units, about what fills a shard, is split: its windows are
+    placed by what they hold.
     """
     spark = docs.sparkSession
     low = -(1 << 63)
@@ -245,7 +246,18 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     add_units(cols, i, th, anchor, Words(t), first, last)
             yield batch_of(cols)
 
-    units = materialize(src.mapInArrow(find_units, unit_ddl))
+    def find_anchors(batches):
+        for b in slices(batches):
+            ids, anchors = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                anchors.append(np.unique(units_of(word_hashes(t), window)[0]))
+                ids.append(np.full(len(anchors[-1]), i))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(anchors).view(np.int64))], ["doc_id", "anchor"])
+
+    # A pass for the anchors alone, so that units of anchors met in one document only are never written.
+    met = src.select("doc_id", "text").mapInArrow(find_anchors, "doc_id bigint, anchor bigint").groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    met = broadcast_if_small(materialize(met.where("a < b").select("anchor")))
+    units = materialize(src.mapInArrow(find_units, unit_ddl).join(met, "anchor", "left_semi").select(*names))
 
     def shared(u: DataFrame) -> DataFrame:
         """Distinct units (anchor, content) whose anchor stands in two documents or more, each with its
