@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import parse_time, redact
 from ..operators import batching, guards, log
-from .views import CTX, PAGES, RAW, STATUS, literal, pages, raw_events, status_log, table, values_sql
+from .views import CTX, PAGES, RAW, STATUS, pages, raw_events, status_log, table
 
 EPOCH = "2024-01-10 00:00:00"
 
@@ -20,23 +20,27 @@ def _sized(spark, sf_dir):
     return e.withColumn("bytes", batching.event_bytes(F.col("content"), batching.context_map())).withColumn("created_at", parse_time(F.col("timestamp")))
 
 
-TIMES = [(i, t) for i, t in enumerate(["2024-01-02T03:04:05Z", "2024-01-02T03:04:05+02:00", "2024-01-02", "2024-01-02 03:04:05", "2024-1-2T3:4:5Z", "2024-01-02T03:04:05", "", "2024-01-02T03:04:05.123456Z", "garbage"])]
-SECRETS = [(i, t) for i, t in enumerate(["key sk-abcdefghij end", "sk_live-0123456789", "ask-abcdefghij", "ésk-abcdefghij", "sk-short", "a sk-aaaaaaaaaa_b, sk_bbbbbbbbbbbb.", "sk-_bad234567", ""])]
-LINES = [
-    (1, "EVENT evt_1 INTEGRATED pages: semantic/a.md, semantic/b.md"),
-    (2, "EVENT evt_2 SKIPPED reason: seen"),
-    (3, "  EVENT  evt_3  FAILED reason: no idea  "),
-    (4, "EVENT evt_1 SKIPPED reason: later line wins"),
-    (5, "EVENT evt_4 INTEGRATED pages: ,"),
-    (6, "EVENT evt_5 SKIPPED because"),
-    (7, "EVENT foreign INTEGRATED pages: x.md"),
-    (8, "noise"),
-    (9, "EVENT evt_6 SKIPPED reason:"),
-]
-STATES = [(False, 0, 0, 0, None, 0, False, 0), (True, 0, 3, 0, 1, 0, False, 0), (True, 1, 3, 0, 1, 0, False, 0), (False, 0, 3, 1, 0, 0, False, 0), (False, 0, -1, 0, 0, 0, False, 0), (False, 0, 3, 3, 0, 0, False, 0), (False, 2, 0, 0, 1, 0, False, 0), (False, 0, 0, 0, 1, 1, False, 0), (False, 0, 0, 0, 1, 0, True, 0), (False, 0, 2, 0, None, 0, False, 0)]
-STATE_DDL = "suspended boolean, in_progress int, pending int, deferred int, last_succeeded int, failures int, index_stale boolean, write_errors int"
-STATE_COLS = STATE_DDL.replace(" boolean", "").replace(" int", "")
-ERRORS = [(i, t) for i, t in enumerate(["Context deadline exceeded", "API error 429: slow down", "api error 400: bad", "unexpected EOF", "broken pipe", "no such host", "Timeout awaiting", ""])]
+#: Rows of every form, made of the events and documents; the same text is Spark's and DuckDB's.
+ODD_TIMES = """seq AS i; CASE seq % 9 WHEN 0 THEN '' WHEN 1 THEN replace(t0, 'Z', '+02:00') WHEN 2 THEN substr(t0, 1, 10) WHEN 3 THEN replace(t0, 'T', ' ')
+  WHEN 4 THEN replace(t0, 'Z', '') WHEN 5 THEN replace(t0, 'Z', '.123456Z') WHEN 6 THEN 'x' || t0 WHEN 7 THEN replace(t0, 'Z', '-05:30') ELSE t0 END AS t"""
+ODD_SECRETS = """doc_id AS i; CASE doc_id % 7 WHEN 0 THEN 'key sk-abcdefghij ' || text WHEN 1 THEN text || ' sk_live-' || doc_id || '0123456789' WHEN 2 THEN 'ask-abcdefghij ' || text
+  WHEN 3 THEN text || 'é' || 'sk-abcdefghij' WHEN 4 THEN text || ' sk-short' WHEN 5 THEN 'a sk-aaaaaaaaaa_b, sk_bbbbbbbbbbbb.' || text ELSE text END AS t"""
+ODD_LINES = """seq AS line_no; CASE seq % 10 WHEN 0 THEN 'EVENT ' || id || ' INTEGRATED pages: semantic/' || seq || '.md, b.md' WHEN 1 THEN 'EVENT ' || id || ' SKIPPED reason: ' || content
+  WHEN 2 THEN '  EVENT  ' || id || '  FAILED reason: no idea  ' WHEN 3 THEN 'EVENT evt_' || (seq - 2) || ' INTEGRATED pages: later/line.md' WHEN 4 THEN 'EVENT ' || id || ' INTEGRATED pages: ,'
+  WHEN 5 THEN 'EVENT ' || id || ' SKIPPED because' WHEN 6 THEN 'EVENT x' || id || ' INTEGRATED pages: x.md' WHEN 7 THEN content WHEN 8 THEN 'EVENT ' || id || ' SKIPPED reason:'
+  ELSE 'EVENT ' || id || ' FAILED reason:' || content END AS line"""
+ODD_STATES = """event_id; event_id % 13 = 0 AS suspended; CAST(CASE WHEN event_id % 5 = 0 THEN user_id % 3 ELSE 0 END AS INT) AS in_progress; CAST(event_id % 6 - 1 AS INT) AS pending; CAST(user_id % 4 AS INT) AS deferred;
+  CAST(CASE WHEN event_id % 7 > 0 THEN event_id % 2 END AS INT) AS last_succeeded; CAST(user_id % 2 AS INT) AS failures; event_id % 11 = 0 AS index_stale; CAST(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS INT) AS write_errors"""
+ODD_ERRORS = """event_id; CAST(event_id % 20 AS INT) AS i; CASE event_id % 9 WHEN 0 THEN 'Context deadline exceeded' WHEN 1 THEN 'API error 429: ' || props WHEN 2 THEN 'api error 400: bad' WHEN 3 THEN 'unexpected EOF'
+  WHEN 4 THEN 'broken pipe' WHEN 5 THEN 'no such host' WHEN 6 THEN 'Timeout awaiting ' || event_type WHEN 7 THEN '' ELSE event_type END AS t"""
+
+
+def _odd(df, columns: str):
+    return df.selectExpr(*columns.split(";"))
+
+
+def _sql(columns: str) -> str:
+    return columns.replace(";", ",")
 
 
 def _trace(spark, sf_dir):
@@ -54,8 +58,8 @@ QUERIES = {
     "event_by_id": (lambda s, d: log.event_by_id(raw_events(s, d), "evt_77").select("seq", "id", "content"), f"WITH {RAW} SELECT seq, id, content FROM raw WHERE id = 'evt_77' ORDER BY seq LIMIT 1"),
     "event_truncated": (lambda s, d: log.bounded_content(raw_events(s, d), 40).select("id", "content"), f"WITH {RAW} SELECT id, CASE WHEN strlen(content) > 40 THEN substr(content, 1, 40) || '... [truncated]' ELSE content END AS content FROM raw"),
     "parse_times": (
-        lambda s, d: literal(s, "i int, t string", TIMES).select("i", parse_time(F.col("t")).alias("at")),
-        f"WITH {values_sql('v', 'i, t', TIMES)} SELECT i, CASE WHEN regexp_matches(t, '^\\d{{4}}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d(\\.\\d+)?(Z|[+-]\\d\\d:\\d\\d)\\z') THEN t::TIMESTAMPTZ AT TIME ZONE 'UTC' END AS at FROM v",
+        lambda s, d: _odd(raw_events(s, d).withColumnRenamed("timestamp", "t0"), ODD_TIMES).select("i", parse_time(F.col("t")).alias("at")),
+        f"WITH {RAW}, v AS (SELECT {_sql(ODD_TIMES)} FROM (SELECT *, \"timestamp\" AS t0 FROM raw)) SELECT i, CASE WHEN regexp_matches(t, '^\\d{{4}}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d(\\.\\d+)?(Z|[+-]\\d\\d:\\d\\d)\\z') THEN TRY_CAST(t AS TIMESTAMPTZ) AT TIME ZONE 'UTC' END AS at FROM v",
     ),
     "normalize_context": (lambda s, d: raw_events(s, d).select("id", batching.serialized(batching.context_map()).alias("context")), f"WITH {RAW}, {CTX} SELECT id, context FROM ctx"),
     "event_byte_size": (lambda s, d: _sized(s, d).select("id", "bytes"), f"WITH {RAW}, {CTX} SELECT id, bytes FROM sized"),
@@ -110,13 +114,13 @@ SELECT id, g.no AS batch_no, batch_id, (row_number() OVER (PARTITION BY g.no ORD
         f"WITH {STATUS}, a AS (SELECT event_id, status, unnest(['reset', 'confirm']) AS action FROM latest) SELECT event_id, action, CASE WHEN action = 'reset' AND status IN ('unknown', 'failed') THEN 'pending' WHEN action = 'confirm' AND status = 'unknown' THEN 'integrated' ELSE 'refused: ' || action || ' from ' || status END AS result FROM a",
     ),
     "redact": (
-        lambda s, d: literal(s, "i int, t string", SECRETS).select("i", redact(F.col("t")).alias("t")),
-        f"WITH {values_sql('v', 'i, t', SECRETS)} SELECT i, regexp_replace(regexp_replace(t, '\\bsk-[A-Za-z0-9][A-Za-z0-9_-]{{8,}}\\b', 'sk_<redacted>', 'g'), '\\bsk_[A-Za-z0-9][A-Za-z0-9_-]{{8,}}\\b', 'sk_<redacted>', 'g') AS t FROM v",
+        lambda s, d: _odd(table(s, d, "documents"), ODD_SECRETS).select("i", redact(F.col("t")).alias("t")),
+        f"WITH v AS (SELECT {_sql(ODD_SECRETS)} FROM documents) SELECT i, regexp_replace(regexp_replace(t, '\\bsk-[A-Za-z0-9][A-Za-z0-9_-]{{8,}}\\b', 'sk_<redacted>', 'g'), '\\bsk_[A-Za-z0-9][A-Za-z0-9_-]{{8,}}\\b', 'sk_<redacted>', 'g') AS t FROM v",
     ),
     "parse_results": (
-        lambda s, d: batching.results_of_batch(literal(s, "id string", [(f"evt_{i}",) for i in range(1, 8)]), literal(s, "line_no int, line string", LINES)).withColumn("pages", F.array_join("pages", "|")),
-        f"""WITH {values_sql('v', 'n, line', LINES)}, b AS (SELECT 'evt_' || unnest(range(1, 8)) AS event_id),
-x AS (SELECT n, regexp_extract(trim(line), '^EVENT\\s+(\\S+)\\s+(INTEGRATED|SKIPPED|FAILED)\\s+(.+)\\z', ['e', 'w', 'r']) AS m FROM v),
+        lambda s, d: batching.results_of_batch(raw_events(s, d).select("id"), _odd(raw_events(s, d), ODD_LINES)).withColumn("pages", F.array_join("pages", "|")),
+        f"""WITH {RAW}, v AS (SELECT {_sql(ODD_LINES)} FROM raw), b AS (SELECT id AS event_id FROM raw),
+x AS (SELECT line_no AS n, regexp_extract(trim(line), '^EVENT\\s+(\\S+)\\s+(INTEGRATED|SKIPPED|FAILED)\\s+(.+)\\z', ['e', 'w', 'r']) AS m FROM v),
 y AS (SELECT n, m.e AS e, m.w AS w, list_filter(list_transform(string_split(substr(m.r, 7), ','), lambda p: trim(p)), lambda p: p <> '') AS pages, m.r AS r FROM x WHERE m.w <> ''),
 z AS (SELECT n, e, CASE w WHEN 'INTEGRATED' THEN 'integrated' WHEN 'SKIPPED' THEN 'skipped' ELSE 'failed_by_agent' END AS status, CASE WHEN w = 'INTEGRATED' THEN array_to_string(pages, '|') ELSE '' END AS pages, CASE WHEN w = 'INTEGRATED' THEN '' ELSE trim(substr(r, 8)) END AS reason
   FROM y WHERE (w = 'INTEGRATED' AND r LIKE 'pages:%' AND len(pages) > 0) OR (w <> 'INTEGRATED' AND r LIKE 'reason:%' AND trim(substr(r, 8)) <> ''))
@@ -133,14 +137,14 @@ SELECT batch_no, id, depth + 1 AS depth, CASE WHEN k > 0 AND k < n THEN suspect:
         f"WITH {RAW}, {CTX} SELECT seq // 20 AS batch_no, string_agg('### Event ' || (seq % 20 + 1) || ': ' || id || chr(10) || 'Timestamp: ' || \"timestamp\" || chr(10) || 'Context: ' || context || chr(10) || content || chr(10), chr(10) ORDER BY seq) || 'Report one line per event.' AS prompt FROM ctx GROUP BY ALL",
     ),
     "health_case": (
-        lambda s, d: literal(s, STATE_DDL, STATES).select(*STATE_COLS.split(", "), guards.health().alias("health")),
-        f"""WITH {values_sql('v', STATE_COLS, STATES)}, t AS (SELECT *, greatest(CASE WHEN pending = -1 THEN 1 ELSE pending END - deferred, 0) AS todo FROM v)
+        lambda s, d: _odd(table(s, d, "events"), ODD_STATES).withColumn("health", guards.health()),
+        f"""WITH v AS (SELECT {_sql(ODD_STATES)} FROM events), t AS (SELECT *, greatest(CASE WHEN pending = -1 THEN 1 ELSE pending END - deferred, 0) AS todo FROM v)
 SELECT * EXCLUDE (todo), CASE WHEN suspended AND in_progress = 0 THEN 'suspended' WHEN todo > 0 AND in_progress = 0 AND last_succeeded = 0 THEN 'stuck' WHEN in_progress > 0 OR todo > 0 THEN 'in_progress'
 WHEN failures > 0 OR index_stale OR write_errors > 0 OR deferred > 0 THEN 'degraded' ELSE 'healthy' END AS health FROM t""",
     ),
     "retry_policy": (
-        lambda s, d: literal(s, "i int, t string", ERRORS).select("i", guards.retryable(F.col("t")).alias("retry"), guards.retry_delay(F.col("i") + 1).alias("delay"), guards.batch_timeout(F.col("i")).alias("timeout")),
-        f"WITH {values_sql('v', 'i, t', ERRORS)} SELECT i, regexp_matches(lower(t), 'context deadline exceeded|timeout|temporary|eof|connection reset|connection refused|broken pipe|api error (429|500|502|503|504)') AS retry, (2 * pow(2, i))::BIGINT AS delay, least(greatest(600, i * 90), 600)::INT AS timeout FROM v",
+        lambda s, d: _odd(table(s, d, "events"), ODD_ERRORS).select("event_id", guards.retryable(F.col("t")).alias("retry"), guards.retry_delay(F.col("i") + 1).alias("delay"), guards.batch_timeout(F.col("i")).alias("timeout")),
+        f"WITH v AS (SELECT {_sql(ODD_ERRORS)} FROM events) SELECT event_id, regexp_matches(lower(t), 'context deadline exceeded|timeout|temporary|eof|connection reset|connection refused|broken pipe|api error (429|500|502|503|504)') AS retry, (2 * pow(2, i))::BIGINT AS delay, least(greatest(600, i * 90), 600)::INT AS timeout FROM v",
     ),
     "repeat_guard": (
         lambda s, d: guards.repeated_reads(_trace(s, d), 2),

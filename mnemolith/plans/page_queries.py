@@ -7,67 +7,68 @@ from pyspark.sql import functions as F
 from ..functions import paths, text
 from ..operators import capture, codefacts, guards, lint, migrate
 from ..operators import pages as pg
-from .views import PAGES, literal, pages, table, values_sql
+from .views import PAGES, pages, table, values_sql
 
 KINDS = "('semantic', 'episodic', 'procedural', 'prospective')"
-TARGETS = [(i, p, x) for i, (p, x) in enumerate([("semantic/a.md", "b%20c.md"), ("semantic/a.md", "../episodic/x.md"), ("semantic/a.md", "../../out.md"), ("a.md", "./b.md"), ("semantic/d/e.md", "%28x%29/../y.md"), ("semantic/a.md", "x//y.md"), ("semantic/a.md", "%3Ca%3E%5C.md")])]
-LOWERS = [(i, x) for i, x in enumerate(["ABC", "İstanbul", "ΣΑΣ", "ÀÉ", "ß"])]
 
 GOOD = '---\ntype: concept\ntitle: "A"\ndescription: "d"\ntimestamp: "2024-01-02T03:04:05Z"\nmemory_type: semantic\nsource_events: [e1, e2]\ntrust_tier: T1\n---\n'
-BUNDLE = [
-    ("semantic/a.md", GOOD + "See [b](b.md), [x](https://x.org) and ![i](no.png)."),
-    ("semantic/b.md", GOOD.replace('"A"', '"B"') + "`[code](gone.md)` and\n```\n[fence](gone.md)\n```\n[ok](../semantic/a.md#part)"),
-    ("semantic/bad.md", '---\ntype: ""\ntitle: t\ndescription: d\ntimestamp: "yesterday"\nmemory_type: wrong\nsource_events: [e]\ntrust_tier: T9\nconfidence: sure\n---\nx'),
-    ("episodic/broken.md", "---\ntype: odd\n---\n[gone](../semantic/none.md) [dir](../semantic) [out](../../etc/x.md) [abs](/x.md)"),
-    ("plain.md", "no frontmatter"),
-    ("semantic/index.md", "# Index\n[a](a.md) [lost](lost.md)"),
-    ("open.md", "---\ntype: concept\nnever closed"),
-    ("yaml.md", "---\na: [1\n---\nx"),
-    (".git/skip.md", "skipped"),
-    ("note.txt", "not a page"),
-]
+
+
+def _text(s: str) -> str:
+    """A text as an expression of both dialects; ``#`` stands for the document's id."""
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '").replace("#", "' || doc_id || '") + "'"
+
+
+def _forms(expressions: list[str]) -> str:
+    """One of several expressions by the document's id."""
+    *some, last = expressions
+    return f"CASE doc_id % {len(expressions)} " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(some)) + f" ELSE {last} END"
+
+
+BAD = '---\ntype: ""\ntitle: t\ndescription: d\ntimestamp: "yesterday"\nmemory_type: wrong\nsource_events: [e]\ntrust_tier: T9\nconfidence: sure\n---\n'
+TEXT = "coalesce(content, '')"
+#: Pages with and without faults around the documents' texts, and what each form is told.
+BUNDLE = _forms([_text(GOOD) + " || " + TEXT, TEXT, _text("---\ntype: concept\n") + " || " + TEXT, _text(BAD) + " || " + TEXT, _text("---\ntype: odd\n---\n[gone](../none#.md) [dir](../source) [out](../../../../../x.md) [abs](/x.md)"),
+  _text(GOOD + "[self](#.md) `[x](gone.md)` ![i](no.png) [x](https://x.org)"), _text("---\na: [1\n---\n") + " || " + TEXT, _text("---\na: 1\na: #\n---\n"), TEXT])
 ISSUES = [
-    ("episodic/broken.md", "warning", "broken internal link: ../semantic/none.md"),
-    *(("episodic/broken.md", "warning", f"missing bundle required field: {x}") for x in ("title", "description", "timestamp", "memory_type")),
-    ("episodic/broken.md", "warning", "missing recommended field: trust_tier"),
-    ("episodic/broken.md", "warning", "missing source_events provenance"),
-    ("episodic/broken.md", "warning", 'unknown bundle type "odd"'),
-    ("open.md", "error", "unterminated YAML frontmatter"),
-    ("plain.md", "error", "missing YAML frontmatter with required type field"),
-    *(("plain.md", "warning", f"missing bundle required field: {x}") for x in ("title", "description", "timestamp", "memory_type")),
-    ("semantic/bad.md", "error", "missing required field: type"),
-    ("semantic/bad.md", "error", "invalid timestamp format: must be RFC3339 / ISO 8601"),
-    ("semantic/bad.md", "error", 'invalid memory_type "wrong"'),
-    ("semantic/bad.md", "error", 'invalid trust_tier "T9"'),
-    ("semantic/bad.md", "error", 'invalid confidence "sure"'),
-    ("semantic/index.md", "warning", "broken internal link: lost.md"),
+    *((1, "warning", f"missing bundle required field: {x}") for x in ("title", "description", "timestamp", "memory_type")),
+    (1, "error", "missing YAML frontmatter with required type field"),
+    (2, "error", "unterminated YAML frontmatter"),
+    (3, "error", "missing required field: type"),
+    (3, "error", "invalid timestamp format: must be RFC3339 / ISO 8601"),
+    (3, "error", 'invalid memory_type "wrong"'),
+    (3, "error", 'invalid trust_tier "T9"'),
+    (3, "error", 'invalid confidence "sure"'),
+    *((4, "warning", f"missing bundle required field: {x}") for x in ("title", "description", "timestamp", "memory_type")),
+    (4, "warning", "broken internal link: ../none#.md"),
+    (4, "warning", "broken internal link: ../source"),
+    (4, "warning", "missing recommended field: trust_tier"),
+    (4, "warning", "missing source_events provenance"),
+    (4, "warning", 'unknown bundle type "odd"'),
+    (6, "error", "invalid YAML frontmatter: while parsing a flow sequence"),
+    (7, "error", "invalid YAML frontmatter: mapping key already defined"),
 ]
 GO = [
-    (
-        "pkg/a.go",
-        '// Package a.\npackage a\n\nimport (\n\t"fmt"\n\tx "os"\n)\n\n// Limit bounds it.\nconst Limit, low = 3, 1\n\ntype (\n\t// T is a type.\n\tT struct{ n int }\n\tReader interface{ Read() }\n)\n\n// Do does.\nfunc (t *T) Do(n int) error {\n\treturn fmt.Errorf("} %d", n)\n}\n\nvar v = `func fake() {`\n\nfunc TestHelper() {}\n',
-    ),
-    ("pkg/a_test.go", 'package a\n\nimport "testing"\n\nfunc TestDo(t *testing.T) {}\n'),
+    'package p\n\nimport "fmt"\n\n// Do does.\nfunc Do#() error {\n\treturn fmt.Errorf("} %d", 1)\n}\n\ntype T# struct{ n int }\n\nfunc (t *T#) M() {}\nconst C, low = 3, 1\ntype Reader interface{ Read() }\nvar v = `func fake() {`\nfunc TestHelper() {}\n',
+    'package p\n\nimport (\n\t"os"\n\tx "testing"\n)\n\nfunc TestDo#(t *x.T) {}\n',
 ]
 FACTS = [
-    ("pkg/a.go", "package", "a", 2), ("pkg/a.go", "import", "fmt", 5), ("pkg/a.go", "import", "os", 6), ("pkg/a.go", "const", "Limit", 10), ("pkg/a.go", "const", "low", 10),
-    ("pkg/a.go", "type", "T", 14), ("pkg/a.go", "interface", "Reader", 15), ("pkg/a.go", "method", "*T.Do", 19), ("pkg/a.go", "var", "v", 23), ("pkg/a.go", "func", "TestHelper", 25),
-    ("pkg/a_test.go", "package", "a", 1), ("pkg/a_test.go", "import", "testing", 3), ("pkg/a_test.go", "test", "TestDo", 5),
+    (0, "package", "p", 1), (0, "import", "fmt", 3), (0, "func", "Do#", 6), (0, "type", "T#", 10), (0, "method", "*T#.M", 12), (0, "const", "C", 13), (0, "const", "low", 13),
+    (0, "interface", "Reader", 14), (0, "var", "v", 15), (0, "func", "TestHelper", 16), (1, "package", "p", 1), (1, "import", "os", 4), (1, "import", "testing", 5), (1, "test", "TestDo#", 8),
 ]
 LEGACY = [
     ("semantic/old-page.md", "<!-- compiled_from: e1, e2 -->\n<!-- last_compiled: 2024-01-02T03:04:05Z -->\n\n# Old\nText [[semantic/new|New]] and `[[code]]` and [gone](none.md).\n"),
     ("semantic/new.md", GOOD + "See [[old-page]]."),
     ("plain.md", "nothing legacy"),
 ]
-MIGRATED = [
-    ("plain.md", "nothing legacy", False),
-    ("semantic/new.md", GOOD + "See [Old Page](old-page.md).", True),
-    (
-        "semantic/old-page.md",
-        '---\ntype: "concept"\ntitle: "Old"\ndescription: "Text [New](new.md) and `[[code]]` and [gone](none.md)."\ntimestamp: "2024-01-02T03:04:05Z"\nmemory_type: "semantic"\nsource_events:\n  - "e1"\n  - "e2"\ntrust_tier: "T3"\n---\n\n# Old\nText [New](new.md) and `[[code]]` and gone.\n',
-        True,
-    ),
-]
+#: Legacy, migrated and plain pages around the documents' paths and texts.
+OLD = [_text("<!-- compiled_from: e1, e# -->\n<!-- last_compiled: 2024-01-02T03:04:05Z -->\n\n") + " || '# Old ' || doc_id || " + _text("\nText [[semantic/none|New]] and `[[code]]` and [gone](none.md).\n"), _text(GOOD + "See [[#]]."), TEXT]
+NEW = [_text('---\ntype: "') + " || kind || " + _text('"\ntitle: "Old #"\ndescription: "Text [New](') + " || up || " + _text('none.md) and `[[code]]` and [gone](none.md)."\ntimestamp: "2024-01-02T03:04:05Z"\nmemory_type: "') + " || m || "
+  + _text('"\nsource_events:\n  - "e1"\n  - "e#"\ntrust_tier: "T3"\n---\n\n') + " || '# Old ' || doc_id || " + _text("\nText New and `[[code]]` and gone.\n"), _text(GOOD + "See [#](#.md)."), TEXT]
+#: Link targets of every kind, made of the documents' own, and the paths they lead to.
+ODD_TARGETS = "doc_id AS i, path, " + _forms(["'b%20' || doc_id || '.md'", "'../x' || doc_id", "'../../../../out.md'", "'./b.md'", "'%28x%29/../y.md'", "'x//y.md'", "'%3Ca%3E%5C' || doc_id || '.md'"]) + " AS x"
+REACHED = _forms(["dir || '/b ' || doc_id || '.md'", "array_to_string(k[:-3], '/') || '/x' || doc_id", "NULL", "dir || '/b.md'", "dir || '/y.md'", "dir || '/x/y.md'", "dir || '/<a>' || chr(92) || doc_id || '.md'"])
+ODD_LOWERS = "doc_id AS i, CASE doc_id % 3 WHEN 0 THEN 'ABC İstanbul ΣΑΣ ÀÉ ß ' || text ELSE text END AS x"
 
 
 def _staged(s, d):
@@ -95,6 +96,16 @@ def _upserted(s, d):
     return pg.upsert_pages(old, _writes(s, d)).withColumn("source_events", F.array_join("source_events", ","))
 
 
+def _bundle(s, d):
+    """Pages in nine forms; those of the last stand in a hidden folder."""
+    return pages(s, d).selectExpr("CASE WHEN doc_id % 9 = 8 THEN '.git/' || path ELSE path END AS path", f"{BUNDLE} AS content")
+
+
+def _sources(s, d):
+    """A Go file for each document, every second one a test."""
+    return table(s, d, "documents").selectExpr("'pkg/' || doc_id || CASE doc_id % 2 WHEN 0 THEN '.go' ELSE '_test.go' END AS path", f"{_forms([_text(x) for x in GO])} AS content")
+
+
 def _web_links(s, d):
     p = table(s, d, "pages")
     found = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
@@ -189,16 +200,16 @@ SELECT i, CASE WHEN k[1] IN {KINDS} THEN k[1] ELSE '' END AS store, migrated, CA
         f"WITH {PAGES} SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS rank FROM pg",
     ),
     "resolve_targets": (
-        lambda s, d: literal(s, "i int, p string, x string", TARGETS).select("i", paths.clean_path(F.concat(paths.directory(F.col("p")), F.lit("/"), paths.decode_target(F.col("x")))).alias("target"), paths.encode_target(paths.decode_target(F.col("x"))).alias("again")),
-        "SELECT * FROM (VALUES (0, 'semantic/b c.md', 'b%20c.md'), (1, 'episodic/x.md', '../episodic/x.md'), (2, NULL, '../../out.md'), (3, 'b.md', './b.md'), (4, 'semantic/d/y.md', '%28x%29/../y.md'), (5, 'semantic/x/y.md', 'x//y.md'), (6, 'semantic/<a>\\.md', '%3Ca%3E%5C.md')) v(i, target, again)",
+        lambda s, d: pages(s, d).selectExpr(*_columns(ODD_TARGETS)).select("i", paths.clean_path(F.concat(paths.directory(F.col("path")), F.lit("/"), paths.decode_target(F.col("x")))).alias("target"), paths.encode_target(paths.decode_target(F.col("x"))).alias("again")),
+        f"WITH {PAGES}, v AS (SELECT *, string_split(path, '/') AS k, array_to_string(string_split(path, '/')[:-2], '/') AS dir FROM pg), x AS (SELECT {ODD_TARGETS} FROM pg) SELECT i, {REACHED} AS target, x AS again FROM v JOIN x ON i = doc_id",
     ),
     "link_kinds": (
         lambda s, d: table(s, d, "pages").selectExpr(*_columns(ODD_LINKS)).select("i", paths.external_link(F.col("x")).alias("external"), paths.source_anchor_link(F.col("x")).alias("anchor")),
         f"WITH v AS (SELECT {ODD_LINKS} FROM pages) SELECT i, regexp_matches(lower(x), '^(https?://|mailto:|tel:|#)') AS external, regexp_matches(x, '^[^\\s:]+:[0-9a-fA-F]{{40}}:.+:(deleted|[0-9]+:.+)$') AS anchor FROM v",
     ),
     "lower_runes": (
-        lambda s, d: literal(s, "i int, x string", LOWERS).select("i", text.lower_runes(F.col("x")).alias("x")),
-        f"WITH {values_sql('v', 'i, x', LOWERS)} SELECT i, lower(x) AS x FROM v",
+        lambda s, d: table(s, d, "documents").selectExpr(*_columns(ODD_LOWERS)).select("i", text.lower_runes(F.col("x")).alias("x")),
+        f"WITH v AS (SELECT {ODD_LOWERS} FROM documents) SELECT i, lower(x) AS x FROM v",
     ),
     "page_descriptions": (
         lambda s, d: pages(s, d).select("path", text.first_prose_line(F.regexp_replace("content", "[^\\x00-\\x7F]", "?"), 160, F.lit("none")).alias("description")),
@@ -223,12 +234,12 @@ UNION ALL SELECT path, 'page deleted in staging (ingest should not delete pages)
         f"WITH {_STAGED} SELECT path FROM pg WHERE path NOT IN (SELECT path FROM st)",
     ),
     "frontmatter_issues": (
-        lambda s, d: lint.validate_bundle(literal(s, "path string, content string", BUNDLE), strict=True).where("path <> 'yaml.md'"),
-        f"WITH {values_sql('v', 'path, severity, message', ISSUES)} SELECT * FROM v",
+        lambda s, d: lint.validate_bundle(_bundle(s, d), strict=True),
+        f"WITH {PAGES}, {values_sql('f', 'form, severity, message', ISSUES)} SELECT path, severity, replace(message, '#', doc_id::VARCHAR) AS message FROM pg JOIN f ON doc_id % 9 = form",
     ),
     "issue_counts": (
-        lambda s, d: lint.issue_counts(lint.validate_bundle(literal(s, "path string, content string", BUNDLE), strict=True)),
-        f"WITH {values_sql('v', 'path, severity, message', ISSUES)} SELECT count_if(severity = 'error')::BIGINT + 1 AS errors, count_if(severity = 'warning')::BIGINT AS warnings, 1 AS exit_code FROM v",
+        lambda s, d: lint.issue_counts(lint.validate_bundle(_bundle(s, d), strict=True)),
+        f"WITH {PAGES}, {values_sql('f', 'form, severity, message', ISSUES)} SELECT count_if(severity = 'error')::BIGINT AS errors, count_if(severity = 'warning')::BIGINT AS warnings, 1 AS exit_code FROM pg JOIN f ON doc_id % 9 = form",
     ),
     "broken_links": (
         lambda s, d: lint.broken_links(_web_links(s, d), table(s, d, "pages").select(F.concat(F.lit("site/"), F.regexp_extract("html", '<a href="/([^"]*)"', 1)).alias("path")).where("path <> 'site/'")),
@@ -237,12 +248,14 @@ f AS (SELECT 'site/' || regexp_extract(html, '<a href="/([^"]*)"', 1) AS path FR
 SELECT 'warning' AS severity, path, 'broken internal link: ' || link AS message FROM l WHERE 'site/' || regexp_replace(link, '^/', '') NOT IN (SELECT path FROM f) AND 'site/' || regexp_replace(link, '^/', '') <> 'site/'""",
     ),
     "migrate_bundle": (
-        lambda s, d: migrate.migrate_bundle(literal(s, "path string, content string, mtime timestamp", [(p, c, None) for p, c in LEGACY])).select("path", "content", "changed"),
-        f"WITH {values_sql('v', 'path, content, changed', MIGRATED)} SELECT * FROM v",
+        lambda s, d: migrate.migrate_bundle(pages(s, d).selectExpr("path", f"{_forms(OLD)} AS content", "CAST(NULL AS TIMESTAMP) AS mtime")).select("path", "content", "changed"),
+        f"""WITH {PAGES}, v AS (SELECT *, string_split(path, '/') AS k, CASE WHEN k[1] = 'archive' THEN k[2] ELSE k[1] END AS m, CASE m WHEN 'semantic' THEN 'concept' WHEN 'procedural' THEN 'procedure' ELSE 'event' END AS kind,
+  CASE k[1] WHEN 'archive' THEN '../../../semantic/' WHEN 'semantic' THEN '../' ELSE '../../semantic/' END AS up FROM pg)
+SELECT path, {_forms(NEW)} AS content, doc_id % 3 < 2 AS changed FROM v""",
     ),
     "scan_facts": (
-        lambda s, d: codefacts.scan_facts(literal(s, "path string, content string", GO), "repo", "c" * 40).select("path", "kind", "symbol", "line"),
-        f"WITH {values_sql('v', 'path, kind, symbol, line', FACTS)} SELECT * FROM v",
+        lambda s, d: codefacts.scan_facts(_sources(s, d), "repo", "c" * 40).select("path", "kind", "symbol", "line"),
+        f"WITH {values_sql('f', 'form, kind, symbol, line', FACTS)} SELECT 'pkg/' || doc_id || CASE form WHEN 0 THEN '.go' ELSE '_test.go' END AS path, kind, replace(symbol, '#', doc_id::VARCHAR) AS symbol, line FROM documents JOIN f ON doc_id % 2 = form",
     ),
     "fact_ids": (
         lambda s, d: pages(s, d).select(F.lit("r").alias("repo"), F.lit("c").alias("commit_sha"), "path", F.lit("func").alias("kind"), F.concat(F.lit("F"), F.col("doc_id").cast("string")).alias("symbol"), (F.col("doc_id") % 90).cast("int").alias("line"), F.when(F.col("doc_id") % 9 == 0, "deleted").otherwise("present").alias("status")).select("path", codefacts.fact_id().alias("id"), codefacts.source_anchor().alias("anchor")),

@@ -6,12 +6,23 @@ from pyspark.sql import functions as F
 
 from ..operators import codefacts, guards, log, surface
 from ..operators import pages as pg
-from .views import PAGES, RAW, STATUS, literal, pages, raw_events, status_log, table, values_sql
+from .views import PAGES, RAW, STATUS, pages, raw_events, status_log, table
 
-REQUESTS = [(i, s, k, t) for i, (s, k, t) in enumerate([(None, None, None), ("", "", 1), ("bot", None, 2), ("compiler", "guess", 1), ("tool", "inferred", 0), ("user", "user_statement", 4), ("system", "direct_observation", 3)])]
-SCOPES = [(i, s) for i, s in enumerate(["", ".", "./a/b", "a//b/", "../x", "a/../..", "/abs", " a ", "a/.."])]
-REMOTES = [(i, r, f) for i, (r, f) in enumerate([("git@host:team/repo.git", "/x/y"), ("https://h/a/b/", "/x/y"), ("host:repo", "/x/y"), (None, "/x/y"), ("", "/x/z/"), ("plain", "/x/w")])]
-RECEIVERS = [(i, r) for i, r in enumerate(["*T", "T", " *pkg.T", "a.b.C", "*"])]
+#: Rows of every form, made of the tables' own; the same text is Spark's and DuckDB's.
+ODD_REQUESTS = """event_id AS i; CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN event_type WHEN 3 THEN 'compiler' WHEN 4 THEN 'tool' ELSE 'user' END AS s;
+  CASE user_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'guess' WHEN 3 THEN 'inferred' ELSE 'user_statement' END AS k; CAST(CASE WHEN event_id % 7 > 0 THEN event_id % 5 END AS INT) AS t"""
+ODD_SCOPES = """doc_id AS i; CASE doc_id % 9 WHEN 0 THEN '' WHEN 1 THEN '.' WHEN 2 THEN './' || path WHEN 3 THEN replace(path, '/', '//') || '/' WHEN 4 THEN '../' || path
+  WHEN 5 THEN path || '/../../../../..' WHEN 6 THEN '/' || path WHEN 7 THEN ' ' || path || ' ' ELSE path || '/..' END AS x"""
+ODD_REMOTES = """page_id AS i; CASE page_id % 6 WHEN 0 THEN 'git@host:team/r' || page_id || '.git' WHEN 1 THEN url || '/' WHEN 2 THEN 'host:r' || page_id WHEN 3 THEN NULL WHEN 4 THEN '' ELSE 'plain' END AS r; '/x/y' || page_id || '/' AS f"""
+ODD_RECEIVERS = """event_id AS i; CASE event_id % 5 WHEN 0 THEN '*' || event_type WHEN 1 THEN event_type WHEN 2 THEN ' *pkg.' || event_type WHEN 3 THEN 'a.b.' || event_type ELSE '*' END AS r"""
+
+
+def _odd(df, columns: str):
+    return df.selectExpr(*columns.split(";"))
+
+
+def _sql(columns: str) -> str:
+    return columns.replace(";", ",")
 
 
 def _results(s, d):
@@ -28,8 +39,9 @@ _RES = """rs AS (SELECT (event_id // 20)::VARCHAR AS batch_id, CASE WHEN (event_
 
 QUERIES = {
     "request_checks": (
-        lambda s, d: literal(s, "i int, s string, k string, t int", REQUESTS).select("i", surface.request_error(F.col("s"), F.col("k"), F.col("t")).alias("error")),
-        "SELECT * FROM (VALUES (0, ''), (1, ''), (2, 'invalid source_type'), (3, 'invalid evidence_kind'), (4, 'invalid trust_tier: must be 1, 2, or 3'), (5, 'invalid trust_tier: must be 1, 2, or 3'), (6, '')) v(i, error)",
+        lambda s, d: _odd(table(s, d, "events"), ODD_REQUESTS).select("i", surface.request_error(F.col("s"), F.col("k"), F.col("t")).alias("error")),
+        f"""WITH v AS (SELECT {_sql(ODD_REQUESTS)} FROM events) SELECT i, CASE WHEN s <> '' AND s NOT IN ('user', 'assistant', 'tool', 'system', 'compiler') THEN 'invalid source_type'
+WHEN k <> '' AND k NOT IN ('direct_observation', 'user_statement', 'inferred', 'compiler_synthesis') THEN 'invalid evidence_kind' WHEN t < 1 OR t > 3 THEN 'invalid trust_tier: must be 1, 2, or 3' ELSE '' END AS error FROM v""",
     ),
     "concept_text": (
         lambda s, d: surface.concept_text(pages(s, d).select("path", "content", F.when(F.col("doc_id") % 3 > 0, F.struct(F.when(F.col("doc_id") % 2 == 0, "semantic").otherwise("").alias("memory_type"), (F.col("doc_id") % 4).cast("int").alias("trust_tier_max"), F.array(F.lit("e1"), F.lit("e2")).alias("source_events"), F.lit("").alias("last_accessed"))).alias("telemetry"))),
@@ -46,8 +58,8 @@ CASE WHEN doc_id % 4 > 0 THEN 'Trust tier: T' || (doc_id % 4) || chr(10) ELSE ''
 string_agg('[' || id || '] ' || content || CASE WHEN seq % 2 = 0 THEN '  task=t' ELSE '' END || chr(10), '' ORDER BY seq) AS prompt FROM r""",
     ),
     "suspect_events": (
-        lambda s, d: surface.suspect_events(_results(s, d), literal(s, "path string", [("semantic/p8.md",), ("./semantic/p12.md",), ("",)])),
-        f"WITH {_RES} SELECT event_id FROM rs WHERE status = 'integrated' AND page IN ('semantic/p8.md', 'semantic/p12.md')",
+        lambda s, d: surface.suspect_events(_results(s, d), table(s, d, "events").where("event_id % 30 = 8").selectExpr("'./semantic/p' || (event_id % 300) || '.md' AS path")),
+        f"WITH {_RES} SELECT event_id FROM rs WHERE status = 'integrated' AND page IN (SELECT 'semantic/p' || (event_id % 300) || '.md' FROM events WHERE event_id % 30 = 8)",
     ),
     "deferred_sets": (
         lambda s, d: (lambda p, f: surface.prune_deferred(f, p).withColumn("set", F.lit("deferred")).unionByName(surface.actionable(p, f).select("id").withColumn("set", F.lit("actionable"))))(log.pending_events(raw_events(s, d), log.latest_status(status_log(s, d))), raw_events(s, d).where("seq % 9 = 0").select("id")),
@@ -78,16 +90,16 @@ string_agg('[' || id || '] ' || content || CASE WHEN seq % 2 = 0 THEN '  task=t'
         f"WITH {PAGES} SELECT md5(string_agg('f' || doc_id, ',' ORDER BY 'f' || doc_id)) AS facts, md5(string_agg(CASE WHEN doc_id % 5 > 0 THEN path || '=' || sha256(content) END, ',' ORDER BY path)) AS hashes, md5(string_agg(CASE WHEN doc_id % 2 > 0 THEN path END, ',' ORDER BY path)) AS changed, md5(string_agg(CASE WHEN doc_id % 2 = 0 THEN path END, ',' ORDER BY path)) AS deleted FROM pg",
     ),
     "clean_scopes": (
-        lambda s, d: literal(s, "i int, x string", SCOPES).select("i", surface.clean_scope(F.col("x")).alias("scope")),
-        "SELECT * FROM (VALUES (0, '.'), (1, '.'), (2, 'a/b'), (3, 'a/b'), (4, NULL), (5, NULL), (6, NULL), (7, 'a'), (8, '.')) v(i, scope)",
+        lambda s, d: _odd(pages(s, d), ODD_SCOPES).select("i", surface.clean_scope(F.col("x")).alias("scope")),
+        f"WITH {PAGES} SELECT doc_id AS i, CASE WHEN doc_id % 9 < 2 THEN '.' WHEN doc_id % 9 IN (2, 3, 7) THEN path WHEN doc_id % 9 = 8 THEN array_to_string(string_split(path, '/')[:-2], '/') END AS scope FROM pg",
     ),
     "repo_names": (
-        lambda s, d: literal(s, "i int, r string, f string", REMOTES).select("i", surface.repo_name(F.col("r"), F.col("f")).alias("name")),
-        "SELECT * FROM (VALUES (0, 'repo'), (1, 'b'), (2, 'repo'), (3, 'y'), (4, 'z'), (5, 'w')) v(i, name)",
+        lambda s, d: _odd(table(s, d, "pages"), ODD_REMOTES).select("i", surface.repo_name(F.col("r"), F.col("f")).alias("name")),
+        "SELECT page_id AS i, CASE WHEN page_id % 6 IN (0, 2) THEN 'r' || page_id WHEN page_id % 6 = 1 THEN string_split(rtrim(url, '/'), '/')[-1] ELSE 'y' || page_id END AS name FROM pages",
     ),
     "receiver_names": (
-        lambda s, d: literal(s, "i int, r string", RECEIVERS).select("i", surface.receiver_name(F.col("r")).alias("name")),
-        "SELECT * FROM (VALUES (0, 'T'), (1, 'T'), (2, 'T'), (3, 'C'), (4, '')) v(i, name)",
+        lambda s, d: _odd(table(s, d, "events"), ODD_RECEIVERS).select("i", surface.receiver_name(F.col("r")).alias("name")),
+        "SELECT event_id AS i, CASE WHEN event_id % 5 = 4 THEN '' ELSE event_type END AS name FROM events",
     ),
     "capture_triggers": (
         lambda s, d: table(s, d, "events").selectExpr("event_id AS i", "CASE event_id % 4 WHEN 0 THEN 'cron' WHEN 1 THEN 'heartbeat' WHEN 2 THEN event_type END AS t", "event_id % 3 <> 0 AS s").select("i", surface.capture_trigger(F.col("t"), F.col("s")).alias("captured")),

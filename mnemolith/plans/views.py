@@ -82,10 +82,6 @@ latest AS (SELECT event_id, status, reason FROM (SELECT event_id, arg_max(type,
   FROM ok WHERE valid AND type <> 'bootstrap' GROUP BY event_id) WHERE t <> 'reset')"""
 
 
-def literal(spark: SparkSession, ddl: str, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, ddl)
-
-
 def values_sql(name: str, columns: str, rows: list[tuple]) -> str:
     """The same rows as a CTE."""
 

@@ -32,7 +32,7 @@ def test_text(spark, fn, value, want):
 
 
 def tree(tmp_path):
-    for path, body in {"semantic/a.md": GOOD + "[b](b.md)", "semantic/b.md": GOOD, ".git/x.md": "no", "n.txt": "x", "pkg/a.go": GO[0][1]}.items():
+    for path, body in {"semantic/a.md": GOOD + "[b](b.md)", "semantic/b.md": GOOD, ".git/x.md": "no", "n.txt": "x", "pkg/a.go": GO[0].replace("#", "1")}.items():
         p = tmp_path / "wiki" / path
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text(body)
