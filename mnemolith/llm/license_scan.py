@@ -20,10 +20,41 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 
 #: Template wording by label (words as the scanner sees them: lower case, no punctuation).
 TEMPLATES = {
+    "agpl": "gnu affero general public license",
     "apache-2.0": "licensed under the apache license <<opt>>version<<end>> 2 0 <<opt>>the license<<end>>",
+    "apache-2.0-notice": (
+        "you may not use this file except in compliance with the license you may obtain a copy of the license at"
+        " <<any:1-12>> unless required by applicable law or agreed to in writing software distributed under the license is"
+        " distributed on an as is basis without warranties or conditions of any kind either express or implied"
+    ),
+    "artistic-2.0": "artistic license <<opt>>version<<end>> 2 0",
+    "boost-1.0": "boost software license <<opt>>version<<end>> 1 0",
+    "bsd-conditions": (
+        "redistribution and use in source and binary forms with or without modification are permitted"
+        " <<one:provided|providing>> that the following conditions are met"
+    ),
+    "bsd-endorsement": (
+        "neither the <<one:name|names>> of <<any:1-12>> nor the names of <<one:its|their>> contributors may be used to endorse"
+        " or promote products derived from this software without specific prior written permission"
+    ),
+    "cc-attribution": "creative commons attribution <<one:1|2|3|4>> <<one:0|5>> <<opt>><<one:international|unported|generic>><<end>> license",
     "cc-by-nc": "<<one:licensed|released|available>> under <<opt>>a<<end>> <<opt>>creative commons<<end>> cc by nc",
+    "cc-by-nd": "<<one:licensed|released|available>> under <<opt>>a<<end>> <<opt>>creative commons<<end>> cc by nd",
+    "cc-by-sa": "<<one:licensed|released|available>> under <<opt>>a<<end>> <<opt>>creative commons<<end>> cc by sa",
+    "cc0-1.0": "cc0 1 0 universal",
+    "epl": "eclipse public license <<opt>><<one:v|version>><<end>> <<one:1|2|v1|v2>> 0",
     "gpl-2.0": "licensed under the <<opt>>terms of the<<end>> gnu general public license <<opt>>version<<end>> <<one:2|v2>>",
     "gpl-3.0": "licensed under the <<opt>>terms of the<<end>> gnu general public license <<opt>>version<<end>> <<one:3|v3>>",
+    "gpl-notice": (
+        "program is free software you can redistribute it and or modify it under the terms of the gnu general public license"
+        " as published by the free software foundation either version <<any:1-1>> of the license or <<opt>>at your option<<end>>"
+        " any later version"
+    ),
+    "isc-text": (
+        "permission to use copy modify and <<opt>>or<<end>> distribute this software for any purpose with or without fee is"
+        " hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+    ),
+    "lgpl": "gnu <<one:lesser|library>> general public license",
     "mit": "<<one:licensed|released|distributed>> under the <<opt>>terms of the<<end>> mit license",
     "mit-text": (
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated"
@@ -31,7 +62,17 @@ TEMPLATES = {
         " the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to"
         " permit persons to whom the software is furnished to do so subject to the following conditions"
     ),
+    "mit-warranty": (
+        "software is provided as is without warranty of any kind express or implied including but not limited to the"
+        " warranties of merchantability fitness for a particular purpose and <<one:noninfringement|nonfringement>>"
+    ),
+    "mpl-2.0": "subject to the terms of the mozilla public license <<one:v|version>> 2 0",
     "reserved-holder": "copyright <<opt>>c<<end>> <<any:1-8>> all rights reserved",
+    "unlicense": "free and unencumbered software released into the public domain",
+    "zlib": (
+        "software is provided as is without any express or implied warranty in no event <<one:will|shall>> the"
+        " <<one:author|authors>> be held liable for any damages arising from the use of this software"
+    ),
 }
 
 #: ASCII upper case becomes lower case; all ASCII but letters and digits becomes a space.
@@ -158,13 +199,53 @@ def op8_license_scan(spark, sf_dir: str) -> DataFrame:
 
 #: The templates again, as patterns over the words joined by single spaces.
 _PATTERNS = {
+    "agpl": " gnu affero general public license ",
     "apache-2.0": " licensed under the apache license (version )?2 0 ",
+    "apache-2.0-notice": (
+        " you may not use this file except in compliance with the license you may obtain a copy of the license at"
+        " ([^ ]+ ){1,12}unless required by applicable law or agreed to in writing software distributed under the license is"
+        " distributed on an as is basis without warranties or conditions of any kind either express or implied "
+    ),
+    "artistic-2.0": " artistic license (version )?2 0 ",
+    "boost-1.0": " boost software license (version )?1 0 ",
+    "bsd-conditions": (
+        " redistribution and use in source and binary forms with or without modification are permitted"
+        " provid(ed|ing) that the following conditions are met "
+    ),
+    "bsd-endorsement": (
+        " neither the names? of ([^ ]+ ){1,12}nor the names of (its|their) contributors may be used to endorse"
+        " or promote products derived from this software without specific prior written permission "
+    ),
+    "cc-attribution": " creative commons attribution [1-4] [05] ((international|unported|generic) )?license ",
     "cc-by-nc": " (licensed|released|available) under (a )?(creative commons )?cc by nc ",
+    "cc-by-nd": " (licensed|released|available) under (a )?(creative commons )?cc by nd ",
+    "cc-by-sa": " (licensed|released|available) under (a )?(creative commons )?cc by sa ",
+    "cc0-1.0": " cc0 1 0 universal ",
+    "epl": " eclipse public license ((v|version) )?v?[12] 0 ",
     "gpl-2.0": " licensed under the (terms of the )?gnu general public license (version )?v?2 ",
     "gpl-3.0": " licensed under the (terms of the )?gnu general public license (version )?v?3 ",
+    "gpl-notice": (
+        " program is free software you can redistribute it and or modify it under the terms of the gnu general public license"
+        " as published by the free software foundation either version [^ ]+ of the license or (at your option )?any later version "
+    ),
+    "isc-text": (
+        " permission to use copy modify and (or )?distribute this software for any purpose with or without fee is"
+        " hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+    ),
+    "lgpl": " gnu (lesser|library) general public license ",
     "mit": " (licensed|released|distributed) under the (terms of the )?mit license ",
     "mit-text": f" {TEMPLATES['mit-text']} ",
-    "reserved-holder": " copyright ([^ ]+ ){1,9}all rights reserved ",
+    "mit-warranty": (
+        " software is provided as is without warranty of any kind express or implied including but not limited to the"
+        " warranties of merchantability fitness for a particular purpose and non(in)?fringement "
+    ),
+    "mpl-2.0": " subject to the terms of the mozilla public license (v|version) 2 0 ",
+    "reserved-holder": " copyright (c )?([^ ]+ ){1,8}all rights reserved ",
+    "unlicense": " free and unencumbered software released into the public domain ",
+    "zlib": (
+        " software is provided as is without any express or implied warranty in no event (will|shall) the"
+        " authors? be held liable for any damages arising from the use of this software "
+    ),
 }
 SQL = (
     r"""

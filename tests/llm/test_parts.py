@@ -2,6 +2,7 @@
 
 import io
 import random
+import re
 
 import numpy as np
 import pytest
@@ -154,6 +155,32 @@ def test_template_automaton():
         assert bool(a.match(words, [i for i, w in enumerate(words) if w in a.first])) == ok, text
 
 
+def test_license_catalogue_equals_its_patterns():
+    """Filled, broken and joined templates: the automaton finds what the patterns of the SQL find."""
+    rng = random.Random(1)
+    a = license_scan.TemplateAutomaton(license_scan.TEMPLATES)
+    assert list(license_scan.TEMPLATES) == list(license_scan._PATTERNS)
+
+    def filled(markup):
+        run = lambda m: " ".join(rng.choice(["x", "c", "all", "the"]) for _ in range(rng.randint(max(0, int(m[1]) - 1), int(m[2]) + 1)))
+        markup = re.sub(r"<<any:(\d+)-(\d+)>>", run, markup)
+        markup = re.sub(r"<<one:([^>]*)>>", lambda m: rng.choice(m[1].split("|")), markup)
+        words = re.sub(r"<<opt>>(.*?)<<end>>", lambda m: m[1] if rng.random() < 0.5 else "", markup).split()
+        if rng.random() < 0.3:
+            del words[rng.randrange(len(words))]
+        return " ".join(words)
+
+    met = set()
+    for _ in range(3000):
+        text = " ".join(filled(rng.choice(list(license_scan.TEMPLATES.values()))) for _ in range(2))
+        words = license_scan.words_of(text.encode())
+        got = {x for _, _, x in a.match(words, [j for j, w in enumerate(words) if w in a.first])}
+        joined = f" {b' '.join(words).decode()} "
+        assert got == {x for x, p in license_scan._PATTERNS.items() if re.search(p, joined)}, joined
+        met |= got
+    assert met == set(license_scan.TEMPLATES)
+
+
 def test_warc_round_trip_and_damage():
     rows = [(1, "http://a\r\nb", "é".encode() * 70_000, None), (2, None, b"", None), (None, "u", b"x", None), (3, "u", b"x" * 9, 2)]
     data = b"".join(warc.warc_record(*r) for r in rows)
