@@ -113,10 +113,10 @@ def greedy_batches(pending: DataFrame, max_events: int = MAX_EVENTS, max_bytes:
         f = f.sort_values("row")
         size = np.concatenate((f["bytes"].to_numpy(), np.array(ahead[key[0]], np.int64)))
         own = len(f)
-        nxt = next_starts(size, own, *caps)
-        leave = np.arange(own + max_events + 1)  # where a walk from each place leaves the block
-        for i in range(own - 1, -1, -1):
-            leave[i] = leave[nxt[i]]
+        # Where a walk from each place leaves the block: the next starts, followed twice as far each time.
+        leave = np.concatenate((next_starts(size, own, *caps), np.arange(own, own + max_events + 1)))
+        while (leave[:own] < own).any():
+            leave = leave[leave]
         return pd.DataFrame({"block": key[0], "entry": np.arange(max_events + 1), "exit": leave[: max_events + 1] - own})
 
     maps = {(r["block"], r["entry"]): r["exit"] for r in ranged.groupBy("block").applyInPandas(exits, "block int, entry int, exit int").collect()}

@@ -261,6 +261,11 @@ SELECT path, {_forms(NEW)} AS content, doc_id % 3 < 2 AS changed FROM v""",
         lambda s, d: pages(s, d).select(F.lit("r").alias("repo"), F.lit("c").alias("commit_sha"), "path", F.lit("func").alias("kind"), F.concat(F.lit("F"), F.col("doc_id").cast("string")).alias("symbol"), (F.col("doc_id") % 90).cast("int").alias("line"), F.when(F.col("doc_id") % 9 == 0, "deleted").otherwise("present").alias("status")).select("path", codefacts.fact_id().alias("id"), codefacts.source_anchor().alias("anchor")),
         f"""WITH {PAGES}, x AS (SELECT path, 'F' || doc_id AS s, doc_id % 90 AS l, CASE WHEN doc_id % 9 = 0 THEN 'deleted' ELSE 'present' END AS st FROM pg)
 SELECT path, 'fact_' || substr(sha256('r' || chr(0) || 'c' || chr(0) || path || chr(0) || 'func' || chr(0) || s || chr(0) || l || chr(0) || st), 1, 16) AS id, CASE WHEN st = 'deleted' THEN 'r:c:' || path || ':deleted' ELSE 'r:c:' || path || ':' || l || ':' || s END AS anchor FROM x""",
+    ),
+    "snippet_ids": (
+        lambda s, d: pages(s, d).where("content IS NOT NULL").select(F.lit("r").alias("repo"), F.lit("c").alias("commit_sha"), "path", F.lit("func").alias("kind"), F.concat(F.lit("F"), F.col("doc_id").cast("string")).alias("symbol"), (F.col("doc_id") % 90).cast("long").alias("start_line"), (F.col("doc_id") % 90 + F.length("content")).cast("long").alias("end_line"), F.sha2("content", 256).alias("file_hash")).select("path", codefacts.snippet_id().alias("id")),
+        f"""WITH {PAGES} SELECT path, 'snippet_' || substr(sha256('r' || chr(0) || 'c' || chr(0) || path || chr(0) || 'func' || chr(0) || 'F' || doc_id || chr(0) || (doc_id % 90) || chr(0) || (doc_id % 90 + length(content)) || chr(0) || sha256(content)), 1, 16) AS id
+FROM pg WHERE content IS NOT NULL""",
     ),
     "file_manifest": (
         lambda s, d: codefacts.file_manifest(table(s, d, "events").select(F.concat(F.lit("f"), (F.col("user_id") % 20).cast("string")).alias("path"), F.concat(F.lit("i"), F.col("event_id").cast("string")).alias("id"), F.when(F.col("event_id") % 4 == 0, "").otherwise(F.col("event_type")).alias("symbol"), F.concat(F.lit("a"), F.col("event_id").cast("string")).alias("anchor"))).select("path", *(F.md5(F.array_join(c, ",")).alias(c) for c in ("fact_ids", "symbols", "anchors"))),

@@ -85,6 +85,10 @@ string_agg('[' || id || '] ' || content || CASE WHEN seq % 2 = 0 THEN '  task=t'
         lambda s, d: guards.consecutive(_results(s, d).select(F.lit(0).alias("trace_id"), F.col("batch_id").cast("int").alias("call_no"), "batch_status").distinct().withColumn("bad", F.col("call_no") % 10 > 5), F.col("bad"), 2),
         "SELECT 0 AS trace_id, min(n)::INT AS call_no FROM (SELECT DISTINCT event_id // 20 AS n FROM events) WHERE n % 10 = 8",
     ),
+    "next_runs": (
+        lambda s, d: table(s, d, "events").select("event_id", guards.next_run(F.col("event_id") % 5, F.col("event_id") % 7 == 0, F.col("user_id") % 5).alias("next_run")),
+        "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'stay suspended' WHEN event_id % 5 > user_id % 5 THEN 'resume later' ELSE 'idle' END AS next_run FROM events",
+    ),
     "scan_manifest": (
         lambda s, d: surface.scan_manifest(pages(s, d).select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("id")), pages(s, d).select("path", F.when(F.col("doc_id") % 5 > 0, F.sha2("content", 256)).alias("hash")), codefacts.file_sets(pages(s, d).select(F.when(F.col("doc_id") % 2 == 0, "D").otherwise("M").alias("status"), F.col("path").alias("old_path"), F.lit("").alias("new_path")))).select(F.md5(F.array_join("fact_ids", ",")).alias("facts"), F.md5(F.array_join(F.transform(F.map_entries("file_hashes"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")).alias("hashes"), F.md5(F.array_join("changed", ",")).alias("changed"), F.md5(F.array_join("deleted", ",")).alias("deleted")),
         f"WITH {PAGES} SELECT md5(string_agg('f' || doc_id, ',' ORDER BY 'f' || doc_id)) AS facts, md5(string_agg(CASE WHEN doc_id % 5 > 0 THEN path || '=' || sha256(content) END, ',' ORDER BY path)) AS hashes, md5(string_agg(CASE WHEN doc_id % 2 > 0 THEN path END, ',' ORDER BY path)) AS changed, md5(string_agg(CASE WHEN doc_id % 2 = 0 THEN path END, ',' ORDER BY path)) AS deleted FROM pg",

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import log, pages
-from .sources.files import PageVersions, append_events, read_events
+from .operators import lint, log, pages
+from .sources.files import PageVersions, append_events, qualified, read_events
+from .sources.tables import materialize
 
 META = "source_events array<string>, trust_tier_max int, created_at string, memory_type string"
+READS = "path string, at timestamp, read_no long"
 
 
 class MemoryStore:
@@ -28,6 +31,10 @@ class MemoryStore:
         if self.read_only:
             raise PermissionError("the bundle is read-only")
 
+    def _exists(self, name: str) -> bool:
+        files, path = qualified(self.spark, f"{self.root}/{name}")
+        return files.exists(path)
+
     def append_event(self, events: DataFrame) -> DataFrame:
         self._writable()
         return append_events(events, f"{self.root}/raw")
@@ -48,6 +55,33 @@ class MemoryStore:
     def read_page(self, path: str) -> DataFrame:
         return self.pages().where(F.col("path") == path)
 
+    def open_page(self, path: str) -> DataFrame:
+        """A page with its sidecar and access dates, this access among them; a bundle records none. A page that
+        isn't there gives no row and leaves no record."""
+        page = materialize(self.read_page(path))
+        if not self.read_only and not page.isEmpty():
+            read = self.spark.createDataFrame([(path, time.time_ns())], "path string, read_no long")
+            read.select("path", F.current_timestamp().alias("at"), "read_no").write.mode("append").parquet(f"{self.root}/reads")
+        return page.join(self.telemetry().where(F.col("path") == path), "path", "left")
+
+    def telemetry(self) -> DataFrame:
+        """``path, last_accessed, access_dates`` of the pages that were opened."""
+        there = self._exists("reads")
+        return pages.access_dates(self.spark.read.schema(READS).parquet(f"{self.root}/reads") if there else self.spark.createDataFrame([], READS))
+
+    def staged_turn(self, edit: Callable[[DataFrame], DataFrame], budget: int = 1 << 20, allow_delete: bool = False, allow_archive: bool = False) -> DataFrame:
+        """One turn on a copy of the pages: ``edit`` gets the pages and returns (path, content) of all that are
+        to be. They become the next version only if nothing violates the rules; an error in ``edit``, or a
+        violation, leaves the pages as they were. Returns the violations (path, message). Pages keep their
+        sidecars."""
+        self._writable()
+        now = materialize(self.pages())
+        staged = materialize(edit(now).select("path", "content"))
+        wrong = materialize(lint.staging_violations(now, staged, budget, allow_delete, allow_archive))
+        if wrong.isEmpty():
+            self.tree.swap(staged.join(now.drop("content"), "path", "left").select(*now.columns))
+        return wrong
+
     def search(self, query: str) -> DataFrame:
         return pages.search_lines(self.pages(), query)
 
@@ -78,9 +112,7 @@ class MemoryStore:
 
     def cursor(self) -> int:
         """The compile cursor: the largest recorded, 0 without any."""
-        fs_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/cursor")
-        there = fs_path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path)
-        return self.spark.read.parquet(f"{self.root}/cursor").agg(F.max("cursor")).first()[0] if there else 0
+        return self.spark.read.parquet(f"{self.root}/cursor").agg(F.max("cursor")).first()[0] if self._exists("cursor") else 0
 
     def advance_cursor(self, to: int) -> bool:
         """Cursors only go forward."""

@@ -97,6 +97,39 @@ def test_store(spark, tmp_path):
         MemoryStore(spark, str(tmp_path), read_only=True).rebuild_index()
 
 
+HEAD = "<!-- compiled_from: e -->\n<!-- last_compiled: t -->\n"
+
+
+def test_open_page_records_the_access(spark, tmp_path):
+    store = MemoryStore(spark, str(tmp_path))
+    store.write_pages(spark.createDataFrame([("semantic/a.md", "A", ["e"], 2, "t", 0)], "path string, content string, sources array<string>, trust_tier int, at string, write_no int"))
+    assert store.open_page("semantic/b.md").count() == 0 and store.telemetry().count() == 0
+    row = store.open_page("semantic/a.md").first()
+    assert (row["content"], row["source_events"], row["trust_tier_max"]) == ("A", ["e"], 2) and row["last_accessed"]
+    assert 1 <= len(store.open_page("semantic/a.md").first()["access_dates"]) <= 2  # twice a day counts once
+    bundle = MemoryStore(spark, str(tmp_path), read_only=True)
+    before = spark.read.parquet(f"{tmp_path}/reads").count()
+    assert bundle.open_page("semantic/a.md").count() == 1 and spark.read.parquet(f"{tmp_path}/reads").count() == before == 2
+
+
+def test_staged_turn_swaps_all_or_nothing(spark, tmp_path):
+    store = MemoryStore(spark, str(tmp_path))
+    store.write_pages(spark.createDataFrame([("semantic/a.md", HEAD + "A", ["e"], 2, "t", 0)], "path string, content string, sources array<string>, trust_tier int, at string, write_no int"))
+    more = lambda path, text: lambda p: p.select("path", "content").union(spark.createDataFrame([(path, text)], "path string, content string"))
+    version = store.tree.current()
+    assert store.staged_turn(more("semantic/b.md", "no header")).count() == 1
+    assert store.staged_turn(more("notes.txt", "x")).count() == 1
+    assert store.staged_turn(lambda p: p.where("false")).count() == 1  # a page gone
+    assert store.staged_turn(more("semantic/b.md", HEAD + "B" * 99), budget=50).first()["path"] == ""
+    with pytest.raises(ZeroDivisionError):
+        store.staged_turn(lambda p: 1 // 0)
+    assert store.tree.current() == version
+    assert store.staged_turn(more("semantic/b.md", HEAD + "B")).count() == 0
+    assert {r["path"]: r["source_events"] for r in store.pages().collect()} == {"semantic/a.md": ["e"], "semantic/b.md": None}
+    with pytest.raises(PermissionError):
+        MemoryStore(spark, str(tmp_path), read_only=True).staged_turn(lambda p: p)
+
+
 def test_walk_order_ranks_every_page(spark, tmp_path):
     n = 450
     spark.range(n).selectExpr("id AS doc_id", "'t' AS text", "'s' || id % 5 AS source").write.parquet(f"{tmp_path}/documents.parquet")
