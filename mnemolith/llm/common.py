@@ -6,9 +6,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import Scratch, broadcast_if_small, materialize, shared_dir
+from ..sources.tables import Scratch, broadcast_if_small, materialize, remove, shared_dir
 
-__all__ = ["Scratch", "broadcast_if_small", "connected_components", "gram_hashes", "materialize", "mix", "powers", "shared_dir", "slices", "sorted_distinct", "word_hashes"]
+__all__ = ["Scratch", "broadcast_if_small", "connected_components", "discard", "gram_hashes", "materialize", "mix", "powers", "shared_dir", "slices", "sorted_distinct", "word_hashes"]
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a materialized table that nothing reads any more."""
+    files = table.inputFiles()
+    if files:
+        remove(table.sparkSession, files[0].rsplit("/", 1)[0])
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, exact_dedup, langid, license_scan, mixing, ngram_join, packing, substring_dedup, toxicity, warc
+from . import byte_bpe, embedding_dedup, exact_dedup, langid, license_scan, mixing, ngram_join, packing, substring_dedup, toxicity, warc, whitening, yinyang
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_packing": packing.op9_packing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_byte_bpe": byte_bpe.op11_byte_bpe,
+    "op12_yinyang": yinyang.op12_yinyang,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLE_SQL = {
@@ -25,4 +28,5 @@ ORACLE_SQL = {
     "op7_ngram_join": ngram_join.SQL,
     "op8_license_scan": license_scan.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op12_yinyang": yinyang.SQL,
 }
