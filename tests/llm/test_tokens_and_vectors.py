@@ -174,7 +174,7 @@ def plain_whitening(x, most=8):
 
 
 def test_whitening_equals_numpy(spark, monkeypatch):
-    monkeypatch.setattr(whitening, "SUMS", 20)  # more than one aggregation
+    monkeypatch.setattr(whitening, "SUMS", 4)  # folded rows in blocks
     rng = np.random.default_rng(8)
     x = rng.normal(size=(80, 10)) @ rng.normal(size=(10, 10))
     x = np.concatenate((x, x[:7]))
@@ -201,3 +201,11 @@ def test_whitening_without_variance_and_large_entries(spark):
     dev = ((3 * x - x.sum(axis=0)) ** 2).sum(axis=1)
     have = {r["vec_id"]: r["deviation"] for r in big}
     assert [have[i] for i in (1, 2, None)] == [d if d < 1 << 63 else None for d in dev]
+
+
+@pytest.mark.parametrize("dim, sums", [(1, 80), (2, 80), (5, 80), (8, 3), (9, 4)])
+def test_folded_triangle(spark, monkeypatch, dim, sums):
+    monkeypatch.setattr(whitening, "SUMS", sums)
+    x = np.random.default_rng(dim).normal(size=(40, dim))
+    rows = spark.createDataFrame([([float(e) for e in v],) for v in x], "d array<double>")
+    assert np.allclose(whitening.triangle_sums(rows, "d", dim), x.T @ x)
