@@ -34,7 +34,7 @@ LONG = 1 << 18
 #: Characters of texts that are cut into words at a time.
 STEP = 1 << 20
 #: Words remembered by a task before the older ones go.
-WORDS = 1 << 17
+WORDS = 1 << 18
 #: White space as the split pattern's \s has it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -109,7 +109,8 @@ class ByteBPE:
                 pairs[token[0] << 8 | token[1]] = rank
         self._pairs = pairs
         self._bytes = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
-        self._tokens, self._words = Remembered(), Remembered()
+        self._new: dict[str, tuple[int, ...]] = {}
+        self._old: dict[str, tuple[int, ...]] = {}
 
     def merge(self, tokens: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of pre-tokens that aren't tokens as a whole.
@@ -200,15 +201,32 @@ class ByteBPE:
         return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
 
     def _flush(self, held: list[tuple[int, list[str]]], out: list[list[np.ndarray]]) -> None:
-        known = self._words.of(set(itertools.chain.from_iterable(words for _, words in held)), self._split)
+        self._learn(set(itertools.chain.from_iterable(words for _, words in held)))
+        ids_of = self._new.__getitem__
         for at, words in held:
-            out[at].append(np.fromiter(itertools.chain.from_iterable(map(known.__getitem__, words)), np.int32))
-
-    def _split(self, words: list[str]) -> list[tuple[int, ...]]:
+            out[at].append(np.fromiter(itertools.chain.from_iterable(map(ids_of, words)), np.int32))
+
+    def _learn(self, words: set[str]) -> None:
+        """See to it that ``_new`` has the words; what it held before and isn't used again goes in time."""
+        if len(self._new) >= WORDS:
+            self._new, self._old = {}, self._new
+        new = self._new
+        fresh = self._recall([w for w in words if w not in new])
         # A word of letters is one pre-token.
-        tokens = [(w,) if w.isalpha() or (w[0] == " " and w[1:].isalpha()) else self.split(w) for w in words]
-        known = self._tokens.of(set(itertools.chain.from_iterable(tokens)), self._encode)
-        return [known[t[0]] if len(t) == 1 else tuple(itertools.chain.from_iterable(map(known.__getitem__, t))) for t in tokens]
+        whole = {w for w in fresh if w.isalpha() or (w[0] == " " and w[1:].isalpha())}
+        mixed = [(w, self.split(w)) for w in fresh if w not in whole]
+        whole.update(self._recall([t for t in set(itertools.chain.from_iterable(x for _, x in mixed)) if t not in new]))
+        todo = list(whole)
+        new.update(zip(todo, self._encode(todo), strict=True))
+        new.update((w, tuple(itertools.chain.from_iterable(map(new.__getitem__, tokens)))) for w, tokens in mixed if len(tokens) > 1)
+
+    def _recall(self, words: list[str]) -> list[str]:
+        """Take over what the older memory has; the words that it hasn't."""
+        old = self._old
+        if not old:
+            return words
+        self._new.update((w, old[w]) for w in words if w in old)
+        return [w for w in words if w not in old]
 
     def _encode(self, tokens: list[str]) -> list[tuple[int, ...]]:
         raw = [t.encode() for t in tokens]
@@ -225,30 +243,8 @@ class ByteBPE:
                 todo, size, at = [], 0, []
         return out
 
-    def decode(self, ids) -> bytes:
-        table = self.table
-        return b"".join([table[i] for i in ids])
-
-
-class Remembered:
-    """Results by key in two generations of bounded size: what is used stays, the rest goes in time."""
-
-    def __init__(self):
-        self.new: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
-
-    def of(self, keys: set[str], compute) -> dict[str, tuple[int, ...]]:
-        """The results of ``keys`` at least; ``compute`` gives those that aren't known."""
-        if len(self.new) >= WORDS:
-            self.new, self.old = {}, self.new
-        new, old = self.new, self.old
-        missing = [k for k in keys if k not in new]
-        again = [k for k in missing if k in old]
-        new.update((k, old[k]) for k in again)
-        fresh = [k for k in missing if k not in new]
-        for k, ids in zip(fresh, compute(fresh), strict=True):
-            new[k] = ids
-        return new
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.table.__getitem__, ids))
 
 
 _BIT = [1 << i for i in range(256)]
@@ -298,7 +294,9 @@ def decode_ids(tokens: DataFrame, rank_file: str, id_col: str = "doc_id", ids_co
     def decode(batches):
         bpe = ByteBPE(parse_ranks(raw), "")
         for b in slices(batches, 64):
-            out = [bpe.decode(ids.values.to_pylist() if ids.is_valid else ()) for ids in b.column(1)]
+            if b.column(1).flatten().null_count:
+                raise ValueError("an id is null")
+            out = [bpe.decode(ids.values.to_numpy().tolist() if ids.is_valid else []) for ids in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return tokens.select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(decode, f"doc_id {tokens.schema[id_col].dataType.simpleString()}, ids array<int>, decoded binary")

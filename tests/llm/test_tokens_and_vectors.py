@@ -44,6 +44,7 @@ def test_encoding_equals_the_library(spark, ranks, library, monkeypatch):
         monkeypatch.setattr(byte_bpe, "WORDS", words)
         bpe = byte_bpe.ByteBPE(ranks, public_tokenizers.PATTERN)
         assert [x.tolist() for x in bpe.encode(texts)] == want
+        assert [x.tolist() for x in bpe.encode(texts[::-1])] == want[::-1]  # from memory, in part
         assert [bpe.decode(x).decode() for x in want] == texts
 
 
