@@ -1,7 +1,7 @@
 """The append-only event log and its status log.
 
-``seq`` is the ordinal over valid lines and is stored with the events; reads by cursor are pushed-down
-filters on it. The status log is a changelog: its state is the last valid record of each event.
+``seq`` is the ordinal over valid lines. In a table it is a stored column and a cursor is a pushed-down filter; in a
+log of appended folders (sources/appendlog) the manifest says which folders reach past a cursor. The status log is a changelog: its state is the last valid record of each event.
 """
 
 from __future__ import annotations

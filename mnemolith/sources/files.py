@@ -2,45 +2,36 @@
 
 from __future__ import annotations
 
+import json
 import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .appendlog import AppendLog, create_if_absent, qualified, write_text
+from .tables import materialize
+
 EVENT_FIELDS = ("id", "timestamp", "actor", "content", "source", "session_id", "active_project", "active_task", "context_json", "durability", "actionability", "source_type", "evidence_kind")
 EVENT_SCHEMA = T.StructType([*(T.StructField(n, T.StringType()) for n in EVENT_FIELDS), T.StructField("trust_tier", T.IntegerType())])
 STATUS_FIELDS = ("type", "event_id", "status", "batch_id", "reason", "timestamp", "old_status", "operator", "epoch")
 STATUS_SCHEMA = T.StructType([*(T.StructField(n, T.StringType()) for n in STATUS_FIELDS), T.StructField("pages", T.ArrayType(T.StringType())), T.StructField("recovered", T.BooleanType())])
 
 
-def qualified(spark: SparkSession, path: str):
-    """(file system, path) of the JVM for a path."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return files, files.makeQualified(p)
-
-
-def append_folder(rows: DataFrame, path: str, kind: str = "json") -> str:
-    """Add rows to a log as a folder that sorts after all that are there, so that no earlier row's ordinal
-    changes. The folder is written under a hidden name and renamed, so readers see all of it or nothing.
-    A log has one writer at a time. Files are of bounded size, and so is what numbering a file takes."""
-    spark = rows.sparkSession
+def old_paths(spark: SparkSession, path: str) -> list[str]:
+    """What lies at a log's path besides appended folders: the file itself, or the files and folders in it."""
     files, root = qualified(spark, path)
-    join = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    draft = join(root, f".draft-{uuid.uuid4().hex}")
-    getattr(rows.write.option("ignoreNullFields", True).option("maxRecordsPerFile", 1_000_000), kind)(draft.toString())
+    if not files.exists(root):
+        return []
+    if not files.getFileStatus(root).isDirectory():
+        return [root.toString()]
     names = [s.getPath().getName() for s in files.listStatus(root)]
-    n = max((int(x[7:27]) for x in names if x.startswith("append-")), default=-1) + 1
-    while not files.rename(draft, join(root, f"append-{n:020d}")):
-        n += 1
-    return f"{root.toString()}/append-{n:020d}"
+    return [f"{root.toString()}/{n}" for n in sorted(names) if not n.startswith(("rows-", "_", "."))]
 
 
-def numbered_lines(spark: SparkSession, path: str, valid: Column | None = None) -> DataFrame:
-    """``file, line_no, value`` of the lines of a log: files beside each other in name order, then the
-    folders of append_folder in theirs; only ``valid`` ones take numbers. Lines are numbered within the
+def numbered_lines(spark: SparkSession, path: str | list[str], valid: Column | None = None) -> DataFrame:
+    """``file, line_no, value`` of the lines of files beside each other, in name order, then of ``append-<number>``
+    folders in theirs; only ``valid`` ones take numbers. Lines are numbered within the
     splits that Spark reads and the splits' counts are added up, so no task holds more than a split."""
     lines = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(path)
     lines = lines.select("value", F.input_file_name().alias("file"), F.input_file_block_start().alias("start"), F.monotonically_increasing_id().alias("at"))
@@ -54,42 +45,79 @@ def numbered_lines(spark: SparkSession, path: str, valid: Column | None = None)
     return lines.join(before, "place").select("file", (F.col("before") + F.col("n") - 1).alias("line_no"), "value")
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: T.StructType, ordinal: str = "seq") -> DataFrame:
-    """Valid lines of JSON-lines logs with their ordinal over valid lines. Malformed lines are left out
-    and take no ordinal."""
-    ok = F.col("value").rlike(r"^[\t\n\r ]*\{") & F.try_parse_json("value").isNotNull() & F.from_json("value", schema).isNotNull()
-    return numbered_lines(spark, path, ok).withColumn("r", F.from_json("value", schema)).select(F.col("line_no").alias(ordinal), "r.*")
+def valid_json(schema: T.StructType) -> Column:
+    return F.col("value").rlike(r"^[\t\n\r ]*\{") & F.try_parse_json("value").isNotNull() & F.from_json("value", schema).isNotNull()
+
+
+def json_log(spark: SparkSession, path: str, schema: T.StructType) -> AppendLog:
+    """The log at ``path``; of lines there before the first append, valid ones count."""
+
+    def before() -> int:
+        old = old_paths(spark, path)
+        return spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(old).where(valid_json(schema)).count() if old else 0
+
+    return AppendLog(spark, path, before)
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return read_json_lines(spark, path, EVENT_SCHEMA)
+def read_json_lines(spark: SparkSession, path: str, schema: T.StructType, ordinal: str = "seq", since: int = 0) -> DataFrame:
+    """Valid lines of JSON-lines logs with their ordinal over valid lines, from ``since`` on. Malformed lines are left
+    out and take no ordinal. Appended folders that end before ``since`` aren't opened, nor are older files
+    if those do."""
+    log, old = json_log(spark, path, schema), old_paths(spark, path)
+    if not old or (since and since >= log.start()):
+        return log.read(schema, since, ordinal)
+    lines = numbered_lines(spark, old, valid_json(schema)).withColumn("r", F.from_json("value", schema)).select(F.col("line_no").alias(ordinal), "r.*")
+    lines = lines.where(F.col(ordinal) >= since) if since else lines
+    return lines.unionByName(log.read(schema, since, ordinal)) if log.entries(since) else lines
 
 
-def unclosed_files(spark: SparkSession, path: str) -> list[str]:
+def read_events(spark: SparkSession, path: str, since: int = 0) -> DataFrame:
+    return read_json_lines(spark, path, EVENT_SCHEMA, since=since)
+
+
+def unclosed_files(spark: SparkSession, paths: list[str]) -> list[str]:
     """Files that don't end with a line end; their last bytes are read, not their lines."""
-    files, root = qualified(spark, path)
-    out, found = [], files.listFiles(root, True)
-    while found.hasNext():
-        f = found.next()
-        if f.getLen() and not f.getPath().getName().startswith(("_", ".")):
-            stream = files.open(f.getPath())
-            try:
-                stream.seek(f.getLen() - 1)
-                if stream.read() != 10:
-                    out.append(f.getPath().getName())
-            finally:
-                stream.close()
+    out = []
+    for path in paths:
+        files, root = qualified(spark, path)
+        found = files.listFiles(root, True)
+        while found.hasNext():
+            f = found.next()
+            if f.getLen() and not f.getPath().getName().startswith(("_", ".")):
+                stream = files.open(f.getPath())
+                try:
+                    stream.seek(f.getLen() - 1)
+                    if stream.read() != 10:
+                        out.append(f.getPath().toUri().toString())
+                finally:
+                    stream.close()
     return out
 
 
 def read_status_log(spark: SparkSession, path: str) -> DataFrame:
     """Status records with ``line_no`` over all lines; ``terminated`` is false for a file's last line
-    without a line end, which doesn't count."""
-    rows = numbered_lines(spark, path)
-    name = F.element_at(F.split("file", "/"), -1)
-    loose = rows.where(name.isin(unclosed_files(spark, path))).groupBy("file").agg(F.max("line_no").alias("line_no"))
-    rows = rows.join(loose.select("line_no", F.lit(False).alias("terminated")), "line_no", "left").withColumn("r", F.from_json("value", STATUS_SCHEMA))
-    return rows.select("line_no", "r.*", F.coalesce("terminated", F.lit(True)).alias("terminated"))
+    without a line end, which doesn't count. Appended records always end; only older files are looked at."""
+    entries = status_log(spark, path)
+    appended = entries.read(STATUS_SCHEMA, ordinal="line_no").withColumn("terminated", F.lit(True))
+    old = old_paths(spark, path)
+    if not old:
+        return appended
+    rows = numbered_lines(spark, old)
+    same = F.regexp_replace("file", "^file:/+", "file:/")
+    loose = [u.replace("file:///", "file:/") for u in unclosed_files(spark, old)]
+    ends = rows.where(same.isin(loose)).groupBy("file").agg(F.max("line_no").alias("line_no"))
+    rows = rows.join(ends.select("line_no", F.lit(False).alias("terminated")), "line_no", "left").withColumn("r", F.from_json("value", STATUS_SCHEMA))
+    return rows.select("line_no", "r.*", F.coalesce("terminated", F.lit(True)).alias("terminated")).unionByName(appended)
+
+
+def status_log(spark: SparkSession, path: str) -> AppendLog:
+    """The status log at ``path``; all lines there before the first append count."""
+
+    def before() -> int:
+        old = old_paths(spark, path)
+        return spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(old).count() if old else 0
+
+    return AppendLog(spark, path, before)
 
 
 def event_ids(now: Column, entropy: Column) -> Column:
@@ -98,12 +126,12 @@ def event_ids(now: Column, entropy: Column) -> Column:
 
 
 def append_events(events: DataFrame, path: str) -> DataFrame:
-    """Append events as JSON lines after all others; empty ids and times are filled."""
+    """Append events as JSON lines after all others, whoever else appends; empty ids and times are filled."""
     now = F.current_timestamp()
     ident = event_ids(now, F.concat(F.expr("uuid()"), F.col("content")))
     fill = lambda c, x: F.coalesce(F.nullif(F.col(c), F.lit("")), x) if c in events.columns else x
     rows = events.withColumn("id", fill("id", ident)).withColumn("timestamp", fill("timestamp", F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'Z'")))
-    return events.sparkSession.read.schema(rows.schema).json(append_folder(rows, path))
+    return events.sparkSession.read.schema(rows.schema).json(json_log(events.sparkSession, path, EVENT_SCHEMA).append(rows))
 
 
 def read_markdown(spark: SparkSession, root: str, validation_rules: bool = True) -> DataFrame:
@@ -169,7 +197,7 @@ def append_statuses(records: DataFrame, path: str) -> None:
     if bad:
         raise ValueError(f"invalid status record for event {bad[0]['event_id']!r}")
     stamped = records.withColumn("timestamp", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")) if "timestamp" not in records.columns else records
-    append_folder(stamped, path)
+    status_log(records.sparkSession, path).append(stamped)
 
 
 def write_bootstrap(events: DataFrame, epoch: str, path: str) -> None:
@@ -183,4 +211,4 @@ def append_progress(results: DataFrame, path: str) -> None:
     """One JSON line a batch at the end of the progress log."""
     from ..operators.surface import progress_lines
 
-    append_folder(progress_lines(results), path, "text")
+    AppendLog(results.sparkSession, path).append(progress_lines(results), "text")

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import lint, log, pages
-from .sources.files import PageVersions, append_events, qualified, read_events
+from .sources.appendlog import qualified
+from .sources.files import EVENT_SCHEMA, PageVersions, append_events, json_log, read_events
 from .sources.tables import materialize
 
 META = "source_events array<string>, trust_tier_max int, created_at string, memory_type string"
@@ -39,15 +40,22 @@ class MemoryStore:
         self._writable()
         return append_events(events, f"{self.root}/raw")
 
-    def events(self) -> DataFrame:
-        return read_events(self.spark, f"{self.root}/raw")
+    def events(self, since: int = 0) -> DataFrame:
+        """Events from an ordinal on; folders that end before it aren't opened."""
+        return read_events(self.spark, f"{self.root}/raw", since)
+
+    def event_count(self) -> int:
+        """From the log's newest manifest entry, without a scan."""
+        return json_log(self.spark, f"{self.root}/raw", EVENT_SCHEMA).length()
 
     def read_events_since(self, cursor: int) -> tuple[DataFrame, int]:
-        e = self.events()
-        return log.events_since(e, cursor), log.next_cursor(e).first()[0]
+        """Events past the cursor and the next one: the log's length, taken first, so that events which others append
+        meanwhile are left to the next read."""
+        end = self.event_count()
+        return log.events_since(self.events(cursor), cursor).where(F.col("seq") < end), end
 
     def read_recent_events(self, n: int) -> DataFrame:
-        return log.recent_events(self.events(), n).orderBy("seq")
+        return log.recent_events(self.events(max(0, self.event_count() - max(n, 0))), n).orderBy("seq")
 
     def pages(self) -> DataFrame:
         return self.tree.read() if self.tree.current() else self.spark.createDataFrame([], f"path string, content string, {META}")

@@ -225,3 +225,80 @@ def test_fact_bundle_and_progress(spark, tmp_path):
     for _ in range(2):
         files.append_progress(results, str(tmp_path / "progress"))
     assert [r[2] for r in files.numbered_lines(spark, str(tmp_path / "progress")).orderBy("line_no").collect()] == ['{"batch_id":"b1","status":"success","events":2}'] * 2
+
+
+def appender(spark, path):
+    return lambda *ids: files.append_events(spark.createDataFrame([(i, f"c {i}") for i in ids], "id string, content string").coalesce(1), path)
+
+
+def test_writers_at_once_lose_nothing(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "raw")
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "old.jsonl").write_text('{"id": "old0"}\nbroken\n{"id": "old1"}\n')
+    add = appender(spark, path)
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda k: [add(*(f"e{k}-{i}-{j}" for j in range(25))) for i in range(4)], range(8)))
+    rows = files.read_events(spark, path).orderBy("seq").collect()
+    assert [r["seq"] for r in rows] == list(range(802)) and [r["id"] for r in rows[:2]] == ["old0", "old1"]
+    assert {r["id"] for r in rows[2:]} == {f"e{k}-{i}-{j}" for k in range(8) for i in range(4) for j in range(25)}
+    at = {r["id"]: r["seq"] for r in rows}
+    assert all(at[f"e{k}-{i}-{j + 1}"] == at[f"e{k}-{i}-{j}"] + 1 for k in range(8) for i in range(4) for j in range(24))
+
+
+def test_a_cursor_read_opens_what_is_past_it(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "old.jsonl").write_text('{"id": "old0"}\n')
+    add = appender(spark, path)
+    for i in range(6):
+        add(f"a{i}", f"b{i}")
+    spark.createDataFrame([(f"w{i}", "x") for i in range(40)], "id string, content string").repartition(5).transform(lambda df: files.append_events(df, path))
+    got = files.read_events(spark, path, since=10)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Window" not in plan and "rangepartitioning" not in plan
+    folders = {f.rsplit("/", 2)[1] for f in got.inputFiles()}
+    assert len(folders) == 3 and not any("old.jsonl" in f for f in got.inputFiles())
+    assert [r["id"] for r in got.orderBy("seq").collect()][:3] == ["b4", "a5", "b5"] and got.count() == 43
+    whole = files.read_events(spark, path).orderBy("seq").collect()
+    assert [r["seq"] for r in whole] == list(range(53)) and [r["seq"] for r in got.orderBy("seq").collect()] == list(range(10, 53))
+    assert files.read_events(spark, path, since=99).count() == 0
+    log_ = files.json_log(spark, path, files.EVENT_SCHEMA)
+    assert log_.length() == 53 and [e["first"] for e in log_.entries(12)] == [11, 13]
+
+
+def test_many_entries_are_read_by_spark(spark, tmp_path, monkeypatch):
+    from mnemolith.sources import appendlog
+
+    monkeypatch.setattr(appendlog, "ONE_BY_ONE", 2)
+    path = str(tmp_path / "raw")
+    add = appender(spark, path)
+    for i in range(6):
+        add(f"e{i}")
+    assert [r["id"] for r in files.read_events(spark, path, since=1).orderBy("seq").collect()] == [f"e{i}" for i in range(1, 6)]
+
+
+def test_an_append_that_dies_leaves_nothing(spark, tmp_path, monkeypatch):
+    from mnemolith.sources import appendlog
+
+    path = str(tmp_path / "raw")
+    add = appender(spark, path)
+    add("a")
+    with monkeypatch.context() as m:
+        m.setattr(appendlog, "create_if_absent", lambda *_: 1 // 0)
+        with pytest.raises(ZeroDivisionError):
+            add("b")
+    add("c")
+    assert [r["id"] for r in files.read_events(spark, path).orderBy("seq").collect()] == ["a", "c"]
+    target = str(tmp_path / "claim" / "1")
+    (tmp_path / "claim").mkdir()
+    assert appendlog.create_if_absent(spark, target, "x") and not appendlog.create_if_absent(spark, target, "y")
+    assert appendlog.read_text(spark, target) == "x" and [p.name for p in (tmp_path / "claim").iterdir() if not p.name.endswith(".crc")] == ["1"]
+
+
+def test_unclosed_files_of_one_name(spark, tmp_path):
+    for folder, text in (("a", '{"event_id": "x", "status": "failed"}\n'), ("b", '{"event_id": "y", "status": "failed"}')):
+        (tmp_path / "s" / folder).mkdir(parents=True)
+        (tmp_path / "s" / folder / "log.jsonl").write_text(text)
+    assert {r["event_id"]: r["terminated"] for r in files.read_status_log(spark, str(tmp_path / "s")).collect()} == {"x": True, "y": False}
