@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .appendlog import AppendLog, create_if_absent, qualified, write_text
-from .tables import materialize
+from .appendlog import AppendLog, create_if_absent, qualified, read_text, write_text
 
 EVENT_FIELDS = ("id", "timestamp", "actor", "content", "source", "session_id", "active_project", "active_task", "context_json", "durability", "actionability", "source_type", "evidence_kind")
 EVENT_SCHEMA = T.StructType([*(T.StructField(n, T.StringType()) for n in EVENT_FIELDS), T.StructField("trust_tier", T.IntegerType())])
@@ -146,47 +146,89 @@ def read_markdown(spark: SparkSession, root: str, validation_rules: bool = True)
     return rows.where(F.endswith("path", F.lit(".md")) & ~F.startswith("path", F.lit(".meta/")))
 
 
+class StaleBase(RuntimeError):
+    """The pages changed after the version that a change was made from."""
+
+
 class PageVersions:
-    """Versions of a page tree as folders, with a pointer to the current one.
+    """Versions of a page tree. A version is a numbered file that says which folder holds each bucket of paths.
 
-    A new version is written whole and the pointer moved last, so a reader sees the old tree or the
-    new one; earlier versions are the backup.
+    A change writes new folders for the buckets of the paths it touches and then claims the next number by creating
+    its file only if it is absent. Who comes second starts from the new version: if that left its buckets alone,
+    what it wrote stays as it is, else the change is made again. So no update is lost, a write costs its
+    buckets and not the tree, and a reader sees one version whole. Earlier versions are the backup.
     """
 
-    def __init__(self, spark: SparkSession, root: str, read_only: bool = False):
-        self.spark, self.root, self.read_only = spark, root.rstrip("/"), read_only
-
-    def _fs(self):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        return path, path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, root: str, read_only: bool = False, buckets: int = 64):
+        self.spark, self.root, self.read_only, self.buckets = spark, root.rstrip("/"), read_only, buckets
 
     def current(self) -> str | None:
-        path, fs = self._fs()
-        if not fs.exists(path(f"{self.root}/versions")):
-            return None
-        names = [s.getPath().getName() for s in fs.listStatus(path(f"{self.root}/versions"))]
-        done = [n for n in names if fs.exists(path(f"{self.root}/versions/{n}/_SUCCESS"))]
+        """Path of the newest version's file."""
+        files, folder = qualified(self.spark, f"{self.root}/versions")
+        names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+        done = [n for n in names if n.isdigit()]
         return f"{self.root}/versions/{max(done)}" if done else None
 
-    def read(self) -> DataFrame | None:
-        at = self.current()
-        return self.spark.read.parquet(at) if at else None
+    def _version(self, at: str | None) -> dict:
+        return json.loads(read_text(self.spark, at)) if at else {"count": self.buckets, "buckets": {}, "schema": None}
 
-    def swap(self, pages: DataFrame) -> str:
-        """Write the next version; it becomes current with its success marker."""
+    def _read(self, version: dict, only: list[int] | None = None) -> DataFrame | None:
+        if version["schema"] is None:
+            return None
+        schema = T.StructType.fromJson(version["schema"])
+        folders = [f"{self.root}/{f}" for b, f in sorted(version["buckets"].items()) if only is None or int(b) in only]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def read(self, at: str | None = None) -> DataFrame | None:
+        """The pages of a version, by default the newest; None before the first."""
+        return self._read(self._version(at or self.current()))
+
+    def _bucket(self, count: int) -> Column:
+        return F.pmod(F.xxhash64("path"), F.lit(count)).cast("int")
+
+    def update(self, touched: DataFrame | None, build: Callable[[DataFrame | None], DataFrame], base: str | None = None, from_base: bool = False) -> str:
+        """The next version: ``build`` gets the pages of all buckets that hold a path of ``touched`` (without it: all) and
+        returns what those buckets are to hold. With ``from_base`` the change is refused if ``base`` isn't the newest
+        version any more."""
         if self.read_only:
             raise PermissionError("the bundle is read-only")
-        at = self.current()
-        n = int(at.rsplit("/", 1)[1].split("-")[0]) + 1 if at else 0
-        target = f"{self.root}/versions/{n:012d}-{uuid.uuid4().hex[:8]}"
-        pages.write.parquet(target)
-        return target
+        made = None
+        while True:
+            at = self.current()
+            if from_base and at != base:
+                raise StaleBase(f"{at} came after {base}")
+            version = self._version(at)
+            count = version["count"]
+            only = None if touched is None else [r[0] for r in touched.select(self._bucket(count)).distinct().collect()]  # at most ``count``
+            mine = [str(b) for b in (range(count) if only is None else only)]
+            seen = [version["buckets"].get(b) for b in mine]
+            if made is None or seen != made[0]:
+                rows = build(self._read(version, only))
+                folder = f"data/{uuid.uuid4().hex}"
+                rows.withColumn("_bucket", self._bucket(count)).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.root}/{folder}")
+                files, p = qualified(self.spark, f"{self.root}/{folder}")
+                wrote = [s.getPath().getName() for s in files.listStatus(p)]
+                made = (seen, {n.removeprefix("_bucket="): f"{folder}/{n}" for n in wrote if n.startswith("_bucket=")}, rows.schema)
+                if set(made[1]) - set(mine):
+                    raise ValueError("a change of paths that it doesn't name")
+            left = {b: f for b, f in version["buckets"].items() if b not in mine}
+            number = int(at.rsplit("/", 1)[1]) + 1 if at else 0
+            target = f"{self.root}/versions/{number:012d}"
+            if create_if_absent(self.spark, target, json.dumps({"count": count, "buckets": left | made[1], "schema": made[2].jsonValue()})):
+                return target
+
+    def swap(self, pages: DataFrame) -> str:
+        """The next version holds these pages and no others."""
+        return self.update(None, lambda _: pages)
 
 
 def write_facts(facts: DataFrame, snippets: DataFrame, path: str) -> None:
-    """A fact bundle as JSON lines in their order."""
+    """A fact bundle as JSON lines in their order, and last its ``manifest.json``: a bundle without one isn't whole."""
+    spark = facts.sparkSession
     facts.drop("content").orderBy("path", "line", "kind", "symbol").write.mode("overwrite").json(f"{path}/facts")
     snippets.orderBy("path", "start_line", "kind", "symbol").write.mode("overwrite").json(f"{path}/snippets")
+    counts = {name: spark.read.text(f"{path}/{name}").count() for name in ("facts", "snippets")}
+    write_text(spark, f"{path}/manifest.json", json.dumps(counts))
 
 
 def append_statuses(records: DataFrame, path: str) -> None:

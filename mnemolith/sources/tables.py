@@ -8,6 +8,7 @@ only the tasks it was running.
 from __future__ import annotations
 
 import atexit
+import contextvars
 import tempfile
 import uuid
 
@@ -21,7 +22,8 @@ BROADCAST_BYTES = 32 << 20
 ROW_BYTES = 32
 
 _runs: dict[str, str] = {}
-_scopes: list[list[str]] = []
+#: Scopes of the running context, innermost last; a thread has its own unless it is run in a copied context.
+_scopes: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scopes", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,35 +58,37 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Tables materialized inside the block are deleted at its end, but for those given to ``keep``."""
+    """Tables materialized inside the block are deleted at its end, but for those given to ``keep``. What other
+    threads materialize meanwhile isn't touched."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
 
     def __enter__(self) -> Scratch:
-        _scopes.append([])
+        self.mine: list[str] = []
+        self.token = _scopes.set((*_scopes.get(), self.mine))
         return self
 
     def keep(self, df: DataFrame) -> DataFrame:
         """The table written so that it outlives the block."""
-        mine = _scopes.pop()
+        token = _scopes.set(_scopes.get()[:-1])
         try:
             return materialize(df)
         finally:
-            _scopes.append(mine)
+            _scopes.reset(token)
 
     def __exit__(self, *error) -> None:
-        for path in _scopes.pop():
+        _scopes.reset(self.token)
+        for path in self.mine:
             remove(self.spark, path)
 
 
-def materialize(df: DataFrame, light: bool = False) -> DataFrame:
-    """Write a table to the shared folder and read it again: computed once, lineage cut. ``light`` has no
-    effect."""
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it again: computed once, lineage cut."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes.get():
+        _scopes.get()[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -114,8 +118,3 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     """Mark a materialized table for broadcast if its measured size is at most ``limit``; else leave the
     join to a shuffle."""
     return F.broadcast(df) if table_bytes(df) <= limit else df
-
-
-def checked_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """broadcast_if_small under its former name; the size is measured, not guessed."""
-    return broadcast_if_small(df, limit)

@@ -5,16 +5,18 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .operators import lint, log, pages
 from .sources.appendlog import qualified
 from .sources.files import EVENT_SCHEMA, PageVersions, append_events, json_log, read_events
-from .sources.tables import materialize
+from .sources.tables import Scratch, materialize
 
-META = "source_events array<string>, trust_tier_max int, created_at string, memory_type string"
-READS = "path string, at timestamp, read_no long"
+META = "source_events array<string>, trust_tier_max int, created_at string, memory_type string, archived_at string, archive_reason string"
+#: ``gone`` ends what was read of a path before: it was moved away.
+READS = "path string, at timestamp, read_no long, gone boolean"
 
 
 class MemoryStore:
@@ -57,8 +59,11 @@ class MemoryStore:
     def read_recent_events(self, n: int) -> DataFrame:
         return log.recent_events(self.events(max(0, self.event_count() - max(n, 0))), n).orderBy("seq")
 
-    def pages(self) -> DataFrame:
-        return self.tree.read() if self.tree.current() else self.spark.createDataFrame([], f"path string, content string, {META}")
+    def pages(self, version: str | None = None) -> DataFrame:
+        """The pages of a version, by default the newest, with their sidecars."""
+        none = self.spark.createDataFrame([], f"path string, content string, {META}")
+        now = self.tree.read(version)
+        return none if now is None else none.unionByName(now, allowMissingColumns=True)
 
     def read_page(self, path: str) -> DataFrame:
         return self.pages().where(F.col("path") == path)
@@ -66,29 +71,56 @@ class MemoryStore:
     def open_page(self, path: str) -> DataFrame:
         """A page with its sidecar and access dates, this access among them; a bundle records none. A page that
         isn't there gives no row and leaves no record."""
-        page = materialize(self.read_page(path))
+        page = self.read_page(path)
         if not self.read_only and not page.isEmpty():
-            read = self.spark.createDataFrame([(path, time.time_ns())], "path string, read_no long")
-            read.select("path", F.current_timestamp().alias("at"), "read_no").write.mode("append").parquet(f"{self.root}/reads")
-        return page.join(self.telemetry().where(F.col("path") == path), "path", "left")
-
-    def telemetry(self) -> DataFrame:
+            self._record(self.spark.createDataFrame([(path,)], "path string").select("path", F.current_timestamp().alias("at"), F.lit(time.time_ns()).alias("read_no"), F.lit(False).alias("gone")))
+        return page.join(self.telemetry(F.col("path") == path), "path", "left")
+
+    def _record(self, reads: DataFrame) -> None:
+        reads.coalesce(1).write.mode("append").parquet(f"{self.root}/reads")
+
+    def _reads(self, which: Column | None = None) -> DataFrame:
+        """Accesses of the pages as they lie now: those before a page was moved away don't count for its path."""
+        if not self._exists("reads"):
+            return self.spark.createDataFrame([], READS)
+        reads = self.spark.read.schema(READS).parquet(f"{self.root}/reads")
+        reads = reads if which is None else reads.where(which)
+        moved = reads.where("gone").groupBy("path").agg(F.max("read_no").alias("upto"))
+        return reads.where("NOT coalesce(gone, false)").join(moved, "path", "left").where("upto IS NULL OR read_no > upto").drop("upto")
+
+    def telemetry(self, which: Column | None = None) -> DataFrame:
         """``path, last_accessed, access_dates`` of the pages that were opened."""
-        there = self._exists("reads")
-        return pages.access_dates(self.spark.read.schema(READS).parquet(f"{self.root}/reads") if there else self.spark.createDataFrame([], READS))
+        return pages.access_dates(self._reads(which))
 
     def staged_turn(self, edit: Callable[[DataFrame], DataFrame], budget: int = 1 << 20, allow_delete: bool = False, allow_archive: bool = False) -> DataFrame:
         """One turn on a copy of the pages: ``edit`` gets the pages and returns (path, content) of all that are
         to be. They become the next version only if nothing violates the rules; an error in ``edit``, or a
-        violation, leaves the pages as they were. Returns the violations (path, message). Pages keep their
-        sidecars."""
+        violation, leaves the pages as they were, and so does a version that another writer made meanwhile, which
+        raises ``StaleBase``. Returns the violations (path, message). Pages keep their sidecars."""
         self._writable()
-        now = materialize(self.pages())
-        staged = materialize(edit(now).select("path", "content"))
-        wrong = materialize(lint.staging_violations(now, staged, budget, allow_delete, allow_archive))
-        if wrong.isEmpty():
-            self.tree.swap(staged.join(now.drop("content"), "path", "left").select(*now.columns))
-        return wrong
+        with Scratch(self.spark) as tables:
+            base = self.tree.current()
+            now = self.pages(base)
+            staged = materialize(edit(now).select("path", "content"))
+            wrong = tables.keep(lint.staging_violations(now, staged, budget, allow_delete, allow_archive))
+            if wrong.isEmpty():
+                both = staged.withColumnRenamed("content", "new").join(now.select("path", "content"), "path", "full")
+                changed = materialize(both.where("NOT (new <=> content)").select("path", "new"))
+
+                def build(part):
+                    mine = self._own(part)
+                    kept = mine.join(changed.select("path"), "path", "left_anti")
+                    new = changed.where("new IS NOT NULL").withColumnRenamed("new", "content").join(mine.drop("content"), "path", "left")
+                    return kept.unionByName(new.select(*kept.columns))
+
+                if not changed.isEmpty():
+                    self.tree.update(changed, build, base, from_base=True)
+            return wrong
+
+    def _own(self, part: DataFrame | None) -> DataFrame:
+        """Pages of some buckets, with all columns."""
+        none = self.spark.createDataFrame([], f"path string, content string, {META}")
+        return none if part is None else none.unionByName(part, allowMissingColumns=True)
 
     def search(self, query: str) -> DataFrame:
         return pages.search_lines(self.pages(), query)
@@ -101,17 +133,37 @@ class MemoryStore:
         bad = writes.where(store_path_error(F.col("path")) != "").limit(1).collect()
         if bad:
             raise ValueError(f"refused path {bad[0]['path']!r}")
-        return self.tree.swap(pages.upsert_pages(self.pages(), writes))
+
+        def build(part):
+            mine, paths = self._own(part), writes.select("path").distinct()
+            written = pages.upsert_pages(mine.join(paths, "path", "left_semi"), writes)
+            return mine.join(paths, "path", "left_anti").unionByName(written, allowMissingColumns=True)
+
+        return self.tree.update(writes, build)
 
     def archive(self, moves: DataFrame) -> str:
+        """Pages of ``moves`` (path, reason, at) go below archive/ with the time and reason; their accesses go along."""
         self._writable()
-        return self.tree.swap(pages.archive_pages(self.pages(), moves).select(*self.pages().columns))
+        there = self.pages().select("path").join(moves.select("path"), "path", "left_semi")
+        gone = moves.join(there, "path", "left_anti").limit(1).collect()
+        if gone:
+            raise FileNotFoundError(gone[0]["path"])
+        new = F.concat(F.lit("archive/"), "path").alias("path")
+        touched = moves.select("path").unionByName(moves.select(new))
+        at = self.tree.update(touched, lambda part: pages.archive_pages(self._own(part), moves).select(*self._own(None).columns))
+        with Scratch(self.spark):
+            mark = lambda path: moves.select(path, F.current_timestamp().alias("at"), F.lit(time.time_ns()).alias("read_no"), F.lit(True).alias("gone"))
+            marks = materialize(mark(F.col("path")).unionByName(mark(new)))  # an older copy's accesses end, too
+            later = self._reads().join(moves.select("path"), "path", "left_semi").select(new, "at", "read_no", "gone")
+            later = materialize(later.withColumn("read_no", F.lit(time.time_ns()) + F.row_number().over(Window.partitionBy("path").orderBy("at", "read_no"))))
+            self._record(marks.unionByName(later))
+        return at
 
     def rebuild_index(self) -> str:
+        """The indexes of the newest version, as pages of the next."""
         self._writable()
-        now = self.pages()
-        index = pages.category_index(now)
-        return self.tree.swap(now.join(index, "path", "left_anti").unionByName(index, allowMissingColumns=True))
+        index = pages.category_index(self.pages())
+        return self.tree.update(index, lambda part: self._own(part).join(index.select("path"), "path", "left_anti").unionByName(index, allowMissingColumns=True))
 
     def index(self) -> str:
         """The root index, empty if there is none."""

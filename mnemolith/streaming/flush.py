@@ -1,17 +1,18 @@
 """The integration loop as Structured Streaming.
 
 Events land as files. Each micro-batch appends to the event table and, when enough are pending, flushes; a
-heartbeat stream flushes what is pending when the log has been quiet long enough. A flush packs the events
-without a terminal status, decides on batch by batch, and appends the statuses. A batch that fails is split,
-by suspects or in halves, and its parts are decided on again, down to parts that can't be split, whose events
-fail. The status log is the state; replaying it is the recovery, and a repeated micro-batch changes nothing
-because what is terminal is no longer pending.
+heartbeat stream flushes what is pending when the log has been quiet long enough, or when a flush left some and it
+is time to resume. A flush packs the pending events, decides on the batches, and appends the statuses. A batch
+that fails or takes too long is split, by suspects or in halves, and its parts are decided on again, down to parts that
+can't be split, whose events fail. An event whose status could not be written three times is deferred: it stays
+pending and is left out of packing. The status log is what counts; replaying it is the recovery.
 """
 
 from __future__ import annotations
 
 import threading
 import time
+import uuid
 from collections.abc import Callable
 from typing import Protocol
 
@@ -21,12 +22,17 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..operators import batching, guards, log, surface
-from ..sources.files import EVENT_SCHEMA
-from ..sources.tables import materialize
+from ..sources.appendlog import qualified
+from ..sources.files import EVENT_SCHEMA, append_progress
+from ..sources.tables import Scratch, materialize, remove
+from .turns import said_columns, take_turns
 
 STATUS_DDL = "line_no long, type string, event_id string, status string, batch_id string, reason string, epoch string, terminated boolean"
 
 
+ATTEMPTS_DDL = "item string, at_no long, ok boolean"
+#: Errors in a row that suspend the loop.
+MAX_ERRORS = 3
 #: How often a failed batch is split.
 MAX_DEPTH = 2
 #: What a decision says of an event whose batch as a whole failed.
@@ -47,21 +53,52 @@ def integrate_all(batches: DataFrame) -> DataFrame:
 
 
 class FlushLoop:
-    def __init__(self, spark: SparkSession, root: str, decide: Decision = integrate_all, threshold: int = 20, quiet_seconds: float = 30.0, clock: Callable[[], float] = time.time, **caps: int):
+    """Events that are pending are state: parts of a table below ``pending``, one added by a micro-batch with its
+    new events and all replaced by what a flush leaves. It is made from the event and status tables once, when
+    the loop starts, so a tick costs what is new and a flush what is pending, however long the history is.
+
+    ``workers`` None decides on all batches of a flush in one go; a number decides batch by batch, as many at a time, each
+    within the time of its events. ``clock`` tells seconds.
+    """
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str,
+        decide: Decision = integrate_all,
+        threshold: int = 20,
+        quiet_seconds: float = 30.0,
+        clock: Callable[[], float] = time.time,
+        workers: int | None = None,
+        turn_seconds: int = 600,
+        per_event_seconds: int = 90,
+        resume_seconds: float = 60.0,
+        envelope_seconds: float = 2_400.0,
+        **caps: int,
+    ):
         self.spark, self.root, self.decide, self.caps = spark, root.rstrip("/"), decide, caps
         self.threshold, self.quiet_seconds, self.clock = threshold, quiet_seconds, clock
+        self.workers, self.turn_seconds, self.per_event_seconds = workers, turn_seconds, per_event_seconds
+        self.resume_seconds, self.envelope_seconds = resume_seconds, envelope_seconds
         self.last_signal = clock()
+        self.resume_at: float | None = None
         self.suspended = False
         self.errors = 0
         self.lock = threading.RLock()
         self.last_flush: dict[str, int] = {}
+        self.stopped = ""
         self.next_run = "idle"
         self.query = self.heartbeat = None
+        self._parts: list[str] | None = None
+        self._waiting = self._set_aside = 0
+        self._stamp = 0
 
     def _table(self, name: str, schema) -> DataFrame:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}") if there else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}") if self._there(name) else self.spark.createDataFrame([], schema)
+
+    def _there(self, name: str) -> bool:
+        files, path = qualified(self.spark, f"{self.root}/{name}")
+        return files.exists(path)
 
     def events(self) -> DataFrame:
         return self._table("events", T.StructType([*EVENT_SCHEMA.fields, T.StructField("batch", T.LongType())]))
@@ -70,92 +107,227 @@ class FlushLoop:
         return log.latest_status(self._table("status", STATUS_DDL))
 
     def pending(self) -> DataFrame:
-        """Each pending event once, even if a micro-batch was written twice: what is terminal goes first, so
-        only what is pending is compared."""
-        return log.pending_events(self.events(), self.status()).dropDuplicates(["id"])
+        """Each pending event once."""
+        with self.lock:
+            if self._parts is None:
+                self._rebuild()
+            return self._read_parts().dropDuplicates(["id"])
+
+    def _read_parts(self) -> DataFrame:
+        schema = T.StructType([*EVENT_SCHEMA.fields, T.StructField("created_at", T.TimestampType())])
+        return self.spark.read.schema(schema).parquet(*self._parts) if self._parts else self.spark.createDataFrame([], schema)
+
+    def _new_part(self, rows: DataFrame) -> tuple[str, int]:
+        """A part of the pending table, and its rows."""
+        path = f"{self.root}/pending/{uuid.uuid4().hex}"
+        rows.select(*EVENT_SCHEMA.names, "created_at").write.parquet(path)
+        return path, self.spark.read.parquet(path).count()
+
+    def _replace(self, rows: DataFrame | None) -> None:
+        old, n = self._parts or [], 0
+        self._parts = []
+        if rows is not None:
+            path, n = self._new_part(rows)
+            self._parts = [path]
+        self._waiting = n
+        for path in old:
+            remove(self.spark, path)
+
+    def _rebuild(self) -> None:
+        """Pending events from the whole history: what is terminal goes first, so only what is pending is compared."""
+        self._parts = []
+        self._replace(log.pending_events(self.events(), self.status()).dropDuplicates(["id"]))
+
+    def waiting(self) -> int:
+        """How many events are pending and not deferred, without a job."""
+        with self.lock:
+            if self._parts is None:
+                self._rebuild()
+            return self._waiting - self._set_aside
 
     def due(self, pending: int) -> bool:
-        """Enough pending, or some and no signal for a while."""
-        return not self.suspended and (pending >= self.threshold or (pending > 0 and self.clock() - self.last_signal >= self.quiet_seconds))
-
-    def _decided(self, packed: DataFrame) -> DataFrame:
-        """The decision computed, so that its errors come up here: a row for each event of ``packed``."""
-        said = self.decide(packed)
-        if "suspect" not in said.columns:
-            said = said.withColumn("suspect", F.lit(False))
-        said = said.select("event_id", "status", "reason", "suspect").dropDuplicates(["event_id"])
-        rows = packed.select(F.col("id").alias("event_id"), "batch_id").join(said, "event_id", "left")
-        bad = F.max(F.coalesce(F.col("status") == BATCH_FAILED, F.lit(False))).over(Window.partitionBy("batch_id"))
-        return materialize(rows.withColumn("bad", bad))
-
-    def _append(self, rows: DataFrame, stamp: int) -> None:
-        full = rows.select(F.lit(stamp).cast("long").alias("line_no"), F.lit("").alias("type"), "event_id", "status", "batch_id", "reason", F.lit("").alias("epoch"), F.lit(True).alias("terminated"))
+        """Enough pending; or some, and no signal for a while or the time to resume has come."""
+        if self.suspended or pending <= 0:
+            return False
+        resume = self.resume_at is not None and self.clock() >= self.resume_at
+        return pending >= self.threshold or resume or self.clock() - self.last_signal >= self.quiet_seconds
+
+    def next_stamp(self) -> int:
+        """A number that grows with every flush and reset of this log, whoever asks: later records count."""
+        self._stamp = max(self._stamp + 1, time.time_ns())
+        return self._stamp
+
+    def _turn_limit(self, events: int) -> float:
+        """guards.batch_timeout for a number."""
+        seconds = min(max(self.turn_seconds, events * self.per_event_seconds), 600)
+        return seconds if seconds > 0 else 600
+
+    def _decided(self, packed: DataFrame, until: float) -> DataFrame:
+        """The decision computed, so that its errors come up here: a row for each event of ``packed`` whose batch
+        was decided on."""
+        late: list[str] = []
+        if self.workers is None:
+            said = said_columns(self.decide(packed))
+            rows = packed.select(F.col("id").alias("event_id"), "batch_id").join(said, "event_id", "left")
+        else:
+            turns = take_turns(packed, self.decide, self.workers, self._turn_limit, until, self.errors, MAX_ERRORS)
+            undone = [*turns.raised, *turns.left]
+            late = turns.late
+            rows = packed.where(~F.col("batch_id").isin(undone)) if undone else packed
+            rows = rows.select(F.col("id").alias("event_id"), "batch_id").join(turns.said.drop("batch_id"), "event_id", "left")
+            self.errors = self.errors + len(turns.raised) if turns.raised and not turns.said.take(1) else len(turns.raised)
+            if turns.left:
+                self.stopped = "internal_error_limit" if self.errors >= MAX_ERRORS else "envelope_timeout"
+        deadline = F.col("batch_id").isin(late) if late else F.lit(False)
+        bad = F.max(F.coalesce(F.col("status") == BATCH_FAILED, F.lit(False)) | deadline).over(Window.partitionBy("batch_id"))
+        return materialize(rows.withColumns({"bad": bad, "deadline": deadline, "suspect": F.coalesce("suspect", F.lit(False))}))
+
+    def _append(self, rows: DataFrame, stamp: int, kind: str = "") -> None:
+        full = rows.select(F.lit(stamp).cast("long").alias("line_no"), F.lit(kind).alias("type"), "event_id", "status", "batch_id", "reason", F.lit("").alias("epoch"), F.lit(True).alias("terminated"))
         full.write.mode("append").parquet(f"{self.root}/status")
 
-    def flush(self, stamp: int) -> int:
-        """Pack, decide, split what failed, append statuses; returns how many events were pending.
+    def attempts(self) -> DataFrame:
+        """Failed status writes of events, and the good ones that came after: ``item, at_no, ok``."""
+        return self._table("attempts", ATTEMPTS_DDL)
 
-        Three decisions in a row that raise suspend the loop; the third error comes up.
+    def deferred(self) -> DataFrame:
+        """Pending events (``id``) whose status could not be written three times since the last time it could."""
+        if not self._there("attempts"):
+            return self.spark.createDataFrame([], "id string")
+        items = guards.deferred_items(self.attempts()).select(F.col("item").alias("id"))
+        return surface.prune_deferred(items, self.pending())
+
+    def flush(self, stamp: int | None = None) -> int:
+        """Pack what is pending and not deferred, decide, split what failed, append statuses; returns how many
+        events were pending.
+
+        Three decisions in a row that raise suspend the loop; the third error comes up. A flush begins no round, nor a
+        turn, past its envelope. ``next_run`` says whether to come back, which the heartbeat does.
         """
-        with self.lock:
-            pending = self.pending().withColumn("context", batching.context_map())
-            pending = materialize(pending.withColumn("bytes", batching.event_bytes(F.col("content"), F.col("context"))))
-            n = pending.count()
-            if n:
-                texts = pending.select("id", F.col("content").alias("text"), "context", "created_at")
-                packed = materialize(batching.greedy_batches(pending, **self.caps).join(texts, "id").withColumn("depth", F.lit(0)))
+        with self.lock, Scratch(self.spark):
+            self.suspended, self.stopped, self.last_flush = False, "", {}
+            stamp = self.next_stamp() if stamp is None else stamp
+            until = time.monotonic() + self.envelope_seconds
+            aside = materialize(self.deferred())
+            self._set_aside = aside.count()
+            pending = self.pending()
+            n = self._waiting
+            todo = surface.actionable(pending, aside) if self._set_aside else pending
+            todo = todo.withColumn("context", batching.context_map())
+            todo = materialize(todo.withColumn("bytes", batching.event_bytes(F.col("content"), F.col("context"))))
+            if n > self._set_aside:
+                texts = todo.select("id", F.col("content").alias("text"), "context", "created_at")
+                packed = materialize(batching.greedy_batches(todo, **self.caps).join(texts, "id").withColumn("depth", F.lit(0)))
                 try:
-                    self._decide_all(packed, stamp)
-                    self.errors = 0
+                    done = self._decide_all(packed, stamp, until)
+                    if self.workers is None:
+                        self.errors = 0
+                    if done:
+                        ids = self.spark.read.schema("event_id string").parquet(*done).select(F.col("event_id").alias("id"))
+                        left = materialize(pending.join(ids, "id", "left_anti"))
+                        self._replace(None if left.isEmpty() else left)
+                    self.suspended = self.errors >= MAX_ERRORS
                 except Exception:
+                    self._parts = None  # some rounds may have been written
                     self.errors += 1
-                    self.suspended = self.errors >= 3
+                    self.suspended = self.errors >= MAX_ERRORS
                     if self.suspended:
                         raise
-            left = self.pending().count()
-            self.next_run = self.spark.range(1).select(guards.next_run(F.lit(left), F.lit(self.suspended), F.lit(0))).first()[0]
+            self._set_aside = self.deferred().count() if self._there("attempts") else 0
+            waiting = self.waiting()
+            self.next_run = self.spark.range(1).select(guards.next_run(F.lit(waiting + self._set_aside), F.lit(self.suspended), F.lit(self._set_aside))).first()[0]
+            self.resume_at = self.clock() + self.resume_seconds if self.next_run == "resume later" else None
             return n
 
-    def _decide_all(self, packed: DataFrame, stamp: int) -> None:
-        """One round a depth, at most ``MAX_DEPTH`` + 1; counters go to ``last_flush``."""
-        counters: dict[str, int] = {}
+    def _decide_all(self, packed: DataFrame, stamp: int, until: float) -> list[str]:
+        """One round a depth, at most ``MAX_DEPTH`` + 1; counters go to ``last_flush``, a line a batch to the progress
+        log. Returns the tables of the events that are terminal now."""
+        done_at: list[str] = []
         for depth in range(MAX_DEPTH + 1):
-            said = self._decided(packed)
+            said = self._decided(packed, until)
             batches = packed.join(said.where("bad").select("batch_id").distinct(), "batch_id", "left_semi")
             suspects = said.where("suspect").select(F.col("event_id").alias("id"))
             parts = materialize(batching.split_batch(batches.select("batch_no", "pos", "id", "depth"), suspects, MAX_DEPTH))
             again = said.join(parts.select(F.col("id").alias("event_id")), "event_id", "left_semi")
             done = said.join(again.select("event_id"), "event_id", "left_anti")
-            why = guards.failure_reason(F.lit(False), F.col("suspect").cast("int"), F.col("reason"))
+            why = guards.failure_reason(F.col("deadline"), F.col("suspect").cast("int"), F.col("reason"))
             rows = done.withColumn("reason", F.when(F.col("bad"), why).otherwise(F.coalesce("reason", F.lit("not reported"))))
-            rows = materialize(rows.withColumn("status", F.when(F.col("bad"), "failed").otherwise(F.coalesce("status", F.lit("unknown")))))
-            self._append(rows, stamp)
-            now = surface.flush_counters(rows.withColumn("batch_status", F.when(F.col("bad"), "failed").otherwise("success"))).first().asDict()
-            counters = {k: counters.get(k, 0) + v for k, v in now.items()}
+            status = F.when(F.col("status") == "failed_by_agent", "failed").otherwise(F.coalesce("status", F.lit("unknown")))
+            rows = rows.withColumn("status", F.when(F.col("bad"), "failed").otherwise(status))
+            rows = materialize(rows.withColumn("batch_status", F.when(F.col("bad"), "failed").otherwise("success")))
+            good = F.col("status").isin(*log.TERMINAL)
+            now = surface.flush_counters(rows.where(good)).first().asDict() | {"write_errors": rows.where(~good).count()}
+            self._append(rows.where(good), stamp)
+            self._note_attempts(rows.withColumn("ok", good), stamp, now["write_errors"])
+            done_at.append(rows.where(good).select("event_id").transform(materialize).inputFiles()[0].rsplit("/", 1)[0])
+            append_progress(rows, f"{self.root}/progress")
+            self.last_flush = {k: self.last_flush.get(k, 0) + v for k, v in now.items()}
             if parts.isEmpty():
                 break
+            if self.stopped or time.monotonic() > until:
+                self.stopped = self.stopped or "envelope_timeout"
+                break
             ids = Window.partitionBy("batch_no", "part").orderBy("created_at", "id")
             packed = packed.drop("batch_id", "pos", "depth").join(parts, ["batch_no", "id"]).withColumn("pos", F.row_number().over(ids) - 1)
             names = packed.groupBy("batch_no", "part").agg(batching.batch_id(F.collect_list("id")).alias("batch_id"))  # 20 ids at most
             packed = packed.join(names, ["batch_no", "part"]).withColumn("batch_no", F.col("batch_no") * 2 + F.col("part"))
             packed = materialize(packed.drop("part"))
-        self.last_flush = counters
+        return done_at
+
+    def _note_attempts(self, rows: DataFrame, stamp: int, failed: int) -> None:
+        """Failed writes, and good ones of events that had failed before."""
+        if not failed and not self._there("attempts"):
+            return
+        notes = rows.select(F.col("event_id").alias("item"), F.lit(stamp).cast("long").alias("at_no"), "ok")
+        before = self.attempts().select("item").distinct()
+        notes = notes.where("NOT ok").unionByName(notes.where("ok").join(before, "item", "left_semi"))
+        materialize(notes).write.mode("append").parquet(f"{self.root}/attempts")
+
+    def reset(self, ids: DataFrame) -> int:
+        """Failed and unknown events of ``ids`` (id) become pending again, by a record that counts later than theirs;
+        returns how many."""
+        with self.lock, Scratch(self.spark):
+            old = self.status().join(ids.select(F.col("id").alias("event_id")).distinct(), "event_id", "left_semi")
+            rows = materialize(old.where(log.transition(F.lit("reset"), F.col("status")) == "pending").select("event_id", "status", F.lit("").alias("batch_id"), F.lit("reset").alias("reason")))
+            n = rows.count()
+            if n:
+                self.waiting()
+                self._append(rows.withColumn("status", F.lit("")), self.next_stamp(), "reset")
+                back = self.events().join(rows.select(F.col("event_id").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+                path, more = self._new_part(log.pending_events(back, self.status()))
+                self._parts.append(path)
+                self._waiting += more
+            return n
 
     def on_batch(self, events: DataFrame, number: int) -> None:
-        if not events.isEmpty():
-            self.last_signal = self.clock()
-            events.withColumn("batch", F.lit(number).cast("long")).write.mode("append").parquet(f"{self.root}/events")
-        self.tick(number)
-
-    def tick(self, stamp: int) -> None:
-        """Flush if it is time."""
-        if self.due(self.pending().count()):
-            self.flush(stamp)
+        """A micro-batch: its events join the log and the pending ones. One that comes again replaces itself, and the
+        pending table is made anew, as some of its events may be terminal."""
+        with self.lock:
+            if not events.isEmpty():
+                self.last_signal = self.clock()
+                self.waiting()
+                name = f"events/batch={number}"
+                again = self._there(name)
+                events.select(*EVENT_SCHEMA.names).write.mode("overwrite").parquet(f"{self.root}/{name}")
+                if again:
+                    self._rebuild()
+                else:
+                    none = self.spark.createDataFrame([], "event_id string")
+                    path, n = self._new_part(log.pending_events(self.spark.read.schema(EVENT_SCHEMA).parquet(f"{self.root}/{name}"), none))
+                    self._parts.append(path)
+                    self._waiting += n
+            self.tick()
+
+    def tick(self) -> None:
+        """Flush if it is time; nothing is read to find out."""
+        if self.due(self.waiting()):
+            self.flush()
 
     def start(self, landing: str, checkpoint: str, available_now: bool = False, seconds: float = 5.0):
-        """Tail a folder of JSON-lines files. A running loop has a heartbeat beside it, as a stream without
-        new files calls nothing; it ends with the loop. ``stop`` ends both."""
-        stream = self.spark.readStream.schema(EVENT_SCHEMA).json(landing).where("id IS NOT NULL")
+        """Tail a folder of JSON-lines files. An id that comes again later is dropped by the stream's own state, which is
+        keyed by id (for very many ids, a session with the RocksDB state store). A running loop has a heartbeat beside it, as a
+        stream without new files calls nothing; it ends with the loop. ``stop`` ends both."""
+        stream = self.spark.readStream.schema(EVENT_SCHEMA).json(landing).where("id IS NOT NULL").dropDuplicates(["id"])
         writer = stream.writeStream.foreachBatch(self.on_batch).option("checkpointLocation", f"{checkpoint}")
         if available_now:
             return writer.trigger(availableNow=True).start()
@@ -164,7 +336,7 @@ class FlushLoop:
 
         def on_beat(_: DataFrame, number: int) -> None:
             if self.query.isActive:
-                self.tick(-1 - number)  # sorts before the micro-batches' stamps; an event gets one status anyway
+                self.tick()
 
         self.heartbeat = beat.foreachBatch(on_beat).trigger(processingTime=f"{seconds} seconds").start()
         return self.query
@@ -175,10 +347,12 @@ class FlushLoop:
                 q.stop()
 
 
-def recover(loop: FlushLoop, pages: DataFrame, stamp: int) -> int:
+def recover(loop: FlushLoop, pages: DataFrame, stamp: int | None = None) -> int:
     """Before a start: pending events that pages already name become unknown."""
-    rows = log.recovered_events(pages, loop.pending())
-    n = rows.count()
-    if n:
-        rows.select(F.lit(stamp).cast("long").alias("line_no"), F.lit("").alias("type"), "event_id", "status", F.lit("").alias("batch_id"), "reason", F.lit("").alias("epoch"), F.lit(True).alias("terminated")).write.mode("append").parquet(f"{loop.root}/status")
-    return n
+    with loop.lock, Scratch(loop.spark):
+        rows = materialize(log.recovered_events(pages, loop.pending()).withColumn("batch_id", F.lit("")))
+        n = rows.count()
+        if n:
+            loop._append(rows, loop.next_stamp() if stamp is None else stamp)
+            loop._replace(materialize(loop.pending().join(rows.select(F.col("event_id").alias("id")), "id", "left_anti")))
+        return n

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from mnemolith.operators import codefacts, lint, migrate, pages
 from mnemolith.plans import registry
@@ -145,3 +146,68 @@ def test_category_index_of_every_page(spark, tmp_path):
     assert got["prospective/index.md"] == "# Prospective\n\n- [3.md](s/3.md) — " + "x" * 99 + "\ufffd...\n"
     assert got["episodic/index.md"].endswith(" — " + "é" * 50 + "...\n") and got["procedural/index.md"].endswith(" — short\n")
     assert got["semantic/index.md"] == "# Semantic\n\n_No pages yet._\n"
+
+
+WRITE = "path string, content string, sources array<string>, trust_tier int, at string, write_no int"
+
+
+def test_two_page_writers_both_land(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = MemoryStore(spark, str(tmp_path))
+    write = lambda i: store.write_pages(spark.createDataFrame([(f"semantic/{i}.md", f"c{i}", [f"e{i}"], 1, "t", 0), ("semantic/same.md", f"s{i}", [f"e{i}"], 1, "t", 0)], WRITE))
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(write, range(3)))
+    rows = {r["path"]: r for r in store.pages().collect()}
+    assert set(rows) == {f"semantic/{x}.md" for x in (0, 1, 2, "same")} and set(rows["semantic/same.md"]["source_events"]) == {"e0", "e1", "e2"}
+    before = store.tree._version(store.tree.current())["buckets"]
+    store.write_pages(spark.createDataFrame([("semantic/0.md", "new", ["e9"], 1, "t", 0)], WRITE))
+    after = store.tree._version(store.tree.current())["buckets"]
+    assert len(before) == len(after) and sum(before[b] != after[b] for b in before) == 1  # one bucket was written
+
+
+def test_a_turn_from_an_old_version_is_refused(spark, tmp_path):
+    from mnemolith.sources.files import StaleBase
+
+    store = MemoryStore(spark, str(tmp_path))
+    store.write_pages(spark.createDataFrame([("semantic/a.md", HEAD + "A", ["e"], 2, "t", 0)], WRITE))
+
+    def edit(p):
+        store.write_pages(spark.createDataFrame([("semantic/b.md", HEAD + "B", ["e"], 2, "t", 0)], WRITE))
+        return p.select("path", F.concat("content", F.lit("!")).alias("content"))
+
+    with pytest.raises(StaleBase):
+        store.staged_turn(edit)
+    assert {r["path"]: r["content"] for r in store.pages().collect()} == {"semantic/a.md": HEAD + "A", "semantic/b.md": HEAD + "B"}
+
+
+def test_archive_keeps_reason_time_and_accesses(spark, tmp_path):
+    store = MemoryStore(spark, str(tmp_path))
+    page = lambda text: store.write_pages(spark.createDataFrame([("semantic/a.md", text, ["e"], 2, "t", 0)], WRITE))
+    page("A")
+    store.open_page("semantic/a.md")
+    store.archive(spark.createDataFrame([("semantic/a.md", "stale", "2024")], "path string, reason string, at string"))
+    row = store.read_page("archive/semantic/a.md").first()
+    assert (row["archived_at"], row["archive_reason"], row["source_events"]) == ("2024", "stale", ["e"])
+    assert {r["path"] for r in store.telemetry().collect()} == {"archive/semantic/a.md"}
+    page("again")
+    assert store.read_page("semantic/a.md").first()["archived_at"] is None and store.read_page("archive/semantic/a.md").first()["archive_reason"] == "stale"
+    with pytest.raises(FileNotFoundError):
+        store.archive(spark.createDataFrame([("semantic/none.md", "x", "t")], "path string, reason string, at string"))
+
+
+def test_scratch_of_one_thread_leaves_others_alone(spark):
+    import threading
+
+    from mnemolith.sources.tables import Scratch, materialize
+
+    kept = []
+    with Scratch(spark):
+        mine = materialize(spark.range(3))
+        t = threading.Thread(target=lambda: kept.append(materialize(spark.range(5))))
+        t.start()
+        t.join()
+        assert mine.count() == 3
+    assert kept[0].count() == 5
+    with pytest.raises(Exception):
+        mine.count()
