@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_time, redact
 from ..operators import batching, guards, log
+from ..sources.files import EVENT_SCHEMA, append_events, read_events
+from ..sources.tables import shared_dir
+from ..streaming.flush import FlushLoop
 from .views import CTX, PAGES, RAW, STATUS, pages, raw_events, status_log, table
 
 EPOCH = "2024-01-10 00:00:00"
@@ -51,6 +56,27 @@ def _trace(spark, sf_dir):
 
 _TRACE = "tr AS (SELECT user_id AS trace_id, event_id AS call_no, CASE WHEN event_type = 'click' THEN 'view' ELSE event_type END AS name, event_type <> 'purchase' AS read_only, CASE WHEN event_id % 2 = 0 THEN 'failed' END AS error FROM events)"
 
+def _flush_statuses(spark, sf_dir):
+    """The statuses that one run of the integration loop over the whole log leaves: some events fail, some are
+    skipped, some aren't reported."""
+    said = F.expr("CASE WHEN text LIKE 'error %' THEN 'failed_by_agent' WHEN text LIKE 'view %' THEN 'skipped' ELSE 'integrated' END")
+    decide = lambda batches: batches.where("text NOT LIKE 'signup %'").select(F.col("id").alias("event_id"), said.alias("status"), F.substring("text", 1, 9).alias("reason"))
+    loop = FlushLoop(spark, f"{shared_dir(spark)}/flush-{uuid.uuid4().hex}", decide, max_events=20, max_bytes=2_000, max_tokens=450)
+    events = raw_events(spark, sf_dir)
+    loop.on_batch(events.select(*(F.col(f.name).cast(f.dataType) if f.name in events.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in EVENT_SCHEMA.fields)), 0)
+    return spark.read.schema("event_id string, status string, reason string, batch_id string").parquet(f"{loop.root}/status")
+
+
+def _logged_since(spark, sf_dir):
+    """The events appended as a log in three parts, and read back past the first."""
+    path, events = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}", raw_events(spark, sf_dir)
+    part = F.floor(F.col("seq") % 3_000 / 1_000)
+    for k in range(3):
+        append_events(events.where(part == k).orderBy("seq").select("id", "timestamp", "content"), path)
+    first = events.where(part == 0).count()
+    return read_events(spark, path, first).select("seq", "id", "content")
+
+
 QUERIES = {
     "events_since_cursor": (lambda s, d: log.events_since(raw_events(s, d), 900).select("seq", "id", "content"), f"WITH {RAW} SELECT seq, id, content FROM raw WHERE seq >= 900"),
     "cursor_after_read": (lambda s, d: log.next_cursor(raw_events(s, d)), "SELECT count(*) AS new_cursor FROM events"),
@@ -80,6 +106,10 @@ SELECT id, g.no AS batch_no, batch_id, (row_number() OVER (PARTITION BY g.no ORD
         lambda s, d: batching.batch_totals(_sized(s, d).withColumn("batch_no", F.floor(F.col("seq") / 20)).withColumn("batch_id", F.col("batch_no").cast("string"))),
         f"WITH {RAW}, {CTX} SELECT seq // 20 AS batch_no, (seq // 20)::VARCHAR AS batch_id, count(*) AS events, sum(bytes)::BIGINT AS bytes, sum(bytes // 4)::BIGINT AS tokens FROM sized GROUP BY ALL",
     ),
+    "log_cursor_read": (
+        _logged_since,
+        f"WITH {RAW}, p AS (SELECT row_number() OVER (ORDER BY seq % 3000 // 1000, seq) - 1 AS n, seq % 3000 // 1000 AS k, id, content FROM raw) SELECT n AS seq, id, content FROM p WHERE k > 0",
+    ),
     "status_latest": (lambda s, d: log.latest_status(status_log(s, d)), f"WITH {STATUS} SELECT * FROM latest"),
     "status_log_health": (
         lambda s, d: log.log_health(status_log(s, d)),
@@ -167,3 +197,9 @@ n AS (SELECT *, row_number() OVER (PARTITION BY trace_id, run ORDER BY call_no)
         f"WITH {_TRACE} SELECT greatest(3, least(coalesce(arg_min(call_no + 40, call_no), 3), 42)) AS cursor FROM tr WHERE call_no % 4 = 3 AND error IS NULL",
     ),
 }
+
+QUERIES["flush_statuses"] = (
+    _flush_statuses,
+    f"""SELECT id AS event_id, batch_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'skipped' WHEN 'signup' THEN 'unknown' ELSE 'integrated' END AS status,
+CASE WHEN event_type = 'signup' THEN 'not reported' ELSE substr(event_type || ' by ' || user_id, 1, 9) END AS reason FROM ({QUERIES["greedy_batches"][1]}) JOIN events ON id = 'evt_' || event_id""",
+)

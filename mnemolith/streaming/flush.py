@@ -10,6 +10,7 @@ pending and is left out of packing. The status log is what counts; replaying it
 
 from __future__ import annotations
 
+import functools
 import threading
 import time
 import uuid
@@ -223,7 +224,7 @@ class FlushLoop:
                     if self.workers is None:
                         self.errors = 0
                     if done:
-                        ids = self.spark.read.schema("event_id string").parquet(*done).select(F.col("event_id").alias("id"))
+                        ids = functools.reduce(DataFrame.unionByName, done)
                         left = materialize(pending.join(ids, "id", "left_anti"))
                         self._replace(None if left.isEmpty() else left)
                     self.suspended = self.errors >= MAX_ERRORS
@@ -239,10 +240,10 @@ class FlushLoop:
             self.resume_at = self.clock() + self.resume_seconds if self.next_run == "resume later" else None
             return n
 
-    def _decide_all(self, packed: DataFrame, stamp: int, until: float) -> list[str]:
+    def _decide_all(self, packed: DataFrame, stamp: int, until: float) -> list[DataFrame]:
         """One round a depth, at most ``MAX_DEPTH`` + 1; counters go to ``last_flush``, a line a batch to the progress
-        log. Returns the tables of the events that are terminal now."""
-        done_at: list[str] = []
+        log. Returns the events that are terminal now."""
+        terminal: list[DataFrame] = []
         for depth in range(MAX_DEPTH + 1):
             said = self._decided(packed, until)
             batches = packed.join(said.where("bad").select("batch_id").distinct(), "batch_id", "left_semi")
@@ -259,7 +260,7 @@ class FlushLoop:
             now = surface.flush_counters(rows.where(good)).first().asDict() | {"write_errors": rows.where(~good).count()}
             self._append(rows.where(good), stamp)
             self._note_attempts(rows.withColumn("ok", good), stamp, now["write_errors"])
-            done_at.append(rows.where(good).select("event_id").transform(materialize).inputFiles()[0].rsplit("/", 1)[0])
+            terminal.append(rows.where(good).select(F.col("event_id").alias("id")))
             append_progress(rows, f"{self.root}/progress")
             self.last_flush = {k: self.last_flush.get(k, 0) + v for k, v in now.items()}
             if parts.isEmpty():
@@ -272,7 +273,7 @@ class FlushLoop:
             names = packed.groupBy("batch_no", "part").agg(batching.batch_id(F.collect_list("id")).alias("batch_id"))  # 20 ids at most
             packed = packed.join(names, ["batch_no", "part"]).withColumn("batch_no", F.col("batch_no") * 2 + F.col("part"))
             packed = materialize(packed.drop("part"))
-        return done_at
+        return terminal
 
     def _note_attempts(self, rows: DataFrame, stamp: int, failed: int) -> None:
         """Failed writes, and good ones of events that had failed before."""

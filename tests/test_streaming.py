@@ -151,3 +151,105 @@ def test_compile_cycle(spark, tmp_path):
     finally:
         timer.stop()
     assert seen == [(0, ["a", "b"]), (2, ["c"])]
+
+
+def rows_of(spark, ids):
+    from mnemolith.sources.files import EVENT_FIELDS
+
+    df = spark.createDataFrame([(i, "2024-01-01T00:00:00Z", "payload") for i in ids], "id string, timestamp string, content string").coalesce(1)
+    return df.select(*(F.col(c) if c in df.columns else F.lit("").alias(c) for c in EVENT_FIELDS), F.lit(1).alias("trust_tier"))
+
+
+def test_a_turn_over_its_time_fails_and_others_finish(spark, tmp_path):
+    import time
+
+    from pyspark.sql.types import StringType
+
+    slow = F.udf(lambda x: time.sleep(60 if x == "e03" else 0) or "integrated", StringType())
+    loop = FlushLoop(spark, str(tmp_path / "state"), decide=lambda b: b.select(F.col("id").alias("event_id"), slow("id").alias("status"), F.lit("").alias("reason")), workers=2, turn_seconds=6, per_event_seconds=0)
+    began = time.time()
+    loop.on_batch(rows_of(spark, [f"e{i:02d}" for i in range(40)]), 0)
+    rows = loop.status().collect()
+    assert time.time() - began < 90
+    late = {r["event_id"] for r in rows if r["status"] == "failed"}
+    assert late == {f"e{i:02d}" for i in range(5)} and {r["reason"] for r in rows if r["status"] == "failed"} == {"batch_timeout_at_max_depth"}
+    assert sum(r["status"] == "integrated" for r in rows) == 35 and loop.waiting() == 0
+
+
+def test_turns_are_bounded_and_stop_after_errors(spark):
+    import threading
+    import time
+
+    from mnemolith.streaming.turns import take_turns
+
+    packed = spark.createDataFrame([(i, f"b{i}", f"e{i}") for i in range(9)], "batch_no long, batch_id string, id string")
+    now, most, lock = [0], [0], threading.Lock()
+
+    def decide(b):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.5)
+        with lock:
+            now[0] -= 1
+        return b.select(F.col("id").alias("event_id"), F.lit("integrated").alias("status"), F.lit("").alias("reason"))
+
+    turns = take_turns(packed, decide, 4, lambda n: 60)
+    assert most[0] == turns.most == 4 and turns.said.count() == 9 and not turns.late and not turns.raised and not turns.left
+    turns = take_turns(packed, lambda b: 1 // 0, 1, lambda n: 60)
+    assert len(turns.raised) == 3 and len(turns.left) == 6 and turns.said.count() == 0
+    assert take_turns(packed, decide, 2, lambda n: 60, until=time.monotonic() - 1).left == [f"b{i}" for i in range(9)]
+
+
+def test_an_event_without_a_writable_status_is_deferred(spark, tmp_path):
+    now = [0.0]
+    odd = lambda b: b.select(F.col("id").alias("event_id"), F.when(F.col("id") == "e2", "odd").otherwise("integrated").alias("status"), F.lit("").alias("reason"))
+    loop = FlushLoop(spark, str(tmp_path / "state"), decide=odd, threshold=99, clock=lambda: now[0])
+    loop.on_batch(rows_of(spark, ["e1", "e2"]), 0)
+    assert loop.flush() == 2 and loop.last_flush["write_errors"] == 1
+    assert loop.next_run == "resume later" and loop.waiting() == 1 and not loop.due(1)
+    for _ in range(2):
+        now[0] += 20.0
+        loop.on_batch(rows_of(spark, [f"x{now[0]}"]), int(now[0]))  # signals, so that quiet isn't what is due
+        now[0] += 41.0
+        assert loop.due(loop.waiting()) or loop.flush() >= 0
+        loop.tick()
+    if loop.waiting():
+        loop.flush()
+    assert [r["id"] for r in loop.deferred().collect()] == ["e2"] and loop.waiting() == 0 and loop.next_run == "idle"
+    loop.on_batch(rows_of(spark, ["e3"]), 1000)
+    assert loop.flush() == 2 and loop.last_flush["integrated"] == 1 and loop.last_flush["write_errors"] == 0
+    again = FlushLoop(spark, str(tmp_path / "state"), threshold=99)  # a new process reads the attempts
+    assert again.flush() == 1 and [r["id"] for r in again.pending().collect()] == ["e2"]
+
+
+def test_a_tick_costs_what_is_new(spark, tmp_path):
+    from mnemolith.sources.appendlog import qualified
+    from mnemolith.sources.tables import shared_dir
+
+    files, folder = qualified(spark, shared_dir(spark))
+    tables = lambda: len(list(files.listStatus(folder)))
+    loop = FlushLoop(spark, str(tmp_path / "state"), threshold=2)
+    left = []
+    for i in range(4):
+        loop.on_batch(rows_of(spark, [f"e{i}a", f"e{i}b", f"e{i}c"]), i)
+        left.append(tables())
+        assert loop.pending().inputFiles() == [] and loop.waiting() == 0  # nothing of the history is read for the next tick
+    assert left[0] == left[3]
+    loop.on_batch(rows_of(spark, ["e0a", "e3b"]), 3)  # a micro-batch that comes again
+    assert {r["id"] for r in loop.pending().collect()} <= {"e0a", "e3b"}
+    progress = spark.read.text(str(tmp_path / "state/progress/rows-*"))
+    assert progress.count() >= 4
+
+
+def test_a_reset_event_is_terminal_after_a_heartbeat(spark, tmp_path):
+    loop = FlushLoop(spark, str(tmp_path / "state"), decide=lambda b: b.select(F.col("id").alias("event_id"), F.lit("failed").alias("status"), F.lit("").alias("reason")), threshold=1)
+    loop.on_batch(rows_of(spark, ["e1", "e2"]), 0)
+    ids = spark.createDataFrame([("e1",), ("zz",)], "id string")
+    assert loop.reset(ids) == 1 and [r["id"] for r in loop.pending().collect()] == ["e1"]
+    from mnemolith.streaming.flush import integrate_all
+
+    loop.decide = integrate_all
+    loop.tick()
+    assert {r["event_id"]: r["status"] for r in loop.status().collect()} == {"e1": "integrated", "e2": "failed"} and loop.pending().count() == 0
+    assert loop.reset(ids) == 0
