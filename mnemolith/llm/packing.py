@@ -48,7 +48,8 @@ def pack_buckets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Tokens are maximal runs of characters other than ASCII white space. A document is cut into chunks
     of ``max_len`` tokens, the last one shorter; null or empty text is one chunk of no tokens, so that
     no row is lost. A batch holds ``token_budget // bucket_len`` chunks (one at least) of one bucket.
-    Within a bucket, chunks are ranked by (shard, doc_id, chunk_no), nulls first; repeated rows get
+    Within a bucket, chunks are ranked by (shard, doc_id, chunk_no), nulls first, the shard being a hash
+    of the chunk, so that no id fills one; repeated rows get
     slots of their own.
     """
     n = F.coalesce(F.regexp_count(F.col(text_col), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
@@ -64,7 +65,7 @@ def pack_buckets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for b in reversed(bounds[:-1]):
         bucket = F.when(F.col("n_tokens") <= b, F.lit(b).cast("long")).otherwise(bucket)
     shards = max(1, -(-total // shard_rows))
-    rows = chunks.withColumn("bucket_len", bucket).withColumn("shard", F.coalesce(F.pmod("doc_id", F.lit(shards)), F.lit(0)))
+    rows = chunks.withColumn("bucket_len", bucket).withColumn("shard", F.pmod(F.xxhash64("doc_id", "chunk_no", "n_tokens"), F.lit(shards)))
     # Rows of the shards before, in a table of n_buckets * shards counts; then ranks within a shard.
     counts = rows.groupBy("bucket_len", "shard").agg(F.count("*").alias("c"))
     before = counts.withColumn("before", F.sum("c").over(Window.partitionBy("bucket_len").orderBy("shard")) - F.col("c")).drop("c")
