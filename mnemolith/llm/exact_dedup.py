@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialize
 
+#: Values of a block for each owner, and rows that a block holds at most (24 bytes a row).
+LIST_ROWS, BLOCK_ROWS = 1_000, 1 << 23
 #: ASCII white space that counts as one space.
 SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -75,6 +77,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # As many owners (a power of two) as keep what one of them decodes near owner_rows values.
     top = max(4, (base.count() // owner_rows).bit_length())
     owners, span = 1 << top, 64 - top
+    # A block has LIST_ROWS rows an owner at least, so that messages grow with the rows and not with blocks times owners.
+    block_rows = max(block_rows, min(LIST_ROWS * owners, BLOCK_ROWS))
 
     def send(batches):
         """Blocks of a bounded number of rows: one row an owner, with the ids in coded order."""
