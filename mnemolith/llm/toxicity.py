@@ -11,6 +11,7 @@ the law of sums of such scores, and the document's score is calibrated from that
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 import re
 
 import numpy as np
@@ -239,26 +240,30 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         model.drift += more
         model.lam = drift_root(at - more, times)
 
-    def measure(batches):
-        for b in slices(batches):
-            out = {"k": b.column(2), "y": [], "n": [], "s": []}
-            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                scores = model.scores(text)
-                out["y"].append(int(y > 0))
-                out["n"].append(len(scores))
-                out["s"].append(sorted((s for _, _, s in maximal_segments(scores)), reverse=True)[:100])
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("k", pa.int64()), ("y", pa.int64()), ("n", pa.int64()), ("s", pa.list_(pa.float64()))]))
-
-    # Of a document the 100 best segments calibrate; ids that come with several texts may make more rows.
-    m = sample.select("text", "y", "k").mapInArrow(measure, "k bigint, y bigint, n bigint, s array<double>").orderBy("k", "y").limit(max_docs).collect()
-    y, n = (np.array([r[k] for r in m], float) for k in ("y", "n"))
-    top = np.array([max(r["s"], default=0.0) for r in m])
+    def measured(value: Callable) -> list:
+        """A number of each document of the sample; ids that come with several texts may make more rows."""
+
+        def measure(batches):
+            for b in slices(batches):
+                texts = b.column(0).to_pylist()
+                out = {"k": b.column(2), "y": [int(y > 0) for y in b.column(1).to_pylist()], "n": [], "v": []}
+                for text in texts:
+                    scores = model.scores(text)
+                    out["n"].append(len(scores))
+                    out["v"].append(value(scores))
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("k", pa.int64()), ("y", pa.int64()), ("n", pa.int64()), ("v", pa.float64())]))
+
+        return sample.select("text", "y", "k").mapInArrow(measure, "k bigint, y bigint, n bigint, v double").orderBy("k", "y", "v").limit(max_docs).collect()
+
+    m = measured(lambda scores: max((s for _, _, s in maximal_segments(scores)), default=0.0))
+    y, n, top = (np.array([r[k] for r in m], float) for k in ("y", "n", "v"))
     clean = y == 0
     # K: what makes the expected number of clean maxima right at the score that 50 clean documents reach.
     over = [s for s in np.sort(top[clean])[::-1][:50] if s > 0]
     model.k = max(1e-9, len(over) / max(1.0, n[clean].sum()) * math.exp(min(700.0, model.lam * over[-1]))) if over else 1e-3
-    x = np.array([model.evidence(int(i), [(0, 0, v) for v in r["s"]]) for i, r in zip(n, m, strict=True)])
-    model.a, model.b = platt(x, y)
+    # With K known, the evidence of all segments of each document.
+    m = measured(lambda scores: model.evidence(len(scores), maximal_segments(scores)))
+    model.a, model.b = platt(*(np.array([r[k] for r in m], float) for k in ("v", "y")))
     return model
 
 
