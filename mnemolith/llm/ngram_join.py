@@ -10,7 +10,8 @@ is compared, and the words themselves decide what is linked. Equal texts become
   of bounded size, are its groups. In one global order of tokens, rare ones first, two sets over the
   threshold share several tokens of their prefixes. Tokens whose documents are all of one component are
   dropped; what the prefix of a document shares with the union of a group's prefixes is summed over
-  tokens, within size and position bounds, and only cells that reach the sum are visited. Documents of the
+  tokens, within size and position bounds, and only cells are visited whose sum reaches what the suffixes can't
+  make up for, which is most of the prefix where sizes are alike. Documents of the
   smaller component visit the groups of the larger.
 * A visited group holds the union of its members' tokens, which bounds a query's overlap with every one;
   only a group whose bound reaches the threshold is opened, and its members are then compared.
@@ -113,6 +114,24 @@ def linked(a: Shingles, b: Shingles, tokens: tuple[np.ndarray, np.ndarray], t: i
     return 100 * both >= t * whole
 
 
+def prefix_overlap(n, low, high, t: int, shared: int):
+    """Prefix tokens that a set of n tokens shares at least with a linked set of ``low`` to ``high`` tokens (columns).
+
+    Of two sets that overlap in o tokens, take the one whose prefix ends first: the other's tokens up to there are
+    prefix tokens too, so the prefixes share what its suffix can't hold of o. That falls to either side of n, so the ends of
+    the range of sizes that may link decide; a token less makes up for sizes that aren't whole.
+    """
+    suffix = lambda x: F.lit((t * 1.0) / 100) * x + 1 - F.least(F.lit(shared), F.ceil(t * x / F.lit(100)))
+    low, high = F.greatest(low, F.floor(t * n / F.lit(100))), F.least(high, F.ceil(100 * n / F.lit(t)))
+    at = lambda m: F.lit(t / (100 + t)) * (n + m) - F.greatest(suffix(n), suffix(m))
+    return F.greatest(F.lit(1), F.ceil(F.least(at(low), at(high)) - 1))
+
+
+def most_overlap(n, t: int, shared: int):
+    """No less than prefix_overlap of n with any sizes: sets as large as it ask for most."""
+    return F.ceil(F.lit(2 * t / (100 + t)) * n) - F.ceil(t * n / F.lit(100)) + shared + 2
+
+
 def least_shared(n, t: int):
     """Tokens that a set of n shares at least with any set at t percent or more."""
     return (t * n + 99) // 100
@@ -172,7 +191,7 @@ def link_group(label, sets, host, check, t: int) -> list[tuple[int, int]]:
     return out
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block: int = 256, block_tokens: int = 500_000, shared: int = 3, hot_rows: int = 1_024, hot_limit: int = 500_000) -> DataFrame:
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block: int = 256, block_tokens: int = 500_000, shared: int = 8, hot_rows: int = 1_024, hot_limit: int = 500_000) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row.
 
     Two documents link when the Jaccard similarity of their sets of ``words``-word shingles (lower-cased
@@ -181,7 +200,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id with another text are sets of their own and connected by the id. ``component_id`` is the smallest id
     reachable. A null id takes part as the smallest value internally and is returned as null.
 
-    ``shared`` is the number of prefix tokens that a visit needs, ``block`` and ``block_tokens`` bound a
+    ``shared`` is the number of tokens that prefixes have beyond the first that must be shared, ``block`` and ``block_tokens`` bound a
     group's members, and ``hot_limit`` the frequent tokens that the order knows: all of them only affect
     speed. The tables in between are deleted when the result is written.
     """
@@ -238,7 +257,7 @@ def join_under(docs: DataFrame, words: int, t: int, block: int, block_tokens: in
                 order = np.lexsort((u, own))
                 least = least_shared(len(u), t)
                 order = order[: len(u) - least + min(shared, least)]
-                g = (int(u[0]), int(mix(mix(u ^ np.uint64(0xA5A5A5A5A5A5A5A5)).min()))) if n else (0, 0)
+                g = (int(u[0]), int(mix(mix(u ^ np.uint64(0xA5A5A5A5A5A5A5A5)).min(keepdims=True))[0])) if n else (0, 0)
                 row = (n, len(u), f1, f2, *np.array(g, np.uint64).view(np.int64).tolist(), int((own[order] < np.log2(hot_rows)).sum()), u[order].view(np.int64))
                 for c, v in zip(schema.names[1:], row, strict=True):
                     cols[c].append(v)
@@ -298,7 +317,7 @@ def join_under(docs: DataFrame, words: int, t: int, block: int, block_tokens: in
     often = posts.where("pos >= cold")  # of a bounded list; a token may have very many rows
     mixed = often.groupBy("tok").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("tok")
     often = often.join(broadcast_if_small(materialize(mixed)), "tok", "left_semi").select(rare.columns)
-    met = materialize(rare.unionByName(often).withColumn("room", F.col("n") - F.col("pos") + F.lit(shared - 1)))
+    met = materialize(rare.unionByName(often).withColumn("room", F.col("n") - F.col("pos") + most_overlap(F.col("n"), t, shared) - 1))
     groups = met.groupBy("tok", "component", "blk", "members").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("room").alias("wide"))
     groups = groups.select("tok", F.col("component").alias("at"), F.col("blk").alias("at_blk"), F.col("members").alias("crowd"), "low", "high", "wide")
     meets = (
@@ -307,9 +326,8 @@ def join_under(docs: DataFrame, words: int, t: int, block: int, block_tokens: in
         & (100 * F.col("n") >= t * F.col("low"))
         & (F.least("room", "wide") * (100 + t) >= t * (F.col("n") + F.col("low")))
     )
-    cells = met.join(groups, "tok").where(meets).groupBy("doc_id", "f1", "n", "component", "at", "at_blk").agg(F.count("*").alias("c"), F.min("low").alias("low"))
-    least = lambda c: F.ceil(t * F.col(c) / F.lit(100))
-    visits = materialize(cells.where(F.col("c") >= F.least(F.lit(shared), least("n"), least("low"))).select("doc_id", "f1", "n", "component", "at", "at_blk"))
+    cells = met.join(groups, "tok").where(meets).groupBy("doc_id", "f1", "n", "component", "at", "at_blk").agg(F.count("*").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
+    visits = materialize(cells.where(F.col("c") >= prefix_overlap(F.col("n"), F.col("low"), F.col("high"), t, shared)).select("doc_id", "f1", "n", "component", "at", "at_blk"))
     open_ = visits.groupBy("at", "at_blk").agg(blocks_of(F.count("*"), F.sum("n")).alias("k"))
     open_ = broadcast_if_small(materialize(open_))
     guests = visits.join(open_, ["at", "at_blk"]).select("doc_id", "f1", "at", "at_blk", dealt("k").alias("q"), F.col("component").alias("label"), F.lit(False).alias("host"))

@@ -403,3 +403,62 @@ def test_stages_judge_each_row_on_its_text(spark):
     rows = rows.withColumn("source", F.when(F.col("doc_id") < 290, "t").otherwise("s"))
     kept = corpus_pipeline.mixing(spark, rows, DATA).where("doc_id IS NULL").count()
     assert 0 < kept < 300
+
+
+def test_visits_of_template_texts_grow_with_the_rows(spark, monkeypatch):
+    """Texts of four out of 100 common sentences, none linked: a shared sentence or two opens no group."""
+    rng = np.random.default_rng(21)
+    sentences = [" ".join(rng.choice(WORDS, 12)) for _ in range(100)]
+    visits = []
+    real = ngram_join.materialize
+
+    def seen(df):
+        out = real(df)
+        if out.columns == ["doc_id", "f1", "n", "component", "at", "at_blk"]:
+            visits.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", seen)
+    for n in (400, 2000):
+        docs = [(i, " ".join(sentences[j] for j in rng.choice(100, 4, replace=False))) for i in range(n)]
+        got = ngram_join.ngram_join(spark.createDataFrame(docs, "doc_id long, text string"), words=4, percent=85)
+        want = brute_components(docs[:400], 4, 85) if n == 400 else None
+        if want:
+            assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == want
+    assert visits[1] <= 8 * max(visits[0], 25), visits
+
+
+def test_prefix_overlap_bound_holds(spark):
+    """For random linked pairs under one order, the prefixes share what the bound says."""
+    rng = np.random.default_rng(6)
+    for t, shared in ((85, 8), (80, 3), (85, 3)):
+        rows = []
+        for _ in range(400):
+            n = int(rng.integers(1, 120))
+            a = set(rng.choice(400, n, replace=False).tolist())
+            b = set(a)
+            for x in rng.choice(sorted(a), int(rng.integers(0, max(1, n // 7) + 1)), replace=False).tolist():
+                b.discard(x)
+            b |= set((400 + rng.choice(60, int(rng.integers(0, max(1, n // 9) + 1)), replace=False)).tolist())
+            if not b or 100 * len(a & b) < t * len(a | b):
+                continue
+            rank = {x: r for r, x in enumerate(rng.permutation(sorted(a | b)).tolist())}
+            prefix = lambda s: set(sorted(s, key=rank.get)[: len(s) - ngram_join.least_shared(len(s), t) + min(shared, ngram_join.least_shared(len(s), t))])  # noqa: E731, B023
+            rows.append((len(a), len(b), int(max(1, len(b) - rng.integers(0, 9))), int(len(b) + rng.integers(0, 9)), len(prefix(a) & prefix(b))))
+        df = spark.createDataFrame(rows, "n long, m long, low long, high long, c long")
+        bound = lambda low, high: ngram_join.prefix_overlap(F.col("n"), F.col(low), F.col(high), t, shared)  # noqa: E731, B023
+        assert len(rows) > 100
+        assert df.where((F.col("c") < bound("m", "m")) | (F.col("c") < bound("low", "high")) | (bound("m", "m") > ngram_join.most_overlap(F.col("n"), t, shared)) | (bound("m", "m") > ngram_join.most_overlap(F.col("m"), t, shared))).count() == 0
+
+
+def test_exchange_lists_stay_long(spark):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 4000).cast("string")).alias("text")).coalesce(1)
+    got = exact_dedup.exact_dedup(docs, owner_rows=100, block_rows=10)  # 64 owners
+    assert got.where("kept").count() == 4000 and got.where("group_size = 2").count() == 4000
+
+
+def test_packing_of_many_null_ids(spark):
+    docs = spark.range(900).select(F.when(F.col("id") % 3 == 0, F.col("id")).alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 40).cast("int")).alias("text"))
+    got = packing.pack_buckets(docs, max_len=64, n_buckets=3, token_budget=256, shard_rows=50)
+    slots = got.groupBy("batch_id", "slot").count()
+    assert got.count() == 900 and slots.where("count > 1").count() == 0
