@@ -27,7 +27,7 @@ def rows_by_key(docs: DataFrame) -> tuple[DataFrame, str]:
     are unique, else a number in the order of ids, null ones last, and of hashes of the text."""
     if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
         return docs, "doc_id"
-    key, own = "_row_key", [F.col("doc_id").alias("_id"), F.coalesce(F.md5("text"), F.lit("")).alias("_hash")]
+    key, own = "_row_key", [F.col("doc_id").alias("_id"), F.coalesce(F.sha2("text", 256), F.lit("")).alias("_hash")]
     names = materialize(docs.select(*own).groupBy("_id", "_hash").agg(F.count("*").alias("_times")))
     names = materialize(names.orderBy(F.col("_id").asc_nulls_last(), "_hash").withColumn(key, F.monotonically_increasing_id()))
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"), own[1], docs["doc_id"].alias("_own"))
