@@ -105,8 +105,20 @@ class ToxicityModel:
             todo = np.setdiff1d(todo, able)
         return s
 
+    def share(self, spark) -> None:
+        """Send the three arrays to the executors once, not with every task's code. They hold the tokens of the bounded
+        sample that the model was fitted on."""
+        self.table = spark.sparkContext.broadcast((self.h, self.s, self.z))
+
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "cache"}
+        left = {"cache", "h", "s", "z"} if "table" in self.__dict__ else {"cache"}
+        return {k: v for k, v in self.__dict__.items() if k not in left}
+
+    def __getattr__(self, name: str):
+        if name in ("h", "s", "z") and "table" in self.__dict__:
+            self.h, self.s, self.z = self.table.value
+            return self.__dict__[name]
+        raise AttributeError(name)
 
     def scores(self, text: str | None) -> np.ndarray:
         cache = self.__dict__.setdefault("cache", {})
@@ -221,6 +233,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     if not len(signs):
         return None
     model = ToxicityModel(best["f"].to_numpy().view(np.uint64), shrunk, z, sure, 0.05 * float(np.median(signs)), 1.0, 1.0, 1.0, 0.0)
+    model.share(docs.sparkSession)
 
     def spread(batches):
         """Histogram of the clean tokens' scores, in steps of 0.01."""
