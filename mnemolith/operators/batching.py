@@ -3,8 +3,9 @@
 Greedy packing is sequential: where a batch ends depends on where it began. But the end of the batch
 that would begin at an event depends on the next few events only (``next start``). Blocks of the sorted
 log therefore become maps from entry place to exit place, with as many entries as a batch can have
-events; the maps are composed in order, and each block then marks its own starts. No task sees more
-than a block.
+events. Composing maps is associative, so neighbours are composed up a tree, level by level; entry places
+are handed down the same tree, and each block then marks its own starts. No task sees more than a block,
+and the driver sees a count.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.tables import materialize
+from ..sources.tables import broadcast_if_small, materialize
 
 MAX_EVENTS, MAX_BYTES, MAX_TOKENS = 20, 48_000, 12_000
 CONTEXT_COLUMNS = ("actor", "source", "session_id", "active_project", "active_task")
@@ -65,17 +66,69 @@ def next_starts(size: np.ndarray, own: int, events: int, size_cap: int, token_ca
     return end
 
 
-def _mark(size, own, entry, caps):
-    """Batch starts among the first ``own`` places, coming in at ``entry``; and where it leaves."""
+def _mark(size: np.ndarray, own: int, entry: int, caps: tuple[int, int, int]) -> list[int]:
+    """Batch starts among the first ``own`` places, coming in at ``entry``."""
     nxt = next_starts(size, own, *caps)
     starts, i = [], entry
     while i < own:
         starts.append(i)
         i = int(nxt[i])
-    return starts, i - own
+    return starts
 
 
-def greedy_batches(pending: DataFrame, max_events: int = MAX_EVENTS, max_bytes: int = MAX_BYTES, max_tokens: int = MAX_TOKENS, block_rows: int = 100_000) -> DataFrame:
+#: Block maps that are composed in one step. A node of the tree holds so many and no more.
+FAN = 16
+
+
+def _block_map(f: pd.DataFrame, own: int, caps: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Where a walk from each entry place leaves the block, as a place in the next one, and the batches it begins."""
+    reach = caps[0] + 1
+    size = f.sort_values("row")["bytes"].to_numpy()
+    leave = np.concatenate((next_starts(size, own, *caps), np.arange(own, own + reach)))
+    begun = (np.arange(own + reach) < own).astype(np.int64)
+    while (leave[:own] < own).any():  # the next starts, followed twice as far each time
+        begun, leave = begun + np.where(leave < own, begun[np.minimum(leave, own)], 0), np.where(leave < own, leave[np.minimum(leave, own)], leave)
+    return leave[:reach] - own, begun[:reach]
+
+
+def _composed(kids: Column, reach: int) -> Column:
+    """The map of neighbouring blocks (block, exits, begun), in order, as one."""
+    same = F.struct(F.sequence(F.lit(0), F.lit(reach - 1)).alias("exits"), F.array_repeat(F.lit(0).cast("long"), reach).alias("begun"))
+
+    def then(a, k):
+        begun = F.transform(a["exits"], lambda x, i: F.get(a["begun"], i) + F.get(k["begun"], x))
+        return F.struct(F.transform(a["exits"], lambda x: F.get(k["exits"], x)).alias("exits"), begun.alias("begun"))
+
+    return F.aggregate(kids, same, then)
+
+
+def _handed_down(kids: Column, entry: Column, before: Column) -> Column:
+    """(block, entry, before) of each of the blocks, from the entry place into the first and the batches before it."""
+    none = F.array().cast("array<struct<block: bigint, entry: int, before: bigint>>")
+
+    def then(a, k):
+        here = F.struct(k["block"].alias("block"), a["entry"].alias("entry"), a["before"].alias("before"))
+        return F.struct(F.get(k["exits"], a["entry"]).alias("entry"), (a["before"] + F.get(k["begun"], a["entry"])).alias("before"), F.concat(a["out"], F.array(here)).alias("out"))
+
+    return F.aggregate(kids, F.struct(entry.alias("entry"), before.alias("before"), none.alias("out")), then, lambda a: a["out"])
+
+
+def _block_entries(maps: DataFrame, blocks: int, reach: int, fan: int) -> DataFrame:
+    """``block, entry, before`` of every block: maps are composed up a tree of ``fan``, entries handed down it."""
+    levels = []
+    while blocks > 1:
+        kids = maps.groupBy(F.floor(F.col("block") / fan).alias("parent")).agg(F.array_sort(F.collect_list(F.struct("block", "exits", "begun"))).alias("kids"))
+        levels.append(materialize(kids))
+        maps = levels[-1].select(F.col("parent").alias("block"), _composed(F.col("kids"), reach).alias("m")).select("block", "m.*")
+        blocks = -(-blocks // fan)
+    entries = maps.sparkSession.createDataFrame([(0, 0, 0)], "block long, entry int, before long")
+    for kids in reversed(levels):
+        met = kids.join(entries, kids["parent"] == entries["block"])
+        entries = met.select(F.explode(_handed_down(F.col("kids"), F.col("entry"), F.col("before"))).alias("e")).select("e.*")
+    return materialize(entries) if levels else entries
+
+
+def greedy_batches(pending: DataFrame, max_events: int = MAX_EVENTS, max_bytes: int = MAX_BYTES, max_tokens: int = MAX_TOKENS, block_rows: int = 100_000, fan: int = FAN) -> DataFrame:
     """``id, bytes, batch_no, batch_id, pos`` in the order (created_at, id).
 
     ``pending`` has ``id, created_at, bytes``. A batch closes before the event that would break a cap; an
@@ -83,67 +136,43 @@ def greedy_batches(pending: DataFrame, max_events: int = MAX_EVENTS, max_bytes:
     """
     if min(max_events, max_bytes, max_tokens) <= 0:
         raise ValueError("caps must be positive")
-    spark = pending.sparkSession
     caps = (max_events, max_bytes, max_tokens)
+    block_rows = max(block_rows, max_events)  # so that a batch that begins in a block ends in the next one at the latest
     rows = pending.select("id", "created_at", F.col("bytes").cast("long").alias("bytes"))
-    parts = max(1, -(-rows.count() // block_rows))
-    ranged = rows.repartitionByRange(parts, "created_at", "id").sortWithinPartitions("created_at", "id")
-
-    def number(frames):
-        at = 0
-        for f in frames:
-            f["row"] = np.arange(at, at + len(f))
-            at += len(f)
-            yield f
-
-    ranged = ranged.withColumn("block", F.spark_partition_id()).mapInPandas(number, "id string, created_at timestamp, bytes long, block int, row long")
-    ranged = materialize(ranged)
-    # The heads of the blocks: max_events sizes each, so that a block sees past its end.
-    heads = ranged.where(F.col("row") < max_events).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("row", "bytes"))).alias("h")).collect()
-    counts = {r["block"]: r["count"] for r in ranged.groupBy("block").count().collect()}
-    blocks = sorted(counts)
-    head = {r["block"]: [x["bytes"] for x in r["h"]] for r in heads}
-    ahead: dict[int, list[int]] = {}
-    tail: list[int] = []
-    for b in reversed(blocks):
-        ahead[b] = tail
-        tail = (head[b] + tail)[:max_events]
+    ordered = materialize(rows.orderBy("created_at", "id").withColumn("at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("c"))
+    sums = F.sum("c").over(Window.orderBy("part"))  # a row a sorted range
+    before = materialize(sizes.select("part", (sums - F.col("c")).alias("ahead")))
+    placed = ordered.withColumn("part", part).join(broadcast_if_small(before), "part").withColumn("g", F.col("ahead") + place)
+    block, row = F.floor(F.col("g") / block_rows), F.col("g") % block_rows
+    # The first rows of a block are the last one's, too, which so sees past its end.
+    spots = F.array(F.struct(block.alias("block"), row.alias("row")), F.struct((block - 1).alias("block"), (row + block_rows).alias("row")))
+    spots = F.when((row < max_events) & (block > 0), spots).otherwise(F.slice(spots, 1, 1))
+    spread = placed.select("id", "created_at", "bytes", F.explode(spots).alias("s")).select("id", "created_at", "bytes", "s.block", "s.row")
 
     def exits(key, f):
+        leave, begun = _block_map(f, int((f["row"] < block_rows).sum()), caps)
+        return pd.DataFrame({"block": key[0], "exits": [leave], "begun": [begun]})
+
+    blocks = -(-ordered.count() // block_rows)
+    maps = spread.select("block", "row", "bytes").groupBy("block").applyInPandas(exits, "block long, exits array<int>, begun array<long>")
+    entries = _block_entries(maps, blocks, max_events + 1, fan)
+
+    def mark(f):
         f = f.sort_values("row")
-        size = np.concatenate((f["bytes"].to_numpy(), np.array(ahead[key[0]], np.int64)))
-        own = len(f)
-        # Where a walk from each place leaves the block: the next starts, followed twice as far each time.
-        leave = np.concatenate((next_starts(size, own, *caps), np.arange(own, own + max_events + 1)))
-        while (leave[:own] < own).any():
-            leave = leave[leave]
-        return pd.DataFrame({"block": key[0], "entry": np.arange(max_events + 1), "exit": leave[: max_events + 1] - own})
-
-    maps = {(r["block"], r["entry"]): r["exit"] for r in ranged.groupBy("block").applyInPandas(exits, "block int, entry int, exit int").collect()}
-    entry, at = {}, 0
-    for b in blocks:
-        entry[b] = at
-        at = maps[b, at] if at <= max_events else at - counts[b]
-
-    def mark(key, f):
-        f = f.sort_values("row")
-        size = np.concatenate((f["bytes"].to_numpy(), np.array(ahead[key[0]], np.int64)))
-        starts, _ = _mark(size, len(f), entry[key[0]], caps)
-        f["start"] = False
-        f.iloc[starts, f.columns.get_loc("start")] = True
-        return f
-
-    marked = materialize(ranged.groupBy("block").applyInPandas(mark, "id string, created_at timestamp, bytes long, block int, row long, start boolean"))
-    begun = {r["block"]: r["n"] for r in marked.groupBy("block").agg(F.count_if("start").alias("n")).collect()}
-    before, total = {}, 0
-    for b in blocks:
-        before[b], total = total, total + begun[b]
-    offsets = spark.createDataFrame(list(before.items()) or [(0, 0)], "block int, before long")
-    w = Window.partitionBy("block").orderBy("row")
-    numbered = marked.join(F.broadcast(offsets), "block").withColumn("batch_no", F.col("before") + F.sum(F.col("start").cast("long")).over(w) - 1)
-    ids = numbered.groupBy("batch_no").agg(batch_id(F.collect_list("id")).alias("batch_id"))
-    pos = F.row_number().over(Window.partitionBy("batch_no").orderBy("created_at", "id")) - 1
-    return numbered.join(ids, "batch_no").select("id", "bytes", "batch_no", "batch_id", pos.alias("pos"))
+        own = int((f["row"] < block_rows).sum())
+        begins = np.zeros(own, np.int64)
+        begins[_mark(f["bytes"].to_numpy(), own, int(f["entry"].iloc[0]), caps)] = 1
+        out = f[["id", "created_at", "bytes"]].iloc[:own].copy()
+        out["batch_no"] = int(f["before"].iloc[0]) + begins.cumsum() - 1
+        return out
+
+    marked = spread.join(entries, "block").groupBy("block").applyInPandas(mark, "id string, created_at timestamp, bytes long, batch_no long")
+    whole = Window.partitionBy("batch_no")
+    pos = F.row_number().over(whole.orderBy("created_at", "id")) - 1
+    marked = materialize(marked)
+    return marked.select("id", "bytes", "batch_no", batch_id(F.collect_list("id").over(whole)).alias("batch_id"), pos.alias("pos"))
 
 
 def batch_totals(batches: DataFrame) -> DataFrame:

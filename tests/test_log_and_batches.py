@@ -56,6 +56,9 @@ def test_blocks_pack_as_one_loop(spark):
         count, size, tokens = count + 1, size + b, tokens + b // 4
     got = packed(batching.greedy_batches(pending(spark, rows), 7, 300, 70, block_rows=41))
     assert [g[1] for g in got] == want
+    for block_rows, fan in ((13, 3), (1, 16), (2999, 2), (3000, 2)):  # 231 blocks in five levels; 429; two; one
+        got = packed(batching.greedy_batches(pending(spark, rows), 7, 300, 70, block_rows=block_rows, fan=fan))
+        assert [g[1] for g in got] == want, (block_rows, fan)
 
 
 def test_no_events_and_bad_caps(spark):
