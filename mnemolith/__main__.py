@@ -1,6 +1,8 @@
-"""python -m mnemolith validate|migrate|scan FOLDER [--strict] [--write OUT]
+"""python -m mnemolith validate|migrate|scan FOLDER [--strict] [--write OUT] [--tree OUT] [--in-place [--backup]]
 
-validate exits 1 on errors (and on warnings if strict), 2 on misuse.
+validate exits 1 on errors (and on warnings if strict), 2 on misuse. migrate lists what changes; --write gives
+its table as Parquet, --tree all pages as Markdown files in another folder, --in-place rewrites the changed pages where they are,
+with --backup keeping each as .bak. If a page can't be migrated, no Markdown is written and it exits 1.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from .operators import codefacts, lint, migrate
-from .sources.files import read_markdown, write_facts
+from .sources.files import read_markdown, write_facts, write_markdown
 from .sources.tables import materialize
 
 
@@ -31,6 +33,14 @@ def main(args: list[str]) -> int:
             print(f"{r['path']}: {r['error'] or 'changed'}")
         if out:
             done.write.parquet(out)
+        tree = args[args.index("--tree") + 1] if "--tree" in args else None
+        if tree or "--in-place" in args:
+            if not done.where("error IS NOT NULL").isEmpty():
+                return 1
+            if tree:
+                write_markdown(done, tree)
+            if "--in-place" in args:
+                write_markdown(done.where("changed"), args[1], "--backup" in args)
         return 0
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.go").load(args[1])
     facts = codefacts.scan_facts(files.selectExpr("path", "CAST(content AS STRING) AS content"), args[1].rstrip("/").rsplit("/", 1)[-1], "HEAD")

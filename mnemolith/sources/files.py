@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .appendlog import AppendLog, create_if_absent, qualified, read_text, write_text
+from .tables import Scratch, materialize
 
 EVENT_FIELDS = ("id", "timestamp", "actor", "content", "source", "session_id", "active_project", "active_task", "context_json", "durability", "actionability", "source_type", "evidence_kind")
 EVENT_SCHEMA = T.StructType([*(T.StructField(n, T.StringType()) for n in EVENT_FIELDS), T.StructField("trust_tier", T.IntegerType())])
@@ -222,6 +223,63 @@ class PageVersions:
         return self.update(None, lambda _: pages)
 
 
+def write_markdown(pages: DataFrame, root: str, backup: bool = False) -> DataFrame:
+    """Write pages (path, content) as files below root, each by the task that has its row; returns ``path, bytes``.
+
+    The rows are written to the shared folder first, so pages may come from the very files they replace, and a task
+    that runs again writes the same. A file is a draft beside its place that is moved there when whole. With
+    ``backup`` a file that is replaced is kept as ``<path>.bak``; where one is there already, nothing is written at all.
+    Paths that leave the root, null ones and repeated ones are refused. Null content is an empty file. The root's scheme must be one that
+    pyarrow opens (file, hdfs, s3, gs).
+    """
+    spark = pages.sparkSession
+    base = qualified(spark, root)[1].toString().rstrip("/")
+    base = "file://" + base.removeprefix("file:") if base.startswith("file:/") and not base.startswith("file://") else base
+    with Scratch(spark) as tables:
+        rows = materialize(pages.select("path", F.coalesce("content", F.lit("")).alias("content")))
+        outside = F.col("path").isNull() | F.col("path").rlike(r"^/|^$|/$|//|(^|/)\.{1,2}(/|$)|[\x{0}\\]")
+        bad = rows.where(outside).select("path").limit(1).collect() or rows.groupBy("path").count().where("count > 1").limit(1).collect()
+        if bad:
+            raise ValueError(f"refused path {bad[0]['path']!r}")
+        if backup and qualified(spark, root)[0].exists(qualified(spark, root)[1]):
+            kept = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.bak").load(base).select("path")
+            names = kept.select(F.regexp_replace("path", "^file:/+", "file:///").alias("full"))
+            there = rows.select("path", F.concat(F.lit(base + "/"), "path", F.lit(".bak")).alias("full")).join(names, "full").limit(1).collect()
+            if there:
+                raise FileExistsError(f"{there[0]['path']}: backup already exists")
+
+        def write(frames):
+            import posixpath
+
+            import pandas as pd
+            from pyarrow import fs
+
+            files, top = fs.FileSystem.from_uri(base)
+            for f in frames:
+                sizes = []
+                for path, content in zip(f["path"], f["content"], strict=True):
+                    target = f"{top}/{path}"
+                    folder, name = posixpath.split(target)
+                    files.create_dir(folder, recursive=True)
+                    draft = f"{folder}/.{name}.{uuid.uuid4().hex}.tmp"
+                    try:
+                        old, bak = files.get_file_info([target, f"{target}.bak"])
+                        if backup and old.type == fs.FileType.File and bak.type == fs.FileType.NotFound:
+                            files.copy_file(target, draft)
+                            files.move(draft, f"{target}.bak")
+                        data = content.encode()
+                        with files.open_output_stream(draft) as out:
+                            out.write(data)
+                        files.move(draft, target)
+                    finally:
+                        if files.get_file_info(draft).type != fs.FileType.NotFound:
+                            files.delete_file(draft)
+                    sizes.append(len(data))
+                yield pd.DataFrame({"path": f["path"], "bytes": sizes})
+
+        return tables.keep(rows.mapInPandas(write, "path string, bytes long"))
+
+
 def write_facts(facts: DataFrame, snippets: DataFrame, path: str) -> None:
     """A fact bundle as JSON lines in their order, and last its ``manifest.json``: a bundle without one isn't whole."""
     spark = facts.sparkSession

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from .operators import lint, log, pages
 from .sources.appendlog import qualified
 from .sources.files import EVENT_SCHEMA, PageVersions, append_events, json_log, read_events
+from .sources.lease import Lease
 from .sources.tables import Scratch, materialize
 
 META = "source_events array<string>, trust_tier_max int, created_at string, memory_type string, archived_at string, archive_reason string"
@@ -182,17 +183,24 @@ class MemoryStore:
         self.spark.createDataFrame([(to,)], "cursor long").write.mode("append").parquet(f"{self.root}/cursor")
         return True
 
-    def run_compile(self, compile_: Callable[[DataFrame, int], int | None]) -> bool:
-        """One compile cycle: nothing if no event is past the cursor; else ``compile_`` gets those events and
-        the cursor and says how far it came. The cursor moves only if that is forward, never past the log;
-        an error leaves it."""
+    def run_compile(self, compile_: Callable[[DataFrame, int], int | None], lease_seconds: float = 3600.0) -> bool:
+        """One compile cycle: nothing if no event is past the cursor, or while another cycle runs; else
+        ``compile_`` gets those events and the cursor and says how far it came. The cursor moves only if that is
+        forward, never past the log; an error leaves it, and so does a cycle that outlasted its lease and was
+        replaced by another."""
         self._writable()
-        cursor = self.cursor()
-        events, end = self.read_events_since(cursor)
-        if end <= cursor:
+        lease = Lease(self.spark, f"{self.root}/compiling", lease_seconds)
+        if not lease.take():
             return False
-        to = compile_(events, cursor)
-        return to is not None and self.advance_cursor(min(to, end))
+        try:
+            cursor = self.cursor()
+            events, end = self.read_events_since(cursor)
+            if end <= cursor:
+                return False
+            to = compile_(events, cursor)
+            return to is not None and lease.held() and self.advance_cursor(min(to, end))
+        finally:
+            lease.release()
 
     def start_auto_compile(self, compile_: Callable[[DataFrame, int], int | None], checkpoint: str, seconds: float = 1800.0):
         """Compile cycles on a timer, as a stream that beats; an error ends a cycle and not the timer."""

@@ -153,6 +153,42 @@ def test_compile_cycle(spark, tmp_path):
     assert seen == [(0, ["a", "b"]), (2, ["c"])]
 
 
+def test_one_compile_at_a_time(spark, tmp_path):
+    import threading
+
+    from mnemolith.sources.lease import Lease
+    from mnemolith.store import MemoryStore
+
+    store = MemoryStore(spark, str(tmp_path / "m"))
+    store.append_event(spark.createDataFrame([("a", "x"), ("b", "x")], "id string, content string").coalesce(1))
+    inside, go, second = threading.Event(), threading.Event(), []
+
+    def slow(events, cursor):
+        inside.set()
+        assert go.wait(60)
+        return 1
+
+    first: list[bool] = []
+    runner = threading.Thread(target=lambda: first.append(store.run_compile(slow)))
+    runner.start()
+    assert inside.wait(60)
+    assert not MemoryStore(spark, store.root).run_compile(lambda e, c: second.append(c) or 2)
+    go.set()
+    runner.join()
+    assert first == [True] and second == [] and store.cursor() == 1
+    # A cycle that outlasts its lease: another takes over, and the first one's result doesn't count.
+    assert not store.run_compile(lambda e, c: 2 if Lease(spark, f"{store.root}/compiling", 60).take() else 0, lease_seconds=0.0)
+    assert store.cursor() == 1 and not store.run_compile(lambda e, c: 2)
+    # Of many at once one gets it, and a released lease can be taken.
+    many = [Lease(spark, str(tmp_path / "lease"), 60) for _ in range(8)]
+    got = [False] * 8
+    threads = [threading.Thread(target=lambda i=i: got.__setitem__(i, many[i].take())) for i in range(8)]
+    [t.start() for t in threads], [t.join() for t in threads]
+    assert sum(got) == 1 and many[got.index(True)].held()
+    many[got.index(True)].release()
+    assert many[0].take()
+
+
 def rows_of(spark, ids):
     from mnemolith.sources.files import EVENT_FIELDS
 

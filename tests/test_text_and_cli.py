@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from mnemolith.__main__ import main
 from mnemolith.functions import text
 from mnemolith.plans.page_queries import GO, GOOD
-from mnemolith.sources.files import PageVersions, read_markdown
+from mnemolith.sources.files import PageVersions, read_markdown, write_markdown
 
 
 def one(spark, column, value):
@@ -58,6 +58,41 @@ def test_command_line(spark, tmp_path, capsys):
     assert spark.read.json(str(tmp_path / "facts/facts")).count() == 10
 
 
+def test_migrate_writes_markdown(spark, tmp_path):
+    root = tree(tmp_path)
+    old = "<!-- last_compiled: 2024-01-01T00:00:00Z -->\n# Old\n\n[[semantic/a]] tells.\n"
+    page = tmp_path / "wiki/semantic/old.md"
+    page.write_text(old)
+    assert main(["migrate", root, "--tree", str(tmp_path / "out")]) == 0
+    assert page.read_text() == old and main(["validate", str(tmp_path / "out"), "--strict"]) == 0
+    assert (tmp_path / "out/semantic/a.md").read_text() == (tmp_path / "wiki/semantic/a.md").read_text()
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "wiki").rglob("*.md") if p != page}
+    assert main(["migrate", root, "--in-place", "--backup"]) == 0
+    assert page.read_text() == (tmp_path / "out/semantic/old.md").read_text() != old
+    assert page.with_suffix(".md.bak").read_text() == old
+    assert before == {p: p.stat().st_mtime_ns for p in before}  # unchanged pages aren't written
+    page.write_text(old)
+    with pytest.raises(FileExistsError):
+        main(["migrate", root, "--in-place", "--backup"])
+    assert page.read_text() == old and not [p for p in (tmp_path / "wiki").rglob("*.tmp")]
+
+
+def test_markdown_sink(spark, tmp_path):
+    ddl = "path string, content string"
+    write = lambda *rows, **k: write_markdown(spark.createDataFrame(rows, ddl), str(tmp_path / "w"), **k)
+    got = write(("a/é b.md", "ü\n"), ("c.md", None), ("d.md", "x" * 3_000_000))
+    assert {r["path"]: r["bytes"] for r in got.collect()} == {"a/é b.md": 3, "c.md": 0, "d.md": 3_000_000}
+    assert (tmp_path / "w/a/é b.md").read_text() == "ü\n" and (tmp_path / "w/c.md").read_bytes() == b""
+    for rows in ([("../e.md", "")], [("/e.md", "")], [("a/./e.md", "")], [("a//e.md", "")], [(None, "x")], [("e.md", "1"), ("e.md", "1")]):
+        with pytest.raises(ValueError):
+            write(*rows)
+    write(("a/é b.md", "2"), backup=True)
+    assert (tmp_path / "w/a/é b.md.bak").read_text() == "ü\n"
+    with pytest.raises(FileExistsError):
+        write(("new.md", "3"), ("a/é b.md", "3"), backup=True)
+    assert not (tmp_path / "w/new.md").exists() and write_markdown(spark.createDataFrame([], ddl), str(tmp_path / "n")).count() == 0
+
+
 def test_versions_swap(spark, tmp_path):
     v = PageVersions(spark, str(tmp_path / "v"))
     assert v.read() is None
