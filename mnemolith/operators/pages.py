@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.paths import MEMORY_TYPES, base_name, memory_type, walk_order
 from ..functions.text import first_prose_line, lower_runes
 from ..sources.tables import materialize
+from .parts import PART_BYTES, text_parts
 
 
 def search_lines(pages: DataFrame, query: str) -> DataFrame:
@@ -54,6 +55,33 @@ def category_index(pages: DataFrame) -> DataFrame:
     return cats.unionByName(root)
 
 
+def category_index_parts(pages: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The texts of ``category_index`` as numbered parts of whole lines, for categories of any size: entries are
+    sorted rows and never gathered into lists."""
+    cat = memory_type(F.col("path"))
+    own = pages.where((cat != "") & F.endswith("path", F.lit(".md"))).withColumn("cat", cat).where(F.col("path") != F.concat("cat", F.lit("/index.md")))
+    entry = lambda link: F.format_string("- [%s](%s) — %s\n", base_name(F.col("path")), link, first_prose_line(F.col("content"), 100, F.lit("")))
+    dim = pages.sparkSession.createDataFrame([(i, t) for i, t in enumerate(MEMORY_TYPES)], "pos int, cat string")
+    filled = own.groupBy("cat").agg(F.count("*").alias("n")).where("n > 0")
+    dim = materialize(dim.join(filled, "cat", "left").withColumn("first", F.min(F.when(F.col("n") > 0, F.col("pos"))).over(Window.partitionBy())))  # a row a category
+    # Section 0 is a text's head; in the root index 2 pos + 1 is a category's head and 2 pos + 2 its entries.
+    section = F.col("pos") * 2 + 1
+    top = F.array().cast("array<string>")
+    row = lambda path, section, key, text: F.struct(path.alias("path"), section.cast("int").alias("section"), key.alias("key"), text.alias("text"))
+    home, root, none = F.concat("cat", F.lit("/index.md")), F.lit("index.md"), F.lit("_No pages yet._\n")
+    entries = own.join(F.broadcast(dim), "cat").select(
+        F.explode(F.array(row(home, section + 1, walk_order(F.col("path")), entry(F.expr("substring(path, length(cat) + 2)"))), row(root, section + 1, walk_order(F.col("path")), entry(F.col("path"))))).alias("r")
+    )
+    title = F.concat(F.lit("# "), F.initcap("cat"), F.lit("\n\n"), F.when(F.col("n").isNull(), none).otherwise(""))
+    head = F.when(F.col("n") > 0, F.concat(F.when(F.col("pos") > F.col("first"), "\n").otherwise(""), F.lit("## "), "cat", F.lit("\n\n")))
+    heads = dim.select(F.explode(F.array(row(home, F.lit(0), top, title), row(root, section, top, head))).alias("r"))
+    start = dim.where("pos = 0").select(row(root, F.lit(0), top, F.concat(F.lit("# Wiki Index\n\n"), F.when(F.col("first").isNull(), none).otherwise(""))).alias("r"))
+    texts = entries.unionByName(heads).unionByName(start).select("r.*").where("text <> ''")
+    split = F.split(F.expr("substring(text, 1, length(text) - 1)"), "\n")
+    lines = texts.select("path", "section", "key", F.posexplode(split).alias("line_no", "line")).withColumn("text", F.concat("line", F.lit("\n")))
+    return text_parts(lines, "section", "key", "line_no", part_bytes=part_bytes)
+
+
 def walk_ranks(pages: DataFrame) -> DataFrame:
     """``path, rank`` of every page in walk order, from 1. Ranks count on from one sorted range to the
     next, so no task sees all pages."""

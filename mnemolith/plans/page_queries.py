@@ -128,6 +128,15 @@ ODD_LINKS = """page_id AS i, CASE page_id % 7 WHEN 0 THEN url WHEN 1 THEN upper(
 #: Messages with blocks in them, closed and open.
 ODD_TEXTS = """conv_id, turn, CASE turn % 4 WHEN 0 THEN '<recall>' || text || '</recall> ' || role WHEN 1 THEN text || ' <recall>open' WHEN 2 THEN text || '<recall>a</recall>' || role ELSE text END AS x"""
 
+#: The indexes as one text each.
+INDEXES = f"""WITH {PAGES}, x AS (SELECT path, string_split(path, '/') AS k, k[1] AS cat, content AS c FROM pg WHERE path NOT LIKE 'archive/%'),
+l AS (SELECT *, list_filter(list_transform(string_split(c, chr(10)), lambda z: trim(z, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')), lambda z: z <> '' AND z NOT LIKE '#%' AND z NOT LIKE '<!--%')[1] AS f FROM x),
+w AS (SELECT *, CASE WHEN strlen(f) > 100 THEN list_filter(range(0, 101), lambda i: strlen(substr(f, 1, i)) <= 100)[-1] END AS whole FROM l),
+e AS (SELECT *, CASE WHEN whole IS NULL THEN coalesce(f, '') ELSE substr(f, 1, whole) || CASE WHEN strlen(substr(f, 1, whole)) < 100 THEN chr(65533) ELSE '' END || '...' END AS descr FROM w),
+a AS (SELECT cat, string_agg('- [' || k[-1] || '](' || path || ') — ' || descr, chr(10) ORDER BY k) AS root, string_agg('- [' || k[-1] || '](' || substr(path, len(cat) + 2) || ') — ' || descr, chr(10) ORDER BY k) AS own FROM e GROUP BY cat),
+d AS (SELECT i, c FROM (VALUES (0, 'semantic'), (1, 'episodic'), (2, 'procedural'), (3, 'prospective')) v(i, c))
+SELECT c || '/index.md' AS path, '# ' || upper(c[1]) || c[2:] || chr(10) || chr(10) || coalesce(own || chr(10), '_No pages yet._' || chr(10)) AS content FROM d LEFT JOIN a ON c = cat
+UNION ALL SELECT 'index.md', '# Wiki Index' || chr(10) || chr(10) || coalesce(string_agg('## ' || c || chr(10) || chr(10) || root, chr(10) || chr(10) ORDER BY i) || chr(10), '_No pages yet._' || chr(10)) FROM d JOIN a ON c = cat"""
 
 QUERIES = {
     "search_lines": (
@@ -142,16 +151,13 @@ QUERIES = {
         lambda s, d: pg.memory_stats(pages(s, d), table(s, d, "events"), 250),
         f"WITH {PAGES} SELECT (SELECT count(*) FROM events) AS events, (SELECT count(*) FROM events) - 250 AS uncompiled, count_if(path NOT LIKE 'archive/%')::BIGINT AS pages, count_if(path LIKE 'archive/%')::BIGINT AS archived FROM pg",
     ),
-    "category_index": (
-        lambda s, d: pg.category_index(pages(s, d)),
-        f"""WITH {PAGES}, x AS (SELECT path, string_split(path, '/') AS k, k[1] AS cat, content AS c FROM pg WHERE path NOT LIKE 'archive/%'),
-l AS (SELECT *, list_filter(list_transform(string_split(c, chr(10)), lambda z: trim(z, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')), lambda z: z <> '' AND z NOT LIKE '#%' AND z NOT LIKE '<!--%')[1] AS f FROM x),
-w AS (SELECT *, CASE WHEN strlen(f) > 100 THEN list_filter(range(0, 101), lambda i: strlen(substr(f, 1, i)) <= 100)[-1] END AS whole FROM l),
-e AS (SELECT *, CASE WHEN whole IS NULL THEN coalesce(f, '') ELSE substr(f, 1, whole) || CASE WHEN strlen(substr(f, 1, whole)) < 100 THEN chr(65533) ELSE '' END || '...' END AS descr FROM w),
-a AS (SELECT cat, string_agg('- [' || k[-1] || '](' || path || ') — ' || descr, chr(10) ORDER BY k) AS root, string_agg('- [' || k[-1] || '](' || substr(path, len(cat) + 2) || ') — ' || descr, chr(10) ORDER BY k) AS own FROM e GROUP BY cat),
-d AS (SELECT i, c FROM (VALUES (0, 'semantic'), (1, 'episodic'), (2, 'procedural'), (3, 'prospective')) v(i, c))
-SELECT c || '/index.md' AS path, '# ' || upper(c[1]) || c[2:] || chr(10) || chr(10) || coalesce(own || chr(10), '_No pages yet._' || chr(10)) AS content FROM d LEFT JOIN a ON c = cat
-UNION ALL SELECT 'index.md', '# Wiki Index' || chr(10) || chr(10) || coalesce(string_agg('## ' || c || chr(10) || chr(10) || root, chr(10) || chr(10) ORDER BY i) || chr(10), '_No pages yet._' || chr(10)) FROM d JOIN a ON c = cat""",
+    "category_index": (lambda s, d: pg.category_index(pages(s, d)), INDEXES),
+    "category_index_parts": (
+        lambda s, d: pg.category_index_parts(pages(s, d), 4096),
+        f"""WITH t AS (SELECT path AS p, string_split(content, chr(10))[:-2] AS ls FROM ({INDEXES})),
+l AS (SELECT p, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) || chr(10) AS line FROM t),
+o AS (SELECT *, sum(strlen(line)) OVER (PARTITION BY p ORDER BY i) - strlen(line) AS b FROM l)
+SELECT p AS path, floor(b / 4096)::BIGINT AS part_no, min(b)::BIGINT AS begin, string_agg(line, '' ORDER BY i) AS content FROM o GROUP BY ALL""",
     ),
     "sidecar_merge": (
         _upserted,

@@ -139,6 +139,23 @@ def test_walk_order_ranks_every_page(spark, tmp_path):
     assert sorted(r["rank"] for r in rows) == list(range(1, n + 1)) and got == sorted(got, key=lambda p: p.split("/"))
 
 
+def test_index_parts_join_to_the_index(spark):
+    many = [(f"{c}/{'d/' * (i % 3)}p{i:03d}.md", f"# T\n{'é' * (i % 70)} line {i}") for i in range(60) for c in ("episodic", "prospective")]
+    for rows in ([], [("semantic/a.md", None), ("semantic/index.md", "x"), ("other/b.md", "x"), ("procedural/b.md", "")], many):
+        df = spark.createDataFrame(rows, PAGE)
+        want = {r["path"]: r["content"] for r in pages.category_index(df).collect()}
+        for size in (1, 200, 1 << 20):
+            parts = pages.category_index_parts(df, size).orderBy("path", "begin").collect()
+            got: dict[str, str] = {}
+            for r in parts:
+                assert r["begin"] == len(got.get(r["path"], "").encode()) and r["begin"] // size == r["part_no"]
+                got[r["path"]] = got.get(r["path"], "") + r["content"]
+            assert got == want
+    assert all(len(r["content"].encode()) < 200 + 300 for r in pages.category_index_parts(df, 200).collect())
+    with pytest.raises(ValueError):
+        pages.category_index_parts(df, 0)
+
+
 def test_category_index_of_every_page(spark, tmp_path):
     rows = [(3, "# t\n" + "x" * 99 + "éé", "s"), (1, "é" * 51, "s"), (2, "short", "s")]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
