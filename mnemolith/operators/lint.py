@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.markdown import link_targets
 from ..functions.paths import MEMORY_TYPES, any_index, clean_path, decode_target, directory, external_link, source_anchor_link, structural_index, valid_page_path
 from ..functions.text import RFC3339, content_lines, has_frontmatter_comments, trim_all
 
@@ -120,56 +121,10 @@ def field_issues(pages: DataFrame, strict: bool = False, profile: str = "bundle"
     return pages.where(~(none & any_index(F.col("path")))).select("path", F.explode(found).alias("i")).select("i.severity", "path", "i.message")
 
 
-_CODE = re.compile(r"(`+)")
-_LINK = re.compile(r"(!?)\[[^\]]*\]\(([^)]*)\)")
-
-
-def prose_of(body: str) -> str:
-    """Markdown without fenced and inline code. Either fence form closes either; backticks without a
-    partner go."""
-    out, fenced = [], False
-    for line in body.split("\n"):
-        if line.strip().startswith(("```", "~~~")):
-            fenced = not fenced
-            out.append("")
-        elif fenced:
-            out.append("")
-        else:
-            kept, rest = [], line
-            while m := _CODE.search(rest):
-                kept.append(rest[: m.start()])
-                rest = rest[m.end() :]
-                end = rest.find(m[1])
-                if end >= 0:
-                    rest = rest[end + len(m[1]) :]
-            out.append("".join(kept) + rest)
-    return "\n".join(out)
-
-
-def destination(raw: str) -> str:
-    """The target of a link's parentheses: angle brackets and titles gone."""
-    raw = raw.strip()
-    if raw.startswith("<") and ">" in raw:
-        return raw[1 : raw.index(">")].strip()
-    quote = ""
-    for i, c in enumerate(raw):
-        if c in "'\"" and quote in ("", c):
-            quote = "" if quote else c
-        elif c in " \t\n" and not quote:
-            return raw[:i].strip()
-    return raw
-
-
-@F.pandas_udf(_TEXTS)
-def link_targets(body: pd.Series) -> pd.Series:
-    """Link destinations in prose, images left out."""
-    return body.map(lambda b: [destination(m[2]) for m in _LINK.finditer(prose_of(b or "")) if not m[1]])
-
-
 def page_links(pages: DataFrame) -> DataFrame:
     """``path, link, target``: links of the body that should lead to a file of the bundle, with the
     path they resolve to (null outside the bundle)."""
-    rows = pages.select("path", F.explode(link_targets("body")).alias("link"))
+    rows = pages.select("path", F.explode(link_targets(F.col("body"))).alias("link"))
     rows = rows.where((F.col("link") != "") & ~external_link(F.col("link")) & ~source_anchor_link(F.col("link")))
     rows = rows.withColumn("link", decode_target(F.regexp_replace("link", "[#?](?s:.*)\\z", "")))
     rows = rows.where((F.col("link") != "") & ~F.startswith("link", F.lit("/")))

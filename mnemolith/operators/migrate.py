@@ -13,14 +13,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.markdown import ANGLE, FENCED, TARGET
 from ..functions.paths import MEMORY_TYPES, PERCENT
-from .lint import destination
 
 #: Header keys that a legacy page may carry.
 LEGACY_KEYS = ("compiled_from", "source_events", "last_compiled", "timestamp", "memory_type", "trust_tier", "confidence", "type", "title", "description")
 _COMMENT = re.compile(r"^<!--\s*([A-Za-z_][\w-]*)\s*:\s*(.*?)\s*-->$", re.A)
 _WIKI = re.compile(r"\[\[([^\[\]\n]+)\]\]")
 _MARKDOWN = re.compile(r"(!?)\[([^\]]*)\]\(([^)]*)\)")
+_ANGLE, _TARGET = re.compile(ANGLE), re.compile(TARGET)
+_PIECE = re.compile(rf"{FENCED}|(?P<run>`++)(?:[^\n]*?(?P=run)|[^\n]*+)|(?P<text>[^`\n]++)|\n")
 _EXTERNAL = re.compile(r"(?i)https?://|mailto:|tel:|#")
 _ANCHOR = re.compile(r"^[^\s:]+:[0-9a-fA-F]{40}:.+:(deleted|[0-9]+:.+)$")
 
@@ -36,29 +38,16 @@ def _cut(text: str, n: int) -> str:
     return raw[:n].decode(errors="replace") + "..." if len(raw) > n else text
 
 
+def destination(raw: str) -> str:
+    """As the column of the same name, for one text."""
+    raw = raw.strip()
+    return (m[1] if (m := _ANGLE.match(raw)) else _TARGET.match(raw)[0]).strip()
+
+
 def outside_code(body: str, change) -> str:
-    """``change`` applied to the text outside fences and inline code; an open span ends the line."""
-    out, fenced = [], False
-    for line in body.split("\n"):
-        if line.strip().startswith(("```", "~~~")):
-            fenced = not fenced
-            out.append(line)
-            continue
-        if fenced:
-            out.append(line)
-            continue
-        done, rest = [], line
-        while rest:
-            tick = re.search(r"`+", rest)
-            done.append(change(rest[: tick.start()] if tick else rest))
-            if not tick:
-                break
-            end = rest.find(tick[0], tick.end())
-            stop = end + len(tick[0]) if end >= 0 else len(rest)
-            done.append(rest[tick.start() : stop])
-            rest = rest[stop:]
-        out.append("".join(done))
-    return "\n".join(out)
+    """``change`` applied to the text outside fences and inline code, piece by piece; an open span ends
+    the line."""
+    return _PIECE.sub(lambda m: change(m[0]) if m["text"] else m[0], body)
 
 
 def _escape(href: str) -> str:

@@ -9,6 +9,11 @@ from ..operators import capture, codefacts, guards, lint, migrate
 from ..operators import pages as pg
 from .views import PAGES, pages, table, values_sql
 
+#: Each word of a text as a link or in a form that isn't one, by its place; both dialects read it.
+MARKED = """CASE i % 11 WHEN 0 THEN '[' || w || '](' || w || '.md)' WHEN 1 THEN '![' || w || '](' || w || '.png)' WHEN 2 THEN '`[' || w || '](code/' || w || '.md)`'
+WHEN 3 THEN chr(10) || ' ```' || w || chr(10) || '[' || w || '](fenced/' || w || '.md) `' || chr(10) || '~~~' || chr(10) WHEN 4 THEN '[' || w || '](<../' || w || ' b.md> "t")'
+WHEN 5 THEN '[' || w || chr(10) || '`](`](' || w || '/x.md?q#' || w || ')' WHEN 6 THEN '[' || w || '](https://example.org/' || w || ')' WHEN 7 THEN '``[' || w || '](' || w || ')`[' || w || '](two)``'
+WHEN 8 THEN '[' || w || '](../../../' || w || ')' WHEN 9 THEN '[' || w || '](#' || w || ') [' || w || '](/' || w || ')' ELSE w END"""
 KINDS = "('semantic', 'episodic', 'procedural', 'prospective')"
 
 GOOD = '---\ntype: concept\ntitle: "A"\ndescription: "d"\ntimestamp: "2024-01-02T03:04:05Z"\nmemory_type: semantic\nsource_events: [e1, e2]\ntrust_tier: T1\n---\n'
@@ -138,6 +143,22 @@ d AS (SELECT i, c FROM (VALUES (0, 'semantic'), (1, 'episodic'), (2, 'procedural
 SELECT c || '/index.md' AS path, '# ' || upper(c[1]) || c[2:] || chr(10) || chr(10) || coalesce(own || chr(10), '_No pages yet._' || chr(10)) AS content FROM d LEFT JOIN a ON c = cat
 UNION ALL SELECT 'index.md', '# Wiki Index' || chr(10) || chr(10) || coalesce(string_agg('## ' || c || chr(10) || chr(10) || root, chr(10) || chr(10) ORDER BY i) || chr(10), '_No pages yet._' || chr(10)) FROM d JOIN a ON c = cat"""
 
+def _page_link_targets(s, d):
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0))
+    docs = table(s, d, "documents").select(F.concat(F.lit("semantic/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), words.alias("x"))
+    body = F.array_join(F.expr(f"transform(x, (w, i) -> {MARKED})"), " ")
+    links = lint.page_links(docs.select("path", body.alias("body")))
+    target = F.col("target")
+    return links.groupBy("path").agg(
+        F.count("*").alias("n_links"),
+        F.count(target).alias("n_inside"),
+        F.count_distinct(target).alias("n_targets"),
+        F.min(target).alias("first_target"),
+        F.max(target).alias("last_target"),
+        F.sum(F.length(target)).alias("n_chars"),
+    )
+
+
 QUERIES = {
     "search_lines": (
         lambda s, d: pg.search_lines(pages(s, d), "The"),
@@ -209,6 +230,12 @@ SELECT i, CASE WHEN k[1] IN {KINDS} THEN k[1] ELSE '' END AS store, migrated, CA
         lambda s, d: pages(s, d).selectExpr(*_columns(ODD_TARGETS)).select("i", paths.clean_path(F.concat(paths.directory(F.col("path")), F.lit("/"), paths.decode_target(F.col("x")))).alias("target"), paths.encode_target(paths.decode_target(F.col("x"))).alias("again")),
         f"WITH {PAGES}, v AS (SELECT *, string_split(path, '/') AS k, array_to_string(string_split(path, '/')[:-2], '/') AS dir FROM pg), x AS (SELECT {ODD_TARGETS} FROM pg) SELECT i, {REACHED} AS target, x AS again FROM v JOIN x ON i = doc_id",
     ),
+    "page_link_targets": (
+        _page_link_targets,
+        f"""WITH w AS (SELECT doc_id, unnest(x) AS w, generate_subscripts(x, 1) - 1 AS i FROM (SELECT doc_id, source, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS x FROM documents)),
+t AS (SELECT doc_id, CASE i % 11 WHEN 0 THEN 'semantic/' || w || '.md' WHEN 4 THEN w || ' b.md' WHEN 5 THEN 'semantic/' || w || '/x.md' END AS target, i FROM w WHERE i % 11 IN (0, 4, 5, 8))
+SELECT 'semantic/' || doc_id || '.md' AS path, count(*) AS n_links, count(target) AS n_inside, count(DISTINCT target) AS n_targets, min(target) AS first_target, max(target) AS last_target, CAST(sum(length(target)) AS BIGINT) AS n_chars FROM t GROUP BY doc_id""",
+    ),
     "link_kinds": (
         lambda s, d: table(s, d, "pages").selectExpr(*_columns(ODD_LINKS)).select("i", paths.external_link(F.col("x")).alias("external"), paths.source_anchor_link(F.col("x")).alias("anchor")),
         f"WITH v AS (SELECT {ODD_LINKS} FROM pages) SELECT i, regexp_matches(lower(x), '^(https?://|mailto:|tel:|#)') AS external, regexp_matches(x, '^[^\\s:]+:[0-9a-fA-F]{{40}}:.+:(deleted|[0-9]+:.+)$') AS anchor FROM v",
