@@ -51,12 +51,6 @@ def file_manifest(facts: DataFrame) -> DataFrame:
     return facts.groupBy("path").agg(some("id").alias("fact_ids"), some("symbol").alias("symbols"), some("anchor").alias("anchors"))
 
 
-def file_hashes(files: DataFrame) -> DataFrame:
-    """One row: path to SHA-256 of the files that have one."""
-    pairs = F.collect_list(F.when(F.coalesce("hash", F.lit("")) != "", F.struct("path", "hash")))
-    return files.agg(F.map_from_entries(F.array_sort(pairs)).alias("file_hashes"))
-
-
 def test_target(name: Column) -> Column:
     """What a test, benchmark or fuzz function is named after, else empty."""
     return F.coalesce(F.nullif(F.regexp_extract(name, r"^(?:Test|Benchmark|Fuzz)(.*)\z", 1), F.lit("")), F.lit(""))

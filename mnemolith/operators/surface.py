@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import trim_all
+from .parts import PART_BYTES, text_parts
 
 #: The closed vocabularies of an event.
 VOCABULARY = {
@@ -130,6 +131,25 @@ def scan_manifest(facts: DataFrame, files: DataFrame, changed: DataFrame | None
     return out.join(one(sets), "k").select("fact_ids", "file_hashes", "changed", "deleted")
 
 
+def scan_manifest_parts(facts: DataFrame, files: DataFrame, changed: DataFrame | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The same manifest as JSON lines in numbered parts (path, part_no, begin, content), with nothing gathered in a
+    cell: first whether the scan was incremental, then ids, hashes, changed and deleted paths, each kind in order.
+
+    Nulls and empty hashes are left out, repeated ids stay, changed and deleted paths are sets.
+    """
+    line = lambda section, key, *fields: F.struct(F.lit(section).alias("section"), key.alias("key"), F.to_json(F.struct(*fields)).alias("text")).alias("r")
+    id_, path, hash_ = (F.col(c).cast("string") for c in ("id", "path", "hash"))
+    rows = facts.sparkSession.range(1, numPartitions=1).select(line(0, F.lit(""), F.lit(changed is not None).alias("incremental")))
+    rows = rows.unionByName(facts.where(id_.isNotNull()).select(line(1, id_, id_.alias("fact_id"))))
+    rows = rows.unionByName(files.where(path.isNotNull() & (F.coalesce(hash_, F.lit("")) != "")).select(line(2, path, path.alias("path"), hash_.alias("hash"))))
+    if changed is not None:
+        sets = changed.where(path.isNotNull()).select(path.alias("path"), "change").distinct()
+        for section, kind in ((3, "changed"), (4, "deleted")):
+            rows = rows.unionByName(sets.where(F.col("change") == kind).select(line(section, path, path.alias(kind))))
+    lines = rows.select(F.lit("manifest.jsonl").alias("path"), "r.section", "r.key", F.concat("r.text", F.lit("\n")).alias("text"))
+    return text_parts(lines, "section", "key", part_bytes=part_bytes)
+
+
 def clean_scope(scope: Column) -> Column:
     """A repository-relative scope without ``.`` parts; null if it leaves the repository."""
     from ..functions.paths import clean_path

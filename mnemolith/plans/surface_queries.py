@@ -93,6 +93,19 @@ string_agg('[' || id || '] ' || content || CASE WHEN seq % 2 = 0 THEN '  task=t'
         lambda s, d: surface.scan_manifest(pages(s, d).select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("id")), pages(s, d).select("path", F.when(F.col("doc_id") % 5 > 0, F.sha2("content", 256)).alias("hash")), codefacts.file_sets(pages(s, d).select(F.when(F.col("doc_id") % 2 == 0, "D").otherwise("M").alias("status"), F.col("path").alias("old_path"), F.lit("").alias("new_path")))).select(F.md5(F.array_join("fact_ids", ",")).alias("facts"), F.md5(F.array_join(F.transform(F.map_entries("file_hashes"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")).alias("hashes"), F.md5(F.array_join("changed", ",")).alias("changed"), F.md5(F.array_join("deleted", ",")).alias("deleted")),
         f"WITH {PAGES} SELECT md5(string_agg('f' || doc_id, ',' ORDER BY 'f' || doc_id)) AS facts, md5(string_agg(CASE WHEN doc_id % 5 > 0 THEN path || '=' || sha256(content) END, ',' ORDER BY path)) AS hashes, md5(string_agg(CASE WHEN doc_id % 2 > 0 THEN path END, ',' ORDER BY path)) AS changed, md5(string_agg(CASE WHEN doc_id % 2 = 0 THEN path END, ',' ORDER BY path)) AS deleted FROM pg",
     ),
+    "scan_manifest_parts": (
+        lambda s, d: surface.scan_manifest_parts(
+            pages(s, d).select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("id")),
+            pages(s, d).select("path", F.when(F.col("doc_id") % 5 > 0, F.sha2("content", 256)).alias("hash")),
+            codefacts.file_sets(pages(s, d).select(F.when(F.col("doc_id") % 2 == 0, "D").otherwise("M").alias("status"), F.col("path").alias("old_path"), F.lit("").alias("new_path"))),
+            part_bytes=4096,
+        ).drop("path"),
+        f"""WITH {PAGES}, l AS (SELECT 0 AS s, '' AS k, '{{"incremental":true}}' AS x
+UNION ALL SELECT 1, 'f' || doc_id, '{{"fact_id":"f' || doc_id || '"}}' FROM pg UNION ALL SELECT 2, path, '{{"path":"' || path || '","hash":"' || sha256(content) || '"}}' FROM pg WHERE doc_id % 5 > 0
+UNION ALL SELECT 3 + (doc_id % 2 = 0)::INT, path, '{{"' || CASE doc_id % 2 WHEN 0 THEN 'deleted' ELSE 'changed' END || '":"' || path || '"}}' FROM pg),
+o AS (SELECT s, k, x || chr(10) AS line, sum(strlen(x) + 1) OVER (ORDER BY s, k) - strlen(x) - 1 AS b FROM l)
+SELECT floor(b / 4096)::BIGINT AS part_no, min(b)::BIGINT AS begin, string_agg(line, '' ORDER BY s, k) AS content FROM o GROUP BY ALL""",
+    ),
     "clean_scopes": (
         lambda s, d: _odd(pages(s, d), ODD_SCOPES).select("i", surface.clean_scope(F.col("x")).alias("scope")),
         f"WITH {PAGES} SELECT doc_id AS i, CASE WHEN doc_id % 9 < 2 THEN '.' WHEN doc_id % 9 IN (2, 3, 7) THEN path WHEN doc_id % 9 = 8 THEN array_to_string(string_split(path, '/')[:-2], '/') END AS scope FROM pg",

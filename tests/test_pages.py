@@ -1,9 +1,10 @@
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from mnemolith.operators import codefacts, lint, migrate, pages
+from mnemolith.operators import codefacts, lint, migrate, pages, surface
 from mnemolith.plans import registry
 from mnemolith.plans.page_queries import GOOD, LEGACY
 from mnemolith.store import MemoryStore
@@ -156,6 +157,25 @@ def test_index_parts_join_to_the_index(spark):
         pages.category_index_parts(df, 0)
 
 
+def test_manifest_parts_hold_the_manifest(spark):
+    ids = [("f%03d" % (i % 90),) for i in range(120)] + [(None,), ('q"\n\\é',)]
+    hashes = [(f"d/{i}.go", None if i % 4 == 0 else "" if i % 4 == 1 else f"h{i}") for i in range(50)]
+    sets = [(f"d/{i % 9}.go", "deleted" if i % 2 else "changed") for i in range(20)]
+    for a, b, c in ((ids, hashes, sets), (ids, hashes, None), ([], [], []), ([], [], None)):
+        facts, files = spark.createDataFrame(a, "id string"), spark.createDataFrame(b, "path string, hash string")
+        changed = None if c is None else spark.createDataFrame(c, "path string, change string")
+        want = surface.scan_manifest(facts, files, changed).first()
+        for size in (1, 300, 1 << 20):
+            parts = surface.scan_manifest_parts(facts, files, changed, size).orderBy("begin").collect()
+            assert all(r["begin"] // size == r["part_no"] and len(r["content"].encode()) < size + 100 for r in parts)
+            lines = [json.loads(x) for x in "".join(r["content"] for r in parts).split("\n")[:-1]]
+            assert lines[0] == {"incremental": c is not None}
+            assert [x["fact_id"] for x in lines if "fact_id" in x] == want["fact_ids"]
+            assert {x["path"]: x["hash"] for x in lines if "path" in x} == want["file_hashes"]
+            for kind in ("changed", "deleted"):
+                assert [x[kind] for x in lines if kind in x] == (want[kind] or [])
+
+
 def test_category_index_of_every_page(spark, tmp_path):
     rows = [(3, "# t\n" + "x" * 99 + "éé", "s"), (1, "é" * 51, "s"), (2, "short", "s")]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
