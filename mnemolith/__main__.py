@@ -1,18 +1,22 @@
-"""python -m mnemolith validate|migrate|scan FOLDER [--strict] [--write OUT] [--tree OUT] [--in-place [--backup]]
+"""python -m mnemolith validate|migrate|scan FOLDER [--strict] [--write OUT] [--tree OUT] [--in-place [--backup]] [--commit SHA]
 
 validate exits 1 on errors (and on warnings if strict), 2 on misuse. migrate lists what changes; --write gives
 its table as Parquet, --tree all pages as Markdown files in another folder, --in-place rewrites the changed pages where they are,
 with --backup keeping each as .bak. If a page can't be migrated, no Markdown is written and it exits 1.
+scan names files by their path in the folder and stamps the commit that is checked out there (HEAD if there is none, or --commit) and
+the name of the remote, else the folder's.
 """
 
 from __future__ import annotations
 
+import os
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from .operators import codefacts, lint, migrate
-from .sources.files import read_markdown, write_facts, write_markdown
+from .operators import codefacts, lint, migrate, surface
+from .sources.files import checkout, read_markdown, read_sources, write_facts, write_markdown
 from .sources.tables import materialize
 
 
@@ -42,8 +46,9 @@ def main(args: list[str]) -> int:
             if "--in-place" in args:
                 write_markdown(done.where("changed"), args[1], "--backup" in args)
         return 0
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.go").load(args[1])
-    facts = codefacts.scan_facts(files.selectExpr("path", "CAST(content AS STRING) AS content"), args[1].rstrip("/").rsplit("/", 1)[-1], "HEAD")
+    commit, remote = checkout(spark, args[1])
+    name = spark.range(1).select(surface.repo_name(F.lit(remote), F.lit(os.path.abspath(args[1]) if "://" not in args[1] else args[1]))).first()[0]
+    facts = codefacts.scan_facts(read_sources(spark, args[1]), name, args[args.index("--commit") + 1] if "--commit" in args else commit or "HEAD")
     if out:
         write_facts(facts, codefacts.snippets(facts), out)
     else:

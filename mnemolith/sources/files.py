@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -147,6 +149,29 @@ def read_markdown(spark: SparkSession, root: str, validation_rules: bool = True)
     return rows.where(F.endswith("path", F.lit(".md")) & ~F.startswith("path", F.lit(".meta/")))
 
 
+def read_sources(spark: SparkSession, root: str, suffix: str = ".go") -> DataFrame:
+    """``path, content`` of the source files below root outside dot directories; paths are relative to root."""
+    base = qualified(spark, root)[1].toString()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(base)
+    rows = files.select(F.substr("path", F.lit(len(base.rstrip("/")) + 2)).alias("path"), F.col("content").cast("string").alias("content"))
+    return rows.where(~F.col("path").rlike(r"(^|/)\.[^/]*/"))
+
+
+def checkout(spark: SparkSession, root: str) -> tuple[str, str]:
+    """(commit, address of the remote ``origin``) of a working tree, read from its ``.git`` folder; empty where there is none."""
+
+    def text(name: str) -> str:
+        files, path = qualified(spark, f"{root.rstrip('/')}/.git/{name}")
+        return read_text(spark, path.toString()) if files.exists(path) and not files.getFileStatus(path).isDirectory() else ""
+
+    head = text("HEAD").strip()
+    ref = head.removeprefix("ref:").strip() if head.startswith("ref:") else ""
+    packed = (line.split() for line in text("packed-refs").splitlines() if ref)
+    commit = (text(ref).strip() or next((x[0] for x in packed if x[1:] == [ref]), "")) if ref else head
+    origin = re.search(r'(?m)^\s*\[remote "origin"\]\s*$(?:\n(?!\s*\[).*)*?\n\s*url\s*=\s*(.*)', text("config"))
+    return commit, origin[1].strip() if origin else ""
+
+
 class StaleBase(RuntimeError):
     """The pages changed after the version that a change was made from."""
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .functions.paths import memory_type
 from .operators import lint, log, pages
 from .sources.appendlog import qualified
 from .sources.files import EVENT_SCHEMA, PageVersions, append_events, json_log, read_events
@@ -67,15 +68,20 @@ class MemoryStore:
         return none if now is None else none.unionByName(now, allowMissingColumns=True)
 
     def read_page(self, path: str) -> DataFrame:
-        return self.pages().where(F.col("path") == path)
+        """A page with its sidecar; of a bundle's page that is the memory type of its path alone."""
+        page = self.pages().where(F.col("path") == path)
+        if not self.read_only:
+            return page
+        own = {c: F.lit(None).cast(t) for c, t in page.dtypes if c not in ("path", "content")}
+        return page.withColumns(own | {"memory_type": memory_type(F.col("path"))})
 
     def open_page(self, path: str) -> DataFrame:
-        """A page with its sidecar and access dates, this access among them; a bundle records none. A page that
+        """A page with its sidecar and access dates, this access among them; a bundle records and has none. A page that
         isn't there gives no row and leaves no record."""
         page = self.read_page(path)
         if not self.read_only and not page.isEmpty():
             self._record(self.spark.createDataFrame([(path,)], "path string").select("path", F.current_timestamp().alias("at"), F.lit(time.time_ns()).alias("read_no"), F.lit(False).alias("gone")))
-        return page.join(self.telemetry(F.col("path") == path), "path", "left")
+        return page.join(self.telemetry(F.lit(False) if self.read_only else F.col("path") == path), "path", "left")
 
     def _record(self, reads: DataFrame) -> None:
         reads.coalesce(1).write.mode("append").parquet(f"{self.root}/reads")

@@ -111,6 +111,8 @@ def test_open_page_records_the_access(spark, tmp_path):
     assert 1 <= len(store.open_page("semantic/a.md").first()["access_dates"]) <= 2  # twice a day counts once
     bundle = MemoryStore(spark, str(tmp_path), read_only=True)
     before = spark.read.parquet(f"{tmp_path}/reads").count()
+    row = bundle.open_page("semantic/a.md").first().asDict()
+    assert {k: v for k, v in row.items() if v is not None} == {"path": "semantic/a.md", "content": "A", "memory_type": "semantic"}
     assert bundle.open_page("semantic/a.md").count() == 1 and spark.read.parquet(f"{tmp_path}/reads").count() == before == 2
 
 

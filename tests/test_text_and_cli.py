@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from mnemolith.__main__ import main
 from mnemolith.functions import text
 from mnemolith.plans.page_queries import GO, GOOD
-from mnemolith.sources.files import PageVersions, read_markdown, write_markdown
+from mnemolith.sources.files import PageVersions, checkout, read_markdown, write_markdown
 
 
 def one(spark, column, value):
@@ -58,6 +58,23 @@ def test_command_line(spark, tmp_path, capsys):
     assert spark.read.json(str(tmp_path / "facts/facts")).count() == 10
 
 
+def test_scan_names_the_commit_and_relative_paths(spark, tmp_path, capsys):
+    root, git, sha = tree(tmp_path), tmp_path / "wiki/.git", "a" * 40
+    (git / "y.go").write_text("package no")
+    assert checkout(spark, root) == ("", "")
+    scan = lambda *args: (main(["scan", root, "--write", str(tmp_path / "facts"), *args]), {(r["repo"], r["commit_sha"], r["path"]) for r in spark.read.json(str(tmp_path / "facts/facts")).collect()})
+    assert scan() == (0, {("wiki", "HEAD", "pkg/a.go")})
+    (git / "HEAD").write_text("ref: refs/heads/main\n")
+    (git / "packed-refs").write_text(f"# pack-refs with: peeled\n{'b' * 40} refs/heads/other\n{sha} refs/heads/main\n^{'c' * 40}\n")
+    (git / "config").write_text('[core]\n\turl = no\n[remote "other"]\n\turl = no\n[remote "origin"]\n\tfetch = x\n\turl = git@host:team/name.git\n')
+    assert checkout(spark, root) == (sha, "git@host:team/name.git") and scan() == (0, {("name", sha, "pkg/a.go")})
+    (git / "refs/heads").mkdir(parents=True)
+    (git / "refs/heads/main").write_text("d" * 40 + "\n")  # a loose ref comes before a packed one
+    assert checkout(spark, root)[0] == "d" * 40
+    (git / "HEAD").write_text(sha)
+    assert checkout(spark, root)[0] == sha and scan("--commit", "e" * 40) == (0, {("name", "e" * 40, "pkg/a.go")})
+
+
 def test_migrate_writes_markdown(spark, tmp_path):
     root = tree(tmp_path)
     old = "<!-- last_compiled: 2024-01-01T00:00:00Z -->\n# Old\n\n[[semantic/a]] tells.\n"
