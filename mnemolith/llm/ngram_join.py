@@ -12,7 +12,9 @@ is compared, and the words themselves decide what is linked. Equal texts become
   dropped; what the prefix of a document shares with the union of a group's prefixes is summed over
   tokens, within size and position bounds, and only cells are visited whose sum reaches what the suffixes can't
   make up for, which is most of the prefix where sizes are alike. Documents of the
-  smaller component visit the groups of the larger.
+  smaller component visit the groups of the larger. Documents outside any component that are of like size and
+  have the same one of their commonest tokens are a group, too, in blocks of the same bounds, so that many that are alike but
+  not linked meet a few blocks and not each other one by one; they visit their own group's blocks as well.
 * A visited group holds the union of its members' tokens, which bounds a query's overlap with every one;
   only a group whose bound reaches the threshold is opened, and its members are then compared.
 
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -191,7 +194,7 @@ def link_group(label, sets, host, check, t: int) -> list[tuple[int, int]]:
     return out
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block: int = 256, block_tokens: int = 500_000, shared: int = 8, hot_rows: int = 1_024, hot_limit: int = 500_000) -> DataFrame:
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block: int = 256, block_tokens: int = 500_000, shared: int = 8, hot_rows: int = 1_024, hot_limit: int = 500_000, kin: int = 64) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row.
 
     Two documents link when the Jaccard similarity of their sets of ``words``-word shingles (lower-cased
@@ -201,18 +204,18 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reachable. A null id takes part as the smallest value internally and is returned as null.
 
     ``shared`` is the number of tokens that prefixes have beyond the first that must be shared, ``block`` and ``block_tokens`` bound a
-    group's members, and ``hot_limit`` the frequent tokens that the order knows: all of them only affect
-    speed. The tables in between are deleted when the result is written.
+    group's members, ``hot_limit`` the frequent tokens that the order knows, and unconnected documents are grouped
+    by tokens of ``kin`` documents or more: all of them only affect speed. The tables in between are deleted when the result is written.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     with Scratch(docs.sparkSession) as tables:
         for seed in itertools.count():
-            out = join_under(rows, words, percent, block, block_tokens, shared, hot_rows, hot_limit, seed)
+            out = join_under(rows, words, percent, block, block_tokens, shared, hot_rows, hot_limit, kin, seed)
             if out is not None:
                 return tables.keep(out)
 
 
-def join_under(docs: DataFrame, words: int, t: int, block: int, block_tokens: int, shared: int, hot_rows: int, hot_limit: int, seed: int) -> DataFrame | None:
+def join_under(docs: DataFrame, words: int, t: int, block: int, block_tokens: int, shared: int, hot_rows: int, hot_limit: int, kin: int, seed: int) -> DataFrame | None:
     """ngram_join under one hash; None if a document's own shingles share a token."""
     low = -(1 << 63)
     src = docs.select(F.coalesce("doc_id", F.lit(low)).alias("doc_id"), "text")
@@ -244,11 +247,12 @@ def join_under(docs: DataFrame, words: int, t: int, block: int, block_tokens: in
     del top
 
     def sign(batches):
-        schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "n", "kinds", "f1", "f2", "g1", "g2", "cold")] + [("prefix", pa.list_(pa.int64()))])
+        schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "n", "kinds", "f1", "f2", "g1", "g2", "cold", "kin")] + [("prefix", pa.list_(pa.int64()))])
         for b in slices(batches, 64):
             cols = {c: [] for c in schema.names[1:]}
             for sh in shingles_of(b.column(1)):
                 u, n = distinct_tokens(sh, sh.tokens(seed))
+                kinds = len(u)
                 f1, f2 = sh.print()
                 own = np.zeros(len(u), np.uint8)
                 if len(hot):
@@ -258,12 +262,14 @@ def join_under(docs: DataFrame, words: int, t: int, block: int, block_tokens: in
                 least = least_shared(len(u), t)
                 order = order[: len(u) - least + min(shared, least)]
                 g = (int(u[0]), int(mix(mix(u ^ np.uint64(0xA5A5A5A5A5A5A5A5)).min(keepdims=True))[0])) if n else (0, 0)
-                row = (n, len(u), f1, f2, *np.array(g, np.uint64).view(np.int64).tolist(), int((own[order] < np.log2(hot_rows)).sum()), u[order].view(np.int64))
+                u, own = u[order].view(np.int64), own[order]
+                near = int(u[np.searchsorted(own, own[-1])]) if len(u) and own[-1] >= np.log2(kin) else None  # the first of the commonest
+                row = (n, kinds, f1, f2, *np.array(g, np.uint64).view(np.int64).tolist(), int((own < np.log2(hot_rows)).sum()), near, u)
                 for c, v in zip(schema.names[1:], row, strict=True):
                     cols[c].append(v)
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), **cols}, schema=schema)
 
-    signed = materialize(src.mapInArrow(sign, "doc_id bigint, n bigint, kinds bigint, f1 bigint, f2 bigint, g1 bigint, g2 bigint, cold bigint, prefix array<bigint>"))
+    signed = materialize(src.mapInArrow(sign, "doc_id bigint, n bigint, kinds bigint, f1 bigint, f2 bigint, g1 bigint, g2 bigint, cold bigint, kin bigint, prefix array<bigint>"))
     if signed.where("n <> kinds").take(1):
         return None
     light = signed.select("doc_id", "n", "f1", "f2")
@@ -306,22 +312,32 @@ def join_under(docs: DataFrame, words: int, t: int, block: int, block_tokens: in
     width = materialize(parts.groupBy("component").agg(F.first("members").alias("members"), blocks_of(F.count("*"), F.sum("n")).alias("k")))
     known = broadcast_if_small(materialize(found.join(width, "component").select("doc_id", "component", "members", dealt("k").alias("blk"))))
 
-    def placed(df: DataFrame) -> DataFrame:
+    def placed(df: DataFrame, known: DataFrame) -> DataFrame:
+        """With the component and the group that a document is compared in; ``loose`` is one of documents in no component."""
         df = df.join(known, "doc_id", "left")
-        return df.withColumns({"component": F.coalesce("component", "doc_id"), "members": F.coalesce("members", F.lit(1).cast("long")), "blk": F.coalesce("blk", F.lit(0))})
-
-    posts = placed(mine.select("doc_id", "f1", "n", "cold", "prefix"))
-    posts = posts.select("doc_id", "f1", "n", "cold", "component", "members", "blk", F.posexplode("prefix").alias("pos", "tok"))
+        alone = {"component": F.col("doc_id"), "home": F.coalesce("component", "doc_id"), "members": F.lit(1).cast("long"), "blk": F.lit(0), "loose": F.lit(False)}
+        return df.withColumns({c: F.coalesce(c, v) for c, v in alone.items()})
+
+    # Of what is in no component, those of like size with the same commonest token are compared in blocks.
+    known = known.withColumns({"home": F.col("component"), "loose": F.lit(False)})
+    single = placed(mine.where("kin IS NOT NULL").select("doc_id", "n", "kin"), known).where("members = 1")
+    single = materialize(single.groupBy("doc_id").agg(F.min("kin").alias("kin"), F.max("n").alias("n")).withColumn("class", F.floor(F.log("n") / math.log(100 / t))))
+    crowds = single.groupBy("kin", "class").agg(F.min("doc_id").alias("home"), F.count("*").alias("members"), blocks_of(F.count("*"), F.sum("n")).alias("k")).where("members > 1")
+    alike = single.join(crowds, ["kin", "class"]).select("doc_id", F.col("doc_id").alias("component"), "members", dealt("k").alias("blk"), "home", F.lit(True).alias("loose"))
+    known = broadcast_if_small(materialize(known.unionByName(alike)))
+
+    posts = placed(mine.select("doc_id", "f1", "n", "cold", "prefix"), known)
+    posts = posts.select("doc_id", "f1", "n", "cold", "component", "home", "loose", "members", "blk", F.posexplode("prefix").alias("pos", "tok"))
     by = Window.partitionBy("tok")
     rare = posts.where("pos < cold").withColumn("open", F.min("component").over(by) < F.max("component").over(by)).where("open").drop("open")
     often = posts.where("pos >= cold")  # of a bounded list; a token may have very many rows
     mixed = often.groupBy("tok").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("tok")
     often = often.join(broadcast_if_small(materialize(mixed)), "tok", "left_semi").select(rare.columns)
     met = materialize(rare.unionByName(often).withColumn("room", F.col("n") - F.col("pos") + most_overlap(F.col("n"), t, shared) - 1))
-    groups = met.groupBy("tok", "component", "blk", "members").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("room").alias("wide"))
-    groups = groups.select("tok", F.col("component").alias("at"), F.col("blk").alias("at_blk"), F.col("members").alias("crowd"), "low", "high", "wide")
+    groups = met.groupBy("tok", "home", "blk", "members").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("room").alias("wide"))
+    groups = groups.select("tok", F.col("home").alias("at"), F.col("blk").alias("at_blk"), F.col("members").alias("crowd"), "low", "high", "wide")
     meets = (
-        ((F.col("members") < F.col("crowd")) | ((F.col("members") == F.col("crowd")) & (F.col("component") < F.col("at"))))
+        ((F.col("members") < F.col("crowd")) | ((F.col("members") == F.col("crowd")) & (F.col("home") < F.col("at"))) | (F.col("loose") & (F.col("home") == F.col("at")) & (F.col("blk") <= F.col("at_blk"))))
         & (100 * F.col("high") >= t * F.col("n"))
         & (100 * F.col("n") >= t * F.col("low"))
         & (F.least("room", "wide") * (100 + t) >= t * (F.col("n") + F.col("low")))
@@ -331,8 +347,8 @@ def join_under(docs: DataFrame, words: int, t: int, block: int, block_tokens: in
     open_ = visits.groupBy("at", "at_blk").agg(blocks_of(F.count("*"), F.sum("n")).alias("k"))
     open_ = broadcast_if_small(materialize(open_))
     guests = visits.join(open_, ["at", "at_blk"]).select("doc_id", "f1", "at", "at_blk", dealt("k").alias("q"), F.col("component").alias("label"), F.lit(False).alias("host"))
-    hosts = placed(members.select("doc_id", "f1")).withColumnsRenamed({"component": "at", "blk": "at_blk"}).join(open_, ["at", "at_blk"])
-    hosts = hosts.select("doc_id", "f1", "at", "at_blk", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("q"), F.col("at").alias("label"), F.lit(True).alias("host"))
+    hosts = placed(members.select("doc_id", "f1"), known).withColumnsRenamed({"home": "at", "blk": "at_blk"}).join(open_, ["at", "at_blk"])
+    hosts = hosts.select("doc_id", "f1", "at", "at_blk", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("q"), F.col("component").alias("label"), F.lit(True).alias("host"))
     second = links(guests.unionByName(hosts), "at", "at_blk", "q")
 
     edges = found.select(F.col("doc_id").alias("src"), F.col("component").alias("dst")).unionByName(second)

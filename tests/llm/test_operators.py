@@ -462,3 +462,31 @@ def test_packing_of_many_null_ids(spark):
     got = packing.pack_buckets(docs, max_len=64, n_buckets=3, token_budget=256, shard_rows=50)
     slots = got.groupBy("batch_id", "slot").count()
     assert got.count() == 900 and slots.where("count > 1").count() == 0
+
+
+def joined_rows(spark, mark):
+    """Output rows of all joins so far whose text holds the mark, by run and node."""
+    store, rows = spark._jsparkSession.sharedState().statusStore(), {}
+    runs = store.executionsList()
+    for e in (runs.apply(i).executionId() for i in range(runs.size())):
+        values, nodes = store.executionMetrics(e), store.planGraph(e).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            for x in (node.metrics().apply(m) for m in range(node.metrics().size()) if "Join" in node.name() and mark in node.desc()):
+                if x.name() == "number of output rows" and values.contains(x.accumulatorId()):
+                    rows[e, node.id()] = int(values.get(x.accumulatorId()).get().replace(",", ""))
+    return rows
+
+
+def test_ngram_join_of_many_alike_that_do_not_link(spark):
+    """Their prefixes meet blocks, not each other one by one, and links among them are still found."""
+    base, docs = [f"b{i}" for i in range(60)], []
+    for i in range(400):
+        words = list(base)
+        for k, at in enumerate(np.random.default_rng(i).choice(range(4, 56, 8), 2, replace=False)):
+            words[at] = f"e{i}_{k}"
+        docs += [(i, " ".join(words)), (i + 1_000, " ".join([*words[:-2], f"x{i}", f"y{i}"]))][: 2 if i % 40 == 0 else 1]
+    before = joined_rows(spark, "crowd")
+    got = by_id(ngram_join.ngram_join(spark.createDataFrame(docs, "doc_id long, text string"), words=4, percent=85))
+    made = sum(v for k, v in joined_rows(spark, "crowd").items() if k not in before)
+    assert {k: r["component_id"] for k, r in got.items()} == {k: k % 1_000 for k, _ in docs}
+    assert 0 < made < 20 * len(docs) * 10, made
