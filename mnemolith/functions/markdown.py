@@ -49,5 +49,6 @@ def destination(raw: Column) -> Column:
 
 def link_targets(body: Column) -> Column:
     """Destinations of the links in prose, in order, images left out."""
+    none = ~F.contains(body, F.lit("](")) & ~F.contains(body, F.lit("]`"))  # only a code span can stand between ] and ( and go
     links = F.filter(F.regexp_extract_all(prose(body), F.lit(LINK), F.lit(0)), lambda x: ~F.startswith(x, F.lit("!")))
-    return F.transform(links, lambda x: destination(F.regexp_replace(x, r"\A\[[^\]]*+\]\(|\)\z", "")))
+    return F.when(none, F.array().cast("array<string>")).otherwise(F.transform(links, lambda x: destination(F.regexp_replace(x, r"\A\[[^\]]*+\]\(|\)\z", ""))))

@@ -54,9 +54,14 @@ def parse_time(c: Column) -> Column:
     return F.when(c.rlike(RFC3339), F.try_to_timestamp(c))
 
 
+def one_line_end(c: Column) -> Column:
+    """With line feeds for CRLF and CR."""
+    return F.when(F.contains(c, F.lit("\r")), F.regexp_replace(c, "\r\n?", "\n")).otherwise(c)
+
+
 def content_lines(c: Column) -> Column:
     """Lines without line ends; CRLF and CR count as line ends."""
-    return F.split(F.regexp_replace(c, "\r\n?", "\n"), "\n")
+    return F.split(one_line_end(c), "\n")
 
 
 def has_frontmatter_comments(c: Column) -> Column:

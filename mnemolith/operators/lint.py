@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.markdown import link_targets
+from ..functions.markdown import LINE_SPACE, link_targets
 from ..functions.paths import MEMORY_TYPES, any_index, clean_path, decode_target, directory, external_link, source_anchor_link, structural_index, valid_page_path
-from ..functions.text import RFC3339, content_lines, has_frontmatter_comments, trim_all
+from ..functions.text import RFC3339, has_frontmatter_comments, one_line_end, trim_all
+from ..sources.tables import materialize
 
 #: Closed vocabularies of page fields.
 PAGE_TYPES = ("concept", "procedure", "decision", "person", "project", "event")
@@ -22,19 +23,16 @@ REQUIRED = ("title", "description", "timestamp", "memory_type")
 
 def split_frontmatter(pages: DataFrame) -> DataFrame:
     """Adds ``header`` (null without frontmatter), ``body`` and ``unterminated``."""
-    text = F.regexp_replace(F.col("content"), "^\\x{FEFF}", "")
-    rows = pages.withColumn("_l", content_lines(text)).withColumn("_t", F.transform("_l", trim_all))
-    opened = F.get("_l", F.lit(0)) == "---"
-    close = F.array_position(F.slice("_t", 2, F.greatest(F.size("_t") - 1, F.lit(0))), "---").cast("int")
-    rows = rows.withColumn("_o", opened).withColumn("_c", close)
-    done = F.col("_o") & (F.col("_c") > 0)
-    header = F.array_join(F.slice("_l", F.lit(2), F.greatest(F.col("_c") - 1, F.lit(0))), "\n")
-    after = F.array_join(F.slice("_l", F.greatest(F.col("_c") + 2, F.lit(1)), F.size("_l")), "\n")
+    text = one_line_end(F.regexp_replace(F.col("content"), "^\\x{FEFF}", ""))
+    rows = pages.withColumn("_x", text).withColumn("_o", (F.col("_x") == "---") | F.startswith("_x", F.lit("---\n")))
+    # An opened text is cut once, at the first line that closes it.
+    rows = rows.withColumn("_c", F.when(F.col("_o"), F.split("_x", rf"\n[{LINE_SPACE}]*+---[{LINE_SPACE}]*+(?=\n|\z)", 2)))
+    done = F.col("_o") & (F.size("_c") > 1)
     return (
-        rows.withColumn("header", F.when(done, header))
-        .withColumn("body", F.when(done, after).when(F.col("_o"), "").otherwise(F.array_join("_l", "\n")))
-        .withColumn("unterminated", F.col("_o") & (F.col("_c") == 0))
-        .drop("_l", "_t", "_o", "_c")
+        rows.withColumn("header", F.when(done, F.expr("substring(_c[0], 5)")))
+        .withColumn("body", F.when(done, F.expr("substring(_c[1], 2)")).when(F.col("_o"), "").otherwise(F.col("_x")))
+        .withColumn("unterminated", F.col("_o") & (F.size("_c") == 1))
+        .drop("_x", "_o", "_c")
     )
 
 
@@ -81,18 +79,17 @@ _FIELDS = T.StructType([T.StructField("fields", T.MapType(T.StringType(), _TEXTS
 def parse_fields(header: pd.Series) -> pd.DataFrame:
     """YAML headers as flat fields, or the error; null stays without either."""
     yaml, loader = _loader()
-    fields, errors = [], []
-    for text in header:
+    read = {None: ({}, None)}
+    for text in set(header.dropna()):  # equal headers of a batch are read once
         try:
-            raw = yaml.load(text, loader) if text is not None else None
+            raw = yaml.load(text, loader)
             if raw is not None and not isinstance(raw, dict):
                 raise yaml.YAMLError("not a mapping")
-            fields.append({str(k): flatten_value(v) for k, v in (raw or {}).items()})
-            errors.append(None)
+            read[text] = {str(k): flatten_value(v) for k, v in (raw or {}).items()}, None
         except (yaml.YAMLError, ValueError) as e:
-            fields.append({})
-            errors.append(str(e).split("\n")[0])
-    return pd.DataFrame({"fields": fields, "error": errors})
+            read[text] = {}, str(e).split("\n")[0]
+    rows = [read[None if pd.isna(text) else text] for text in header]
+    return pd.DataFrame({"fields": [f for f, _ in rows], "error": [e for _, e in rows]})
 
 
 def _scalar(name: str) -> Column:
@@ -124,7 +121,12 @@ def field_issues(pages: DataFrame, strict: bool = False, profile: str = "bundle"
 def page_links(pages: DataFrame) -> DataFrame:
     """``path, link, target``: links of the body that should lead to a file of the bundle, with the
     path they resolve to (null outside the bundle)."""
-    rows = pages.select("path", F.explode(link_targets(F.col("body"))).alias("link"))
+    return resolved_links(pages.select("path", link_targets(F.col("body")).alias("links")))
+
+
+def resolved_links(pages: DataFrame) -> DataFrame:
+    """page_links of pages whose links were found (``path, links``)."""
+    rows = pages.select("path", F.explode("links").alias("link"))
     rows = rows.where((F.col("link") != "") & ~external_link(F.col("link")) & ~source_anchor_link(F.col("link")))
     rows = rows.withColumn("link", decode_target(F.regexp_replace("link", "[#?](?s:.*)\\z", "")))
     rows = rows.where((F.col("link") != "") & ~F.startswith("link", F.lit("/")))
@@ -144,10 +146,11 @@ def validate_bundle(pages: DataFrame, strict: bool = False, profile: str = "bund
     md = split_frontmatter(pages.where(F.endswith("path", F.lit(".md")) & ~F.col("path").rlike("(^|/)\\.[^/]*/")))
     md = md.withColumn("_p", parse_fields("header"))
     bad = F.when(F.col("unterminated"), "unterminated YAML frontmatter").when(F.col("_p.error").isNotNull(), F.concat(F.lit("invalid YAML frontmatter: "), F.col("_p.error")))
-    md = md.withColumn("bad", bad).withColumn("fields", F.when(F.col("header").isNotNull(), F.col("_p.fields"))).drop("_p")
+    # A page is cut, parsed and searched for links once; what the rules need of it is written down.
+    md = materialize(md.select("path", bad.alias("bad"), F.when(F.col("header").isNotNull(), F.col("_p.fields")).alias("fields"), F.when(bad.isNull(), link_targets(F.col("body"))).alias("links")))
     good = md.where("bad IS NULL")
     issues = md.where("bad IS NOT NULL").select(F.lit("error").alias("severity"), "path", F.col("bad").alias("message"))
-    issues = issues.unionByName(field_issues(good, strict, profile)).unionByName(broken_links(page_links(good), pages))
+    issues = issues.unionByName(field_issues(good, strict, profile)).unionByName(broken_links(resolved_links(good), pages))
     return issues.orderBy("path", "severity", "message")
 
 
