@@ -17,6 +17,8 @@ TRIM = rf"^[{WHITE}]+|[{WHITE}]+\z"
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 SECRET = rf"{EDGE}sk[-_][A-Za-z0-9][A-Za-z0-9_-]{{8,}}{EDGE}"
 REDACTED = "sk_<redacted>"
+#: Lines in which a text's first prose line is looked for at first.
+HEAD_LINES = 8
 
 #: RFC 3339 with a mandatory zone; a cast alone also takes looser forms.
 RFC3339 = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})\z"
@@ -71,8 +73,12 @@ def has_frontmatter_comments(c: Column) -> Column:
 
 def first_prose_line(content: Column, limit: int, default: Column, drop: str = r"^(#|<!--)") -> Column:
     """First trimmed line that is neither blank nor a heading or comment, cut at ``limit`` bytes."""
-    lines = F.transform(F.split(content, "\n"), trim_all)
-    line = F.get(F.filter(lines, lambda x: (x != "") & ~x.rlike(drop)), F.lit(0))
+    def first(text):
+        lines = F.transform(F.split(text, "\n"), trim_all)
+        return F.get(F.filter(lines, lambda x: (x != "") & ~x.rlike(drop)), F.lit(0))
+
+    # The first lines mostly have it; only where they don't are the others looked at.
+    line = F.coalesce(first(F.substring_index(content, "\n", HEAD_LINES)), first(content))
     return F.coalesce(cut_bytes(line, limit, "..."), default)
 
 

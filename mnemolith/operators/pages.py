@@ -60,7 +60,8 @@ def category_index_parts(pages: DataFrame, part_bytes: int = PART_BYTES) -> Data
     sorted rows and never gathered into lists."""
     cat = memory_type(F.col("path"))
     own = pages.where((cat != "") & F.endswith("path", F.lit(".md"))).withColumn("cat", cat).where(F.col("path") != F.concat("cat", F.lit("/index.md")))
-    entry = lambda link: F.format_string("- [%s](%s) — %s\n", base_name(F.col("path")), link, first_prose_line(F.col("content"), 100, F.lit("")))
+    own = own.select("path", "cat", first_prose_line(F.col("content"), 100, F.lit("")).alias("desc"))  # once, for both indexes
+    entry = lambda link: F.format_string("- [%s](%s) — %s\n", base_name(F.col("path")), link, F.col("desc"))
     dim = pages.sparkSession.createDataFrame([(i, t) for i, t in enumerate(MEMORY_TYPES)], "pos int, cat string")
     filled = own.groupBy("cat").agg(F.count("*").alias("n")).where("n > 0")
     dim = materialize(dim.join(filled, "cat", "left").withColumn("first", F.min(F.when(F.col("n") > 0, F.col("pos"))).over(Window.partitionBy())))  # a row a category
