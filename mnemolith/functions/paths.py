@@ -14,6 +14,9 @@ STRUCTURAL = ("index.md", *(f"{t}/index.md" for t in MEMORY_TYPES))
 #: Percent codes that link targets use, in the order of decoding.
 PERCENT = (("%20", " "), ("%28", "("), ("%29", ")"), ("%3C", "<"), ("%3E", ">"), ("%5C", "\\"))
 
+#: A path with an empty component, ``.`` or ``..``.
+UNCLEAN = r"(?:\A|/)\.{0,2}(?:/|\z)"
+
 
 def _first_reason(checks: list[tuple[Column, str]]) -> Column:
     """Text of the first check that holds, else an empty string."""
@@ -101,7 +104,8 @@ def clean_path(p: Column) -> Column:
             F.struct(F.slice(acc["at"], 1, F.greatest(F.size(acc["at"]) - 1, F.lit(0))).alias("at"), (acc["inside"] & (F.size(acc["at"]) > 0)).alias("inside"))
         ),
     )
-    return F.when(walked["inside"], F.array_join(walked["at"], "/"))
+    # Most paths have no component to take out and are what they are.
+    return F.when(~p.rlike(UNCLEAN), p).when(walked["inside"], F.array_join(walked["at"], "/"))
 
 
 def directory(p: Column) -> Column:
