@@ -31,7 +31,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         sides = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sides.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = sides.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
+        large = materialize(large.where("u != v").distinct())  # read three times below
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct())

@@ -63,9 +63,10 @@ def rake(cells: DataFrame, alpha: dict[str, float] = ALPHA, targets: dict[str, d
     cells = materialize(cells.withColumn("w", F.col("tokens").cast("double")).withColumn("change", F.lit(0.0)))
     for _ in range(rounds):
         now = cells.withColumn("_was", F.col("w"))
-        for a in AXES:
+        for a in AXES:  # written for each axis: sums of a table that is joined sums itself double the plan three times over
             sums = now.groupBy(F.col(a).alias("_v")).agg(F.nullif(F.sum("w"), F.lit(0.0)).alias("_s"))
             now = now.join(sums, F.col(a).eqNullSafe(F.col("_v"))).withColumn("w", F.coalesce(F.col("w") * F.col(f"t_{a}") / F.col("_s"), F.lit(0.0))).drop("_v", "_s")
+            now = now if a == AXES[-1] else materialize(now)
         cells = materialize(now.withColumn("change", F.when(F.col("_was") > 0, F.abs(F.col("w") / F.col("_was") - 1)).otherwise(0.0)).drop("_was"))
         if (cells.agg(F.max("change")).first()[0] or 0.0) <= tolerance:
             break
