@@ -4,12 +4,14 @@ Greedy packing is sequential: where a batch ends depends on where it began. But
 that would begin at an event depends on the next few events only (``next start``). Blocks of the sorted
 log therefore become maps from entry place to exit place, with as many entries as a batch can have
 events. Composing maps is associative, so neighbours are composed up a tree, level by level; entry places
-are handed down the same tree, and each block then marks its own starts. No task sees more than a block,
+are handed down the same tree, and each block then marks the batches that begin in it. No task sees more than a block,
 and the driver sees a count.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,7 +30,7 @@ def context_map(raw: str = "context_json") -> Column:
     text = F.coalesce(F.col(raw), F.lit(""))
     parsed = F.from_json(text, "map<string,variant>")
     kinds = F.transform(F.map_values(parsed), lambda v: F.schema_of_variant(v))
-    strings = (text != "") & (text != "null") & text.rlike(r"^[\t\n\r ]*\{") & parsed.isNotNull() & F.forall(kinds, lambda k: k.isin("STRING", "VOID"))
+    strings = (text != "") & (text != "null") & text.rlike(r"^[\t\n\r ]*\{") & F.forall(kinds, lambda k: k.isin("STRING", "VOID"))  # null where it isn't read
     own = F.transform_values(F.from_json(text, "map<string,string>"), lambda _, v: F.coalesce(v, F.lit("")))
     pairs = lambda names: F.filter(F.array(*(F.struct(F.lit(c).alias("key"), F.coalesce(F.col(c), F.lit("")).alias("value")) for c in names)), lambda x: x["value"] != "")
     some = F.size(pairs(CONTEXT_COLUMNS)) > 0
@@ -66,14 +68,21 @@ def next_starts(size: np.ndarray, own: int, events: int, size_cap: int, token_ca
     return end
 
 
-def _mark(size: np.ndarray, own: int, entry: int, caps: tuple[int, int, int]) -> list[int]:
-    """Batch starts among the first ``own`` places, coming in at ``entry``."""
+def _marked(ids: list, size: np.ndarray, own: int, entry: int, before: int, caps: tuple[int, int, int]) -> dict[str, list | np.ndarray]:
+    """The batches that begin among the first ``own`` places, coming in at ``entry``: for each of their events its place
+    ``at``, and its batch's number and id and its place there. Where the last one ends can be past ``own``."""
     nxt = next_starts(size, own, *caps)
     starts, i = [], entry
     while i < own:
         starts.append(i)
         i = int(nxt[i])
-    return starts
+    if not starts:
+        return {"at": np.empty(0, np.int64), "batch_no": [], "batch_id": [], "pos": []}
+    ends = [*starts[1:], i]
+    sizes = np.subtract(ends, starts)
+    at = np.arange(starts[0], i)
+    names = [hashlib.sha256(",".join(sorted(x for x in ids[a:b] if x is not None)).encode()).hexdigest()[:16] for a, b in zip(starts, ends, strict=True)]
+    return {"at": at, "batch_no": before + np.repeat(np.arange(len(starts)), sizes), "batch_id": np.repeat(np.array(names, object), sizes), "pos": at - np.repeat(starts, sizes)}
 
 
 #: Block maps that are composed in one step. A node of the tree holds so many and no more.
@@ -162,17 +171,12 @@ def greedy_batches(pending: DataFrame, max_events: int = MAX_EVENTS, max_bytes:
     def mark(f):
         f = f.sort_values("row")
         own = int((f["row"] < block_rows).sum())
-        begins = np.zeros(own, np.int64)
-        begins[_mark(f["bytes"].to_numpy(), own, int(f["entry"].iloc[0]), caps)] = 1
-        out = f[["id", "created_at", "bytes"]].iloc[:own].copy()
-        out["batch_no"] = int(f["before"].iloc[0]) + begins.cumsum() - 1
-        return out
-
-    marked = spread.join(entries, "block").groupBy("block").applyInPandas(mark, "id string, created_at timestamp, bytes long, batch_no long")
-    whole = Window.partitionBy("batch_no")
-    pos = F.row_number().over(whole.orderBy("created_at", "id")) - 1
-    marked = materialize(marked)
-    return marked.select("id", "bytes", "batch_no", batch_id(F.collect_list("id").over(whole)).alias("batch_id"), pos.alias("pos"))
+        # The block sees past its end, so batches are whole here and get their ids from the block that they begin in.
+        found = _marked(f["id"].tolist(), f["bytes"].to_numpy(), own, int(f["entry"].iloc[0]), int(f["before"].iloc[0]), caps)
+        return f[["id", "bytes"]].iloc[found.pop("at")].assign(**found)
+
+    marked = spread.select("id", "bytes", "block", "row").join(entries, "block").groupBy("block")
+    return marked.applyInPandas(mark, "id string, bytes long, batch_no long, batch_id string, pos int")
 
 
 def batch_totals(batches: DataFrame) -> DataFrame:

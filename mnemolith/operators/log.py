@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import cut_bytes, parse_time
+from ..sources.tables import broadcast_if_small, materialize
 
 #: What an integration can end in.
 TERMINAL = ("integrated", "skipped", "failed", "unknown")
@@ -74,10 +75,23 @@ def log_health(log: DataFrame) -> DataFrame:
     )
 
 
+def with_created_at(events: DataFrame) -> DataFrame:
+    """Adds ``created_at``; an unreadable time is the earliest."""
+    return events.withColumn("created_at", F.coalesce(parse_time(F.col("timestamp")), F.lit(EARLIEST).cast("timestamp")))
+
+
 def pending_events(events: DataFrame, status: DataFrame) -> DataFrame:
-    """Events without a terminal status, with ``created_at``; an unreadable time is the earliest."""
-    at = F.coalesce(parse_time(F.col("timestamp")), F.lit(EARLIEST).cast("timestamp"))
-    return events.join(status.select(F.col("event_id").alias("id")), "id", "left_anti").withColumn("created_at", at)
+    """Events without a terminal status, with ``created_at``."""
+    return with_created_at(events.join(status.select(F.col("event_id").alias("id")), "id", "left_anti"))
+
+
+def once_each(events: DataFrame) -> DataFrame:
+    """One event of each id. Ids alone are shuffled to see which come again; the contents of those only are compared."""
+    more = events.groupBy(F.col("id").alias("_id")).count().where("count > 1").select("_id")
+    if more.isEmpty():
+        return events
+    more, same = broadcast_if_small(materialize(more)), F.col("id").eqNullSafe(F.col("_id"))
+    return events.join(more, same, "left_anti").unionByName(events.join(more, same, "left_semi").dropDuplicates(["id"]))
 
 
 def status_counts(events: DataFrame, status: DataFrame) -> DataFrame:

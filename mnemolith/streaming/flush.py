@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from ..operators import batching, guards, log, surface
 from ..sources.appendlog import qualified
 from ..sources.files import EVENT_SCHEMA, append_progress
-from ..sources.tables import Scratch, materialize, remove
+from ..sources.tables import Scratch, broadcast_if_small, materialize, remove
 from .turns import said_columns, take_turns
 
 STATUS_DDL = "line_no long, type string, event_id string, status string, batch_id string, reason string, epoch string, terminated boolean"
@@ -112,7 +112,7 @@ class FlushLoop:
         with self.lock:
             if self._parts is None:
                 self._rebuild()
-            return self._read_parts().dropDuplicates(["id"])
+            return log.once_each(self._read_parts())
 
     def _read_parts(self) -> DataFrame:
         schema = T.StructType([*EVENT_SCHEMA.fields, T.StructField("created_at", T.TimestampType())])
@@ -136,8 +136,9 @@ class FlushLoop:
 
     def _rebuild(self) -> None:
         """Pending events from the whole history: what is terminal goes first, so only what is pending is compared."""
-        self._parts = []
-        self._replace(log.pending_events(self.events(), self.status()).dropDuplicates(["id"]))
+        self._parts, self._waiting = [], 0
+        if self._there("events"):
+            self._replace(log.once_each(log.pending_events(self.events(), self.status())))
 
     def waiting(self) -> int:
         """How many events are pending and not deferred, without a job."""
@@ -215,7 +216,8 @@ class FlushLoop:
             n = self._waiting
             todo = surface.actionable(pending, aside) if self._set_aside else pending
             todo = todo.withColumn("context", batching.context_map())
-            todo = materialize(todo.withColumn("bytes", batching.event_bytes(F.col("content"), F.col("context"))))
+            todo = todo.withColumn("bytes", batching.event_bytes(F.col("content"), F.col("context")))
+            todo = materialize(todo.select("id", "content", "context", "created_at", "bytes"))
             if n > self._set_aside:
                 texts = todo.select("id", F.col("content").alias("text"), "context", "created_at")
                 packed = materialize(batching.greedy_batches(todo, **self.caps).join(texts, "id").withColumn("depth", F.lit(0)))
@@ -225,8 +227,10 @@ class FlushLoop:
                         self.errors = 0
                     if done:
                         ids = functools.reduce(DataFrame.unionByName, done)
-                        left = materialize(pending.join(ids, "id", "left_anti"))
-                        self._replace(None if left.isEmpty() else left)
+                        # Ids are compared first, so contents are read for what is left only.
+                        left = materialize(pending.select("id").join(ids, "id", "left_anti").select(F.col("id").alias("_id")))
+                        rest = pending.join(broadcast_if_small(left), F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+                        self._replace(None if left.isEmpty() else rest)
                     self.suspended = self.errors >= MAX_ERRORS
                 except Exception:
                     self._parts = None  # some rounds may have been written
@@ -309,12 +313,12 @@ class FlushLoop:
                 self.waiting()
                 name = f"events/batch={number}"
                 again = self._there(name)
-                events.select(*EVENT_SCHEMA.names).write.mode("overwrite").parquet(f"{self.root}/{name}")
+                # Dealt by id, as a few small files that compress well can hold very many events.
+                events.select(*EVENT_SCHEMA.names).repartition("id").write.mode("overwrite").parquet(f"{self.root}/{name}")
                 if again:
                     self._rebuild()
                 else:
-                    none = self.spark.createDataFrame([], "event_id string")
-                    path, n = self._new_part(log.pending_events(self.spark.read.schema(EVENT_SCHEMA).parquet(f"{self.root}/{name}"), none))
+                    path, n = self._new_part(log.with_created_at(self.spark.read.schema(EVENT_SCHEMA).parquet(f"{self.root}/{name}")))
                     self._parts.append(path)
                     self._waiting += n
             self.tick()
