@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import with_value
+
 #: Memory types in their index order.
 MEMORY_TYPES = ("semantic", "episodic", "procedural", "prospective")
 #: The only index pages that carry no provenance header.
@@ -16,6 +18,8 @@ PERCENT = (("%20", " "), ("%28", "("), ("%29", ")"), ("%3C", "<"), ("%3E", ">"),
 
 #: A path with an empty component, ``.`` or ``..``.
 UNCLEAN = r"(?:\A|/)\.{0,2}(?:/|\z)"
+#: A component with the ``..`` that takes it back.
+PAIR = r"(?<![^/])(?!\.{0,2}/)[^/]++/\.\.(?:/|\z)"
 
 
 def _first_reason(checks: list[tuple[Column, str]]) -> Column:
@@ -95,17 +99,26 @@ def source_anchor_link(link: Column) -> Column:
     return link.rlike(r"^[^\t\n\f\r :]+:[0-9a-fA-F]{40}:[^\n]+:(deleted|[0-9]+:[^\n]+)\z")
 
 
-def clean_path(p: Column) -> Column:
-    """Without ``.`` and empty components and with ``..`` taken back; null if that leaves the root."""
-    walked = F.aggregate(
+def _walk(p: Column) -> Column:
+    """clean_path component by component."""
+    done = F.aggregate(
         F.filter(F.split(p, "/"), lambda x: (x != "") & (x != ".")),
         F.struct(F.array().cast("array<string>").alias("at"), F.lit(True).alias("inside")),
         lambda acc, x: F.when(x != "..", F.struct(F.array_append(acc["at"], x).alias("at"), acc["inside"].alias("inside"))).otherwise(
             F.struct(F.slice(acc["at"], 1, F.greatest(F.size(acc["at"]) - 1, F.lit(0))).alias("at"), (acc["inside"] & (F.size(acc["at"]) > 0)).alias("inside"))
         ),
     )
-    # Most paths have no component to take out and are what they are.
-    return F.when(~p.rlike(UNCLEAN), p).when(walked["inside"], F.array_join(walked["at"], "/"))
+    return with_value(done, lambda x: F.when(x["inside"], F.array_join(x["at"], "/")))
+
+
+def clean_path(p: Column) -> Column:
+    """Without ``.`` and empty components and with ``..`` taken back; null if that leaves the root."""
+    # Most paths have no component to take out, and that shows without a pattern; or pairs gone at once leave such a path or
+    # one that begins with ``..`` and so leaves the root, whatever follows.
+    out = lambda x: F.startswith(x, F.lit("../")) | (x == "..")
+    less = with_value(F.regexp_replace(p, PAIR, ""), lambda x: F.when(~out(x), F.when(~x.rlike(UNCLEAN), x).otherwise(_walk(x))))
+    odd = F.contains(p, F.lit("/.")) | F.contains(p, F.lit("//")) | F.startswith(p, F.lit(".")) | F.startswith(p, F.lit("/")) | F.endswith(p, F.lit("/")) | (p == "")
+    return F.when(~odd, p).otherwise(less)
 
 
 def directory(p: Column) -> Column:

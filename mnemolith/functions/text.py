@@ -6,12 +6,14 @@ Patterns are spelled so that Java and RE2 agree: ``\\z`` instead of ``$``, expli
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The code points with the Unicode property White_Space, as a class body.
 WHITE = r"\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-TRIM = rf"^[{WHITE}]+|[{WHITE}]+\z"
+SPACES = "".join(map(chr, (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 #: A place where ASCII word characters begin or end; Java's \b also counts other letters.
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
@@ -26,7 +28,12 @@ RFC3339 = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|
 
 def trim_all(c: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(c, TRIM, "")
+    return F.btrim(c, F.lit(SPACES))
+
+
+def with_value(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What is made of a value that is computed once, however often it is used, also inside other functions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def lower_runes(c: Column) -> Column:

@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from ..functions.markdown import LINE_SPACE, link_targets
 from ..functions.paths import MEMORY_TYPES, any_index, clean_path, decode_target, directory, external_link, source_anchor_link, structural_index, valid_page_path
-from ..functions.text import RFC3339, has_frontmatter_comments, one_line_end, trim_all
-from ..sources.tables import materialize
+from ..functions.text import RFC3339, has_frontmatter_comments, one_line_end, trim_all, with_value
+from ..sources.tables import broadcast_if_small, materialize
 
 #: Closed vocabularies of page fields.
 PAGE_TYPES = ("concept", "procedure", "decision", "person", "project", "event")
@@ -118,21 +118,57 @@ def field_issues(pages: DataFrame, strict: bool = False, profile: str = "bundle"
     return pages.where(~(none & any_index(F.col("path")))).select("path", F.explode(found).alias("i")).select("i.severity", "path", "i.message")
 
 
+#: How links begin that lead to no file of the bundle.
+ASIDE = "[#/]|(?i:https?://|mailto:|tel:)"
+
+
+def file_links(body: Column) -> Column:
+    """Those of a page's links that should lead to a file of the bundle."""
+
+    def file(link):
+        aside = F.when(F.contains(link, F.lit(":")), external_link(link) | source_anchor_link(link)).otherwise(F.startswith(link, F.lit("#")))
+        bare = decode_target(F.when(link.rlike("[#?]"), F.substring_index(F.substring_index(link, "#", 1), "?", 1)).otherwise(link))
+        return F.when(~aside, with_value(bare, lambda x: F.when((x != "") & ~F.startswith(x, F.lit("/")), x)))
+
+    return link_targets(body, ASIDE, lambda x: with_value(x, file))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """``path, link, target``: links of the body that should lead to a file of the bundle, with the
     path they resolve to (null outside the bundle)."""
-    return resolved_links(pages.select("path", link_targets(F.col("body")).alias("links")))
+    return resolved_links(pages.select("path", file_links(F.col("body")).alias("links")))
 
 
 def resolved_links(pages: DataFrame) -> DataFrame:
-    """page_links of pages whose links were found (``path, links``)."""
-    rows = pages.select("path", F.explode("links").alias("link"))
-    rows = rows.where((F.col("link") != "") & ~external_link(F.col("link")) & ~source_anchor_link(F.col("link")))
-    rows = rows.withColumn("link", decode_target(F.regexp_replace("link", "[#?](?s:.*)\\z", "")))
-    rows = rows.where((F.col("link") != "") & ~F.startswith("link", F.lit("/")))
+    """page_links of pages whose links to files were found (``path, links``)."""
+    # Of a plain explode, Spark would ask first whether there are any, and find the links for that, too.
+    rows = pages.select("path", F.explode_outer("links").alias("link")).where(F.col("link").isNotNull())
     return rows.withColumn("target", clean_path(F.concat(directory(F.col("path")), F.lit("/"), F.col("link"))))
 
 
+def link_totals(pages: DataFrame) -> DataFrame:
+    """A row for each path with links to files (``path, body``): ``n_links, n_inside, n_targets`` (different ones), ``first_target,
+    last_target, n_chars`` (of all targets). Links stay in the row of their page; only totals are shuffled."""
+    rows = pages.select("path", F.concat(directory(F.col("path")), F.lit("/")).alias("base"), file_links(F.col("body")).alias("links"))
+    whole = with_value(F.col("base"), lambda base: F.transform("links", lambda x: F.concat(base, x)))
+    rows = rows.select("path", F.size("links").alias("n_links"), F.filter(F.transform(whole, clean_path), lambda x: x.isNotNull()).alias("inside"))
+    rows = rows.select("path", "n_links", "inside", F.array_distinct("inside").alias("targets"))
+    rows = rows.select("path", "n_links", F.size("inside").alias("n_inside"), F.size("targets").alias("n_targets"), F.array_min("targets").alias("first_target"),
+                       F.array_max("targets").alias("last_target"), F.when(F.size("inside") > 0, F.length(F.array_join("inside", ""))).alias("n_chars"))
+    totals = rows.groupBy("path").agg(
+        F.sum("n_links").alias("n_links"), F.sum("n_inside").alias("n_inside"), F.max("n_targets").cast("long").alias("n_targets"),
+        F.min("first_target").alias("first_target"), F.max("last_target").alias("last_target"), F.sum("n_chars").alias("n_chars"),
+    ).where("n_links > 0")
+    # Pages of one path may share targets: theirs are counted one by one.
+    again = materialize(pages.groupBy(F.col("path").alias("again")).count().where("count > 1").select("again"))
+    if again.isEmpty():
+        return totals
+    shared = page_links(pages.join(broadcast_if_small(again), F.col("path").eqNullSafe(F.col("again")), "left_semi"))
+    shared = shared.groupBy(F.col("path").alias("again")).agg(F.count_distinct("target").alias("n"))
+    totals = totals.join(shared, F.col("path").eqNullSafe(F.col("again")), "left")
+    return totals.withColumn("n_targets", F.coalesce("n", "n_targets")).drop("again", "n")
+
+
 def broken_links(links: DataFrame, files: DataFrame) -> DataFrame:
     """Links whose target is neither a file nor a directory above one."""
     parts = F.split("path", "/")
@@ -147,7 +183,7 @@ def validate_bundle(pages: DataFrame, strict: bool = False, profile: str = "bund
     md = md.withColumn("_p", parse_fields("header"))
     bad = F.when(F.col("unterminated"), "unterminated YAML frontmatter").when(F.col("_p.error").isNotNull(), F.concat(F.lit("invalid YAML frontmatter: "), F.col("_p.error")))
     # A page is cut, parsed and searched for links once; what the rules need of it is written down.
-    md = materialize(md.select("path", bad.alias("bad"), F.when(F.col("header").isNotNull(), F.col("_p.fields")).alias("fields"), F.when(bad.isNull(), link_targets(F.col("body"))).alias("links")))
+    md = materialize(md.select("path", bad.alias("bad"), F.when(F.col("header").isNotNull(), F.col("_p.fields")).alias("fields"), F.when(bad.isNull(), file_links(F.col("body"))).alias("links")))
     good = md.where("bad IS NULL")
     issues = md.where("bad IS NOT NULL").select(F.lit("error").alias("severity"), "path", F.col("bad").alias("message"))
     issues = issues.unionByName(field_issues(good, strict, profile)).unionByName(broken_links(resolved_links(good), pages))
