@@ -334,10 +334,12 @@ def join_under(docs: DataFrame, words: int, t: int, block: int, block_tokens: in
     mixed = often.groupBy("tok").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("tok")
     often = often.join(broadcast_if_small(materialize(mixed)), "tok", "left_semi").select(rare.columns)
     met = materialize(rare.unionByName(often).withColumn("room", F.col("n") - F.col("pos") + most_overlap(F.col("n"), t, shared) - 1))
-    groups = met.groupBy("tok", "home", "blk", "members").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("room").alias("wide"))
-    groups = groups.select("tok", F.col("home").alias("at"), F.col("blk").alias("at_blk"), F.col("members").alias("crowd"), "low", "high", "wide")
+    groups = met.groupBy("tok", "home", "blk", "members").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("room").alias("wide"), F.count("*").alias("holders"))
+    groups = groups.select("tok", F.col("home").alias("at"), F.col("blk").alias("at_blk"), F.col("members").alias("crowd"), "low", "high", "wide", "holders")
+    # In its own block a document shares a token with another only if two hold it; else each would reach any sum by itself.
+    own = F.col("loose") & (F.col("home") == F.col("at")) & ((F.col("blk") < F.col("at_blk")) | ((F.col("blk") == F.col("at_blk")) & (F.col("holders") > 1)))
     meets = (
-        ((F.col("members") < F.col("crowd")) | ((F.col("members") == F.col("crowd")) & (F.col("home") < F.col("at"))) | (F.col("loose") & (F.col("home") == F.col("at")) & (F.col("blk") <= F.col("at_blk"))))
+        ((F.col("members") < F.col("crowd")) | ((F.col("members") == F.col("crowd")) & (F.col("home") < F.col("at"))) | own)
         & (100 * F.col("high") >= t * F.col("n"))
         & (100 * F.col("n") >= t * F.col("low"))
         & (F.least("room", "wide") * (100 + t) >= t * (F.col("n") + F.col("low")))
